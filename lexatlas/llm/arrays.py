@@ -100,15 +100,19 @@ def word_spans(text: pa.Array, lower: bool = False, separators: np.ndarray = WHI
     at = offsets[:-1][offsets[:-1] < len(data)]
     begin[at] = inside[at]  # where a document begins, a word never goes on
     letters = data[inside]
-    n = len(letters)
-    if not n:
+    if not len(letters):
         return np.zeros(0, np.uint64), np.zeros(len(text) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins = np.flatnonzero(begin)
     starts = np.flatnonzero(begin[inside])
-    lengths = np.diff(np.append(starts, n))
-    rank = np.arange(n, dtype=np.int32)
+    lengths = np.diff(np.append(starts, len(letters)))
+    return span_hashes(letters, starts, lengths), np.searchsorted(begins, offsets).astype(np.int64), begins, lengths
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes that follow one another without gaps; none is 0."""
+    rank = np.arange(len(data), dtype=np.int32)
     rank -= np.repeat(starts.astype(np.int32), lengths)
-    term = _BYTE[letters]
+    term = _BYTE[data]
     if lengths.max() < _PERIOD:
         term *= _PLACE[rank]
     else:
@@ -116,21 +120,80 @@ def word_spans(text: pa.Array, lower: bool = False, separators: np.ndarray = WHI
         term = np.where(rank >= _PERIOD, mix(term + (rank // _PERIOD).astype(np.uint64)), term)
     hashes = np.add.reduceat(term, starts)
     hashes += lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return mix(hashes), np.searchsorted(begins, offsets).astype(np.int64), begins, lengths
-
-
-def windows(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each document's windows of that many consecutive words, and the document of each window."""
+    hashes = mix(hashes)
+    hashes[hashes == 0] = np.uint64(1)
+    return hashes
+
+
+class HashTable:
+    """An open-addressed table from 64-bit hashes other than 0 to small integers, for whole arrays at a time."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.n = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The value of each hash, -1 where there is none."""
+        mask = len(self.keys) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        key = self.keys[at]
+        same = key == hashes
+        found = np.where(same, self.values[at], -1)
+        left = np.flatnonzero(~same & (key != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & mask
+            key = self.keys[at[left]]
+            hit = key == hashes[left]
+            found[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (key != 0)]
+        return found
+
+    def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct hashes that the table lacks."""
+        self.n += len(hashes)
+        if 2 * self.n > len(self.keys):
+            old, kept = self.keys, self.values
+            size = len(old)
+            while 2 * self.n > size:
+                size *= 2
+            self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._place(old[old != 0], kept[old != 0])
+        self._place(hashes, values)
+
+    def _place(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[free]
+            won = free & (self.keys[at] == hashes)
+            self.values[at[won]] = values[won]
+            hashes, values, at = hashes[~won], values[~won], (at[~won] + 1) & mask
+
+
+def windows(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each document's windows of that many consecutive words, each window's document and first word."""
     n = len(hashes) - size + 1
-    counts = np.diff(offsets)
-    doc = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
     joined = np.zeros(n, np.uint64)
     for k in range(size):
         joined += hashes[k : k + n] * _PLACE[k]
-    own = doc[:n] == doc[size - 1 :]
-    return mix(joined[own]), doc[:n][own]
+    own = np.flatnonzero(doc[:n] == doc[size - 1 :])
+    return mix(joined[own]), doc[own], own
+
+
+def within(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes that also tell documents apart."""
+    return mix(hashes + doc.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of flags are set in each of the ranges that offsets bound."""
+    return np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(flags, dtype=np.int64)])[offsets])
 
 
 def gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:

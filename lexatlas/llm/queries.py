@@ -33,9 +33,38 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, length=2048)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.quality_rules import apply, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return apply(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Whether a document is kept from training: crc32 of its doc_id as text, modulo 3, is 1."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.language_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, ~held_out())
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE: dict[str, str] = {}

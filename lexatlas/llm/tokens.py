@@ -11,7 +11,7 @@ import numpy as np  # noqa: E402
 
 import pyarrow as pa  # noqa: E402
 
-from lexatlas.llm.arrays import PLAIN, gather, raw, word_spans  # noqa: E402
+from lexatlas.llm.arrays import PLAIN, HashTable, gather, raw, word_spans  # noqa: E402
 
 #: Distinct pieces, ids of pieces, and distinct words that a worker remembers; when full, it starts anew.
 MEMO_PIECES = 1_500_000
@@ -52,36 +52,10 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.entry = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)  # an open-addressed table; key 0: free
+        self.table = HashTable()
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length, self.n = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The entry of each piece, -1 where there is none."""
-        mask = np.uint64(len(self.keys) - 1)
-        at = (hashes & mask).astype(np.int64)
-        key = self.keys[at]
-        found = np.where(key == hashes, self.entry[at], -1)
-        left = np.flatnonzero((key != hashes) & (key != 0))
-        while len(left):
-            at[left] = (at[left] + 1) & int(mask)
-            key = self.keys[at[left]]
-            hit = key == hashes[left]
-            found[left[hit]] = self.entry[at[left[hit]]]
-            left = left[~hit & (key != 0)]
-        return found
-
-    def place(self, hashes: np.ndarray, entries: np.ndarray) -> None:
-        """Puts distinct new pieces into the table."""
-        mask = len(self.keys) - 1
-        at = (hashes & np.uint64(mask)).astype(np.int64)
-        while len(hashes):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = hashes[free]
-            won = free & (self.keys[at] == hashes)
-            self.entry[at[won]] = entries[won]
-            hashes, entries, at = hashes[~won], entries[~won], (at[~won] + 1) & mask
-
     def add(self, hashes: np.ndarray, parts: list[bytes]) -> None:
         lengths = np.array([len(p) // 4 for p in parts], np.int64)
         flat = np.frombuffer(b"".join(parts), "<u4")
@@ -93,14 +67,7 @@ class PieceEncoder:
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         self.length[own] = lengths
         self.begin[own] = self.n_ids + np.cumsum(lengths) - lengths
-        if 2 * (self.n + len(parts)) > len(self.keys):
-            size = len(self.keys)
-            while 2 * (self.n + len(parts)) > size:
-                size *= 2
-            old, entry = self.keys, self.entry
-            self.keys, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-            self.place(old[old != 0], entry[old != 0])
-        self.place(hashes, np.arange(own.start, own.stop, dtype=np.int32))
+        self.table.put(hashes, np.arange(own.start, own.stop, dtype=np.int32))
         self.n, self.n_ids = own.stop, self.n_ids + len(flat)
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -142,10 +109,9 @@ class PieceEncoder:
             offsets = np.cumsum([0, *(len(p) // 4 for p in parts)])
             return np.frombuffer(b"".join(parts), "<u4"), offsets
         hashes, words, begins, lengths = word_spans(text, separators=PLAIN)
-        hashes[hashes == 0] = np.uint64(1)
         if self.n > MEMO_PIECES or self.n_ids > MEMO_IDS:
             self.clear()
-        found = self.find(hashes)
+        found = self.table.find(hashes)
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
@@ -153,7 +119,7 @@ class PieceEncoder:
             data = data.tobytes()
             own = missing[first]
             self.add(new, self.learn([data[a : a + n].decode() for a, n in zip(begins[own].tolist(), lengths[own].tolist())]))
-            found[missing] = self.find(hashes[missing])
+            found[missing] = self.table.find(hashes[missing])
         counts = self.length[found]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
         return gather(self.ids, self.begin[found], counts), ends[words]
