@@ -95,7 +95,7 @@ def _first(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: in
             if whole < total and (done := own.put((doc_id, whole, total, ids[whole:]))):
                 rows.add(task + count, done, True)
                 count += 1
-        if rows.size > 1 << 20:
+        if rows.size > 1 << 18:
             yield rows.batch()
     for left in own.open:
         rows.add(task + count, left, False)
@@ -116,7 +116,7 @@ def _second(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 if used == length:
                     rows.add(task + count, pieces, True)
                     pieces, used, count = [], 0, count + 1
-        if rows.size > 1 << 20:
+        if rows.size > 1 << 18:
             yield rows.batch()
     if pieces:
         rows.add(task + count, pieces, True)

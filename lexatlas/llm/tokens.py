@@ -11,15 +11,16 @@ import numpy as np  # noqa: E402
 
 import pyarrow as pa  # noqa: E402
 
-from lexatlas.llm.arrays import PLAIN, HashTable, gather, raw, word_spans  # noqa: E402
+from lexatlas.llm.arrays import PLAIN, HashTable, gather, raw, span_hashes  # noqa: E402
 
-#: Distinct pieces, ids of pieces, and distinct words that a worker remembers; when full, it starts anew.
-MEMO_PIECES = 1_500_000
-MEMO_IDS = 12_000_000
-MEMO_WORDS = 600_000
-#: Pieces of up to so many characters may be a word and signs.
-WORD_CHARS = 40
-_SIGNS = ".,;:!?"
+#: Distinct pieces and ids of pieces that a worker remembers; when full, it starts anew.
+MEMO_PIECES, MEMO_IDS = 1_500_000, 6_000_000
+
+# By byte: signs that may close a word; letters of ASCII and what letters of Latin-1 beyond it consist of; lower case.
+_SIGN, _LETTER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_SIGN[[ord(c) for c in ".,;:!?"]] = True
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = True
+_LOWER[65:91] += 32
 
 
 def _bytes_as_chars() -> dict[int, str]:
@@ -35,8 +36,9 @@ class PieceEncoder:
 
     Such a tokenizer encodes a text as its space-separated pieces one after the other. Each distinct piece goes
     through the library once and is remembered, which gives the library's ids for the whole text at a fraction of
-    the time. A piece of letters (of Latin-1) and closing signs is its lower-cased word, then the signs. Whether a
-    file is of this kind is read from it (spaced); with any other, whole texts go through the library.
+    the time. A piece of letters (ASCII, or U+00C0-U+00FF) and closing signs counts as two pieces: the lower-cased
+    word, which is one pre-token, and the signs. Whether a file is of this kind is read from it (spaced); with any
+    other, whole texts go through the library.
     """
 
     def __init__(self, path: str):
@@ -46,8 +48,6 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.by_piece = spaced(path)
-        self.words: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
         self.as_chars = _bytes_as_chars()
         self.clear()
 
@@ -73,29 +73,14 @@ class PieceEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word(self, word: str) -> bytes:
-        """Ids of a word of lower-case letters of Latin-1: one pre-token."""
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= MEMO_WORDS:
-                self.words.clear()
-            written = word if word.isascii() else word.translate(self.as_chars)
-            ids = self.words[word] = np.array([t.id for t in self.library.model.tokenize(written)], "<u4").tobytes()
-        return ids
-
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are not remembered yet."""
+    def learn(self, pieces: list[str], words: list[bool]) -> list[bytes]:
+        """Ids of pieces that are not remembered yet. words: which are lower-cased words, a pre-token each."""
         out: list[bytes] = [b""] * len(pieces)
-        rest = []
+        model = self.library.model
         for n, piece in enumerate(pieces):
-            core = piece.rstrip(_SIGNS)
-            if len(piece) <= WORD_CHARS and core.isalpha() and (core.isascii() or (max(core) < "\u0100" and not ORDINALS & set(core))):
-                signs = piece[len(core) :]
-                if signs not in self.signs:
-                    self.signs[signs] = self.whole([signs])[0]
-                out[n] = self.word(core.lower()) + self.signs[signs]
-            else:
-                rest.append(n)
+            if words[n]:
+                out[n] = np.array([t.id for t in model.tokenize(piece if piece.isascii() else piece.translate(self.as_chars))], "<u4").tobytes()
+        rest = [n for n, word in enumerate(words) if not word]
         for at in range(0, len(rest), 10_000):
             part = rest[at : at + 10_000]
             for n, ids in zip(part, self.whole([pieces[n] for n in part])):
@@ -108,25 +93,58 @@ class PieceEncoder:
             parts = self.whole(text.to_pylist())
             offsets = np.cumsum([0, *(len(p) // 4 for p in parts)])
             return np.frombuffer(b"".join(parts), "<u4"), offsets
-        hashes, words, begins, lengths = word_spans(text, separators=PLAIN)
+        data, offsets = raw(text)
+        begins, lengths, word, low = _pieces(data, offsets)
+        if not len(begins):
+            return np.zeros(0, np.uint32), np.zeros(len(text) + 1, np.int64)
+        inside = ~PLAIN[data]
+        hashes = span_hashes(low[inside], np.cumsum(lengths) - lengths, lengths)
+        hashes ^= word.astype(np.uint64) << np.uint64(63)
+        hashes[hashes == 0] = np.uint64(1)
         if self.n > MEMO_PIECES or self.n_ids > MEMO_IDS:
             self.clear()
         found = self.table.find(hashes)
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
-            data = raw(text)[0]
-            data = data.tobytes()
-            own = missing[first]
-            self.add(new, self.learn([data[a : a + n].decode() for a, n in zip(begins[own].tolist(), lengths[own].tolist())]))
+            own, low = missing[first], low.tobytes()
+            self.add(new, self.learn([low[a : a + n].decode() for a, n in zip(begins[own].tolist(), lengths[own].tolist())], word[own].tolist()))
             found[missing] = self.table.find(hashes[missing])
         counts = self.length[found]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
-        return gather(self.ids, self.begin[found], counts), ends[words]
-
-
-#: Letters of Latin-1 that are left to the library.
-ORDINALS = {"\u00aa", "\u00ba", "\u00b5"}
+        return gather(self.ids, self.begin[found], counts), ends[np.searchsorted(begins, offsets)]
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces between spaces and line ends: first bytes, lengths, which are words without their closing signs, and the
+    bytes with those words in lower case."""
+    n = len(data)
+    inside = ~PLAIN[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    at = offsets[:-1][offsets[:-1] < n]
+    begin[at] = inside[at]  # where a document begins, a piece never goes on
+    begins = np.flatnonzero(begin)
+    starts = np.flatnonzero(begin[inside])
+    lengths = np.diff(np.append(starts, int(inside.sum())))
+    after_c3 = np.zeros(n, bool)
+    after_c3[1:] = data[:-1] == 0xC3
+    letters = np.concatenate([np.zeros(1, np.int32), np.cumsum(_LETTER[data] & ~(after_c3 & ((data == 0x97) | (data == 0xB7))), dtype=np.int32)])
+    last = np.maximum.accumulate(np.where(_SIGN[data], -1, np.arange(n, dtype=np.int32)))
+    stops = begins + lengths
+    core = np.maximum(last[stops - 1] + 1, begins)  # where the closing signs begin
+    word = (core > begins) & (letters[core] - letters[begins] == core - begins)
+    split = word & (core < stops)
+    cased = np.zeros(n, bool)
+    cased[inside] = np.repeat(word, lengths)
+    low = np.where(cased, np.where(after_c3 & (data >= 0x80) & (data <= 0x9E), data + np.uint8(0x20), _LOWER[data]), data)
+    order = np.argsort(np.concatenate([begins, core[split]]), kind="stable")
+    return (
+        np.concatenate([begins, core[split]])[order],
+        np.concatenate([np.where(split, core - begins, lengths), (stops - core)[split]])[order],
+        np.concatenate([word, np.zeros(int(split.sum()), bool)])[order],
+        low,
+    )
 
 
 @lru_cache
