@@ -69,6 +69,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.decontamination import contaminations
+
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from training: crc32 of its doc_id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,
 }
