@@ -1,13 +1,13 @@
 """Exact set-similarity self-join of documents on word n-grams: grouped prefix filtering.
 
-1. A pass over the texts counts in how many documents each shingle occurs (packed 40-bit codes, counted by numpy in
+1. A pass over the texts counts in how many documents each shingle occurs (packed 32-bit codes, counted by numpy in
    buckets of codes); those above a threshold that bounds their number are broadcast. They order all shingles: rare
    ones by hash, frequent ones last, by frequency. Any order that all documents share gives exact results.
 2. A second pass yields each document's set size, a digest of its set and its prefix: the first shingles in that order,
    so many that documents similar enough must share one. Documents with equal sets become one class, and classes with
    identical prefix and size one group; only groups are indexed by their prefix shingles.
-3. Group pairs pass a length filter and a positional filter and are expanded to members, which are verified on
-   their whole sets. Since components are asked for, pairs come in two steps: first every group of a shingle's list
+3. Prefixes are long enough for similar documents to share COMMON shingles in them. Group pairs pass a length filter, a
+   positional filter and a count of the shingles shared, and are expanded to members, which are verified on their whole sets. Since components are asked for, pairs come in two steps: first every group of a shingle's list
    is compared with the list's smallest one, and within a group every member with its first; components of the links found are formed;
    then all remaining pairs are compared, save those within one component. So a large group of near copies costs about
    as many comparisons as it has members, yet no link between different components can be missed.
@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,8 +32,11 @@ from lexatlas.sources.workspace import map_arrow, materialize
 FREQUENT, HELD = 1_000_000, 4_000_000
 #: Only shingles in so many documents or more count as frequent, also in a small corpus.
 LEAST_FREQUENT = 16
-#: Buckets of codes at least; a code has 40 bits, and 32 of them tell codes of one bucket apart.
+#: Buckets of codes at least; a code is the upper 32 bits of a hash, and 24 of them tell codes of one bucket apart. Codes
+#: that shingles share make a count too large by (all shingles) / 2^32 on average, far below the threshold.
 BUCKETS = 256
+#: Shingles that the prefixes of similar documents must share (all, for smaller sets).
+COMMON = 3
 #: Class representatives that are broadcast to find their texts; beyond that, they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -54,24 +58,30 @@ def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return found[new], np.searchsorted(doc[new], np.arange(len(text) + 1))
 
 
+def _starts(buckets: int) -> np.ndarray:
+    """The first code of each bucket."""
+    return np.array([-(-(b << 32) // buckets) for b in range(buckets)], np.uint64)
+
+
 def _codes(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Codes of all shingles by bucket: those seen once in this task, and the others with their counts."""
 
+    starts = _starts(buckets)
+
     def send(parts: list[np.ndarray]) -> pa.RecordBatch:
         codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-        bucket = (codes * np.uint64(buckets)) >> np.uint64(40)
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        low = (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        cut = np.append(np.searchsorted(codes, starts), len(codes))
         once, many = [], []
-        for a, b in zip(cut[:-1], cut[1:]):
-            single = counts[a:b] == 1
-            once.append(low[a:b][single].tobytes())
-            many.append(np.stack([low[a:b][~single], counts[a:b][~single].astype(np.uint32)], 1).tobytes())
+        for start, a, b in zip(starts, cut[:-1], cut[1:]):
+            low, single = (codes[a:b] - start).astype(np.uint32), counts[a:b] == 1
+            step = np.diff(low[single], prepend=np.uint32(0))
+            once.append(zlib.compress(b"".join((step >> np.uint32(k)).astype(np.uint8).tobytes() for k in (0, 8, 16)), 1))
+            many.append(zlib.compress(np.stack([low[~single], counts[a:b][~single].astype(np.uint32)], 1).tobytes(), 1))
         return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(once, pa.binary()), pa.array(many, pa.binary())], names=["bucket", "once", "many"])
 
     parts, held = [], 0
     for _, text in text_blocks(batches):
-        parts.append(shingle_sets(text, size)[0] >> np.uint64(24))
+        parts.append(shingle_sets(text, size)[0] >> np.uint64(32))
         held += len(parts[-1])
         if held > HELD:
             yield send(parts)
@@ -83,15 +93,13 @@ def _codes(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterat
 def _counted(table: pa.Table, buckets: int) -> pa.Table:
     """Codes of one bucket in LEAST_FREQUENT documents or more, and (code -1) the sum of all counts."""
     bucket = table.column("bucket")[0].as_py()
-    once = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("once").to_pylist()])
-    many = np.concatenate([np.frombuffer(x, np.uint32).reshape(-1, 2) for x in table.column("many").to_pylist()])
+    unpacked = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(3, -1).astype(np.uint32) for x in table.column("once").to_pylist()]
+    once = np.concatenate([np.cumsum(p[0] | p[1] << np.uint32(8) | p[2] << np.uint32(16), dtype=np.uint32) for p in unpacked])
+    many = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32).reshape(-1, 2) for x in table.column("many").to_pylist()])
     low = np.concatenate([once, many[:, 0]])
     low, which = np.unique(low, return_inverse=True)
     counts = np.bincount(which, np.concatenate([np.ones(len(once)), many[:, 1]]), len(low)).astype(np.int64)
-    # the bits above the lowest 32 follow from the bucket
-    start = -(-(bucket << 40) // buckets)
-    code = (start & ~0xFFFFFFFF) + low.astype(np.int64)
-    code = np.where(code < start, code + (1 << 32), code)
+    code = int(_starts(buckets)[bucket]) + low.astype(np.int64)
     often = counts >= LEAST_FREQUENT
     return pa.table({"code": np.append(code[often], -1), "df": np.append(counts[often], counts.sum())})
 
@@ -112,7 +120,9 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - -(-n * percent // 100) + 1
+    """Sets that overlap enough share COMMON shingles among their first n - o + COMMON, o the least overlap of a set of n."""
+    least = -(-n * percent // 100)
+    return n - least + np.minimum(COMMON, least)
 
 
 _DOCS = "doc_id long, n long, a long, b long, pa long, pb long, prefix array<long>"
@@ -128,7 +138,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, shared
         digests = [add(mix(found ^ np.uint64(k)), offsets).view(np.int64) for k in (1, 2)]
         df = np.zeros(len(found), np.int64)
         if len(codes):
-            code = found >> np.uint64(24)
+            code = found >> np.uint64(32)
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             df = np.where(codes[at] == code, counts[at], 0)
         order = np.lexsort((found, df, doc))
@@ -163,11 +173,17 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 
 def _possible(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
-    """Whether sets of sizes n and m whose first common shingle is at places i and j of their order may be similar."""
-    most = 1 + F.least(n - i - 1, m - j - 1)
+    """Whether sets of sizes n and m may be similar if a shingle at places i and j of their order is one of their first
+    COMMON common ones."""
+    most = COMMON + F.least(n - i - 1, m - j - 1)
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
+def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m share as many shingles in their prefixes as similar ones do."""
+    return shared >= F.least(F.lit(COMMON), F.ceil(F.least(n, m) * percent / 100))
+
+
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each document (doc_id, text).
 
@@ -186,29 +202,31 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     shared = spark.sparkContext.broadcast(frequent_shingles(own, size))
     rows = materialize(map_arrow(own, lambda it: _prefixes(it, size, percent, shared), _DOCS), "prefixes")
 
-    classes = rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.first("pa").alias("pa"), F.first("pb").alias("pb"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes, "classes")
+    narrow = rows.select("doc_id", "n", "a", "b", "pa", "pb").where("n > 0")
+    classes = materialize(narrow.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.first("pa").alias("pa"), F.first("pb").alias("pb")), "classes")
     named = classes.where("id is not null")
-    groups = named.groupBy("n", "pa", "pb").agg(F.min("id").alias("gid"), F.count("*").alias("m"), F.first("prefix").alias("prefix"))
+    groups = named.groupBy("n", "pa", "pb").agg(F.min("id").alias("gid"), F.count("*").alias("m"))
     # shingles that several groups share, with the list's smallest group
-    listed = groups.select("gid", "n", "m", F.posexplode("prefix").alias("i", "token"))
+    heads = rows.select(F.col("doc_id").alias("gid"), "n", "pa", "pb", "prefix").join(groups.select("gid", "n", "pa", "pb"), ["gid", "n", "pa", "pb"], "left_semi")
+    listed = heads.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token"))
     of_token = Window.partitionBy("token")
     listed = listed.withColumns({"lists": F.count("*").over(of_token), "lead": F.min(F.struct("gid", "n", "i")).over(of_token)}).where("lists > 1")
-    listed = materialize(listed.select("token", "gid", "n", "m", "i", F.col("lead.gid").alias("lead"), _possible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), percent).alias("possible")), "shared-prefixes")
+    listed = materialize(listed.select("token", "gid", "n", "i", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.i").alias("lead_i")), "shared-prefixes")
     several = groups.where("m > 1").select("n", "pa", "pb", "gid")
     members = materialize(named.select("id", "n", "pa", "pb").join(several, ["n", "pa", "pb"]).select("gid", "id", "n"), "group-members")
 
-    # whole sets of all classes that may be in a pair
-    wanted = materialize(listed.select(F.col("gid").alias("id")).unionByName(members.select("id")).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = own.withColumnRenamed("doc_id", "id").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").withColumnRenamed("id", "doc_id")
-    sets = materialize(map_arrow(texts, lambda it: _sets(it, size), "id long, set binary"), "sets")
-
     def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar enough; sets are made from the texts of what is in a pair."""
+        wanted = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        texts = own.withColumnRenamed("doc_id", "id").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").withColumnRenamed("id", "doc_id")
+        sets = materialize(map_arrow(texts, lambda it: _sets(it, size), "id long, set binary"), "sets")
         x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("sx")), sets.select(F.col("id").alias("b"), F.col("set").alias("sy"))
         return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy"), lambda it: _similar(it, percent), "a long, b long")
 
-    stars = listed.where("gid != lead and possible").select(F.col("lead").alias("a"), F.col("gid").alias("b"))
+    stars = listed.where((F.col("gid") != F.col("lead")) & _possible(F.col("n"), F.col("i"), F.col("lead_n"), F.col("lead_i"), percent))
+    stars = stars.groupBy(F.col("lead").alias("a"), F.col("gid").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("lead_n").alias("m"))
+    stars = stars.where(_enough(F.col("shared"), F.col("n"), F.col("m"), percent)).select("a", "b")
     stars = materialize(stars.unionByName(members.where("id != gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct(), "star-pairs")
     links = materialize(verify(stars), "links")
     labels = components(links)
@@ -217,12 +235,13 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     label = lambda df, of, to: df.join(labels.select(F.col("node").alias(of), F.col("root").alias("_r")), of, "left").withColumn(to, F.coalesce("_r", of)).drop("_r")
     in_groups = label(members, "id", "label")
     mixed = in_groups.groupBy("gid").agg((F.min("label") != F.max("label")).alias("mixed"))
-    lists = label(listed.drop("lead", "possible"), "gid", "label").join(mixed, "gid", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    lists = label(listed.select("token", "gid", "n", "i"), "gid", "label").join(mixed, "gid", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
     lists = lists.withColumns({"first": F.min("label").over(of_token), "last": F.max("label").over(of_token), "any": F.max("mixed").over(of_token)}).where("first != last or any")
-    lists = materialize(lists.select("token", "gid", "n", "m", "i", "label", "mixed"), "mixed-lists")
-    other = lists.select("token", *[F.col(c).alias(f"{c}2") for c in ("gid", "n", "m", "i", "label", "mixed")])
+    lists = materialize(lists.select("token", "gid", "n", "i", "label", "mixed"), "mixed-lists")
+    other = lists.select("token", *[F.col(c).alias(f"{c}2") for c in ("gid", "n", "i", "label", "mixed")])
     apart = (F.col("gid") < F.col("gid2")) & (F.col("mixed") | F.col("mixed2") | (F.col("label") != F.col("label2")))
-    pairs = lists.join(other, "token").where(apart & _possible(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"), percent)).select("gid", "gid2").distinct()
+    pairs = lists.join(other, "token").where(apart & _possible(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"), percent))
+    pairs = pairs.groupBy("gid", "gid2").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n2").alias("n2")).where(_enough(F.col("shared"), F.col("n"), F.col("n2"), percent))
     one = lambda g, to: F.coalesce(F.col(to), F.col(g))
     side = lambda g, to: in_groups.select(F.col("gid").alias(g), F.col("id").alias(to))
     expanded = pairs.join(side("gid", "x"), "gid", "left").join(side("gid2", "y"), "gid2", "left").select(one("gid", "x").alias("x"), one("gid2", "y").alias("y"))
