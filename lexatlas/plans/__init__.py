@@ -1,6 +1,6 @@
 """All registered queries of the corpus engine."""
 
-from lexatlas.plans import catalog, lines  # noqa: F401
+from lexatlas.plans import application, catalog, lines, quality  # noqa: F401
 from lexatlas.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
