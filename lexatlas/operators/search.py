@@ -8,6 +8,7 @@ weigh more than those of its text.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,8 +73,8 @@ def parse(text: str) -> Search:
 def _holds(words: Column, phrase: tuple[str, ...]) -> Column:
     if len(phrase) == 1:
         return F.array_contains(words, phrase[0])
-    wanted = F.array(*map(F.lit, phrase))
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(words) - len(phrase) + 1, F.lit(1))), lambda i: F.slice(words, i, len(phrase)) == wanted)
+    # words hold no spaces, so a phrase is a substring of the words joined by them
+    return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
 
 
 def matches(words: Column, search: Search) -> Column:
@@ -104,35 +105,56 @@ def matching_ids(terms: DataFrame, search: Search) -> DataFrame:
 def simple_rank(words: Column, search: Search, weight: float = TEXT_WEIGHT) -> Column:
     out = F.lit(0.0)
     for term in search.terms():
-        f = F.size(F.filter(words, lambda w, t=term: w == t))
+        f = F.size(words) - F.size(F.array_remove(words, term))
         out = out + weight * f / (f + 1.0)
     return F.round(out, 6)
 
 
+def _once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function(value), with value computed once however often function and its lambdas read it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def cover_rank(words: Column, search: Search) -> Column:
     """Cover density of the query's words: each shortest stretch that holds all of them adds the inverse of its length
-    beyond them; then r / (r + 1)."""
-    wanted = F.array(*map(F.lit, search.terms()))
-    n = len(search.terms())
-    places = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(wanted, x["w"]))
-    ends = F.transform(places, lambda p, k: F.struct(p["i"].alias("end"), F.array_min(F.transform(wanted, lambda t: F.coalesce(F.array_max(F.transform(F.filter(F.slice(places, F.lit(1), k + 1), lambda x: x["w"] == t), lambda x: x["i"])), F.lit(-1)))).alias("start")))
-    covers = F.filter(ends, lambda e: e["start"] >= 0)
-    first = F.filter(covers, lambda c, k: (k == 0) | (F.get(covers, k - 1)["start"] < c["start"]))
-    r = F.aggregate(first, F.lit(0.0), lambda acc, c: acc + F.lit(1.0) / F.greatest(c["end"] - c["start"] + 2 - n, F.lit(1)))
+    beyond them; then r / (r + 1).
+
+    One pass over the places of the query's words keeps the last place of each; a stretch ends at each place, and starts
+    at the earliest of the last places.
+    """
+    terms = search.terms()
+    wanted = F.array(*map(F.lit, terms))
+    n = len(terms)
+    places = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(wanted, w).cast("int").alias("term"), i.alias("i"))), lambda x: x["term"] > 0)
+    at = lambda last, x: F.transform(last, lambda old, k: F.when(k + 1 == x["term"], x["i"]).otherwise(old))
+    begin = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("r"))
+
+    def step(state: Column, x: Column) -> Column:
+        def added(last: Column) -> Column:
+            start = F.array_min(last)
+            more = F.when(start > state["start"], F.lit(1.0) / F.greatest(x["i"] - start + 2 - n, F.lit(1))).otherwise(F.lit(0.0))
+            return F.struct(last.alias("last"), F.greatest(start, state["start"]).alias("start"), (state["r"] + more).alias("r"))
+
+        return _once(at(state["last"], x), added)
+
+    r = F.aggregate(places, begin, step, lambda state: state["r"])
     return F.round(r / (r + 1), 6)
 
 
 def snippet(text: Column, search: Search, most: int = 50, least: int = 20) -> Column:
     """The stretch of up to `most` words with the most matches (the first of equals), matches in <mark>; short texts whole."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     wanted = F.array(*map(F.lit, search.terms()))
-    hit = F.transform(words, lambda w: F.array_contains(wanted, F.lower(F.regexp_extract(w, f"({WORD})", 1))).cast("int"))
-    last = F.greatest(F.size(words) - F.lit(least), F.lit(0))
-    starts = F.filter(F.transform(hit, lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: (x["h"] == 1) & (x["i"] <= last) | (x["i"] == 0))
-    scored = F.transform(starts, lambda x: F.struct(F.aggregate(F.slice(hit, x["i"] + 1, most), F.lit(0), lambda a, b: a + b).alias("n"), (-x["i"]).alias("i")))
-    begin = -F.array_max(scored)["i"]
-    marked = F.transform(F.slice(words, begin + 1, most), lambda w: F.when(F.array_contains(wanted, F.lower(F.regexp_extract(w, f"({WORD})", 1))), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-    return F.when(F.size(words) == 0, F.lit("")).otherwise(F.array_join(marked, " "))
+    is_hit = lambda w: F.array_contains(wanted, F.lower(F.regexp_extract(w, f"({WORD})", 1)))
+
+    def best(words: Column, hit: Column) -> Column:
+        last = F.greatest(F.size(words) - F.lit(least), F.lit(0))
+        starts = F.filter(F.transform(hit, lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: (x["h"] == 1) & (x["i"] <= last) | (x["i"] == 0))
+        scored = F.transform(starts, lambda x: F.struct(F.aggregate(F.slice(hit, x["i"] + 1, most), F.lit(0), lambda a, b: a + b).alias("n"), (-x["i"]).alias("i")))
+        marked = lambda w: F.when(is_hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)
+        return F.array_join(F.transform(F.slice(words, 1 - F.array_max(scored)["i"], most), marked), " ")
+
+    whole = lambda words: _once(F.transform(words, lambda w: is_hit(w).cast("int")), lambda hit: best(words, hit))
+    return _once(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda words: F.when(F.size(words) == 0, F.lit("")).otherwise(whole(words)))
 
 
 def search(docs: DataFrame, text: str, limit: int = 20, page: int = 1, rank: str = "simple") -> DataFrame:
@@ -145,8 +167,9 @@ def search(docs: DataFrame, text: str, limit: int = 20, page: int = 1, rank: str
     found = matches(F.col("words"), asked)
     by_number = F.col("number").ilike(f"%{text}%")
     score = (cover_rank if rank == "cover" else simple_rank)(F.col("words"), asked)
-    out = own.where(found | by_number).select("id", "number", F.when(found, score).otherwise(0.0).alias("rank"), snippet(F.coalesce("text", F.lit("")), asked).alias("snippet"))
-    return out.orderBy(F.desc("rank"), "id").offset((page - 1) * limit).limit(limit)
+    ranked = own.where(found | by_number).select("id", "number", "text", F.when(found, score).otherwise(0.0).alias("rank"))
+    shown = ranked.orderBy(F.desc("rank"), "id").offset((page - 1) * limit).limit(limit)
+    return shown.select("id", "number", "rank", snippet(F.coalesce("text", F.lit("")), asked).alias("snippet"))
 
 
 def trigrams(text: Column) -> Column:
