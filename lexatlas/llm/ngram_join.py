@@ -9,7 +9,8 @@
 3. Prefixes are long enough for similar documents to share COMMON shingles in them. Group pairs pass a length filter, a
    positional filter and a count of the shingles shared, and are expanded to members, which are verified on their whole sets. Since components are asked for, pairs come in two steps: first every group of a shingle's list
    is compared with the list's smallest one, and within a group every member with its first; components of the links found are formed;
-   then all remaining pairs are compared, save those within one component. So a large group of near copies costs about
+   then all remaining pairs are compared, save those within one component or too far apart by parity bitmaps of
+   their whole sets (bitmaps differ in no more bits than the sets in shingles). So a large group of near copies costs about
    as many comparisons as it has members, yet no link between different components can be missed.
 """
 
@@ -37,6 +38,8 @@ LEAST_FREQUENT = 16
 BUCKETS = 256
 #: Shingles that the prefixes of similar documents must share (all, for smaller sets).
 COMMON = 3
+#: Words of 64 bits in a set's parity bitmap: each shingle flips one bit.
+BITMAP = 8
 #: Class representatives that are broadcast to find their texts; beyond that, they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -125,7 +128,19 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - least + np.minimum(COMMON, least)
 
 
-_DOCS = "doc_id long, n long, a long, b long, pa long, pb long, prefix array<long>"
+_BITS = [f"bits{w}" for w in range(BITMAP)]
+_DOCS = f"doc_id long, n long, a long, b long, pa long, pb long, {', '.join(f'{c} long' for c in _BITS)}, prefix array<long>"
+
+
+def bitmaps(found: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The words of each set's parity bitmap."""
+    bit = mix(found ^ np.uint64(5)) % np.uint64(64 * BITMAP)
+    flip, word = np.uint64(1) << (bit % np.uint64(64)), bit // np.uint64(64)
+    out = []
+    for w in range(BITMAP):
+        run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(word == w, flip, np.uint64(0)))])
+        out.append((run[offsets[1:]] ^ run[offsets[:-1]]).view(np.int64))
+    return out
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, shared) -> Iterator[pa.RecordBatch]:
@@ -148,7 +163,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, shared
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(doc[own], minlength=len(n)))])
         keys = [add(mix(prefix ^ np.uint64(k)), ends).view(np.int64) for k in (3, 4)]
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *map(pa.array, digests), *map(pa.array, keys), lists], names=[x.split()[0] for x in _DOCS.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *map(pa.array, digests), *map(pa.array, keys), *map(pa.array, bitmaps(found, offsets)), lists], names=[x.split()[0] for x in _DOCS.split(", ")])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -184,6 +199,14 @@ def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
     return shared >= F.least(F.lit(COMMON), F.ceil(F.least(n, m) * percent / 100))
 
 
+def _near(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m may be similar by bitmaps of two groups: bits that all sets of one have and none of
+    the other (columns all*, any*; with _2 at the end for the other) are shingles that one set has and the other lacks."""
+    lacks = lambda w, x, y: F.bit_count(F.col(f"all{w}{x}").bitwiseAND(F.bitwise_not(F.col(f"any{w}{y}"))))
+    apart = reduce(Column.__add__, [lacks(w, x, y) for w in range(BITMAP) for x, y in (("", "_2"), ("_2", ""))])
+    return (100 + percent) * apart <= (100 - percent) * (n + m)
+
+
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each document (doc_id, text).
 
@@ -202,8 +225,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     shared = spark.sparkContext.broadcast(frequent_shingles(own, size))
     rows = materialize(map_arrow(own, lambda it: _prefixes(it, size, percent, shared), _DOCS), "prefixes")
 
-    narrow = rows.select("doc_id", "n", "a", "b", "pa", "pb").where("n > 0")
-    classes = materialize(narrow.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.first("pa").alias("pa"), F.first("pb").alias("pb")), "classes")
+    narrow = rows.select("doc_id", "n", "a", "b", "pa", "pb", *_BITS).where("n > 0")
+    classes = materialize(narrow.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("pa", "pb", *_BITS)]), "classes")
     named = classes.where("id is not null")
     groups = named.groupBy("n", "pa", "pb").agg(F.min("id").alias("gid"), F.count("*").alias("m"))
     # shingles that several groups share, with the list's smallest group
@@ -237,11 +260,15 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     mixed = in_groups.groupBy("gid").agg((F.min("label") != F.max("label")).alias("mixed"))
     lists = label(listed.select("token", "gid", "n", "i"), "gid", "label").join(mixed, "gid", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
     lists = lists.withColumns({"first": F.min("label").over(of_token), "last": F.max("label").over(of_token), "any": F.max("mixed").over(of_token)}).where("first != last or any")
-    lists = materialize(lists.select("token", "gid", "n", "i", "label", "mixed"), "mixed-lists")
-    other = lists.select("token", *[F.col(c).alias(f"{c}2") for c in ("gid", "n", "i", "label", "mixed")])
-    apart = (F.col("gid") < F.col("gid2")) & (F.col("mixed") | F.col("mixed2") | (F.col("label") != F.col("label2")))
-    pairs = lists.join(other, "token").where(apart & _possible(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"), percent))
-    pairs = pairs.groupBy("gid", "gid2").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n2").alias("n2")).where(_enough(F.col("shared"), F.col("n"), F.col("n2"), percent))
+    bounds = [f(f"bits{w}").alias(f"{name}{w}") for w in range(BITMAP) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+    keyed = named.groupBy("n", "pa", "pb").agg(F.min("id").alias("gid"), *bounds)
+    keyed = keyed.groupBy("gid").agg(*[f(f"{name}{w}").alias(f"{name}{w}") for w in range(BITMAP) for name, f in (("all", F.bit_and), ("any", F.bit_or))])
+    lists = materialize(lists.select("token", "gid", "n", "i", "label", "mixed").join(keyed, "gid"), "mixed-lists")
+    other = lists.select("token", *[F.col(c).alias(f"{c}_2") for c in lists.columns if c != "token"])
+    apart = (F.col("gid") < F.col("gid_2")) & (F.col("mixed") | F.col("mixed_2") | (F.col("label") != F.col("label_2")))
+    possible = _possible(F.col("n"), F.col("i"), F.col("n_2"), F.col("i_2"), percent) & _near(F.col("n"), F.col("n_2"), percent)
+    pairs = lists.join(other, "token").where(apart & possible).groupBy("gid", F.col("gid_2").alias("gid2")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n_2").alias("n2"))
+    pairs = pairs.where(_enough(F.col("shared"), F.col("n"), F.col("n2"), percent))
     one = lambda g, to: F.coalesce(F.col(to), F.col(g))
     side = lambda g, to: in_groups.select(F.col("gid").alias(g), F.col("id").alias(to))
     expanded = pairs.join(side("gid", "x"), "gid", "left").join(side("gid2", "y"), "gid2", "left").select(one("gid", "x").alias("x"), one("gid2", "y").alias("y"))
