@@ -253,7 +253,7 @@ def _headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), p.headline(F.get(F.split("text", "\n"), F.lit(0))).alias("headline"))
 
 
-@query("solo_marcas", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substring(html, 1, 300) || '<mark class="x">a</mark> <marker>b', '<mark\s[^>]*>', '<mark>', 'gi'), '<(/?)mark>', '{\1mark}', 'gi'), '<[^>]*>', '', 'g'), '\{(/?)mark\}', '<\1mark>', 'g') AS text FROM pages""")
+@query("solo_marcas", r"""SELECT page_id, regexp_replace(regexp_replace(substring(html, 1, 300) || '<mark class="x">a</mark> <marker>b', '<mark\s[^>]*>', '<mark>', 'gi'), '(</?mark>)|<[^>]*>', '\1', 'gi') AS text FROM pages""")
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F28."""
     return table(spark, sf_dir, "pages").select("page_id", p.only_marks(F.concat(F.substring("html", 1, 300), F.lit('<mark class="x">a</mark> <marker>b'))).alias("text"))
@@ -322,4 +322,4 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir)
     up = hierarchy.ancestors(c.divisions).join(c.divisions.select(F.col("id").alias("ancestor"), "kind", "number"), "ancestor")
     wide = up.groupBy(F.col("id").alias("division_id")).agg(*[F.max(F.when(F.col("kind") == k, F.col("number"))).alias(name) for k, name in (("seccion", "section"), ("capitulo", "chapter"), ("titulo", "title"))])
-    return c.articles.join(F.broadcast(c.laws.select(F.col("code").alias("law"), F.col("name").alias("law_name"))), "law").join(wide, "division_id", "left").select("id", "law_name", "section", "chapter", "title")
+    return c.articles.select("id", "law", "division_id").join(F.broadcast(c.laws.select(F.col("code").alias("law"), F.col("name").alias("law_name"))), "law").join(wide, "division_id", "left").select("id", "law_name", "section", "chapter", "title")
