@@ -9,7 +9,7 @@ from lexatlas.functions import numbering as n
 from lexatlas.operators import hierarchy, loading, presentation as p, references, search as s
 from lexatlas.plans.catalog import _CLOSURE, _STRUCTURE
 from lexatlas.plans.registry import query
-from lexatlas.sources.corpus import MODEL, load
+from lexatlas.sources.corpus import MODEL, WHOLE_MODEL, load, on_whole
 from lexatlas.sources.workspace import table
 
 _WITH = f"WITH RECURSIVE {MODEL}"
@@ -183,6 +183,19 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.group_hits(hits).withColumn("ids", F.array_join("ids", ","))
 
 
+@query("resultados_por_ley_completo", f"""WITH RECURSIVE {WHOLE_MODEL}, w AS (SELECT article_id AS id, any_value(law) AS law, regexp_extract_all(lower(string_agg(content, ' ')), '[\\p{{L}}\\p{{N}}]+') AS words FROM paragraphs GROUP BY 1),
+n AS (SELECT law, id, len(list_filter(words, lambda w: w = 'returned')) AS f, len(list_filter(words, lambda w: w = 'r')) AS g FROM w),
+h AS (SELECT law, id, round(0.4::DOUBLE * f / (f + 1.0::DOUBLE) + 0.4::DOUBLE * g / (g + 1.0::DOUBLE), 6) AS rank FROM n WHERE f > 0 AND g > 0)
+SELECT law, CAST(count(*) AS INTEGER) AS hits, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank DESC, id) AS ids FROM h GROUP BY 1""")
+@on_whole
+def _grouped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits of a search over the texts of all articles."""
+    asked = s.parse("returned r")
+    texts = load(spark, sf_dir).paragraphs.groupBy("law", F.col("article_id").alias("id")).agg(F.array_join(F.collect_list("content"), " ").alias("text"))
+    own = texts.withColumn("words", s.tokens(F.col("text"))).where(s.matches(F.col("words"), asked))
+    return p.group_hits(own.select("law", "id", s.simple_rank(F.col("words"), asked).alias("rank"))).withColumn("ids", F.array_join("ids", ","))
+
+
 @query("leyes_por_categoria", f"{_WITH} SELECT CASE code WHEN 'L1' THEN 'laboral' ELSE 'fiscal' END AS category, CAST(CASE code WHEN 'L1' THEN 2 ELSE 0 END AS INTEGER) AS place, code, (SELECT string_agg(r.code, ',' ORDER BY r.code) FROM laws r WHERE r.base_law = l.code) AS regulations FROM laws l WHERE base_law IS NULL")
 def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14."""

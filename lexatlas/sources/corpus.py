@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,15 +79,49 @@ FROM (
 MODEL = f"laws AS ({LAWS}), divisions AS ({DIVISIONS}), articles AS ({ARTICLES}), paragraphs AS ({PARAGRAPHS})"
 
 
+def _every(text: str) -> str:
+    """The SQL without its filter of orders."""
+    return re.sub(r"\n +WHERE o_orderkey.*|\nWHERE o_orderkey.*", "", text)
+
+
+#: The whole corpus: every order and every line item. Gaps are rows added: per region a chapter without articles, per
+#: nation an article without paragraphs.
+WHOLE_DIVISIONS = f"""{DIVISIONS}
+UNION ALL
+SELECT cast(2000 + r_regionkey AS bigint), concat('L', cast(r_regionkey AS varchar(9))), cast(r_regionkey AS bigint),
+       'capitulo', cast(2000 + r_regionkey AS varchar(20)), cast(2000 + r_regionkey AS int), concat(r_name, ' (vacio)')
+FROM region"""
+WHOLE_ARTICLES = f"""{_every(ARTICLES)}
+UNION ALL
+SELECT 900000000000 + n_nationkey, concat('L', cast(n_regionkey AS varchar(9))), cast(1000 + n_nationkey AS bigint), concat('V', cast(n_nationkey AS varchar(20))),
+       n_name, 'articulo', NULL, NULL, 900000000000 + n_nationkey
+FROM nation"""
+WHOLE_PARAGRAPHS = _every(PARAGRAPHS)
+#: DuckDB: the four tables of the whole corpus.
+WHOLE_MODEL = f"laws AS ({LAWS}), divisions AS ({WHOLE_DIVISIONS}), articles AS ({WHOLE_ARTICLES}), paragraphs AS ({WHOLE_PARAGRAPHS})"
+_TEXTS = ContextVar("texts", default=(LAWS, DIVISIONS, ARTICLES, PARAGRAPHS))
+
+
 def load(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The test data as a corpus."""
+    """The test data as a corpus; the whole of it in a query made by on_whole."""
     names = ("region", "nation", "customer", "orders", "lineitem")
     tables = {n: table(spark, sf_dir, n) for n in names}
-    return Corpus(*(spark.sql(_placed(text, names), **tables) for text in (LAWS, DIVISIONS, ARTICLES, PARAGRAPHS)))
+    return Corpus(*(spark.sql(_placed(text, names), **tables) for text in _TEXTS.get()))
+
+
+def on_whole(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the whole corpus."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = _TEXTS.set((LAWS, WHOLE_DIVISIONS, WHOLE_ARTICLES, WHOLE_PARAGRAPHS))
+        try:
+            return function(spark, sf_dir)
+        finally:
+            _TEXTS.reset(before)
+
+    return run
 
 
 def _placed(text: str, names: tuple[str, ...]) -> str:
     """The SQL with {name} for each table name, for spark.sql with DataFrames as arguments."""
-    import re
-
     return re.sub(r"\b(FROM|JOIN) (" + "|".join(names) + r")\b", r"\1 {\2}", text)
