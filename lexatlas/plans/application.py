@@ -272,6 +272,12 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", p.only_marks(F.concat(F.substring("html", 1, 300), F.lit('<mark class="x">a</mark> <marker>b'))).alias("text"))
 
 
+@query("solo_marcas_completo", r"""SELECT page_id, regexp_replace(regexp_replace(html || '<mark class="x">a</mark> <marker>b', '<mark\s[^>]*>', '<mark>', 'gi'), '(</?mark>)|<[^>]*>', '\1', 'gi') AS text FROM pages""")
+def _marks_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F28, over the whole of each page."""
+    return table(spark, sf_dir, "pages").select("page_id", p.only_marks(F.concat("html", F.lit('<mark class="x">a</mark> <marker>b'))).alias("text"))
+
+
 @query("fechas_mostradas", "SELECT o_orderkey AS id, strftime(o_orderdate, '%d/%m/%Y') AS shown, strftime(o_orderdate, '%d-%m-%Y') AS written, CAST(o_orderdate AS DATE) AS parsed FROM orders")
 def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """written out, also in Spanish words, and parsed again."""
