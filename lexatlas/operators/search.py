@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from lexatlas.sources.workspace import map_arrow
 
 WORD = r"[\p{L}\p{N}]+"
 NUMBER_WEIGHT, TEXT_WEIGHT = 1.0, 0.4
-#: Query vectors of one search at most: they are broadcast.
+#: Query vectors of one block: they are broadcast.
 QUERY_VECTORS = 10_000
 
 
@@ -186,20 +187,99 @@ def fuzzy(items: DataFrame, term: str, least: float = 0.3, limit: int = 10) -> D
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
-    """The k most similar vectors (id, embedding) of each query (query_id, query) by cosine; ties by id.
+    """The k most similar vectors (id, embedding) of each query (query_id, query) by cosine, to six places; ties by id.
 
-    The queries are broadcast (a stated, small set); row_number with a bound keeps the best k of each task before the shuffle.
+    Every query is compared with every vector. Queries are broadcast in blocks of about QUERY_VECTORS, as many as there
+    are; each task keeps the best k of each query. Where there is no cosine (null or zero vectors, or of another length),
+    similarity is null and comes last.
     """
-    if queries.count() > QUERY_VECTORS:
-        raise ValueError(f"more than {QUERY_VECTORS} query vectors; search them in parts")
-    dot = F.aggregate(F.zip_with("embedding", "query", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    sized = vectors.withColumn("_n", norm(F.col("embedding"))).crossJoin(F.broadcast(queries.withColumn("_m", norm(F.col("query")))))
-    scored = sized.select("query_id", "id", F.round(dot / (F.col("_n") * F.col("_m")), 6).alias("similarity")).where(F.col("id") != F.col("query_id"))
-    if least is not None:
-        scored = scored.where(F.col("similarity") >= least)
+    spark = vectors.sparkSession
+    own = vectors.where("id is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.where("query_id is not null").select("query_id", F.col("query").cast("array<double>").alias("query"))
+    n = max(1, -(-asked.count() // QUERY_VECTORS))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {own.schema['id'].dataType.simpleString()}, similarity double"
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    blocks = []
+    for i in range(n):
+        shared = spark.sparkContext.broadcast([tuple(r) for r in asked.where(block == i).collect()])
+        scored = map_arrow(own, lambda it, b=shared: _nearest(it, b, k), kinds).withColumn("similarity", F.nullif("similarity", F.lit(_NO_COSINE)))
+        if least is not None:
+            scored = scored.where(F.col("similarity") >= least)
+        blocks.append(scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k))
+    return reduce(DataFrame.unionByName, blocks)
+
+
+#: Below any cosine.
+_NO_COSINE = -9.0
+#: Queries that a batch of vectors is multiplied with at once.
+_QUERY_ROWS = 256
+
+
+def _unit(rows: list, length: int):
+    """Vectors of a length as rows of length 1, and which of them have one."""
+    import numpy as np
+
+    good = [r is not None and len(r) == length and None not in r for r in rows]
+    out = np.array([r if ok else [0.0] * length for r, ok in zip(rows, good)], float).reshape(len(rows), length)
+    norm = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(norm > 0, norm, 1)[:, None], np.array(good, bool) & (norm > 0)
+
+
+def _nearest(batches, shared, k: int):
+    """(query_id, id, similarity): the best k of a task's vectors for each query."""
+    import numpy as np
+    import pyarrow as pa
+
+    queries = shared.value
+    if not queries:
+        return
+    names = np.array([q for q, _ in queries])
+    by_length: dict[int, list[int]] = {}
+    for i, (_, v) in enumerate(queries):
+        by_length.setdefault(len(v or ()), []).append(i)
+    kinds, kept = (pa.null(), pa.null()), None
+
+    def best(rows):
+        """The best k of each query, of rows (query, id, similarity)."""
+        q, ids, sims = rows
+        order = np.lexsort((ids, -sims, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        return tuple(x[place < k] for x in (q, ids[order], sims[order]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.array(batch.column("id").to_pylist())
+        order = np.argsort(ids, kind="stable")
+        ids, kinds = ids[order], batch.schema.field("id").type
+        vectors = batch.column("embedding").to_pylist()
+        vectors = [vectors[i] for i in order.tolist()]
+        found = [] if kept is None else [kept]
+        for length, members in by_length.items():
+            rows, good = _unit(vectors, length)
+            for at in range(0, len(members), _QUERY_ROWS):
+                part = members[at : at + _QUERY_ROWS]
+                asked, fine = _unit([queries[i][1] for i in part], length)
+                sims = np.round(asked @ rows.T, 6)
+                sims[~fine] = _NO_COSINE
+                sims[:, ~good] = _NO_COSINE
+                for i, row in zip(part, sims):
+                    other = np.flatnonzero(ids != names[i])
+                    own = row[other]
+                    if len(own) > k:  # ids ascend, so of equals the first ones
+                        least = np.partition(own, len(own) - k)[len(own) - k]
+                        above = np.flatnonzero(own > least)
+                        pick = np.concatenate([above, np.flatnonzero(own == least)[: k - len(above)]])
+                        other, own = other[pick], own[pick]
+                    found.append((np.full(len(own), i), ids[other], own))
+        kept = best(tuple(np.concatenate(x) for x in zip(*found)))
+    if kept is not None:
+        q, ids, sims = kept
+        for at in range(0, len(q), 10_000):
+            cut = slice(at, at + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array([queries[i][0] for i in q[cut].tolist()]), pa.array(ids[cut].tolist(), kinds), pa.array(sims[cut])], names=["query_id", "id", "similarity"])
 
 
 def stems(words: DataFrame) -> DataFrame:

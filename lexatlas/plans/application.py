@@ -88,6 +88,15 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.nearest_vectors(v, v.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")))
 
 
+@query("vecinos_vectoriales_completo", """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(v.e, q.e), 6) AS similarity FROM v, v q WHERE q.id % 20 = 0 AND v.id <> q.id),
+w AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS place FROM r) SELECT * FROM w WHERE place <= 10""")
+def _vectors_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every row whose id is divisible by 20."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return s.nearest_vectors(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")))
+
+
+
 # references
 
 @query("buscar_referencias", f"""{_WITH}, tok AS (SELECT id, unnest(string_split(refs, ',')) AS t, unnest(range(len(string_split(refs, ',')))) AS part FROM articles),
