@@ -4,26 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexatlas.functions.numbering import level, path_text, shown_kind
 from lexatlas.sources.corpus import Corpus
+from lexatlas.sources.workspace import fresh_path
 
-#: Levels of a division tree at most (book, title, chapter, section, subsection), and of a paragraph tree.
-DEPTH, PARAGRAPH_DEPTH = 6, 16
 
-
-def ancestors(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(id, ancestor, distance) for every node (id, parent_id) and each of its ancestors, itself at distance 0.
 
-    A join per level, so the plan is one declarative query; trees are at most `depth` levels deep.
+    A join per level, each level written in the shared folder, until no node has a next ancestor: trees may be of any
+    depth. A parent that isn't a node ends its chain; a cycle raises ValueError.
     """
-    step = nodes.select("id", "parent_id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"), F.col("parent_id").alias("next"))
-    parents = nodes.select(F.col("id").alias("ancestor"), F.col("parent_id").alias("up"))
-    out = step.select("id", "ancestor", "distance")
-    for d in range(1, depth):
-        step = step.where("next is not null").select("id", F.col("next").alias("ancestor")).join(parents, "ancestor").select("id", "ancestor", F.col("up").alias("next"))
-        out = out.unionByName(step.select("id", "ancestor", F.lit(d).alias("distance")))
-    return out
+    spark = nodes.sparkSession
+    path = fresh_path(spark, "ancestors")
+    level = nodes.select("id", F.col("id").alias("ancestor"), F.col("parent_id").alias("next"))
+    kinds, d = level.schema, 0
+    level.write.parquet(f"{path}/distance=0")
+    step = own = spark.read.schema(kinds).parquet(f"{path}/distance=0")
+    parents = own.select("ancestor", F.col("next").alias("up"))
+    while not step.where("next is not null").isEmpty():
+        d += 1
+        up = step.where("next is not null").select("id", F.col("next").alias("ancestor")).join(parents, "ancestor").select("id", "ancestor", F.col("up").alias("next"))
+        up.write.parquet(f"{path}/distance={d}")
+        step = spark.read.schema(kinds).parquet(f"{path}/distance={d}")
+        if not step.where(F.col("id") == F.col("ancestor")).isEmpty():
+            raise ValueError("nodes are their own ancestors")
+    return spark.read.schema(StructType([*kinds.fields[:2], StructField("distance", IntegerType())])).parquet(path)
 
 
 def subtree_counts(corpus: Corpus) -> DataFrame:
@@ -105,6 +113,6 @@ def paragraph_tree(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs with their depth, and whether they continue another: text below the root."""
     key = ["law", "article_id"]
     node = F.struct(*key, "number")
-    up = ancestors(paragraphs.select(node.alias("id"), F.when(F.col("parent_number").isNotNull(), F.struct(*key, F.col("parent_number").alias("number"))).alias("parent_id")), PARAGRAPH_DEPTH)
+    up = ancestors(paragraphs.select(node.alias("id"), F.when(F.col("parent_number").isNotNull(), F.struct(*key, F.col("parent_number").alias("number"))).alias("parent_id")))
     depth = up.groupBy("id").agg(F.max("distance").alias("depth"))
     return paragraphs.join(depth.select("id.*", "depth"), [*key, "number"]).withColumn("continues", (F.col("kind") == "texto") & (F.col("depth") > 0))

@@ -44,13 +44,14 @@ def quality_counts(rows: DataFrame, quality: str = "quality") -> DataFrame:
     return rows.agg(F.count_if(status == "con_error").alias("with_error"), F.count_if(status == "corregida").alias("corrected"), F.count_if(F.col(quality).isNull()).alias("in_order"))
 
 
-def anchors(paragraphs: DataFrame, depth: int = 8) -> DataFrame:
+def anchors(paragraphs: DataFrame, shown: Column | None = None) -> DataFrame:
     """Anchor of each paragraph (id, parent_id, kind, number): `fraccion-I-inciso-a`; its chain of numbered parts from the
-    root, text left out; p-{id} if there is none."""
+    root, text left out; p-{id} if there is none. `shown` is the id to return, where id is a key of several columns."""
     part = F.when(~F.col("kind").isin("texto", "parrafo") & F.col("number").isNotNull(), F.concat(F.col("kind"), F.lit("-"), F.regexp_replace("number", r"[).]", "")))
-    up = ancestors(paragraphs.select("id", "parent_id"), depth).join(paragraphs.select(F.col("id").alias("ancestor"), part.alias("part")), "ancestor")
+    up = ancestors(paragraphs.select("id", "parent_id")).join(paragraphs.select(F.col("id").alias("ancestor"), part.alias("part")), "ancestor")
     chain = up.groupBy("id").agg(F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "part"))), lambda x: x["part"].isNotNull()), lambda x: x["part"]), "-").alias("a"))
-    return chain.select("id", F.when(F.col("a") == "", F.concat(F.lit("p-"), F.col("id").cast("string"))).otherwise(F.col("a")).alias("anchor"))
+    own = F.col("id") if shown is None else shown
+    return chain.select(own.alias("id"), F.when(F.col("a") == "", F.concat(F.lit("p-"), own.cast("string"))).otherwise(F.col("a")).alias("anchor"))
 
 
 def contents(paragraphs: DataFrame) -> DataFrame:

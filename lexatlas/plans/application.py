@@ -247,9 +247,9 @@ def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NODES = f"nodes AS (SELECT article_id * 100 + number AS id, CASE WHEN parent_number IS NOT NULL THEN article_id * 100 + parent_number END AS parent_id, kind, identifier AS number FROM paragraphs)"
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir).paragraphs
-    return rows.select((F.col("article_id") * 100 + F.col("number")).alias("id"), (F.col("article_id") * 100 + F.col("parent_number")).alias("parent_id"), "kind", F.col("identifier").alias("number"))
+def _nodes(rows: DataFrame) -> DataFrame:
+    key = lambda number: F.struct("law", "article_id", F.col(number).alias("number"))
+    return rows.select(key("number").alias("id"), F.when(F.col("parent_number").isNotNull(), key("parent_number")).alias("parent_id"), "kind", F.col("identifier").alias("number"))
 
 
 @query("anclas", f"""{_WITH}, {_NODES}, up AS (SELECT id, id AS a, parent_id AS nxt, 0 AS d FROM nodes UNION ALL SELECT u.id, n.id, n.parent_id, u.d + 1 FROM up u JOIN nodes n ON n.id = u.nxt),
@@ -257,7 +257,7 @@ c AS (SELECT u.id, string_agg(n.kind || '-' || regexp_replace(n.number, '[).]',
 SELECT id, coalesce(anchor, 'p-' || CAST(id AS VARCHAR)) AS anchor FROM c""")
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F31."""
-    return p.anchors(_nodes(spark, sf_dir))
+    return p.anchors(_nodes(load(spark, sf_dir).paragraphs), F.col("id.article_id") * 100 + F.col("id.number"))
 
 
 @query("tabla_contenido", f"""WITH n AS (SELECT event_id AS id, CASE WHEN event_id % 5 <> 0 THEN event_id - event_id % 5 END AS parent_id, CASE WHEN event_id % 5 = 0 THEN 'fraccion' WHEN event_id % 2 = 0 THEN 'inciso' ELSE 'texto' END AS kind, CAST(event_id % 7 AS VARCHAR) AS number FROM events)
