@@ -5,7 +5,8 @@ An item of m characters occurs in a text if some stretch of the text is within k
 of m. By the q-gram lemma such a stretch shares at least m + 1 - q - k q q-grams with the item, on diagonals (place in the
 text less place in the item) that lie within k of each other. So shared q-grams are counted in diagonal bands of k + 1;
 two neighbouring bands together are one of the overlapping bands of the filter. Where they reach the bound, the region
-is verified by an alignment of the whole item within the band.
+is verified by an alignment of the whole item within the band. Items too short for the lemma to ask for one q-gram are cut
+into k + 1 pieces, one of which such a stretch holds unchanged; the text around each is aligned likewise.
 
 The benchmark goes to every task in blocks of bounded size; each block is one map over the texts, without a shuffle.
 """
@@ -16,6 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -88,27 +90,29 @@ class Items:
     begins: np.ndarray  # of their places, with one entry more
     item: np.ndarray
     place: np.ndarray
+    short: tuple[int, ...]  # items that are looked for by pieces, not by q-grams
 
     @staticmethod
     def of(rows: list[tuple[int | None, str]], percent: int) -> Items:
-        """Items of fewer than Q folded characters are left out: so short a string is no evidence."""
+        """Items without a folded character are left out."""
         kept = {}
         for item_id, text in rows:
             codes = fold([text or ""])[0]
             codes = codes[:-1] if len(codes) and codes[-1] == 0x20 else codes
-            if len(codes) >= Q:
+            if len(codes):
                 kept.setdefault((item_id, codes.tobytes()), codes)
         order = sorted(kept, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
         texts = tuple(kept[k] for k in order)
         m = np.array([len(t) for t in texts], np.int64)
-        edits = np.minimum(m * percent // 100, np.maximum((m - Q) // Q, 0))  # so that the lemma asks for one q-gram at least
-        h = np.concatenate([grams(t) for t in texts]) if texts else np.zeros(0, np.uint64)
-        n = np.maximum(m - Q + 1, 0)
+        edits = m * percent // 100
+        least = m + 1 - Q - edits * Q
+        h = np.concatenate([np.zeros(0, np.uint64), *[grams(t) for t, bound in zip(texts, least) if bound > 0]])
+        n = np.where(least > 0, m - Q + 1, 0)
         item = np.repeat(np.arange(len(texts)), n)
         place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
         by = np.argsort(h, kind="stable")
         hashes, begins = np.unique(h[by], return_index=True)
-        return Items(tuple(k[0] for k in order), texts, edits, m + 1 - Q - edits * Q, hashes, np.append(begins, len(h)), item[by], place[by])
+        return Items(tuple(k[0] for k in order), texts, edits, least, hashes, np.append(begins, len(h)), item[by], place[by], tuple(np.flatnonzero(least <= 0).tolist()))
 
     def filter(self) -> np.ndarray:
         """Which slots some q-gram of the items falls into."""
@@ -168,13 +172,55 @@ def align(regions: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> list[t
     return out
 
 
+def _pieces(codes: np.ndarray, cut: np.ndarray, items: Items, n: int) -> Iterator[tuple[tuple[int, int], tuple]]:
+    """(text, item) and a region to align for each place that holds a piece of a short item unchanged; of items without
+    edits only the first place."""
+    if not items.short:
+        return
+    for d in range(n):
+        own = codes[cut[d] : cut[d + 1]]
+        text = own.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        for i in items.short:
+            item, most = items.texts[i], int(items.edits[i])
+            whole = item.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            ends = [len(whole) * k // (most + 1) for k in range(most + 2)]
+            diagonals = set()
+            for x, z in zip(ends, ends[1:]):
+                at = text.find(whole[x:z])
+                while at >= 0:
+                    diagonals.add(at - x)
+                    at = text.find(whole[x:z], at + 1) if most else -1
+            for diagonal in sorted(diagonals):
+                yield (d, i), (item, own, diagonal - most, diagonal + most, most)
+
+
 def search(texts: list[str], items: Items, slots: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, edits, start, end) of each item in each text, with the fewest edits, then the earliest start;
     places in code points of the text as it is."""
     codes, cut, origin = fold(texts)
+    found: dict[tuple[int, int], tuple] = {}
+    _verify(_by_grams(codes, cut, items, slots), found)
+    _verify(_pieces(codes, cut, items, len(texts)), found)
+    out = []
+    for (d, i), (edits, start, end) in sorted(found.items()):
+        places = origin[cut[d] : cut[d + 1]]
+        out.append((d, i, edits, int(places[start]) if start < len(places) else len(texts[d]), int(places[end - 1]) + 1 if end > start else int(places[min(start, len(places) - 1)])))
+    return out
+
+
+def _verify(regions: Iterator[tuple[tuple[int, int], tuple]], found: dict[tuple[int, int], tuple]) -> None:
+    """Aligns regions in groups; found keeps the best place of each text and item."""
+    while group := list(islice(regions, 256)):
+        for (owner, _), hit in zip(group, align([region for _, region in group])):
+            if hit and (owner not in found or hit < found[owner]):
+                found[owner] = hit
+
+
+def _by_grams(codes: np.ndarray, cut: np.ndarray, items: Items, slots: np.ndarray) -> Iterator[tuple[tuple[int, int], tuple]]:
+    """(text, item) and a region to align wherever bands share enough q-grams."""
     h = grams(codes)
     if not len(h) or not len(items.hashes):
-        return []
+        return
     near = np.flatnonzero(slots[(h & np.uint64(_SLOTS - 1)).astype(np.int64)])
     at = np.minimum(np.searchsorted(items.hashes, h[near]), len(items.hashes) - 1)
     true = items.hashes[at] == h[near]
@@ -191,32 +237,20 @@ def search(texts: list[str], items: Items, slots: np.ndarray) -> list[tuple[int,
     item = (key >> _BAND_BITS) & ((1 << _ITEM_BITS) - 1)
     following = np.zeros(len(key), np.int64)
     following[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-    regions, owners = [], []
     for k in np.flatnonzero(count + following >= items.least[item]).tolist():
         d, i, j = int(key[k] >> (_BAND_BITS + _ITEM_BITS)), int(item[k]), int(key[k] & ((1 << _BAND_BITS) - 1))
         most = int(items.edits[i])
         low = j * (most + 1) - longest
         # the q-grams lie in the band; ends of the stretch without a q-gram may leave it by as many places as edits
-        regions.append((items.texts[i], codes[cut[d] : cut[d + 1]], low - most, low + 2 * most + 1 + most, most))
-        owners.append((d, i))
-    found: dict[tuple[int, int], tuple] = {}
-    for first in range(0, len(regions), 256):
-        for owner, hit in zip(owners[first : first + 256], align(regions[first : first + 256])):
-            if hit and (owner not in found or hit < found[owner]):
-                found[owner] = hit
-    out = []
-    for (d, i), (edits, start, end) in sorted(found.items()):
-        places = origin[cut[d] : cut[d + 1]]
-        out.append((d, i, edits, int(places[start]) if start < len(places) else len(texts[d]), int(places[end - 1]) + 1 if end > start else int(places[min(start, len(places) - 1)])))
-    return out
+        yield (d, i), (items.texts[i], codes[cut[d] : cut[d + 1]], low - most, low + 2 * most + 1 + most, most)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT) -> DataFrame:
     """doc_id, item_id, edits, start, end (code points of the text) of each benchmark item (item_id, text) in each
     document (doc_id, text), whole texts throughout.
 
-    One row per document row and item, with its best place. A null text holds nothing; a null or very short item is
-    looked for in vain; equal items with one item_id are one. doc_id may be null or repeat: rows are searched one by
+    One row per document row and item, with its best place. A null text holds nothing; a null item, or one without
+    a letter or digit, is looked for in vain; equal items with one item_id are one. doc_id may be null or repeat: rows are searched one by
     one. Other columns are ignored; an empty table on either side gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
