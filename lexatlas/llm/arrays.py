@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step holds; a longer document forms a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -89,9 +89,31 @@ def word_hashes(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
 def word_spans(text: pa.Array, lower: bool = False, separators: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, per document where its words begin, and each word's first byte and length in bytes.
 
-    The hash is a function of the word's bytes alone, alike in every process. lower: A-Z are read as a-z.
+    The hash is a function of the word's bytes alone, alike in every process. lower: A-Z are read as a-z. A long text is
+    taken span by span, so that what it needs beside the result doesn't grow with it.
     """
     data, offsets = raw(text)
+    if len(text) > 1 or len(data) <= 2 * BLOCK_BYTES:
+        return _word_spans(data, offsets, lower, separators)
+    parts = [(a, *_word_spans(data[a:z], np.array([0, z - a]), lower, separators)) for a, z in spans(data, separators)]
+    hashes, begins, lengths = (np.concatenate([p[k] for p in parts]) for k in (1, 3, 4))
+    return hashes, np.array([0, len(hashes)]), np.concatenate([p[3] + p[0] for p in parts]), lengths
+
+
+def spans(data: np.ndarray, separators: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Consecutive stretches of bytes of about `size`, each but the last ending with a separator."""
+    at = 0
+    while at < len(data):
+        to = at + size
+        while to < len(data) and not separators[data[to - 1]]:
+            found = np.flatnonzero(separators[data[to : to + size]])
+            to += int(found[0]) + 1 if len(found) else size
+        to = min(to, len(data))
+        yield at, to
+        at = to
+
+
+def _word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if lower:
         data = _LOWER[data]
     inside = ~separators[data]
@@ -101,7 +123,7 @@ def word_spans(text: pa.Array, lower: bool = False, separators: np.ndarray = WHI
     begin[at] = inside[at]  # where a document begins, a word never goes on
     letters = data[inside]
     if not len(letters):
-        return np.zeros(0, np.uint64), np.zeros(len(text) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins = np.flatnonzero(begin)
     starts = np.flatnonzero(begin[inside])
     lengths = np.diff(np.append(starts, len(letters)))

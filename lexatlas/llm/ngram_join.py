@@ -73,10 +73,10 @@ def _codes(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterat
 
     def send(parts: list[np.ndarray]) -> pa.RecordBatch:
         codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-        cut = np.append(np.searchsorted(codes, starts), len(codes))
+        cut = np.append(np.searchsorted(codes, starts.astype(np.uint32)), len(codes))
         once, many = [], []
         for start, a, b in zip(starts, cut[:-1], cut[1:]):
-            low, single = (codes[a:b] - start).astype(np.uint32), counts[a:b] == 1
+            low, single = codes[a:b] - np.uint32(start), counts[a:b] == 1
             step = np.diff(low[single], prepend=np.uint32(0))
             once.append(zlib.compress(b"".join((step >> np.uint32(k)).astype(np.uint8).tobytes() for k in (0, 8, 16)), 1))
             many.append(zlib.compress(np.stack([low[~single], counts[a:b][~single].astype(np.uint32)], 1).tobytes(), 1))
@@ -84,7 +84,7 @@ def _codes(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterat
 
     parts, held = [], 0
     for _, text in text_blocks(batches):
-        parts.append(shingle_sets(text, size)[0] >> np.uint64(32))
+        parts.append((shingle_sets(text, size)[0] >> np.uint64(32)).astype(np.uint32))
         held += len(parts[-1])
         if held > HELD:
             yield send(parts)

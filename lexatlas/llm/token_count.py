@@ -41,7 +41,7 @@ _LAST = 0x34000
 #: Width of a chunk in code points; steps after which state maps are checked for having become constant.
 CHUNK, CHECK = 256, 16
 #: Pre-tokens, pairs of tokens, and transitions for long pre-tokens that a worker keeps; when full, it starts anew.
-MEMO, MEMO_PAIRS, MEMO_TRANSITIONS = 2_000_000, 2_000_000, 100_000
+MEMO, MEMO_PAIRS, MEMO_TRANSITIONS = 500_000, 1_000_000, 100_000
 #: Pre-tokens of up to so many bytes step together; longer ones go through compiled transitions one by one.
 TOGETHER = (12, 20, 40)
 
@@ -359,7 +359,7 @@ def token_counter(path: str) -> TokenCounter:
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for batch, text in text_blocks(batches, block_bytes=1 << 20):
+    for batch, text in text_blocks(batches):
         n_bytes = np.diff(raw(text)[1])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes), pa.array(token_counter(path).count(text.to_pylist()))], names=["doc_id", "n_bytes", "n_tokens"])
 

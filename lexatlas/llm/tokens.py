@@ -11,10 +11,10 @@ import numpy as np  # noqa: E402
 
 import pyarrow as pa  # noqa: E402
 
-from lexatlas.llm.arrays import PLAIN, HashTable, gather, raw, span_hashes  # noqa: E402
+from lexatlas.llm.arrays import BLOCK_BYTES, PLAIN, HashTable, gather, raw, span_hashes, spans  # noqa: E402
 
 #: Distinct pieces and ids of pieces that a worker remembers; when full, it starts anew.
-MEMO_PIECES, MEMO_IDS = 1_500_000, 6_000_000
+MEMO_PIECES, MEMO_IDS = 400_000, 1_600_000
 
 # By byte: signs that may close a word; letters of ASCII and what letters of Latin-1 beyond it consist of; lower case.
 _SIGN, _LETTER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
@@ -54,10 +54,10 @@ class PieceEncoder:
     def clear(self) -> None:
         self.table = HashTable()
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.length, self.n = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
+        self.begin, self.length, self.n = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32), 0
 
     def add(self, hashes: np.ndarray, parts: list[bytes]) -> None:
-        lengths = np.array([len(p) // 4 for p in parts], np.int64)
+        lengths = np.array([len(p) // 4 for p in parts], np.int32)
         flat = np.frombuffer(b"".join(parts), "<u4")
         while self.n + len(parts) > len(self.begin):
             self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
@@ -66,7 +66,7 @@ class PieceEncoder:
         own = slice(self.n, self.n + len(parts))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         self.length[own] = lengths
-        self.begin[own] = self.n_ids + np.cumsum(lengths) - lengths
+        self.begin[own] = self.n_ids + np.cumsum(lengths, dtype=np.int32) - lengths
         self.table.put(hashes, np.arange(own.start, own.stop, dtype=np.int32))
         self.n, self.n_ids = own.stop, self.n_ids + len(flat)
 
@@ -94,9 +94,15 @@ class PieceEncoder:
             offsets = np.cumsum([0, *(len(p) // 4 for p in parts)])
             return np.frombuffer(b"".join(parts), "<u4"), offsets
         data, offsets = raw(text)
+        if len(text) == 1 and len(data) > 2 * BLOCK_BYTES:  # a long text: span by span
+            flat = np.concatenate([self.ids_of(data[a:z], np.array([0, z - a]))[0] for a, z in spans(data, PLAIN)])
+            return flat, np.array([0, len(flat)])
+        return self.ids_of(data, offsets)
+
+    def ids_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins, lengths, word, low = _pieces(data, offsets)
         if not len(begins):
-            return np.zeros(0, np.uint32), np.zeros(len(text) + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         inside = ~PLAIN[data]
         hashes = span_hashes(low[inside], np.cumsum(lengths) - lengths, lengths)
         hashes ^= word.astype(np.uint64) << np.uint64(63)
@@ -110,7 +116,7 @@ class PieceEncoder:
             own, low = missing[first], low.tobytes()
             self.add(new, self.learn([low[a : a + n].decode() for a, n in zip(begins[own].tolist(), lengths[own].tolist())], word[own].tolist()))
             found[missing] = self.table.find(hashes[missing])
-        counts = self.length[found]
+        counts = self.length[found].astype(np.int64)
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
         return gather(self.ids, self.begin[found], counts), ends[np.searchsorted(begins, offsets)]
 
