@@ -1,14 +1,16 @@
 """Main text of web pages by tree scoring.
 
-Each block of text passes points for its length and commas to its parent and, with less weight, to its further
-ancestors. A container's score is discounted by its link density, the best one is kept, and those of its siblings that
-score alike or read like prose with it. Elements that are never article text (menus, headers, footers, sidebars, forms,
-scripts, ...; notices, adverts and comments by their class or id) are left out before scoring.
+Each block of text passes points for its length and commas to its container and, halved at each level, to all further
+ancestors. A container's score is discounted by its link density; the best one is kept, with those of its siblings that
+score alike and the headings and prose between them. Elements that are never article text (menus, footers, forms,
+scripts, ...) are left out before scoring; containers whose names speak of adverts, notices or comments are left out too,
+unless such a name stands on what holds most of the page's prose.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,37 +21,86 @@ from lexatlas.sources.workspace import map_arrow
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Elements without article text.
-SKIPPED = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea input label dialog menu title xmp noembed noframes option datalist audio video math".split())
-BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hr header hgroup center".split())
+#: Elements without article text: those that bound blocks, and those that stand within a line.
+SKIPPED_BLOCKS = frozenset("head nav footer aside form dialog menu".split())
+SKIPPED_INLINE = frozenset("script style noscript template iframe object svg canvas button select textarea input label title xmp noembed noframes option datalist audio video math".split())
+BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hr header hgroup center".split()) | SKIPPED_BLOCKS
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose start closes an open paragraph.
-CLOSES_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot caption".split())
-#: Words of a class, id or role that mark what isn't the article.
-_ASIDE = re.compile(r"(?:^|[^a-z])(?:ad|ads|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|header|comments?|disqus|replies|respond|related|recommend\w*|share|sharing|social|widget|toolbar|pagination|pager|skip-link|banner|complementary|contentinfo|navigation|search)(?:$|[^a-z])")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^>]*>", re.S)
+CLOSES_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot caption head".split())
+#: Parts of an article, which stand for the whole of it.
+PARTS = frozenset("ul ol li dl dt dd table thead tbody tr td blockquote pre figure details center".split())
+#: Words of a class, id or role that mark what isn't the article; those of readers' comments; names of what is.
+_ASIDE = re.compile(r"(?:^|[^a-z])(?:ad|ads|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|header|comments?|disqus|replies|respond|related|recommend\w*|share|sharing|social|widget|toolbar|pagination|pager|skip-link|complementary|contentinfo|navigation|search)(?:$|[^a-z])")
+_COMMENT = re.compile(r"(?:^|[^a-z])(?:comments?|disqus|replies|respond)(?:$|[^a-z])")
+_CONTENT = frozenset("content article main post entry story".split())
+_TAG = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[^\s/>]+")
+_VALUE_OR_END = re.compile(r"=\s*[\"']|>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of each tag; an end tag's name begins with a slash; comments and declarations have
+    none. Quotes hold a value only after an equals sign, and a tag that never ends takes the rest of the page, as in
+    browsers: so each character is read once. After a tag's end, a position may be sent from which to go on."""
+    at, n = 0, len(html)
+    while m := _TAG.search(html, at):
+        start, at = m.start(), m.end()
+        name = attributes = ""
+        if m[0] == "<!--":
+            end = html.find("-->", max(start + 4, at - 2) if html.startswith("<!-->", start) else at)
+            at = n if end < 0 else end + 3
+        elif m[0][-1] in "!?":
+            end = html.find(">", at)
+            at = n if end < 0 else end + 1
+        else:
+            word = _NAME.match(html, at - 1)
+            name, inner = m[0][1:-1] + word[0].lower(), word.end()
+            at = inner
+            while (found := _VALUE_OR_END.search(html, at)) and found[0] != ">":
+                close = html.find(found[0][-1], found.end())
+                at = n if close < 0 else close + 1
+            at = found.end() if found else n
+            attributes = html[inner : at - 1] if found else ""
+            if not found:
+                name = ""
+        sent = yield start, at, name, attributes
+        if sent is not None:
+            at = sent
+            yield start, at, "", ""
+
+
 class Node:
-    __slots__ = ("tag", "parent", "score", "chars", "link_chars", "blocks", "order")
+    """A container: its own points and those of what it holds, halved at each level, its characters and those in links."""
+
+    __slots__ = ("tag", "parent", "score", "chars", "link_chars", "named", "good", "kept")
+
+    def __init__(self, tag: str, parent: Node | None, named: int = 0, good: bool = False):
+        self.tag, self.parent, self.named, self.good = tag, parent, named, good
+        self.score, self.chars, self.link_chars, self.kept = 0.0, 0, 0, False
+
+    def value(self) -> float:
+        return self.score * (1 - self.link_chars / self.chars) if self.chars else 0.0
+
 
-    def __init__(self, tag: str, parent: Node | None, order: int):
-        self.tag, self.parent, self.order = tag, parent, order
-        self.score, self.chars, self.link_chars, self.blocks = 0.0, 0, 0, []
+#: How a name speaks against a container: not at all, in general, as comments of readers.
+FINE, ASIDE, COMMENT = range(3)
 
 
 class Page:
     """The tree of a page's containers and its blocks of text in page order."""
 
     def __init__(self, html: str):
-        self.root = Node("#root", None, 0)
+        self.root = Node("#root", None)
         self.nodes = [self.root]
-        #: (container, text, characters in links)
-        self.blocks: list[tuple[Node, str, int]] = []
+        #: (container, kind: the heading's tag or "", text, characters in links)
+        self.blocks: list[tuple[Node, str, str, int]] = []
         self.buffer: list[str] = []
-        self.links = 0
+        self.links, self.heading = 0, ""
         self.read(html)
 
     def flush(self, node: Node) -> None:
@@ -57,130 +108,173 @@ class Page:
             text = _SPACE.sub(" ", unescape("".join(self.buffer))).strip()
             self.buffer.clear()
             if text:
-                self.blocks.append((node, text, min(self.links, len(text))))
-        self.links = 0
-
-    def text(self, text: str, in_link: int) -> None:
-        self.buffer.append(text)
-        if in_link:
-            self.links += len(_SPACE.sub(" ", unescape(text)).strip())
+                self.blocks.append((node, self.heading, text, min(self.links, len(text))))
+        self.links, self.heading = 0, ""
 
     def read(self, html: str) -> None:
-        stack: list[tuple[str, Node, bool]] = [("#root", self.root, False)]  # tag, container, whether text is left out
-        links, at, n = 0, 0, len(html)
-        while at < n:
-            m = _TOKEN.search(html, at)
-            end = m.start() if m else n
-            if end > at and not stack[-1][2]:
-                self.text(html[at:end], links)
-            if not m:
-                break
-            at = m.end()
-            if m[2] is None:
+        # tag, container, whether text is left out
+        stack: list[tuple[str, Node, bool]] = [("#root", self.root, False)]
+        open_: Counter = Counter()
+
+        def pop() -> str:
+            tag = stack.pop()[0]
+            open_[tag] -= 1
+            return tag
+
+        in_link, before = False, 0
+        reader = tags(html)
+        for start, end, name, attributes in reader:
+            if start > before and not stack[-1][2]:
+                self.text(html[before:start], in_link)
+            before = end
+            if not name:
                 continue
-            tag, node = m[2].lower(), stack[-1][1]
-            if m[1]:
+            node = stack[-1][1]
+            if name[0] == "/":
+                tag = name[1:]
                 if tag == "a":
-                    links = 0
-                if any(t == tag for t, _, _ in stack):
-                    if tag in BLOCKS or tag in SKIPPED:
+                    in_link = False
+                if open_[tag]:
+                    if tag in BLOCKS:
                         self.flush(node)
-                    while stack[-1][0] != tag:
-                        stack.pop()
-                    stack.pop()
+                    while pop() != tag:
+                        pass
                 elif tag == "p":
                     self.flush(node)
                 continue
+            tag = name
             if tag == "a":
-                links = 1
+                in_link = True
             if tag in VOID:
-                if tag in ("br", "wbr", "hr", "img") and not stack[-1][2]:
-                    if tag == "hr":
-                        self.flush(node)
-                    elif tag == "br":
-                        self.buffer.append(" ")
+                if not stack[-1][2] and tag == "hr":
+                    self.flush(node)
+                elif not stack[-1][2] and tag == "br":
+                    self.buffer.append(" ")
                 continue
-            if tag in CLOSES_P and stack[-1][0] != "#root":
+            if tag in CLOSES_P and (open_["p"] or (tag in ("li", "dt", "dd") and open_[tag])):
                 # an open paragraph ends here, and with it inline elements left open in it; so do items of the same kind
                 for k in range(len(stack) - 1, 0, -1):
-                    open_ = stack[k][0]
-                    if open_ == "p" or (open_ == tag and tag in ("li", "dt", "dd", "option")):
+                    above = stack[k][0]
+                    if above == "p" or (above == tag and tag in ("li", "dt", "dd")):
                         self.flush(node)
-                        del stack[k:]
+                        while len(stack) > k:
+                            pop()
                         break
-                    if open_ in BLOCKS or open_ in SKIPPED:
+                    if above in BLOCKS:
                         break
                 node = stack[-1][1]
-            out = stack[-1][2] or tag in SKIPPED or self.aside(tag, m[3], stack)
-            if tag in BLOCKS or out:
+            named, good, hidden = self.judged(tag, attributes, open_)
+            out = stack[-1][2] or tag in SKIPPED_BLOCKS or tag in SKIPPED_INLINE or hidden or (named and tag not in BLOCKS)
+            if tag in BLOCKS:
                 self.flush(node)
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
-                if tag in ("textarea", "title") or out:
-                    at = n if not close else html.find(">", close.start()) + 1 or n
+                close = _RAW_END[tag].search(html, end)
+                before = close.start() if close else len(html)
+                reader.send(before)
                 continue
-            if tag in BLOCKS and tag != "p" and not re.match(r"h[1-6]$", tag):
-                node = Node(tag, node, len(self.nodes))
+            if tag in HEADINGS:
+                self.heading = tag
+            elif tag in BLOCKS and tag != "p":
+                node = Node(tag, node, named, good)
                 self.nodes.append(node)
-            stack.append((tag, node, out))
+            stack.append((tag, node, bool(out)))
+            open_[tag] += 1
+        if before < len(html) and not stack[-1][2]:
+            self.text(html[before:], in_link)
         self.flush(stack[-1][1])
 
+    def text(self, text: str, in_link: bool) -> None:
+        self.buffer.append(text)
+        if in_link:
+            self.links += len(_SPACE.sub(" ", unescape(text)).strip())
+
     @staticmethod
-    def aside(tag: str, attributes: str, stack: list) -> bool:
-        if not attributes:
-            return tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
-        if tag in ("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6", "p"):
-            return bool(tag == "p" and _HIDDEN.search(attributes))
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in stack):
-            return True
-        if _HIDDEN.search(attributes):
-            return True
-        named = " ".join(x for g in _NAMED.findall(attributes) for x in g if x).lower().replace("_", "-")
-        return bool(named and _ASIDE.search(named))
-
-    def best(self) -> list[int]:
-        """Numbers of the blocks of the best container and of its siblings that belong with it."""
-        if not self.blocks:
+    def judged(tag: str, attributes: str, open_: Counter) -> tuple[int, bool, bool]:
+        """How an element's name speaks against it, whether it speaks for it, and whether the element is hidden."""
+        named = ASIDE if tag == "header" and not (open_["article"] or open_["main"]) else FINE
+        if not attributes or tag in ("html", "body"):
+            return named, False, False
+        hidden = bool(_HIDDEN.search(attributes))
+        if tag in HEADINGS or tag in ("p", "main"):
+            return FINE, False, hidden and tag == "p"
+        words = " ".join(x for g in _NAMED.findall(attributes) for x in g if x).lower().replace("_", "-")
+        good = tag == "article" or not _CONTENT.isdisjoint(words.split())
+        if _COMMENT.search(words):
+            named = COMMENT
+        elif tag != "article" and _ASIDE.search(words):
+            named = max(named, ASIDE)
+        return named, good, hidden and tag != "article"
+
+    def score(self) -> None:
+        """Points, characters and links of all containers, from the innermost out; what is named aside and holds less
+        than half of the page's points passes nothing on."""
+        points: Counter = Counter()
+        whole: Counter = Counter()
+        for node, _, text, links in self.blocks:
+            own = 1 + min(len(text) / 100, 3) + text.count(",") if len(text) >= 25 else 0.2
+            node.score += own
+            node.chars += len(text)
+            node.link_chars += links
+            points[id(node)] += own * (1 - links / len(text))
+        for node in reversed(self.nodes):
+            whole[id(node)] += points[id(node)]
+            if node.parent is not None:
+                whole[id(node.parent)] += whole[id(node)]
+        least = 0.5 * whole[id(self.root)]
+        heads = {id(node) for node, heading, _, _ in self.blocks if heading == "h1"} | {id(n) for n in self.nodes if n.tag in ("article", "main")}
+        for node in reversed(self.nodes):
+            if node.parent is not None and id(node) in heads:
+                heads.add(id(node.parent))
+        for node in reversed(self.nodes):
+            if node.named and (whole[id(node)] < least or node.tag == "header" or not (node.good or (node.named == ASIDE and id(node) in heads))):
+                node.score, node.chars, node.link_chars = 0.0, 0, 0
+            else:
+                node.named = FINE
+            up = node.parent
+            if up is not None:
+                up.score += 0.5 * node.score
+                up.chars += node.chars
+                up.link_chars += node.link_chars
+
+    def best(self) -> list[str]:
+        """Texts of the best container, of its siblings that belong with it, and of what stands between them."""
+        self.score()
+        out = set()
+        for node in self.nodes:  # what lies in a container left out is left out
+            if node.named or (node.parent is not None and id(node.parent) in out):
+                out.add(id(node))
+        if len(self.nodes) == len(out) or not any(n.chars for n in self.nodes if id(n) not in out):
             return []
-        for node, text, links in self.blocks:
-            points = 1 + min(len(text) / 100, 3) + text.count(",") if len(text) >= 25 else 0.2
-            weight, up = 1.0, node
-            while up is not None:
-                up.score += points * weight
-                up.chars += len(text)
-                up.link_chars += links
-                weight *= 0.5
-                up = up.parent
-        top = max((n for n in self.nodes if n.chars), key=lambda n: (self.value(n), -n.order))
-        while top.parent is not None and top.parent.parent is not None and top.tag in ("p", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tr", "td", "blockquote", "pre", "figure", "section", "details", "center") and top.parent.tag not in ("body", "html"):
-            top = top.parent  # parts of an article stand for the whole of it
-        article = top
-        while article is not None and article.tag not in ("article", "main"):
-            article = article.parent
-        top = article or top
-        least = 0.2 * self.value(top)
-        chosen = {id(top)}
+        top = max((n for n in self.nodes if n.chars and id(n) not in out), key=Node.value)  # the first of equals: the outer one
+        while top.tag in PARTS and top.parent.parent is not None and top.parent.tag not in ("body", "html"):
+            top = top.parent
+        up = top.parent
+        while up is not None:  # the article that it is part of, if that is prose
+            if up.tag in ("article", "main") and up.link_chars < 0.3 * up.chars:
+                top = up
+                break
+            up = up.parent
+        top.kept = True
+        least = max(0.2 * top.value(), 2.0)
+        around = top.parent
+        if around is not None:
+            for node in self.nodes:
+                if node.parent is around and id(node) not in out and node.chars and node.value() >= least and node.link_chars < 0.3 * node.chars:
+                    node.kept = True
         for node in self.nodes:
-            if node.parent is top.parent and node is not top and node.chars and top.parent is not None and top.tag not in ("article", "main"):
-                density = node.link_chars / node.chars
-                if self.value(node) >= max(least, 2.0) and density < 0.3:
-                    chosen.add(id(node))
-        loose = top.parent if top.parent is not None and top.tag not in ("article", "main", "body", "html") else None
-        out = []
-        for k, (node, text, links) in enumerate(self.blocks):
-            up = node
-            while up is not None and id(up) not in chosen:
-                up = up.parent
-            if up is not None or (node is loose and len(text) >= 80 and links < 0.25 * len(text)):
-                out.append(k)
-        return out
-
-    @staticmethod
-    def value(node: Node) -> float:
-        return node.score * (1 - node.link_chars / node.chars) if node.chars else 0.0
+            node.kept = id(node) not in out and (node.kept or (node.parent is not None and node.parent.kept))
+        loose = around if around is not None and around.tag not in ("body", "html", "#root") else None
+        keep = [id(n) not in out and (n.kept or (n is loose and len(t) >= 80 and k < 0.25 * len(t))) for n, _, t, k in self.blocks]
+        if True in keep:
+            first = keep.index(True)
+            if not any(k and h == "h1" for k, (_, h, _, _) in zip(keep, self.blocks)):  # the title may stand before it
+                above = [k for k in range(first) if self.blocks[k][1] == "h1" and id(self.blocks[k][0]) not in out]
+                if above:
+                    keep[above[-1]] = True
+        return [text for kept, (_, _, text, _) in zip(keep, self.blocks) if kept]
 
     def main_text(self) -> str:
-        return "\n".join(self.blocks[k][1] for k in self.best())
+        return "\n".join(self.best()) if self.blocks else ""
 
 
 def main_text(html: str) -> str:
@@ -200,8 +294,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (the main text, empty if none) and n_chars (its code points) of each page (page_id, url, html).
 
     Blocks are what block elements bound; white space inside one becomes one space, also a <br>; blocks are joined by
-    one line end, in page order; nothing else is dropped or cut. A null html counts as empty. Rows are independent, so
-    ids may be null or repeat; other columns are ignored; an empty table gives no rows. One map over the scan.
+    one line end, in page order; nothing else is dropped or cut. An element that is left out within a line doesn't end
+    the block. Of equal scores the outer or earlier container counts. A null html counts as empty. Rows are independent,
+    so ids may be null, rows may repeat; other columns are ignored; an empty table gives no rows. One map over the scan;
+    a page is read in time linear in its length.
     """
     own = pages.select("page_id", "url", "html")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "html")
