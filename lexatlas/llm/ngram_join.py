@@ -3,15 +3,20 @@
 1. A pass over the texts counts in how many documents each shingle occurs (packed 32-bit codes, counted by numpy in
    buckets of codes); those above a threshold that bounds their number are broadcast. They order all shingles: rare
    ones by hash, frequent ones last, by frequency. Any order that all documents share gives exact results.
-2. A second pass yields each document's set size, a digest of its set and its prefix: the first shingles in that order,
-   so many that documents similar enough must share one. Documents with equal sets become one class, and classes with
-   identical prefix and size one group; only groups are indexed by their prefix shingles.
-3. Prefixes are long enough for similar documents to share COMMON shingles in them. Group pairs pass a length filter, a
-   positional filter and a count of the shingles shared, and are expanded to members, which are verified on their whole sets. Since components are asked for, pairs come in two steps: first every group of a shingle's list
-   is compared with the list's smallest one, and within a group every member with its first; components of the links found are formed;
-   then all remaining pairs are compared, save those within one component or too far apart by parity bitmaps of
-   their whole sets (bitmaps differ in no more bits than the sets in shingles). So a large group of near copies costs about
-   as many comparisons as it has members, yet no link between different components can be missed.
+2. A second pass yields each row's set size, a digest of its set and its prefix: the first shingles in that order, so
+   many that documents similar enough must share one. Rows with equal sets become one class, and classes with identical
+   prefix and size one group; only groups are indexed by their prefix shingles. Rows, classes and groups go by ids of
+   their own, so that a row needs no doc_id to link.
+3. Prefixes are long enough for similar documents to share COMMON shingles in them. Of two sets the smaller shares them
+   in a shorter prefix still, so its entries there are looked up in the larger one's list; a list without such entries is
+   dropped. Group pairs pass a length filter, a positional filter, a count of the shingles shared and a bound by parity
+   bitmaps of their whole sets (bitmaps differ in no more bits than the sets in shingles), and are expanded to members,
+   which are verified on their whole sets. Since components are asked for, pairs come in two steps: first every group of
+   a shingle's list is compared with the list's smallest one, and within a group every member with its first; components
+   of the links found are formed; then all remaining pairs are compared, save those within one component. So a large
+   group of near copies costs about as many comparisons as it has members, yet no link between components is missed.
+
+Lists of shingles that very many documents hold are summed up map-side, and their pairs are made in parts of both sides.
 """
 
 from __future__ import annotations
@@ -42,6 +47,8 @@ COMMON = 3
 BITMAP = 8
 #: Class representatives that are broadcast to find their texts; beyond that, they are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: A shingle is hot if more than 1 / HOT_PARTS of all rows hold it, and HOT_LEAST at least; hot lists are cut in HOT_CUTS.
+HOT_PARTS, HOT_LEAST, HOT_CUTS = 1000, 1000, 16
 
 
 def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +135,14 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - least + np.minimum(COMMON, least)
 
 
+def _index_size(n: Column, percent: int) -> Column:
+    """The same for the smaller of two sets, n: their overlap is 2 * percent * n / (100 + percent) at least."""
+    least = F.ceil(2 * percent * n / (100 + percent))
+    return n - least + F.least(F.lit(COMMON), least)
+
+
 _BITS = [f"bits{w}" for w in range(BITMAP)]
-_DOCS = f"doc_id long, n long, a long, b long, pa long, pb long, {', '.join(f'{c} long' for c in _BITS)}, prefix array<long>"
+_DOCS = f"doc_id long, th long, n long, a long, b long, pa long, pb long, {', '.join(f'{c} long' for c in _BITS)}, hot_from int, prefix array<long>"
 
 
 def bitmaps(found: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -143,7 +156,7 @@ def bitmaps(found: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, shared) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, hot: int, shared) -> Iterator[pa.RecordBatch]:
     codes, counts = shared.value
     add = lambda values, offsets: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])[offsets])
     for batch, text in text_blocks(batches):
@@ -162,15 +175,16 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, shared
         prefix = found[order][own]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(doc[own], minlength=len(n)))])
         keys = [add(mix(prefix ^ np.uint64(k)), ends).view(np.int64) for k in (3, 4)]
+        cool = add((df[order][own] < hot).astype(np.uint64), ends).astype(np.int32)  # hot ones come last
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *map(pa.array, digests), *map(pa.array, keys), *map(pa.array, bitmaps(found, offsets)), lists], names=[x.split()[0] for x in _DOCS.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n), *map(pa.array, digests), *map(pa.array, keys), *map(pa.array, bitmaps(found, offsets)), pa.array(cool), lists], names=[x.split()[0] for x in _DOCS.split(", ")])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch, text in text_blocks(batches):
         found, offsets = shingle_sets(text, size)
         data = memoryview(found.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bytes(data[8 * a : 8 * b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([bytes(data[8 * a : 8 * b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "set"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -207,44 +221,64 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (n + m)
 
 
-def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document (doc_id, text).
-
-    Words are [^\\x20\\x09-\\x0D]+ of the whole text with A-Z in lower case; a document's set holds its distinct shingles
-    of `size` words, or with fewer words the whole sequence as one. Two documents link when their sets' Jaccard
-    similarity is `percent` / 100 or more; component_id is the smallest doc_id that links reach. A document without
-    words (null or empty text) has an empty set and links with nothing: component_id is its own doc_id.
-
-    Rows with equal sets are one class. A row with a null doc_id belongs to its class, and has a null component_id if no
-    row there has a doc_id. doc_id should identify a document; rows that share one keep their rows, and where it stands
-    for two classes (as the smallest of both), these are connected. Other columns are ignored; an empty table gives no
-    rows.
-    """
+def _of_lists(listed: DataFrame, **sums: Column) -> DataFrame:
+    """Adds aggregates over each shingle's list to its entries. Hot lists are summed map-side; there are fewer of them
+    than frequent shingles, and the sums are broadcast."""
+    w = Window.partitionBy("token")
+    hot = listed.where("hot")
+    per_token = hot.groupBy("token").agg(*[c.alias(name) for name, c in sums.items()])
+    return listed.where("not hot").withColumns({name: c.over(w) for name, c in sums.items()}).unionByName(hot.join(F.broadcast(per_token), "token"))
+
+
+def _pairs_of_lists(lists: DataFrame, percent: int) -> DataFrame:
+    """(gid, gid2, n, n2, shared) of entries of different groups in one list, the first the smaller set's (by size, then
+    id) in its shorter prefix. Both sides of a hot list are cut: the smaller ones by id, and each part meets all larger."""
+    smaller = lists.where(F.col("i") < _index_size(F.col("n"), percent))
+    larger = lists.select("token", "hot", *[F.col(c).alias(f"{c}_2") for c in ("gid", "n", "i", "label", "mixed")])
+    order = (F.col("n") < F.col("n_2")) | ((F.col("n") == F.col("n_2")) & (F.col("gid") < F.col("gid_2")))
+    apart = F.col("mixed") | F.col("mixed_2") | (F.col("label") != F.col("label_2"))
+    possible = order & apart & _possible(F.col("n"), F.col("i"), F.col("n_2"), F.col("i_2"), percent)
+    cool = smaller.where("not hot").drop("hot").join(larger.where("not hot").drop("hot"), "token")
+    cut = smaller.where("hot").drop("hot").withColumn("cut", F.pmod(F.xxhash64("gid"), F.lit(HOT_CUTS)).cast("int"))
+    parts = larger.where("hot").drop("hot").withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(HOT_CUTS - 1))))
+    hot = cut.join(parts, ["token", "cut"]).drop("cut")
+    pairs = cool.where(possible).unionByName(hot.where(possible)).groupBy("gid", F.col("gid_2").alias("gid2")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n_2").alias("n2"))
+    return pairs.where(_enough(F.col("shared"), F.col("n"), F.col("n2"), percent))
+
+
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of each row: doc_id, th (hash of its text), n (set size), root (one for each component; null for empty sets) and
+    component_id (the component's smallest doc_id)."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     shared = spark.sparkContext.broadcast(frequent_shingles(own, size))
-    rows = materialize(map_arrow(own, lambda it: _prefixes(it, size, percent, shared), _DOCS), "prefixes")
+    hot = max(HOT_LEAST, own.count() // HOT_PARTS)
+    rows = map_arrow(own, lambda it: _prefixes(it, size, percent, hot, shared), _DOCS)
+    rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "prefixes")
 
-    narrow = rows.select("doc_id", "n", "a", "b", "pa", "pb", *_BITS).where("n > 0")
-    classes = materialize(narrow.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("pa", "pb", *_BITS)]), "classes")
-    named = classes.where("id is not null")
-    groups = named.groupBy("n", "pa", "pb").agg(F.min("id").alias("gid"), F.count("*").alias("m"))
+    narrow = rows.select("id", "doc_id", "n", "a", "b", "pa", "pb", *_BITS).where("n > 0")
+    classes = narrow.groupBy("a", "b", "n").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("pa", "pb", *_BITS)])
+    classes = materialize(classes, "classes")
+    bounds = [f(f"bits{w}").alias(f"{name}{w}") for w in range(BITMAP) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+    groups = materialize(classes.groupBy("n", "pa", "pb").agg(F.min("id").alias("gid"), F.count("*").alias("m"), *bounds), "groups")
     # shingles that several groups share, with the list's smallest group
-    heads = rows.select(F.col("doc_id").alias("gid"), "n", "pa", "pb", "prefix").join(groups.select("gid", "n", "pa", "pb"), ["gid", "n", "pa", "pb"], "left_semi")
-    listed = heads.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token"))
-    of_token = Window.partitionBy("token")
-    listed = listed.withColumns({"lists": F.count("*").over(of_token), "lead": F.min(F.struct("gid", "n", "i")).over(of_token)}).where("lists > 1")
-    listed = materialize(listed.select("token", "gid", "n", "i", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.i").alias("lead_i")), "shared-prefixes")
+    heads = rows.select(F.col("id").alias("gid"), "n", "prefix", "hot_from").join(groups.select("gid"), "gid", "left_semi")
+    listed = heads.select("gid", F.col("n").cast("int").alias("n"), "hot_from", F.posexplode("prefix").alias("i", "token")).withColumn("hot", F.col("i") >= F.col("hot_from")).drop("hot_from")
+    smaller = F.col("i") < _index_size(F.col("n"), percent)
+    listed = _of_lists(listed, lists=F.count("*"), some=F.max(smaller), lead=F.min(F.struct("gid", "n", "i"))).where("lists > 1 and some")
+    listed = materialize(listed.select("token", "hot", "gid", "n", "i", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.i").alias("lead_i")), "shared-prefixes")
     several = groups.where("m > 1").select("n", "pa", "pb", "gid")
-    members = materialize(named.select("id", "n", "pa", "pb").join(several, ["n", "pa", "pb"]).select("gid", "id", "n"), "group-members")
+    members = materialize(classes.select("id", "n", "pa", "pb").join(several, ["n", "pa", "pb"]).select("gid", "id", "n"), "group-members")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are similar enough; sets are made from the texts of what is in a pair."""
         wanted = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-        few = wanted.count() <= BROADCAST_IDS
-        texts = own.withColumnRenamed("doc_id", "id").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").withColumnRenamed("id", "doc_id")
+        hint = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda df: df
+        places = rows.select("id", F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).join(hint(wanted), "id")
+        texts = own.join(hint(places), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("id", "text")
         sets = materialize(map_arrow(texts, lambda it: _sets(it, size), "id long, set binary"), "sets")
-        x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("sx")), sets.select(F.col("id").alias("b"), F.col("set").alias("sy"))
+        one = sets.groupBy("id").agg(F.first("set").alias("set"))  # rows that repeat have one id
+        x, y = one.select(F.col("id").alias("a"), F.col("set").alias("sx")), one.select(F.col("id").alias("b"), F.col("set").alias("sy"))
         return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy"), lambda it: _similar(it, percent), "a long, b long")
 
     stars = listed.where((F.col("gid") != F.col("lead")) & _possible(F.col("n"), F.col("i"), F.col("lead_n"), F.col("lead_i"), percent))
@@ -256,19 +290,15 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     # what is left: pairs of different components, less those compared already
     label = lambda df, of, to: df.join(labels.select(F.col("node").alias(of), F.col("root").alias("_r")), of, "left").withColumn(to, F.coalesce("_r", of)).drop("_r")
-    in_groups = label(members, "id", "label")
+    in_groups = materialize(label(members, "id", "label"), "labelled-members")
     mixed = in_groups.groupBy("gid").agg((F.min("label") != F.max("label")).alias("mixed"))
-    lists = label(listed.select("token", "gid", "n", "i"), "gid", "label").join(mixed, "gid", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
-    lists = lists.withColumns({"first": F.min("label").over(of_token), "last": F.max("label").over(of_token), "any": F.max("mixed").over(of_token)}).where("first != last or any")
-    bounds = [f(f"bits{w}").alias(f"{name}{w}") for w in range(BITMAP) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
-    keyed = named.groupBy("n", "pa", "pb").agg(F.min("id").alias("gid"), *bounds)
-    keyed = keyed.groupBy("gid").agg(*[f(f"{name}{w}").alias(f"{name}{w}") for w in range(BITMAP) for name, f in (("all", F.bit_and), ("any", F.bit_or))])
-    lists = materialize(lists.select("token", "gid", "n", "i", "label", "mixed").join(keyed, "gid"), "mixed-lists")
-    other = lists.select("token", *[F.col(c).alias(f"{c}_2") for c in lists.columns if c != "token"])
-    apart = (F.col("gid") < F.col("gid_2")) & (F.col("mixed") | F.col("mixed_2") | (F.col("label") != F.col("label_2")))
-    possible = _possible(F.col("n"), F.col("i"), F.col("n_2"), F.col("i_2"), percent) & _near(F.col("n"), F.col("n_2"), percent)
-    pairs = lists.join(other, "token").where(apart & possible).groupBy("gid", F.col("gid_2").alias("gid2")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n_2").alias("n2"))
-    pairs = pairs.where(_enough(F.col("shared"), F.col("n"), F.col("n2"), percent))
+    lists = label(listed.select("token", "hot", "gid", "n", "i"), "gid", "label").join(mixed, "gid", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    lists = _of_lists(lists, first=F.min("label"), last=F.max("label"), any=F.max("mixed")).where("first != last or any")
+    lists = materialize(lists.select("token", "hot", "gid", "n", "i", "label", "mixed"), "mixed-lists")
+    pairs = materialize(_pairs_of_lists(lists, percent), "group-pairs")
+    bits = groups.select("gid", *[c for c in groups.columns if c[:3] in ("all", "any")])
+    other = bits.select(F.col("gid").alias("gid2"), *[F.col(c).alias(f"{c}_2") for c in bits.columns if c != "gid"])
+    pairs = pairs.join(bits, "gid").join(other, "gid2").where(_near(F.col("n"), F.col("n2"), percent)).select("gid", "gid2")
     one = lambda g, to: F.coalesce(F.col(to), F.col(g))
     side = lambda g, to: in_groups.select(F.col("gid").alias(g), F.col("id").alias(to))
     expanded = pairs.join(side("gid", "x"), "gid", "left").join(side("gid2", "y"), "gid2", "left").select(one("gid", "x").alias("x"), one("gid2", "y").alias("y"))
@@ -281,17 +311,40 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     joined = label(label(more, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     roots = components(joined)
 
-    owner = label(named.select("a", "b", "n", "id", "rows"), "id", "label")
+    owner = label(classes.select("a", "b", "n", "id", "doc_id", "rows"), "id", "label")
     owner = owner.join(roots.select(F.col("node").alias("label"), F.col("root").alias("_r")), "label", "left").withColumn("root", F.coalesce("_r", "label"))
-    least = owner.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("n_"))
-    owner = materialize(owner.select("a", "b", F.col("n").alias("size"), "rows", "root"), "owners")
-    total = owner.count()
-    owner = join_counted(owner, least.withColumnRenamed("n_", "n"), ["root"], total).select("a", "b", "size", F.col("rows").alias("n"), "component_id")
+    owner = materialize(owner.select("a", "b", F.col("n").alias("size"), "rows", "root", "doc_id"), "owners")
+    least = owner.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    owner = join_counted(owner.drop("doc_id"), least, ["root"], owner.count()).select("a", "b", "size", F.col("rows").alias("n"), "root", "component_id")
     owner = materialize(owner, "class-components")
-    found = rows.select("doc_id", F.col("n").alias("size"), "a", "b")
+    found = rows.select("doc_id", "th", F.col("n").alias("size"), "a", "b")
     linked = join_counted(found.where("size > 0"), owner, ["a", "b", "size"], rows.count())
-    none = found.where("size = 0").withColumn("component_id", F.col("doc_id"))
-    # classes of which no row has a doc_id
-    lost = found.where("size > 0 and doc_id is null").join(classes.where("id is null").select("a", "b", F.col("n").alias("size")), ["a", "b", "size"], "left_semi").withColumn("component_id", F.lit(None).cast("long"))
-    out = reduce(DataFrame.unionByName, [linked, none, lost])
-    return out.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    none = found.where("size = 0").withColumns({"root": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return linked.unionByName(none).select("doc_id", "th", F.col("size").alias("n"), "root", "component_id")
+
+
+def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document (doc_id, text).
+
+    Words are [^\\x20\\x09-\\x0D]+ of the whole text with A-Z in lower case; a document's set holds its distinct shingles
+    of `size` words, or with fewer words the whole sequence as one. Two documents link when their sets' Jaccard
+    similarity is `percent` / 100 or more; component_id is the smallest doc_id that links reach. A document without
+    words (null or empty text) has an empty set and links with nothing: component_id is its own doc_id.
+
+    Each row is a document, whether or not its doc_id is null or repeats: rows link by their texts alone, and a row
+    without a doc_id may connect others. component_id is null where no row of a component has a doc_id. Other columns
+    are ignored; an empty table gives no rows.
+    """
+    return _components(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of similar documents, all columns: that of the smallest doc_id (null last), then of the
+    smallest hash of its text. Rows without words stay."""
+    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), F.col("th").alias("_th"))
+    found = _components(docs, size, percent)
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
+    keep = first.select(*key, F.lit(True).alias("_one")).unionByName(found.where("root is null").select(*key, F.lit(False).alias("_one")).distinct())
+    keyed = docs.withColumns({"_doc": key[0], "_th": F.xxhash64("text")}).join(keep, ["_doc", "_th"])
+    again = F.row_number().over(Window.partitionBy("_doc", "_th").orderBy(F.lit(1)))  # rows that repeat are alike
+    return keyed.withColumn("_n", again).where("_n = 1 or not _one").select(*docs.columns)
