@@ -6,7 +6,7 @@ reads again as the next stage's docs. All but the last keep the columns of docum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexatlas.llm import decontamination, language_id, line_dedup, ngram_join, packing
@@ -40,16 +40,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more.
-
-    Of rows with that doc_id, the one whose text has the smallest hash stays. Rows without a doc_id stay, as no group
-    can name them.
-    """
-    groups = ngram_join.similar_components(docs, size=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return named.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").unionByName(docs.where("doc_id is null"))
+    """Keeps one document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more; cases
+    as in one_of_each: rows are compared by their texts, also without a doc_id."""
+    return ngram_join.one_of_each(docs, size=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
