@@ -34,15 +34,18 @@ def load_key(number: Column) -> Column:
 SUFFIXES = ("Bis", "Ter", "Quáter", "Quintus", "Quinquies", "Sexies")
 
 
+#: Those of them that may follow a letter or a hyphen, or come before a hyphen and a number.
+JOINED_SUFFIXES = "Bis|Ter|Quáter|Quinquies|Sexies"
+
+
 def canonical(number: Column) -> Column:
-    """The validator's form: single spaces, capitalised suffixes, `4o-A`, `29 Bis`, `137 Bis 1`."""
+    """The validator's form: single spaces, capitalised suffixes, `14-A`, `4o-A Bis`, `29 Bis`, `137 Bis 1`."""
     out = F.trim(F.regexp_replace(number, r"\s+", " "))
     for s in SUFFIXES:
-        out = F.regexp_replace(out, rf"(?iu)(?<![\p{{L}}]){s}(?![\p{{L}}])", s)
-    names = "|".join(SUFFIXES)
-    out = F.regexp_replace(out, r"^(\d+o) ([A-Z])$", "$1-$2")
-    out = F.regexp_replace(out, rf"-({names})(?![\p{{L}}])", " $1")
-    return F.regexp_replace(out, rf"({names})-(\d)", "$1 $2")
+        out = F.regexp_replace(out, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){s}(?![\p{{L}}\p{{N}}_])", s)
+    out = F.regexp_replace(out, rf"(\d+[oa]?) ([A-Z])( (?:{JOINED_SUFFIXES})|$)", "$1-$2$3")
+    out = F.regexp_replace(out, rf"-(?={JOINED_SUFFIXES})", " ")
+    return F.regexp_replace(out, rf"({JOINED_SUFFIXES})-(\d)", "$1 $2")
 
 
 def from_outline(name: Column) -> Column:

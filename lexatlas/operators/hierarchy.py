@@ -1,37 +1,75 @@
-"""Trees of divisions and paragraphs: closures, subtree counts, breadcrumbs, path resolution, legality."""
+"""Trees of divisions and paragraphs: closures, subtree counts, breadcrumbs, path resolution, legality.
+
+Trees may be of any depth. Closures grow by levels from the nodes that are asked for; what depends on a node's whole
+chain alone goes by pointer doubling, in as many rounds as the depth has binary digits.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexatlas.functions.numbering import level, path_text, shown_kind
 from lexatlas.sources.corpus import Corpus
-from lexatlas.sources.workspace import fresh_path
+from lexatlas.sources.workspace import fresh_path, materialize
+
+
+def _by_levels(first: DataFrame, step: Callable[[DataFrame], DataFrame], again: Column) -> DataFrame:
+    """first and what step makes of each level until it is empty, with the level as distance; each level is written once.
+    `again` holds for a row that has come back to where it started: ValueError."""
+    spark, kinds = first.sparkSession, first.schema
+    path = fresh_path(spark, "levels")
+    d, here = 0, first
+    while True:
+        here.write.parquet(f"{path}/distance={d}")
+        written = spark.read.schema(kinds).parquet(f"{path}/distance={d}")
+        rows, back = written.agg(F.count("*"), F.coalesce(F.bool_or(again), F.lit(False))).first()
+        if not rows:
+            return spark.read.schema(StructType([*kinds.fields, StructField("distance", IntegerType())])).parquet(path)
+        if d and back:
+            raise ValueError("nodes are their own ancestors")
+        here, d = step(written), d + 1
+
+
+def ancestors(nodes: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(id, ancestor, distance) for each node (id, parent_id) and its ancestors, itself at distance 0; `start`: of these
+    nodes alone. A parent that isn't a node ends its chain; a cycle raises ValueError."""
+    up = nodes.select(F.col("id").alias("ancestor"), F.col("parent_id").alias("up"))
+    first = (nodes if start is None else start).select("id", F.col("id").alias("ancestor"), F.col("parent_id").alias("next"))
+    step = lambda here: here.where("next is not null").select("id", F.col("next").alias("ancestor")).join(up, "ancestor").select("id", "ancestor", F.col("up").alias("next"))
+    return _by_levels(first, step, F.col("id") == F.col("ancestor")).drop("next")
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor, distance) for every node (id, parent_id) and each of its ancestors, itself at distance 0.
+def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, distance) of each of the roots (id) and the nodes (id, parent_id) below it; a cycle raises ValueError."""
+    below = nodes.where("parent_id is not null").select(F.col("parent_id").alias("_up"), F.col("id").alias("_id"))
+    first = roots.select(F.col("id").alias("root"), "id")
+    step = lambda here: here.join(below, F.col("id") == F.col("_up")).select("root", F.col("_id").alias("id"))
+    return _by_levels(first, step, F.col("id") == F.col("root"))
 
-    A join per level, each level written in the shared folder, until no node has a next ancestor: trees may be of any
-    depth. A parent that isn't a node ends its chain; a cycle raises ValueError.
+
+def chains(nodes: DataFrame) -> DataFrame:
+    """(id, depth, parts) of each node (id, parent_id, part): its ancestors' number, and the parts of its chain from the
+    root, itself included, nulls left out.
+
+    Pointer doubling: each round joins every unfinished node with the node it points at, which already knows as much of
+    the chain above. A parent that isn't a node ends its chain; a cycle raises ValueError.
     """
-    spark = nodes.sparkSession
-    path = fresh_path(spark, "ancestors")
-    level = nodes.select("id", F.col("id").alias("ancestor"), F.col("parent_id").alias("next"))
-    kinds, d = level.schema, 0
-    level.write.parquet(f"{path}/distance=0")
-    step = own = spark.read.schema(kinds).parquet(f"{path}/distance=0")
-    parents = own.select("ancestor", F.col("next").alias("up"))
-    while not step.where("next is not null").isEmpty():
-        d += 1
-        up = step.where("next is not null").select("id", F.col("next").alias("ancestor")).join(parents, "ancestor").select("id", "ancestor", F.col("up").alias("next"))
-        up.write.parquet(f"{path}/distance={d}")
-        step = spark.read.schema(kinds).parquet(f"{path}/distance={d}")
-        if not step.where(F.col("id") == F.col("ancestor")).isEmpty():
+    own = nodes.select("id", F.col("parent_id").alias("up"), F.col("parent_id").isNotNull().cast("int").alias("depth"), F.array_compact(F.array("part")).alias("parts"))
+    state, most, rounds = materialize(own, "chains"), None, 0
+    while not state.where("up is not null").isEmpty():
+        if most is None:
+            most = state.count()
+        if 2**rounds > 2 * most:
             raise ValueError("nodes are their own ancestors")
-    return spark.read.schema(StructType([*kinds.fields[:2], StructField("distance", IntegerType())])).parquet(path)
+        there = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("parts").alias("_parts"))
+        moved = state.where("up is not null").join(there, "up", "left").select(
+            "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(-1))).alias("depth"), F.concat(F.coalesce("_parts", F.array().cast("array<string>")), "parts").alias("parts"))
+        state, rounds = materialize(state.where("up is null").unionByName(moved), "chains"), rounds + 1
+    return state.select("id", "depth", "parts")
 
 
 def subtree_counts(corpus: Corpus) -> DataFrame:
@@ -53,8 +91,13 @@ def structure(corpus: Corpus) -> DataFrame:
 
 
 def children(corpus: Corpus, division: int) -> DataFrame:
-    """Direct children of a division, as in structure."""
-    return structure(corpus).where(F.col("parent_id") == division).drop("parent_id")
+    """Direct children of a division, as in structure; only what lies below them is read."""
+    own = corpus.divisions.where(F.col("parent_id") == division)
+    below = descendants(corpus.divisions, own).select("root", F.col("id").alias("division_id"))
+    articles = corpus.articles.join(below, "division_id").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("total"))
+    direct = corpus.articles.join(own.select(F.col("id").alias("division_id")), "division_id", "left_semi")
+    out = own.join(articles, "id", "left").join(first_last(Corpus(corpus.laws, own, direct, corpus.paragraphs)), "id", "left")
+    return out.select("id", "kind", "number", "name", path_text(F.col("kind"), F.col("number"), F.col("name")).alias("path_text"), level(F.col("kind")).alias("level"), F.coalesce("total", F.lit(0)).alias("total"), "first", "last", "position")
 
 
 def inherited_range(corpus: Corpus) -> DataFrame:
@@ -66,9 +109,9 @@ def inherited_range(corpus: Corpus) -> DataFrame:
 
 def breadcrumb(corpus: Corpus, article: int) -> DataFrame:
     """An article's divisions: distance (0 its own), id, kind, number, name, path text; the root comes last by distance."""
-    own = corpus.articles.where(F.col("id") == article).select(F.col("division_id").alias("id"))
-    up = ancestors(corpus.divisions).join(F.broadcast(own), "id").select(F.col("ancestor").alias("id"), "distance")
     d = corpus.divisions
+    own = d.join(corpus.articles.where(F.col("id") == article).select(F.col("division_id").alias("id")), "id", "left_semi")
+    up = ancestors(d, own).select(F.col("ancestor").alias("id"), "distance")
     return d.join(up, "id").select("distance", "id", "kind", "number", "name", path_text(d.kind, d.number, d.name).alias("path_text"))
 
 
@@ -79,17 +122,22 @@ def paths(divisions: DataFrame, separator: str = " > ") -> DataFrame:
     return up.select("id", F.transform("p", lambda x: x["a"]).alias("path_ids"), F.array_join(F.transform("p", lambda x: x["t"]), separator).alias("path_text"), (F.size("p") - 1).alias("depth"))
 
 
-def resolve_path(corpus: Corpus, steps: list[str]) -> DataFrame:
+def resolve_path(corpus: Corpus, steps: list[str], separator: str = " > ") -> DataFrame:
     """The division that kind/number pairs lead to from a root: `['titulo', '1', 'capitulo', '3']`; letters' case is
-    ignored, accents are not. With its full path and direct articles. No row if a step fails or the list is odd or empty."""
-    d = corpus.divisions
+    ignored, accents are not. With its full path and direct articles. No row if a step fails or the list is odd or empty.
+
+    One join a step, from the root down, each with the few divisions of that kind and number.
+    """
+    d = corpus.divisions.withColumn("path_text", path_text(F.col("kind"), F.col("number"), F.col("name")))
     if not steps or len(steps) % 2:
-        return d.select("id", "kind", "number", "name").withColumns({"path_text": F.lit(""), "total": F.lit(0).cast("long")}).limit(0)
-    wanted = F.array(*[F.concat_ws("\x00", F.lower(F.lit(k)), F.upper(F.lit(n))) for k, n in zip(steps[::2], steps[1::2])])
-    key = d.select(F.col("id").alias("ancestor"), F.concat_ws("\x00", F.lower("kind"), F.upper("number")).alias("k"))
-    routes = ancestors(d).join(key, "ancestor").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "k"))), lambda x: x["k"]).alias("route")).where(F.col("route") == wanted)
-    own = corpus.articles.groupBy(F.col("division_id").alias("id")).agg(F.count("*").alias("total"))
-    return d.join(routes.select("id"), "id").join(paths(d).select("id", "path_text"), "id").join(own, "id", "left").select("id", "kind", "number", "name", "path_text", F.coalesce("total", F.lit(0)).alias("total"))
+        return d.select("id", "kind", "number", "name", "path_text").withColumn("total", F.lit(0).cast("long")).limit(0)
+    named = [d.where((F.lower("kind") == F.lower(F.lit(k))) & (F.upper("number") == F.upper(F.lit(n)))) for k, n in zip(steps[::2], steps[1::2])]
+    here = named[0].where("parent_id is null")
+    for following in named[1:]:
+        above = here.select(F.col("id").alias("parent_id"), F.col("path_text").alias("_above"))
+        here = following.join(above, "parent_id").withColumn("path_text", F.concat("_above", F.lit(separator), "path_text"))
+    own = corpus.articles.join(here.select(F.col("id").alias("division_id")), "division_id", "left_semi").groupBy(F.col("division_id").alias("id")).agg(F.count("*").alias("total"))
+    return here.join(own, "id", "left").select("id", "kind", "number", "name", "path_text", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 #: Kinds of division and the kinds that may hold them; "" is the root.
@@ -113,6 +161,6 @@ def paragraph_tree(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs with their depth, and whether they continue another: text below the root."""
     key = ["law", "article_id"]
     node = F.struct(*key, "number")
-    up = ancestors(paragraphs.select(node.alias("id"), F.when(F.col("parent_number").isNotNull(), F.struct(*key, F.col("parent_number").alias("number"))).alias("parent_id")))
-    depth = up.groupBy("id").agg(F.max("distance").alias("depth"))
+    up = F.when(F.col("parent_number").isNotNull(), F.struct(*key, F.col("parent_number").alias("number")))
+    depth = chains(paragraphs.select(node.alias("id"), up.alias("parent_id"), F.lit(None).cast("string").alias("part")))
     return paragraphs.join(depth.select("id.*", "depth"), [*key, "number"]).withColumn("continues", (F.col("kind") == "texto") & (F.col("depth") > 0))

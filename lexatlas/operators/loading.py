@@ -113,8 +113,23 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
+def checksum_entries(sums: DataFrame, law: str) -> DataFrame:
+    """The JSON entries of a law's article checksums (article_id, value), an object each, in no order: so a law of any
+    size can be written as lines and read back by read_checksums."""
+    own = sums.where(F.col("law") == law)
+    return own.select("article_id", F.to_json(F.create_map(F.col("article_id").cast("string"), F.col("checksum"))).alias("value"))
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(number, checksum) of baselines: JSON objects, whether one for a whole law or one a line."""
+    lines = spark.read.text(path, wholetext=False).where(F.trim("value").startswith("{") & F.trim("value").endswith("}"))
+    whole = spark.read.text(path, wholetext=True).where(~F.trim("value").contains("}\n{") & F.trim("value").contains("\n"))
+    objects = lines.unionByName(whole)
+    return objects.select(F.explode(F.from_json("value", "map<string,string>")).alias("number", "checksum"))
+
+
 def checksum_document(sums: DataFrame, law: str) -> DataFrame:
-    """One row: the JSON object of a law's article checksums, in order."""
+    """One row: the JSON object of a law's article checksums, in order, as a baseline of one document holds it."""
     own = sums.where(F.col("law") == law)
     return own.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("article_id").cast("string"), "checksum"))))).alias("value"))
 

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexatlas.operators.hierarchy import ancestors
+from lexatlas.operators.hierarchy import chains
 
 
-def group_hits(hits: DataFrame) -> DataFrame:
-    """Hits (law, id, rank) grouped by law, each group in rank order, larger groups first; of equals, the better first hit."""
-    own = hits.groupBy("law").agg(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("r"), "id"))).alias("h"))
-    out = own.select("law", F.size("h").alias("hits"), F.transform("h", lambda x: x["id"]).alias("ids"), F.get("h", 0)["r"].alias("first"))
-    return out.orderBy(F.desc("hits"), "first", "law").drop("first")
+def group_hits(hits: DataFrame, page: int | None = None) -> DataFrame:
+    """Hits (law, id, rank) grouped by law, larger groups first, of equals that with the better first hit: law, hits (in
+    all), place (from 1), id. `page`: only so many of each law; all by default, a row each, so that no law fills a row.
+    """
+    total = hits.groupBy("law").agg(F.count("*").cast("int").alias("hits"), F.max("rank").alias("_first"))
+    w = Window.partitionBy("law").orderBy(F.desc("rank"), "id")
+    placed = hits.withColumn("place", F.row_number().over(w))
+    shown = placed if page is None else placed.where(F.col("place") <= page)
+    return shown.join(total, "law").orderBy(F.desc("hits"), F.desc("_first"), "law", "place").select("law", "hits", "place", "id")
 
 
 def group_laws(laws: DataFrame, categories: DataFrame, default: str = "fiscal") -> DataFrame:
     """Regulations under their base law, laws in categories (code, category, place): one row per base law."""
-    own = laws.join(F.broadcast(categories), "code", "left").select("code", "kind", "base_law", F.coalesce("category", F.lit(default)).alias("category"), F.coalesce("place", F.lit(0)).alias("place"))
+    own = laws.join(categories, "code", "left").select("code", "kind", "base_law", F.coalesce("category", F.lit(default)).alias("category"), F.coalesce("place", F.lit(0)).alias("place"))
     under = own.where("base_law is not null").groupBy(F.col("base_law").alias("code")).agg(F.array_join(F.sort_array(F.collect_list("code")), ",").alias("regulations"))
     return own.where("base_law is null").join(under, "code", "left").select("category", "place", "code", "regulations").orderBy("place", "category", "code")
 
@@ -48,10 +52,9 @@ def anchors(paragraphs: DataFrame, shown: Column | None = None) -> DataFrame:
     """Anchor of each paragraph (id, parent_id, kind, number): `fraccion-I-inciso-a`; its chain of numbered parts from the
     root, text left out; p-{id} if there is none. `shown` is the id to return, where id is a key of several columns."""
     part = F.when(~F.col("kind").isin("texto", "parrafo") & F.col("number").isNotNull(), F.concat(F.col("kind"), F.lit("-"), F.regexp_replace("number", r"[).]", "")))
-    up = ancestors(paragraphs.select("id", "parent_id")).join(paragraphs.select(F.col("id").alias("ancestor"), part.alias("part")), "ancestor")
-    chain = up.groupBy("id").agg(F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "part"))), lambda x: x["part"].isNotNull()), lambda x: x["part"]), "-").alias("a"))
     own = F.col("id") if shown is None else shown
-    return chain.select(own.alias("id"), F.when(F.col("a") == "", F.concat(F.lit("p-"), own.cast("string"))).otherwise(F.col("a")).alias("anchor"))
+    named = chains(paragraphs.select("id", "parent_id", part.alias("part"))).withColumn("a", F.array_join("parts", "-"))
+    return named.select(own.alias("id"), F.when(F.col("a") == "", F.concat(F.lit("p-"), own.cast("string"))).otherwise(F.col("a")).alias("anchor"))
 
 
 def contents(paragraphs: DataFrame) -> DataFrame:

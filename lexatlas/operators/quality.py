@@ -122,7 +122,7 @@ def regression(before: DataFrame, now: DataFrame) -> DataFrame:
 
 def forbidden_kinds(corpus: Corpus) -> DataFrame:
     """Divisions of a kind that their law doesn't list as allowed."""
-    laws = F.broadcast(corpus.laws.select(F.col("code").alias("law"), "allowed_divisions"))
+    laws = corpus.laws.select(F.col("code").alias("law"), "allowed_divisions")
     return corpus.divisions.join(laws, "law").where(~F.array_contains(F.split("allowed_divisions", ","), F.col("kind"))).select("id", "law", "kind")
 
 
@@ -135,4 +135,4 @@ def rule_integrity(rules: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def previous_and_last(articles: DataFrame) -> DataFrame:
     """Last article of each law."""
-    return articles.withColumn("_r", F.row_number().over(Window.partitionBy("law").orderBy(F.desc("position"), F.desc("id")))).where("_r = 1").select("law", "id", "number")
+    return articles.groupBy("law").agg(F.max_by(F.struct("id", "number"), F.struct("position", "id")).alias("a")).select("law", "a.id", "a.number")

@@ -15,7 +15,7 @@ def parse_citations(rows: DataFrame, text: str = "refs") -> DataFrame:
     `CFF 27, 30` names a law once for the numbers that follow: the code is carried forward over the tokens. Tokens
     before any law, and empty ones, are dropped. Parsed within each row, so nothing is shuffled.
     """
-    pattern = r"^([A-Z][A-Z0-9]{1,9})\s+(.+)$"
+    pattern = r"^([A-Z]{2,10})\s+(.+)$"
     tokens = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
     code = lambda t: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
     number = lambda t: F.when(code(t).isNotNull(), F.trim(F.regexp_extract(t, pattern, 2))).otherwise(t)
@@ -76,7 +76,7 @@ def resolve_loose(corpus: Corpus, tokens: DataFrame) -> DataFrame:
 
 def edge_view(corpus: Corpus, edges: DataFrame) -> DataFrame:
     """Distinct edges (origin, target, edge_kind) between articles, with the names of their laws."""
-    laws = F.broadcast(corpus.laws.select(F.col("code").alias("law"), "name"))
+    laws = corpus.laws.select(F.col("code").alias("law"), "name")
     named = corpus.articles.select("id", "law").join(laws, "law")
     o = named.select(F.col("id").alias("origin"), F.col("name").alias("origin_law"))
     t = named.select(F.col("id").alias("target"), F.col("name").alias("target_law"))

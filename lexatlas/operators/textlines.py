@@ -122,7 +122,7 @@ def page_ranges(articles: DataFrame, spare: int = 5) -> DataFrame:
 
 def without_noise(lines: DataFrame, noise: DataFrame) -> DataFrame:
     """Lines that hold none of their source's noise strings (source, noise: array of strings)."""
-    own = lines.join(F.broadcast(noise), "source", "left")
+    own = lines.join(noise, "source", "left")
     return own.where(~F.exists(F.coalesce("noise", F.array().cast("array<string>")), lambda n: F.contains("text", n))).drop("noise")
 
 

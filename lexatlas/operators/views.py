@@ -32,7 +32,7 @@ def divisions_view(corpus: Corpus) -> DataFrame:
 
 
 def _articles(corpus: Corpus, text: DataFrame) -> DataFrame:
-    a = corpus.articles.join(F.broadcast(corpus.laws.select(F.col("code").alias("law"), F.col("name").alias("law_name"))), "law")
+    a = corpus.articles.join(corpus.laws.select(F.col("code").alias("law"), F.col("name").alias("law_name")), "law")
     d = corpus.divisions.select(F.col("id").alias("division_id"), "law", place(F.col("kind"), F.col("number")).alias("place"))
     t = text.select("law", F.col("article_id").alias("id"), F.col("text").alias("content"))
     return a.join(d, ["division_id", "law"], "left").join(t, ["law", "id"], "left").withColumns({"base": base_number(F.col("number")), "is_transitory": F.col("kind") == "transitorio"})

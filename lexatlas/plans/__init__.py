@@ -2,11 +2,11 @@
 
 from lexatlas.plans import application, catalog, lines, quality  # noqa: F401
 from lexatlas.plans.registry import ORACLE, QUERIES, query
-from lexatlas.sources.corpus import MODEL, WHOLE_MODEL, on_whole
+from lexatlas.sources.corpus import MODEL
 
-# queries on the corpus run over a part of the orders, as their SQL does; under name_completo they run over all
+# queries on the corpus cover all of it; each is known as name_completo, too
 for _name, _sql in list(ORACLE.items()):
     if MODEL in _sql and f"{_name}_completo" not in QUERIES:
-        query(f"{_name}_completo", _sql.replace(MODEL, WHOLE_MODEL))(on_whole(QUERIES[_name]))
+        query(f"{_name}_completo", _sql)(QUERIES[_name])
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -9,7 +9,7 @@ from lexatlas.functions import numbering as n
 from lexatlas.operators import hierarchy, loading, presentation as p, references, search as s
 from lexatlas.plans.catalog import _CLOSURE, _STRUCTURE
 from lexatlas.plans.registry import query
-from lexatlas.sources.corpus import MODEL, WHOLE_MODEL, load, on_whole
+from lexatlas.sources.corpus import MODEL, load
 from lexatlas.sources.workspace import table
 
 _WITH = f"WITH RECURSIVE {MODEL}"
@@ -53,7 +53,7 @@ def _by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rango_cobertura")
 def _cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4, T5: cover density and snippets; compared with a loop in the tests."""
+    """T4, T5: cover density and snippets; tests compare both with a loop."""
     return s.search(_docs(spark, sf_dir), "the anin", limit=50, rank="cover")
 
 
@@ -100,8 +100,8 @@ def _vectors_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 # references
 
 @query("buscar_referencias", f"""{_WITH}, tok AS (SELECT id, unnest(string_split(refs, ',')) AS t, unnest(range(len(string_split(refs, ',')))) AS part FROM articles),
-p AS (SELECT id, part, trim(t) AS t, regexp_extract(trim(t), '^([A-Z][A-Z0-9]{{1,9}})\\s+(.+)$', 1) AS code FROM tok WHERE trim(t) <> ''),
-c AS (SELECT id, CAST(part AS INTEGER) AS part, last_value(nullif(code, '') IGNORE NULLS) OVER (PARTITION BY id ORDER BY part) AS law, CASE WHEN code <> '' THEN regexp_extract(t, '^([A-Z][A-Z0-9]{{1,9}})\\s+(.+)$', 2) ELSE t END AS number FROM p),
+p AS (SELECT id, part, trim(t) AS t, regexp_extract(trim(t), '^([A-Z]{{2,10}})\\s+(.+)$', 1) AS code FROM tok WHERE trim(t) <> ''),
+c AS (SELECT id, CAST(part AS INTEGER) AS part, last_value(nullif(code, '') IGNORE NULLS) OVER (PARTITION BY id ORDER BY part) AS law, CASE WHEN code <> '' THEN regexp_extract(t, '^([A-Z]{{2,10}})\\s+(.+)$', 2) ELSE t END AS number FROM p),
 one AS (SELECT law, number, min(id) AS article FROM articles GROUP BY 1, 2), txt AS (SELECT law, article_id, substring(string_agg(content, ' ' ORDER BY number), 1, 500) AS content FROM paragraphs WHERE parent_number IS NULL GROUP BY 1, 2)
 SELECT c.id, c.part, c.law, c.number, a.title, txt.content, one.article IS NOT NULL AS found FROM c LEFT JOIN one ON one.law = c.law AND one.number = c.number LEFT JOIN articles a ON a.id = one.article LEFT JOIN txt ON txt.article_id = one.article AND txt.law = c.law WHERE c.law IS NOT NULL""")
 def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.resolve_citations(corpus, references.parse_citations(corpus.articles))
 
 
-@query("buscar_referencias_antigua", f"""{_WITH}, a AS (SELECT id, 'CFF' AS law, number, title FROM articles WHERE law = 'L1'), q AS (SELECT id, CASE id % 3 WHEN 0 THEN number WHEN 1 THEN CAST(id AS VARCHAR) ELSE lower(number) END AS number FROM articles),
+@query("buscar_referencias_antigua", f"""{_WITH}, a AS (SELECT id, 'CFF' AS law, number, title FROM articles WHERE law = 'LB'), q AS (SELECT id, CASE id % 3 WHEN 0 THEN number WHEN 1 THEN CAST(id AS VARCHAR) ELSE lower(number) END AS number FROM articles),
 m AS (SELECT q.id, q.number, a.number AS have, a.title, row_number() OVER (PARTITION BY q.id ORDER BY a.number, a.title NULLS FIRST) AS r FROM q JOIN a ON upper(a.number) = upper(q.number) OR upper(a.number) = upper(q.number || '.') OR (regexp_full_match(q.number, '[0-9]+') AND (starts_with(a.number, q.number || '.') OR starts_with(a.number, q.number || '-'))))
 SELECT q.id, CAST(0 AS INTEGER) AS part, 'CFF' AS law, q.number, m.have AS matched, m.title, m.have IS NOT NULL AS found FROM q LEFT JOIN m ON m.id = q.id AND m.r = 1 WHERE NOT regexp_matches(q.number, '^[a-z]')""")
 def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = load(spark, sf_dir)
     cited = F.when(F.col("id") % 3 == 0, F.col("number")).when(F.col("id") % 3 == 1, F.col("id").cast("string")).otherwise(F.lower("number"))
     texts = corpus.articles.select("id", F.concat(F.lit("vea CFF "), cited).alias("refs"))
-    own = type(corpus)(corpus.laws, corpus.divisions, corpus.articles.where("law = 'L1'").withColumn("law", F.lit("CFF")), corpus.paragraphs)
+    own = type(corpus)(corpus.laws, corpus.divisions, corpus.articles.where("law = 'LB'").withColumn("law", F.lit("CFF")), corpus.paragraphs)
     return references.resolve_loose(own, references.parse_loose_citations(texts))
 
 
@@ -156,18 +156,18 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("id", "law", "number", "division_id").unionByName(a.join(bad.select("law", "number"), ["law", "number"]).withColumn("division_id", F.lit(None).cast("long")))
 
 
-@query("sin_ley", f"{_WITH} SELECT id, law FROM articles WHERE law <> 'L2'")
+@query("sin_ley", f"{_WITH} SELECT id, law FROM articles WHERE law <> 'LC'")
 def _without(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4."""
-    return loading.without_law(load(spark, sf_dir).articles, "L2").select("id", "law")
+    return loading.without_law(load(spark, sf_dir).articles, "LC").select("id", "law")
 
 
-@query("checksums_json", f"{_WITH}, s AS (SELECT article_id, substring(sha256(string_agg(content, chr(10) ORDER BY number)), 1, 16) AS c FROM paragraphs WHERE law = 'L1' GROUP BY 1) SELECT '{{' || string_agg('\"' || CAST(article_id AS VARCHAR) || '\":\"' || c || '\"', ',' ORDER BY CAST(article_id AS VARCHAR)) || '}}' AS value FROM s")
+@query("checksums_json", f"{_WITH}, s AS (SELECT article_id, substring(sha256(string_agg(content, chr(10) ORDER BY number)), 1, 16) AS c FROM paragraphs WHERE law = 'LB' GROUP BY 1) SELECT '{{' || string_agg('\"' || CAST(article_id AS VARCHAR) || '\":\"' || c || '\"', ',' ORDER BY CAST(article_id AS VARCHAR)) || '}}' AS value FROM s")
 def _document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6, K5, S10."""
     from lexatlas.operators.quality import article_checksums
 
-    return loading.checksum_document(article_checksums(load(spark, sf_dir).paragraphs), "L1")
+    return loading.checksum_document(article_checksums(load(spark, sf_dir).paragraphs), "LB")
 
 
 @query("registrar_busqueda", "SELECT lower(trim(event_type)) AS term, count(*) AS times, max(ts) AS last_seen FROM events WHERE length(trim(event_type)) >= 2 GROUP BY 1")
@@ -185,30 +185,22 @@ def _frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # presentation
 
-@query("resultados_por_ley", f"""{_WITH}, h AS (SELECT law, id, (id % 100) / 10.0::DOUBLE AS rank FROM articles WHERE id % 9 = 0) SELECT law, CAST(count(*) AS INTEGER) AS hits, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank DESC, id) AS ids FROM h GROUP BY 1""")
-def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A13, T10."""
-    hits = load(spark, sf_dir).articles.where("id % 9 = 0").select("law", "id", ((F.col("id") % 100) / 10.0).alias("rank"))
-    return p.group_hits(hits).withColumn("ids", F.array_join("ids", ","))
-
-
-@query("resultados_por_ley_completo", f"""WITH RECURSIVE {WHOLE_MODEL}, w AS (SELECT article_id AS id, any_value(law) AS law, regexp_extract_all(lower(string_agg(content, ' ')), '[\\p{{L}}\\p{{N}}]+') AS words FROM paragraphs GROUP BY 1),
+@query("resultados_por_ley", f"""WITH RECURSIVE {MODEL}, w AS (SELECT article_id AS id, any_value(law) AS law, regexp_extract_all(lower(string_agg(content, ' ')), '[\\p{{L}}\\p{{N}}]+') AS words FROM paragraphs GROUP BY 1),
 n AS (SELECT law, id, len(list_filter(words, lambda w: w = 'returned')) AS f, len(list_filter(words, lambda w: w = 'r')) AS g FROM w),
 h AS (SELECT law, id, round(0.4::DOUBLE * f / (f + 1.0::DOUBLE) + 0.4::DOUBLE * g / (g + 1.0::DOUBLE), 6) AS rank FROM n WHERE f > 0 AND g > 0)
-SELECT law, CAST(count(*) AS INTEGER) AS hits, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank DESC, id) AS ids FROM h GROUP BY 1""")
-@on_whole
+SELECT law, CAST(count(*) OVER (PARTITION BY law) AS INTEGER) AS hits, CAST(row_number() OVER (PARTITION BY law ORDER BY rank DESC, id) AS INTEGER) AS place, id FROM h""")
 def _grouped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All hits of a search over the texts of all articles."""
     asked = s.parse("returned r")
     texts = load(spark, sf_dir).paragraphs.groupBy("law", F.col("article_id").alias("id")).agg(F.array_join(F.collect_list("content"), " ").alias("text"))
     own = texts.withColumn("words", s.tokens(F.col("text"))).where(s.matches(F.col("words"), asked))
-    return p.group_hits(own.select("law", "id", s.simple_rank(F.col("words"), asked).alias("rank"))).withColumn("ids", F.array_join("ids", ","))
+    return p.group_hits(own.select("law", "id", s.simple_rank(F.col("words"), asked).alias("rank")))
 
 
-@query("leyes_por_categoria", f"{_WITH} SELECT CASE code WHEN 'L1' THEN 'laboral' ELSE 'fiscal' END AS category, CAST(CASE code WHEN 'L1' THEN 2 ELSE 0 END AS INTEGER) AS place, code, (SELECT string_agg(r.code, ',' ORDER BY r.code) FROM laws r WHERE r.base_law = l.code) AS regulations FROM laws l WHERE base_law IS NULL")
+@query("categorias_de_leyes", f"{_WITH} SELECT CASE code WHEN 'LB' THEN 'laboral' ELSE 'fiscal' END AS category, CAST(CASE code WHEN 'LB' THEN 2 ELSE 0 END AS INTEGER) AS place, code, (SELECT string_agg(r.code, ',' ORDER BY r.code) FROM laws r WHERE r.base_law = l.code) AS regulations FROM laws l WHERE base_law IS NULL")
 def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14."""
-    return p.group_laws(load(spark, sf_dir).laws, spark.createDataFrame([("L1", "laboral", 2)], "code string, category string, place int"))
+    return p.group_laws(load(spark, sf_dir).laws, spark.createDataFrame([("LB", "laboral", 2)], "code string, category string, place int"))
 
 
 @query("indice_anidado", f"""{_WITH}, {_CLOSURE}, {_STRUCTURE}, own AS (SELECT * FROM structure WHERE total > 0 OR first IS NOT NULL),
@@ -350,4 +342,4 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir)
     up = hierarchy.ancestors(c.divisions).join(c.divisions.select(F.col("id").alias("ancestor"), "kind", "number"), "ancestor")
     wide = up.groupBy(F.col("id").alias("division_id")).agg(*[F.max(F.when(F.col("kind") == k, F.col("number"))).alias(name) for k, name in (("seccion", "section"), ("capitulo", "chapter"), ("titulo", "title"))])
-    return c.articles.select("id", "law", "division_id").join(F.broadcast(c.laws.select(F.col("code").alias("law"), F.col("name").alias("law_name"))), "law").join(wide, "division_id", "left").select("id", "law_name", "section", "chapter", "title")
+    return c.articles.select("id", "law", "division_id").join(c.laws.select(F.col("code").alias("law"), F.col("name").alias("law_name")), "law").join(wide, "division_id", "left").select("id", "law_name", "section", "chapter", "title")

@@ -57,8 +57,9 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("contenido_en_ruta", f"{_WITH}, {_CLOSURE} SELECT id FROM closure WHERE ancestor = 1003")
 def _within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10: divisions whose path holds another."""
-    return hierarchy.paths(load(spark, sf_dir).divisions).where(F.array_contains("path_ids", F.lit(1003).cast("long"))).select("id")
+    """P10: divisions whose path holds another, found from there down."""
+    d = load(spark, sf_dir).divisions
+    return hierarchy.descendants(d, d.where("id = 1003")).select("id")
 
 
 @query("division_por_path", f"""{_WITH}, {_CLOSURE}
@@ -70,9 +71,9 @@ WHERE r.parent_id IS NULL AND lower(c.kind) = 'capitulo' AND s.number = '6' AND
 def _by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path of section 6, resolved; letters' case of kinds is mixed on purpose."""
     corpus = load(spark, sf_dir)
-    row = hierarchy.paths(corpus.divisions).where("id = 1000006").select("path_ids").first()
-    numbers = {r["id"]: r["number"] for r in corpus.divisions.where(F.col("id").isin(row["path_ids"])).select("id", "number").collect()}
-    steps = [x for kind, i in zip(("Titulo", "CAPITULO", "seccion"), row["path_ids"]) for x in (kind, numbers[i])]
+    up = hierarchy.ancestors(corpus.divisions, corpus.divisions.where("id = 1000006")).select(F.col("ancestor").alias("id"), "distance")
+    numbers = [r["number"] for r in corpus.divisions.join(up, "id").orderBy(F.desc("distance")).select("number").take(3)]
+    steps = [x for kind, number in zip(("Titulo", "CAPITULO", "seccion"), numbers) for x in (kind, number)]
     return hierarchy.resolve_path(corpus, steps)
 
 
@@ -102,7 +103,7 @@ def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.shown_divisions(load(spark, sf_dir).divisions)
 
 
-@query("v_leyes", f"{_WITH} SELECT l.code, l.name, l.short_name, l.kind, l.base_law, (SELECT count(*) FROM articles a WHERE a.law = l.code) AS total_articles FROM laws l")
+@query("vista_leyes", f"{_WITH} SELECT l.code, l.name, l.short_name, l.kind, l.base_law, (SELECT count(*) FROM articles a WHERE a.law = l.code) AS total_articles FROM laws l")
 def _laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1, A2, S1."""
     return views.laws_view(load(spark, sf_dir))
@@ -141,10 +142,10 @@ def _article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.article(load(spark, sf_dir), 3)
 
 
-@query("articulo_por_ley", f"{_FULL} SELECT * FROM full_articles WHERE law = 'L1' AND number = (SELECT min(number) FROM articles WHERE law = 'L1')")
+@query("articulo_por_ley", f"{_FULL} SELECT * FROM full_articles WHERE law = 'LB' AND number = (SELECT min(number) FROM articles WHERE law = 'LB')")
 def _by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = load(spark, sf_dir)
-    return views.article_by_number(corpus, "L1", corpus.of("L1").articles.agg(F.min("number")).first()[0])
+    return views.article_by_number(corpus, "LB", corpus.of("LB").articles.agg(F.min("number")).first()[0])
 
 
 @query("articulos_division", f"""{_WITH}, t AS (SELECT law, article_id, string_agg(content, chr(10) || chr(10) ORDER BY number) AS content FROM paragraphs WHERE parent_number IS NULL AND kind = 'texto' GROUP BY 1, 2)
@@ -158,8 +159,8 @@ def _in_division(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _below(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older articulos_division (subtree), with the conditional order key of O6."""
     corpus = load(spark, sf_dir)
-    own = hierarchy.ancestors(corpus.divisions).where("ancestor = 1003").select(F.col("id").alias("division_id"))
-    laws = F.broadcast(corpus.laws.select(F.col("code").alias("law"), F.col("kind").alias("law_kind")))
+    own = hierarchy.descendants(corpus.divisions, corpus.divisions.where("id = 1003")).select(F.col("id").alias("division_id"))
+    laws = corpus.laws.select(F.col("code").alias("law"), F.col("kind").alias("law_kind"))
     key = F.when(F.col("law_kind") == "resolucion", F.regexp_extract("number", r"(\d+)$", 1)).otherwise(F.col("position").cast("string"))
     return corpus.articles.join(own, "division_id").join(laws, "law").select("id", "number", "position", key.alias("order_key"))
 
@@ -205,16 +206,16 @@ def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.suggestions(load(spark, sf_dir).articles, "12")
 
 
-@query("filtro_lista", f"{_WITH} SELECT id, law, kind FROM articles WHERE law IN ('L1', 'L3') AND kind IN ('regla')")
+@query("filtro_lista", f"{_WITH} SELECT id, law, kind FROM articles WHERE law IN ('LB', 'LD') AND kind IN ('regla')")
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optional comma-separated filters."""
-    return load(spark, sf_dir).articles.where(views.in_list("law", "L1,L3") & views.in_list("kind", "regla") & views.in_list("number", None)).select("id", "law", "kind")
+    return load(spark, sf_dir).articles.where(views.in_list("law", "LB,LD") & views.in_list("kind", "regla") & views.in_list("number", None)).select("id", "law", "kind")
 
 
-@query("lectura_rest", f"{_WITH} SELECT id, law, number FROM articles WHERE law = 'L2' AND position > 5 AND number ILIKE '%a%' ORDER BY id LIMIT 20 OFFSET 3")
+@query("lectura_rest", f"{_WITH} SELECT id, law, number FROM articles WHERE law = 'LC' AND position > 5 AND number ILIKE '%a%' ORDER BY id LIMIT 20 OFFSET 3")
 def _rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gateway's filters, order, limit and offset."""
-    return views.rest_scan(load(spark, sf_dir).articles, {"law": "eq.L2", "position": "gt.5", "number": "ilike.*a*", "order": "id", "limit": "20", "offset": "3", "select": "id,law,number"})
+    return views.rest_scan(load(spark, sf_dir).articles, {"law": "eq.LC", "position": "gt.5", "number": "ilike.*a*", "order": "id", "limit": "20", "offset": "3", "select": "id,law,number"})
 
 
 @query("v_referencias", f"""{_WITH}
@@ -242,9 +243,9 @@ def _in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", ids("outgoing"), ids("incoming"))
 
 
-@query("division_por_tipo_numero", f"{_WITH} SELECT d.id, d.kind, d.number, d.name, (SELECT count(*) FROM articles a WHERE a.division_id = d.id) AS total FROM divisions d WHERE d.law = 'L1' AND d.kind = 'capitulo' AND d.number = (SELECT min(number) FROM divisions WHERE law = 'L1' AND kind = 'capitulo')")
+@query("division_por_tipo_numero", f"{_WITH} SELECT d.id, d.kind, d.number, d.name, (SELECT count(*) FROM articles a WHERE a.division_id = d.id) AS total FROM divisions d WHERE d.law = 'LB' AND d.kind = 'capitulo' AND d.number = (SELECT min(number) FROM divisions WHERE law = 'LB' AND kind = 'capitulo')")
 def _kind_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = load(spark, sf_dir).of("L1")
+    own = load(spark, sf_dir).of("LB")
     first = own.divisions.where("kind = 'capitulo'").agg(F.min("number")).first()[0]
     return views.divisions_view(own).where((F.col("kind") == "capitulo") & (F.col("number") == first)).select("id", "kind", "number", "name", F.col("total_articles").alias("total"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexatlas.functions import numbering
 from lexatlas.operators import quality as q
 from lexatlas.plans.registry import query
-from lexatlas.sources.corpus import MODEL, WHOLE_MODEL, Corpus, load, on_whole
+from lexatlas.sources.corpus import MODEL, Corpus, load
 from lexatlas.sources.workspace import table
 
 _WITH = f"WITH {MODEL}"
@@ -21,17 +21,8 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.orphans(c.articles, c.divisions.where("id % 5 != 2").withColumnRenamed("id", "division_id"), "division_id").select("id", "law")
 
 
-@query("capitulos_vacios", f"""{_WITH}, few AS (SELECT * FROM articles WHERE id % 97 = 0) SELECT d.id, d.law, d.number FROM divisions d WHERE d.kind = 'capitulo'
-AND NOT EXISTS (SELECT 1 FROM few a WHERE a.division_id = d.id) AND NOT EXISTS (SELECT 1 FROM few a JOIN divisions s ON a.division_id = s.id WHERE s.parent_id = d.id)""")
-def _empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two anti-joins, over few of the articles."""
-    c = load(spark, sf_dir)
-    return q.empty_chapters(Corpus(c.laws, c.divisions, c.articles.where("id % 97 = 0"), c.paragraphs))
-
-
-@query("capitulos_vacios_completo", f"""WITH {WHOLE_MODEL} SELECT d.id, d.law, d.number FROM divisions d WHERE d.kind = 'capitulo'
+@query("capitulos_vacios", f"""WITH {MODEL} SELECT d.id, d.law, d.number FROM divisions d WHERE d.kind = 'capitulo'
 AND NOT EXISTS (SELECT 1 FROM articles a WHERE a.division_id = d.id) AND NOT EXISTS (SELECT 1 FROM articles a JOIN divisions s ON a.division_id = s.id WHERE s.parent_id = d.id)""")
-@on_whole
 def _empty_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6, P9, over all articles."""
     return q.empty_chapters(load(spark, sf_dir))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexatlas.sources.workspace import table
+from lexatlas.sources.ranking import numbered
+from lexatlas.sources.workspace import materialize, table
 
 
 @dataclass(frozen=True)
@@ -33,93 +32,80 @@ class Corpus:
 
 
 #: The tables of the test data as a corpus: regions are laws and their titles, nations chapters, customers sections,
-#: orders articles and line items paragraphs. The same text defines it in Spark and in DuckDB.
-LAWS = """
-SELECT concat('L', cast(r_regionkey AS varchar(9))) AS code, r_name AS name, substring(r_name, 1, 3) AS short_name,
+#: orders articles and line items paragraphs, all of them. Gaps are rows added (per region a chapter without articles,
+#: per nation an article without paragraphs) and positions left out. The same text defines it in Spark and in DuckDB.
+_CODE = "concat('L', chr(65 + r_regionkey))"
+_LAW = "concat('L', chr(65 + n_regionkey))"
+LAWS = f"""
+SELECT {_CODE} AS code, r_name AS name, substring(r_name, 1, 3) AS short_name,
        CASE r_regionkey % 4 WHEN 0 THEN 'codigo' WHEN 1 THEN 'ley' WHEN 2 THEN 'reglamento' ELSE 'resolucion' END AS kind,
-       CASE WHEN r_regionkey % 4 = 2 THEN 'L0' END AS base_law,
+       CASE WHEN r_regionkey % 4 = 2 THEN 'LA' END AS base_law,
        CASE WHEN r_regionkey % 2 = 0 THEN 'titulo,capitulo,seccion' ELSE 'titulo,capitulo' END AS allowed_divisions
 FROM region"""
-DIVISIONS = """
-SELECT cast(r_regionkey AS bigint) AS id, concat('L', cast(r_regionkey AS varchar(9))) AS law, cast(NULL AS bigint) AS parent_id,
+DIVISIONS = f"""
+SELECT cast(r_regionkey AS bigint) AS id, {_CODE} AS law, cast(NULL AS bigint) AS parent_id,
        'titulo' AS kind, cast(r_regionkey + 1 AS varchar(20)) AS number, cast(r_regionkey + 1 AS int) AS position, r_name AS name
 FROM region
 UNION ALL
-SELECT cast(1000 + n_nationkey AS bigint), concat('L', cast(n_regionkey AS varchar(9))), cast(n_regionkey AS bigint),
+SELECT cast(1000 + n_nationkey AS bigint), {_LAW}, cast(n_regionkey AS bigint),
        'capitulo', cast(n_nationkey AS varchar(20)), cast(n_nationkey AS int), n_name
 FROM nation
 UNION ALL
-SELECT 1000000 + c_custkey, concat('L', cast(n_regionkey AS varchar(9))), cast(1000 + c_nationkey AS bigint),
+SELECT 1000000 + c_custkey, {_LAW}, cast(1000 + c_nationkey AS bigint),
        'seccion', cast(c_custkey AS varchar(20)), cast(c_custkey AS int), CASE WHEN c_custkey % 3 <> 0 THEN c_name END
-FROM customer JOIN nation ON c_nationkey = n_nationkey"""
-ARTICLES = """
-SELECT o_orderkey AS id, concat('L', cast(n_regionkey AS varchar(9))) AS law,
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL
+SELECT cast(2000 + r_regionkey AS bigint), {_CODE}, cast(r_regionkey AS bigint),
+       'capitulo', cast(2000 + r_regionkey AS varchar(20)), cast(2000 + r_regionkey AS int), concat(r_name, ' (vacio)')
+FROM region"""
+_ORDERS = f"""
+SELECT o_orderkey AS id, {_LAW} AS law,
        CASE WHEN o_orderkey % 10 = 0 THEN cast(1000 + n_nationkey AS bigint) ELSE 1000000 + c_custkey END AS division_id,
        concat(cast(o_orderkey AS varchar(20)), CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '-A' WHEN 2 THEN ' Bis' ELSE '.1.2' END) AS number,
        CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS title,
        CASE WHEN o_orderstatus = 'P' THEN 'transitorio' WHEN o_orderkey % 3 = 0 THEN 'regla' ELSE 'articulo' END AS kind,
        CASE WHEN o_orderkey % 5 = 0 THEN concat('DOF ', o_orderstatus) END AS reforms,
-       concat('L0 ', cast(o_orderkey AS varchar(20)), ', ', cast(o_custkey AS varchar(20)), ', L1 ', cast(o_orderkey + 1 AS varchar(20)), '-A') AS refs,
-       cast(row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey, o_orderkey) + floor(row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey, o_orderkey) / 10) AS bigint) AS position
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE o_orderkey % 7 <> 0 AND c_custkey % 5 <> 4"""
-PARAGRAPHS = """
+       concat('LA ', cast(o_orderkey AS varchar(20)), ', ', cast(o_custkey AS varchar(20)), ', LB ', cast(o_orderkey + 1 AS varchar(20)), '-A') AS refs,
+       c_custkey AS customer
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+_BARE = f"""
+SELECT 900000000000 + n_nationkey AS id, {_LAW} AS law, cast(1000 + n_nationkey AS bigint) AS division_id, concat('V', cast(n_nationkey AS varchar(20))) AS number,
+       n_name AS title, 'articulo' AS kind, cast(NULL AS varchar(20)) AS reforms, cast(NULL AS varchar(20)) AS refs, 900000000000 + n_nationkey AS position
+FROM nation"""
+_ARTICLE = "id, law, division_id, number, title, kind, reforms, refs"
+ARTICLES = f"""
+SELECT {_ARTICLE}, cast(n + floor(n / 10) AS bigint) AS position
+FROM (SELECT *, row_number() OVER (PARTITION BY law ORDER BY customer, id) AS n FROM ({_ORDERS}) o) x
+UNION ALL {_BARE}"""
+_LINE_ORDER = "l_partkey, l_suppkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax"
+_LINES = f"""
+SELECT {_LAW} AS law, l_orderkey AS article_id, {_LINE_ORDER},
+       concat('Part ', cast(l_partkey AS varchar(20)), ' from supplier ', cast(l_suppkey AS varchar(20)), ' returned ', l_returnflag, ', status ', l_linestatus, '.') AS content
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+_PARAGRAPH = """
 SELECT law, article_id, number, CASE WHEN number >= 2 AND number % 4 <> 3 THEN cast(floor(number / 2) AS bigint) END AS parent_number,
        CASE WHEN number < 2 OR number % 4 = 3 THEN 'texto' WHEN number % 3 = 0 THEN 'fraccion' WHEN number % 3 = 1 THEN 'inciso' ELSE 'texto' END AS kind,
        CASE WHEN number < 2 OR number % 4 = 3 THEN NULL WHEN number % 3 = 0 THEN 'II' WHEN number % 3 = 1 THEN 'b)' END AS identifier,
-       content
-FROM (
-  SELECT concat('L', cast(n_regionkey AS varchar(9))) AS law, l_orderkey AS article_id,
-         cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) AS bigint) AS number,
-         concat('Part ', cast(l_partkey AS varchar(20)), ' from supplier ', cast(l_suppkey AS varchar(20)), ' returned ', l_returnflag, ', status ', l_linestatus, '.') AS content
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderkey % 7 <> 0 AND c_custkey % 5 <> 4 AND o_orderkey % 11 <> 5
-) x"""
+       content"""
+PARAGRAPHS = f"""{_PARAGRAPH}
+FROM (SELECT law, article_id, content, row_number() OVER (PARTITION BY article_id ORDER BY {_LINE_ORDER}) AS number FROM ({_LINES}) l) x"""
 #: DuckDB: the four tables, to be put before a query.
 MODEL = f"laws AS ({LAWS}), divisions AS ({DIVISIONS}), articles AS ({ARTICLES}), paragraphs AS ({PARAGRAPHS})"
-
-
-def _every(text: str) -> str:
-    """The SQL without its filter of orders."""
-    return re.sub(r"\n +WHERE o_orderkey.*|\nWHERE o_orderkey.*", "", text)
-
-
-#: The whole corpus: every order and every line item. Gaps are rows added: per region a chapter without articles, per
-#: nation an article without paragraphs.
-WHOLE_DIVISIONS = f"""{DIVISIONS}
-UNION ALL
-SELECT cast(2000 + r_regionkey AS bigint), concat('L', cast(r_regionkey AS varchar(9))), cast(r_regionkey AS bigint),
-       'capitulo', cast(2000 + r_regionkey AS varchar(20)), cast(2000 + r_regionkey AS int), concat(r_name, ' (vacio)')
-FROM region"""
-WHOLE_ARTICLES = f"""{_every(ARTICLES)}
-UNION ALL
-SELECT 900000000000 + n_nationkey, concat('L', cast(n_regionkey AS varchar(9))), cast(1000 + n_nationkey AS bigint), concat('V', cast(n_nationkey AS varchar(20))),
-       n_name, 'articulo', NULL, NULL, 900000000000 + n_nationkey
-FROM nation"""
-WHOLE_PARAGRAPHS = _every(PARAGRAPHS)
-#: DuckDB: the four tables of the whole corpus.
-WHOLE_MODEL = f"laws AS ({LAWS}), divisions AS ({WHOLE_DIVISIONS}), articles AS ({WHOLE_ARTICLES}), paragraphs AS ({WHOLE_PARAGRAPHS})"
-_TEXTS = ContextVar("texts", default=(LAWS, DIVISIONS, ARTICLES, PARAGRAPHS))
+_LOADED: dict[tuple[str, str], Corpus] = {}
 
 
 def load(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The test data as a corpus; the whole of it in a query made by on_whole."""
-    names = ("region", "nation", "customer", "orders", "lineitem")
-    tables = {n: table(spark, sf_dir, n) for n in names}
-    return Corpus(*(spark.sql(_placed(text, names), **tables) for text in _TEXTS.get()))
-
-
-def on_whole(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query over the whole corpus."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = _TEXTS.set((LAWS, WHOLE_DIVISIONS, WHOLE_ARTICLES, WHOLE_PARAGRAPHS))
-        try:
-            return function(spark, sf_dir)
-        finally:
-            _TEXTS.reset(before)
-
-    return run
+    """The test data as a corpus: made once for each session and folder, and read from the shared folder from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        names = ("region", "nation", "customer", "orders", "lineitem")
+        tables = {n: table(spark, sf_dir, n) for n in names}
+        of = lambda text: spark.sql(_placed(text, names), **tables)
+        placed = numbered(of(_ORDERS), ["law"], ["customer", "id"]).selectExpr(*_ARTICLE.split(", "), "cast(n + floor(n / 10) AS bigint) AS position")
+        lines = numbered(of(_LINES), ["article_id"], _LINE_ORDER.split(", "), "number")
+        paragraphs = spark.sql(f"{_PARAGRAPH} FROM {{lines}}", lines=lines)
+        _LOADED[key] = Corpus(*(materialize(df, name) for df, name in ((of(LAWS), "laws"), (of(DIVISIONS), "divisions"), (placed.unionByName(of(_BARE)), "articles"), (paragraphs, "paragraphs"))))
+    return _LOADED[key]
 
 
 def _placed(text: str, names: tuple[str, ...]) -> str:
