@@ -90,6 +90,15 @@ def structure(corpus: Corpus) -> DataFrame:
     return out.select("id", "kind", "number", "name", path_text(d.kind, d.number, d.name).alias("path_text"), level(d.kind).alias("level"), F.coalesce("total", F.lit(0)).alias("total"), "first", "last", "parent_id", "position")
 
 
+def older_structure(corpus: Corpus) -> DataFrame:
+    """The older form of a law's structure: full path text, level, direct and inherited articles together, and the smallest
+    number of those directly in a division."""
+    d = corpus.divisions
+    smallest = corpus.articles.groupBy(F.col("division_id").alias("id")).agg(F.min("number").alias("first"))
+    out = d.join(paths(d).select("id", "path_text"), "id").join(subtree_counts(corpus), "id", "left").join(smallest, "id", "left")
+    return out.select("id", "kind", "number", "name", "path_text", level(F.col("kind")).alias("level"), F.coalesce("total", F.lit(0)).alias("total"), "first")
+
+
 def children(corpus: Corpus, division: int) -> DataFrame:
     """Direct children of a division, as in structure; only what lies below them is read."""
     own = corpus.divisions.where(F.col("parent_id") == division)

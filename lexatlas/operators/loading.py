@@ -15,15 +15,19 @@ _PARAGRAPH = "struct<numero:int,tipo:string,identificador:string,contenido:strin
 CONTENT_SCHEMA = f"ley string, tipo_contenido string, ultima_reforma_dof string, articulos array<struct<numero:string,tipo:string,orden:int,pagina:int,nombre:string,division:string,referencias:string,parrafos:array<{_PARAGRAPH}>>>"
 
 
-def read_maps(spark: SparkSession, path: str) -> DataFrame:
-    """Structure maps, one document a file. Of repeated keys the last counts."""
+def read_maps(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Structure maps, one document a file, or one a line. Of repeated keys the last counts."""
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", MAP_SCHEMA).alias("m")).select("m.*")
+    docs = spark.read.text(path, wholetext=not lines).select(F.from_json("value", MAP_SCHEMA).alias("m")).select("m.*")
+    once = lambda m: F.map_from_entries(F.map_entries(m))  # noqa: E731  (from_json keeps all of repeated keys)
+    chapter = lambda c: c.withField("secciones", once(c["secciones"]))
+    title = lambda t: t.withField("capitulos", F.transform_values(once(t["capitulos"]), lambda _, c: chapter(c)))
+    return docs.withColumn("titulos", F.transform_values(once("titulos"), lambda _, t: title(t)))
 
 
-def read_content(spark: SparkSession, path: str) -> DataFrame:
-    """Content documents, one a file, under an explicit schema; a missing reform date raises."""
-    docs = spark.read.schema(CONTENT_SCHEMA).json(path, multiLine=True)
+def read_content(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Content documents, one a file, or one a line, under an explicit schema; a missing reform date raises."""
+    docs = spark.read.schema(CONTENT_SCHEMA).json(path, multiLine=not lines)
     date = F.coalesce(F.col("ultima_reforma_dof").try_cast("date"), F.raise_error(F.concat(F.lit("no valid ultima_reforma_dof in "), F.coalesce("ley", F.lit("?")))).cast("date"))
     return docs.withColumn("ultima_reforma_dof", date)
 

@@ -15,6 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexatlas.functions.numbering import base_number, place
+from lexatlas.operators.views import clamp, in_list, joined_text
+from lexatlas.sources.corpus import Corpus
 from lexatlas.sources.workspace import map_arrow
 
 WORD = r"[\p{L}\p{N}]+"
@@ -144,8 +147,12 @@ def cover_rank(words: Column, search: Search) -> Column:
 
 def snippet(text: Column, search: Search, most: int = 50, least: int = 20) -> Column:
     """The stretch of up to `most` words with the most matches (the first of equals), matches in <mark>; short texts whole."""
-    wanted = F.array(*map(F.lit, search.terms()))
-    is_hit = lambda w: F.array_contains(wanted, F.lower(F.regexp_extract(w, f"({WORD})", 1)))
+    return marked_stretch(text, F.array(*map(F.lit, search.terms())), most, least)
+
+
+def marked_stretch(text: Column, wanted: Column, most: int = 50, least: int = 20) -> Column:
+    """snippet for an array of words in lower case, which may differ from row to row."""
+    is_hit = lambda w: F.coalesce(F.array_contains(wanted, F.lower(F.regexp_extract(w, f"({WORD})", 1))), F.lit(False))
 
     def best(words: Column, hit: Column) -> Column:
         last = F.greatest(F.size(words) - F.lit(least), F.lit(0))
@@ -173,6 +180,80 @@ def search(docs: DataFrame, text: str, limit: int = 20, page: int = 1, rank: str
     return shown.select("id", "number", "rank", snippet(F.coalesce("text", F.lit("")), asked).alias("snippet"))
 
 
+def stemmed(search: Search) -> Search:
+    """The query with each word's stem."""
+    of = lambda phrases: [tuple(map(stem, p)) for p in phrases]
+    return Search([of(group) for group in search.any_of], of(search.excluded))
+
+
+def stem_hits(terms: DataFrame, search: Search) -> DataFrame:
+    """Per id of an inverted index (id, term, pos, weight) the places of the query's stems: id, hits (stem, pos, weight; in
+    order), words (the terms found). Stems are those of the vocabulary: only terms with a stem of the query are read on."""
+    wanted = sorted({w for phrases in (*search.any_of, search.excluded) for p in phrases for w in p})
+    vocabulary = stems(terms).where(F.col("stem").isin(wanted))
+    found = terms.join(vocabulary, "term")
+    return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("stem", "pos", "weight"))).alias("hits"), F.collect_set("term").alias("words"))
+
+
+def hits_match(hits: Column, search: Search) -> Column:
+    """Whether hits match a query of stems: phrases are stems at consecutive places."""
+    places = lambda w, back: F.transform(F.filter(hits, lambda h: h["stem"] == w), lambda h: h["pos"] - back)
+
+    def holds(phrase: tuple[str, ...]) -> Column:
+        return F.size(reduce(F.array_intersect, [places(w, k) for k, w in enumerate(phrase)])) > 0
+
+    every = lambda phrases: reduce(Column.__and__, map(holds, phrases))
+    none = [~holds(p) for p in search.excluded]
+    return reduce(Column.__and__, none, reduce(Column.__or__, map(every, search.any_of)))
+
+
+def weighted_rank(hits: Column, search: Search) -> Column:
+    """For each of the query's stems and each weight, the weight times f / (f + 1) for f places; to six places."""
+
+    def part(term: str, weight: float) -> Column:
+        f = F.size(F.filter(hits, lambda h: (h["stem"] == term) & (h["weight"] == weight)))
+        return weight * f / (f + 1.0)
+
+    return F.round(reduce(Column.__add__, [part(t, w) for t in search.terms() for w in (NUMBER_WEIGHT, TEXT_WEIGHT)]), 6)
+
+
+#: Rows of a page at most, and those of a page if none or too many are asked for.
+MOST_ROWS, PAGE_ROWS = 100, 20
+#: Letters that a search needs at least, as a client has it.
+LEAST_LETTERS = 2
+
+
+def worth_asking(text: str | None) -> bool:
+    """Whether a client sends a search at all."""
+    return text is not None and len(text.strip()) >= LEAST_LETTERS
+
+
+def search_articles(corpus: Corpus, text: str, laws: str | None = None, kinds: str | None = None, only_transitory: bool = False, limit: int | None = PAGE_ROWS, page: int = 1) -> DataFrame:
+    """Articles whose paragraphs match a query by stems, or whose number holds it: a page in order of rank, then id.
+
+    laws and kinds are optional comma-separated lists of law codes and kinds of law; limit is PAGE_ROWS unless 1 to
+    MOST_ROWS. Columns: id, law, law_name, law_kind, number, base, kind, place, content, is_transitory, reforms, rank,
+    snippet. The index is read for matches and ranks; texts are joined and shown for one page alone. An empty query
+    raises ValueError.
+    """
+    asked = stemmed(parse(text))
+    wanted = corpus.laws.where(in_list("code", laws) & in_list("kind", kinds)).select(F.col("code").alias("law"), F.col("name").alias("law_name"), F.col("kind").alias("law_kind"))
+    own = corpus.articles.join(wanted, "law")
+    if only_transitory:
+        own = own.where("kind = 'transitorio'")
+    content = joined_text(corpus.paragraphs.join(own.select(F.col("id").alias("article_id")), "article_id", "left_semi"), "\n\n").select(F.col("article_id").alias("id"), "text")
+    terms = index(own.select("id", "number").join(content, "id", "left"), number="number")
+    hits = stem_hits(terms, asked)
+    hits = hits.where(hits_match(F.col("hits"), asked)).select("id", weighted_rank(F.col("hits"), asked).alias("found"), "words")
+    ranked = own.join(hits, "id", "left").where(F.col("found").isNotNull() | F.col("number").ilike(f"%{text}%"))
+    rows = clamp(limit, MOST_ROWS, PAGE_ROWS)
+    shown = ranked.withColumn("rank", F.coalesce("found", F.lit(0.0))).orderBy(F.desc("rank"), "id").offset((page - 1) * rows).limit(rows)
+    d = corpus.divisions.select(F.col("id").alias("division_id"), place(F.col("kind"), F.col("number")).alias("place"))
+    out = shown.join(d, "division_id", "left").join(content.withColumnRenamed("text", "content"), "id", "left")
+    marked = marked_stretch(F.coalesce("content", F.lit("")), F.coalesce("words", F.array().cast("array<string>")))
+    return out.select("id", "law", "law_name", "law_kind", "number", base_number(F.col("number")).alias("base"), "kind", "place", "content", (F.col("kind") == "transitorio").alias("is_transitory"), "reforms", "rank", marked.alias("snippet"))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct three-character strings of a lower-cased text with two spaces before and one after."""
     padded = F.concat(F.lit("  "), F.lower(text), F.lit(" "))

@@ -32,6 +32,24 @@ def lines_from_characters(chars: DataFrame) -> DataFrame:
     return own.withColumn("text", F.array_join(F.transform("c", lambda x: x["char"]), "")).drop("c").where(F.trim("text") != "")
 
 
+def lines_from_spans(spans: DataFrame, least: float = 0.8) -> DataFrame:
+    """Lines from spans of text (doc, page, y, x, x_end, text, bold), as rule documents have them: a line is bold if more
+    than `least` of its characters are, white space at the ends of spans not counted."""
+    size = F.length(F.trim("text"))
+    own = spans.groupBy("doc", "page", "y").agg(F.sort_array(F.collect_list(F.struct("x", "text"))).alias("s"), F.min("x").alias("x"), F.max("x_end").alias("x_end"), F.sum(size).alias("n"), F.coalesce(F.sum(F.when(F.col("bold"), size)), F.lit(0)).alias("b"))
+    line = F.array_join(F.transform("s", lambda r: r["text"]), "")
+    return own.select("doc", "page", "y", "x", "x_end", line.alias("text"), ((F.col("n") > 0) & (F.col("b") / F.col("n") > least)).alias("is_bold")).where(F.trim("text") != "")
+
+
+def registered(names: DataFrame, registry: DataFrame, key: str = "source") -> DataFrame:
+    """Rows with what a registry (key, ...) says of their source; letters' case of the key is ignored. A source that the
+    registry lacks raises when its row is read."""
+    known = registry.withColumn("_k", F.upper(key)).drop(key).withColumn("_known", F.lit(True))
+    found = names.withColumn("_k", F.upper(key)).join(known, "_k", "left")
+    sure = F.when(F.col("_known"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("not configured: "), F.coalesce(F.col(key), F.lit("null")))).cast("string"))
+    return found.withColumn(key, sure).drop("_k", "_known")
+
+
 def global_y(lines: DataFrame, first_page: Column, height: int = 800) -> DataFrame:
     """y over all pages, as if they were one long one."""
     return lines.withColumn("y_global", F.col("y") + height * (F.col("page") - first_page))
@@ -60,13 +78,17 @@ def consolidate(lines: DataFrame) -> DataFrame:
 def attach_parents(paragraphs: DataFrame) -> DataFrame:
     """Parent of each paragraph: the last one before it that begins further left (edges rounded to 10, by more than 10).
 
-    Only incisos, numerals and indented text have one. A theta join within a document, resolved by a maximum.
+    Only incisos, numerals and indented text have one. A document's edges have few multiples of 10: each paragraph asks
+    at all of them that lie further left, and the last paragraph there is the running one of that edge.
     """
     key = bucket(F.col("x"), 10)
-    a = paragraphs.withColumn("_can", F.col("kind").isin("inciso", "numeral") | ((F.col("kind") == "texto") & (F.col("x") >= 95)))
-    b = paragraphs.select("doc", F.col("number").alias("_n"), key.alias("_key"))
-    found = a.where("_can").join(b, "doc").where((F.col("_n") < F.col("number")) & (F.col("_key") < F.col("x") - 10)).groupBy("doc", "number").agg(F.max("_n").alias("parent_number"))
-    return a.drop("_can").join(found, ["doc", "number"], "left")
+    can = F.col("kind").isin("inciso", "numeral") | ((F.col("kind") == "texto") & (F.col("x") >= 95))
+    there = paragraphs.select("doc", key.alias("edge"), "number", F.lit(False).alias("asks"))
+    asked = paragraphs.where(can).join(there.select("doc", "edge").distinct(), "doc").where(F.col("edge") < F.col("x") - 10).select("doc", "edge", "number", F.lit(True).alias("asks"))
+    w = Window.partitionBy("doc", "edge").orderBy("number")
+    last = there.unionByName(asked).withColumn("last", F.last(F.when(~F.col("asks"), F.col("number")), ignorenulls=True).over(w))
+    found = last.where("asks").groupBy("doc", "number").agg(F.max("last").alias("parent_number"))
+    return paragraphs.join(found, ["doc", "number"], "left")
 
 
 def attach_references(paragraphs: DataFrame, notes: DataFrame) -> DataFrame:
@@ -100,6 +122,23 @@ def running_context(lines: DataFrame, is_title: Column, is_chapter: Column) -> D
     return titled.withColumn("chapter", F.last(F.when(is_chapter & ~is_title, F.col("text")), ignorenulls=True).over(inside)).drop("_t")
 
 
+#: Lines of page heads and feet, and lines that are no division's name (letters' case is ignored).
+NOISE_LINE = r"(?iu)^(LEY\s|CÁMARA|Secretaría|Últim|CÓDIGO|CONSTITUCIÓN|\d+\s+de\s+\d+|\[)"
+NO_NAME = r"(?iu)^(ART|CAP|TITULO|TÍTULO|SECC|[IVX]+\.\s|[a-z]\)\s)"
+
+
+def division_names(lines: DataFrame, is_heading: Column) -> DataFrame:
+    """Headings of divisions with their name: the first line after them that isn't noise (heads and feet of pages, three
+    characters or fewer), on their page or the next, unless it begins something else; null then."""
+    text = F.trim("text")
+    noise = (F.length(text) <= 3) | F.regexp_like(text, F.lit(NOISE_LINE))
+    w = Window.partitionBy("doc").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    following = F.first(F.when(~noise, F.struct(text.alias("text"), "page")), ignorenulls=True).over(w)
+    found = lines.withColumns({"_h": is_heading, "_f": following}).where("_h")
+    fits = (F.col("_f.page") <= F.col("page") + 1) & ~F.regexp_like("_f.text", F.lit(NO_NAME))
+    return found.withColumn("name", F.when(fits, F.col("_f.text"))).drop("_h", "_f")
+
+
 def segments(lines: DataFrame, is_start: Column, is_end: Column) -> DataFrame:
     """Lines of each article: from its heading to the next heading or the first end marker, markers left out."""
     w = by_document()
@@ -198,32 +237,55 @@ def pending_titles(lines: DataFrame, number_pattern: str) -> DataFrame:
     return marked.withColumn("title", title).where("number is not null").select("doc", "pos", "number", "title")
 
 
-def consolidate_by_start(lines: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """Paragraphs by a fold: a line goes on if it wraps (begins with a small letter, a sign, or a digit without a full
-    stop) or begins where the paragraph began; so each decision depends on the one before. Per document, in Python."""
+#: How far a left edge may be off, and the gap above that begins a paragraph.
+START_TOLERANCE, START_GAP = 10, 12
+
+
+def begins_paragraph(x: float, y: float, text: str, start: float, last_y: float, named: bool) -> bool:
+    """Whether a line begins a paragraph, after one that began at `start`, has an identifier (named) and a last line at
+    last_y. An identifier begins one. A line further right goes on. Else a gap above begins one, a line further left
+    does, and so does one at the same edge after a paragraph with an identifier; but after a gap or further left, a line
+    that wraps goes on: one that begins with a small letter, a sign, or a digit that numbers nothing."""
     import re
 
-    import pandas as pd
+    if re.match(r"(?:[IVXLC]+\.|[a-z]\)|\d+\.)", text):
+        return True
+    if x > start + START_TOLERANCE:
+        return False
+    wraps = text[:1].islower() or text[:1] in tuple(",:;.()") or text[:1].isdigit()
+    if y - last_y >= START_GAP and not wraps:
+        return True
+    return not wraps if x < start - START_TOLERANCE else named
+
 
-    wraps = re.compile(r"^(?:[^\W\d_A-ZÀ-ÞÁÉÍÓÚÑÜ]|[,:;.()]|\d+(?![\d.]))")
+def consolidate_by_start(lines: DataFrame) -> DataFrame:
+    """Paragraphs (doc, number, x, text) by a fold over each document's lines in order: every decision depends on where the
+    paragraph at hand began, so the lines of a document are read one after the other, in Python; the fold holds one
+    paragraph at a time. Lines without text are skipped."""
+    import re
+
+    import pandas as pd
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc = start = None
-        number, text, out = 0, [], []
+        doc = start = last_y = None
+        number, named, text, out = 0, False, [], []
         for f in frames:
-            for d, x, t in zip(f["doc"], f["x"], f["text"].str.strip()):
-                if d != doc or not (wraps.match(t) or abs(x - start) <= tolerance and not re.match(r"^(?:[IVXLC]+\.|[a-z]\)|\d+\.)", t)):
+            for d, x, y, t in zip(f["doc"], f["x"], f["y"], f["text"].str.strip()):
+                if not t:
+                    continue
+                if not text or d != doc or begins_paragraph(x, y, t, start, last_y, named):
                     if text:
                         out.append((doc, number, start, " ".join(text)))
                     number = number + 1 if d == doc else 1
-                    doc, start, text = d, x, []
+                    doc, start, text, named = d, x, [], bool(re.match(r"(?:[IVXLC]+\.|[a-z]\)|\d+\.)", t))
                 text.append(t)
+                last_y = y
             if out:
                 yield pd.DataFrame(out, columns=["doc", "number", "x", "text"])
                 out = []
         if text:
             yield pd.DataFrame([(doc, number, start, " ".join(text))], columns=["doc", "number", "x", "text"])
 
-    # rows of a document are in one partition, in order; the fold holds one paragraph at a time
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    return lines.select("doc", "pos", "x", "text").repartition("doc").sortWithinPartitions("doc", "pos").select("doc", "x", "text").mapInPandas(fold, f"doc {kinds['doc']}, number long, x {kinds['x']}, text string")
+    rows = lines.where("text is not null").select("doc", "pos", "x", "y", "text").repartition("doc").sortWithinPartitions("doc", "pos")
+    return rows.select("doc", "x", "y", "text").mapInPandas(fold, f"doc {kinds['doc']}, number long, x {kinds['x']}, text string")

@@ -62,6 +62,30 @@ def article_by_number(corpus: Corpus, law: str, number: str) -> DataFrame:
     return full_articles(Corpus(own.laws, own.divisions, own.articles.where(F.col("number") == number), own.paragraphs))
 
 
+def article_with_references(corpus: Corpus, edges: DataFrame, article_id: int) -> DataFrame:
+    """One article with the articles it refers to and that refer to it (edges: origin, target, edge_kind), each a JSON array
+    in order of id, null if there are none. An id below 1 raises ValueError."""
+    if article_id < 1:
+        raise ValueError(f"no article has the id {article_id}")
+
+    def side(own: str, other: str, name: str) -> DataFrame:
+        known = edges.where(F.col(own) == article_id).select(F.col(own).alias("id"), F.col(other).alias("_id"), "edge_kind")
+        there = corpus.articles.select(F.col("id").alias("_id"), "law", "number")
+        one = F.struct(F.col("_id").alias("id"), F.col("law").alias("ley"), F.col("number").alias("numero_raw"), F.col("edge_kind").alias("tipo"))
+        return known.join(there, "_id").groupBy("id").agg(F.to_json(F.sort_array(F.collect_list(one))).alias(name))
+
+    own = article(corpus, article_id).drop("incoming", "outgoing")
+    return own.join(side("origin", "target", "outgoing"), "id", "left").join(side("target", "origin", "incoming"), "id", "left")
+
+
+def law_articles(corpus: Corpus, law: str, limit: int = 100, offset: int = 0, chars: int = 300) -> DataFrame:
+    """A law's articles in order of position, a page of them, with the first characters of their text."""
+    own = corpus.of(law)
+    rows = own.articles.orderBy("position", "id").offset(offset).limit(limit)
+    page = full_articles(Corpus(own.laws, own.divisions, rows, own.paragraphs))
+    return page.select("id", "number", "base", "place", F.substring("content", 1, chars).alias("preview"), "is_transitory", "position")
+
+
 def division_articles(corpus: Corpus, division: int, law: str | None = None) -> DataFrame:
     """Articles directly in a division, in order; `law` is tested only if given."""
     own = corpus if law is None else corpus.of(law)

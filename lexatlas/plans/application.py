@@ -57,6 +57,25 @@ def _cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.search(_docs(spark, sf_dir), "the anin", limit=50, rank="cover")
 
 
+@query("buscar_articulos", f"""{_WITH}, t AS (SELECT article_id AS id, string_agg(content, chr(10) || chr(10) ORDER BY number) AS content FROM paragraphs GROUP BY 1),
+w AS (SELECT id, content, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS words FROM t),
+n AS (SELECT id, content, len(list_filter(words, lambda x: x = 'part')) AS f, len(list_filter(words, lambda x: x = 'returned')) AS g FROM w WHERE list_contains(words, 'part') AND list_contains(words, 'returned') AND NOT list_contains(words, 'n')),
+r AS (SELECT a.id, a.law, l.name AS law_name, l.kind AS law_kind, a.number, CAST(coalesce(TRY_CAST(regexp_extract(a.number, '^([0-9]+)', 1) AS INTEGER), 0) AS INTEGER) AS base, a.kind, d.kind || ' ' || d.number AS place, n.content, a.kind = 'transitorio' AS is_transitory, a.reforms,
+ round(0.4::DOUBLE * f / (f + 1.0::DOUBLE) + 0.4::DOUBLE * g / (g + 1.0::DOUBLE), 6) AS rank FROM articles a JOIN laws l ON l.code = a.law JOIN n ON n.id = a.id LEFT JOIN divisions d ON d.id = a.division_id WHERE a.law IN ('LB', 'LC', 'LD') AND l.kind IN ('ley', 'reglamento'))
+SELECT * FROM r ORDER BY rank DESC, id LIMIT 20 OFFSET 20""")
+def _search_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems (`partes` finds `part`) over whole articles, exclusion, filters, a limit out of range, the
+    second page. The SQL is given the stems; the tests hold the snippet."""
+    return s.search_articles(load(spark, sf_dir), "partes returned -n", laws="LB,LC,LD", kinds="ley,reglamento", limit=500, page=2).drop("snippet")
+
+
+@query("transitorios_encontrados", f"""{_WITH}, w AS (SELECT article_id AS id, regexp_extract_all(lower(string_agg(content, ' ' ORDER BY number)), '[\\p{{L}}\\p{{N}}]+') AS words FROM paragraphs GROUP BY 1)
+SELECT a.id FROM articles a JOIN w ON w.id = a.id WHERE a.kind = 'transitorio' AND contains(' ' || array_to_string(words, ' ') || ' ', ' status o ') ORDER BY len(list_filter(words, lambda x: x = 'status')) / (len(list_filter(words, lambda x: x = 'status')) + 1.0::DOUBLE) + len(list_filter(words, lambda x: x = 'o')) / (len(list_filter(words, lambda x: x = 'o')) + 1.0::DOUBLE) DESC, a.id LIMIT 7""")
+def _search_transitory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitory articles alone, by a phrase."""
+    return s.search_articles(load(spark, sf_dir), '"status o"', only_transitory=True, limit=7).select("id")
+
+
 @query("raices")
 def _stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stemmer over the vocabulary of Spanish documents; golden values in the tests."""
@@ -80,16 +99,12 @@ def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.fuzzy(items, "Customer#000000012 BUILDING")
 
 
-@query("vecinos_vectoriales", """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(v.e, q.e), 6) AS similarity FROM v, v q WHERE q.id < 5 AND v.id <> q.id),
-w AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS place FROM r) SELECT * FROM w WHERE place <= 10""")
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest vectors of five queries."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return s.nearest_vectors(v, v.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")))
+_NEAREST = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(v.e, q.e), 6) AS similarity FROM v, v q WHERE q.id % 20 = 0 AND v.id <> q.id),
+w AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS place FROM r) SELECT * FROM w WHERE place <= 10"""
 
 
-@query("vecinos_vectoriales_completo", """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(v.e, q.e), 6) AS similarity FROM v, v q WHERE q.id % 20 = 0 AND v.id <> q.id),
-w AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS place FROM r) SELECT * FROM w WHERE place <= 10""")
+@query("vecinos_vectoriales", _NEAREST)
+@query("vecinos_vectoriales_completo", _NEAREST)
 def _vectors_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every row whose id is divisible by 20."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -170,6 +185,78 @@ def _document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loading.checksum_document(article_checksums(load(spark, sf_dir).paragraphs), "LB")
 
 
+@query("checksums_leidos", f"{_WITH} SELECT CAST(article_id AS VARCHAR) AS number, substring(sha256(string_agg(content, chr(10) ORDER BY number)), 1, 16) AS checksum FROM paragraphs WHERE law = 'LB' GROUP BY article_id")
+def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A baseline written as JSON lines and read back."""
+    from lexatlas.operators.quality import article_checksums
+    from lexatlas.sources.workspace import fresh_path
+
+    path = fresh_path(spark, "baseline")
+    loading.checksum_entries(article_checksums(load(spark, sf_dir).paragraphs), "LB").select("value").write.text(path)
+    return loading.read_checksums(spark, path)
+
+
+_MAP = """sec AS (SELECT n_regionkey, n_nationkey, n_name, c_mktsegment AS section, list(DISTINCT CAST(c_custkey % 10 AS VARCHAR) || '-a') AS articles FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
+
+
+def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure maps, written as JSON and read back: a law per region, its chapters the nations, their sections the market
+    segments of their customers, with up to ten articles each."""
+    from lexatlas.sources.workspace import fresh_path
+
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    article = F.concat((F.col("c_custkey") % 10).cast("string"), F.lit("-a"))
+    sections = customer.groupBy(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").agg(F.sort_array(F.collect_set(article)).alias("articulos"))
+    by_key = lambda x, y: F.when(x["key"] < y["key"], -1).otherwise(1)
+    nested = lambda name, *fields: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(name).alias("key"), F.struct(*fields).alias("value"))), by_key)).alias("m")
+    chapters = sections.groupBy("n_nationkey").agg(nested("c_mktsegment", F.lit(None).cast("string").alias("nombre"), "articulos")).withColumnRenamed("m", "secciones").join(nation, "n_nationkey")
+    titles = chapters.withColumn("numero", F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(nested("numero", F.col("n_name").alias("nombre"), "secciones")).withColumnRenamed("m", "capitulos").join(region, "r_regionkey")
+    docs = titles.select(F.concat(F.lit("L"), F.chr(F.col("r_regionkey") + 65)).alias("ley"), F.create_map(F.lit("1"), F.struct(F.col("r_name").alias("nombre"), "capitulos")).alias("titulos"))
+    path = fresh_path(spark, "maps")
+    loading.write_json(docs.repartition(5, "ley"), path)
+    return loading.read_maps(spark, path, lines=True)
+
+
+@query("mapa_a_divisiones", f"""WITH {_MAP}, d AS (SELECT concat('L', chr(65 + r_regionkey)) AS law, '' AS c, '' AS s, 'titulo' AS kind, '1' AS number, r_name AS name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM sec)
+UNION ALL SELECT DISTINCT concat('L', chr(65 + n_regionkey)), lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), '', 'capitulo', lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), n_name FROM sec
+UNION ALL SELECT concat('L', chr(65 + n_regionkey)), lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), section, 'seccion', section, NULL FROM sec),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY law ORDER BY c, s) AS INTEGER) AS orden FROM d)
+SELECT o.law, o.orden, o.kind, o.number, o.name, CASE o.kind WHEN 'capitulo' THEN 1 WHEN 'seccion' THEN (SELECT p.orden FROM o p WHERE p.law = o.law AND p.c = o.c AND p.kind = 'capitulo') END AS parent_orden FROM o""")
+def _preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON maps to divisions in document order."""
+    return loading.preorder(_maps(spark, sf_dir))
+
+
+@query("estadisticas_mapa", f"WITH {_MAP} SELECT concat('L', chr(65 + n_regionkey)) AS law, CAST(1 AS BIGINT) AS titles, count(DISTINCT n_nationkey) AS chapters, count(*) AS sections, CAST(sum(len(articles)) AS BIGINT) AS articles FROM sec GROUP BY n_regionkey")
+def _map_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18."""
+    return loading.map_statistics(_maps(spark, sf_dir))
+
+
+@query("lugares_articulo", f"""WITH {_MAP}, a AS (SELECT concat('L', chr(65 + n_regionkey)) AS law, upper(replace(unnest(articles), '-', ' ')) AS key, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS chapter, section FROM sec)
+SELECT law, key, '1' AS title, arg_max(chapter, (chapter, section)) AS chapter, arg_max(section, (chapter, section)) AS section FROM a GROUP BY 1, 2""")
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a number belongs; the last of its places counts."""
+    return loading.article_places(_maps(spark, sf_dir))
+
+
+@query("contenido_a_parrafos", """SELECT 'O' || CAST(o_orderkey AS VARCHAR) AS law, CAST(l_linenumber AS VARCHAR) AS article, CAST(l_linenumber AS INTEGER) AS article_orden, CAST(1 AS INTEGER) AS number, CASE WHEN l_returnflag = 'R' THEN 'fraccion' ELSE 'texto' END AS kind, CASE WHEN l_returnflag = 'R' THEN 'I' END AS identifier, 'Part "' || CAST(l_partkey AS VARCHAR) || '"' AS content, CAST(NULL AS INTEGER) AS parent_number
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3, K5: content documents, one an order, written as JSON lines, read under a schema and taken apart."""
+    from lexatlas.sources.workspace import fresh_path
+
+    none = lambda kind: F.lit(None).cast(kind)
+    returned = F.col("l_returnflag") == "R"
+    paragraph = F.struct(F.lit(1).alias("numero"), F.when(returned, "fraccion").otherwise("texto").alias("tipo"), F.when(returned, "I").alias("identificador"), F.concat(F.lit('Part "'), F.col("l_partkey").cast("string"), F.lit('"')).alias("contenido"), none("int").alias("padre_numero"))
+    article = F.struct(F.col("l_linenumber").cast("string").alias("numero"), F.lit("articulo").alias("tipo"), F.col("l_linenumber").cast("int").alias("orden"), F.array(paragraph).alias("parrafos"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(article).alias("articulos"))
+    docs = table(spark, sf_dir, "orders").join(lines, "o_orderkey").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("ley"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ultima_reforma_dof"), "articulos")
+    path = fresh_path(spark, "contents")
+    loading.write_json(docs, path)
+    return loading.content_paragraphs(loading.read_content(spark, path, lines=True))
+
+
 @query("registrar_busqueda", "SELECT lower(trim(event_type)) AS term, count(*) AS times, max(ts) AS last_seen FROM events WHERE length(trim(event_type)) >= 2 GROUP BY 1")
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8, in batch."""
@@ -267,13 +354,11 @@ def _headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), p.headline(F.get(F.split("text", "\n"), F.lit(0))).alias("headline"))
 
 
-@query("solo_marcas", r"""SELECT page_id, regexp_replace(regexp_replace(substring(html, 1, 300) || '<mark class="x">a</mark> <marker>b', '<mark\s[^>]*>', '<mark>', 'gi'), '(</?mark>)|<[^>]*>', '\1', 'gi') AS text FROM pages""")
-def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F28."""
-    return table(spark, sf_dir, "pages").select("page_id", p.only_marks(F.concat(F.substring("html", 1, 300), F.lit('<mark class="x">a</mark> <marker>b'))).alias("text"))
+_MARKS = r"""SELECT page_id, regexp_replace(regexp_replace(html || '<mark class="x">a</mark> <marker>b', '<mark\s[^>]*>', '<mark>', 'gi'), '(</?mark>)|<[^>]*>', '\1', 'gi') AS text FROM pages"""
 
 
-@query("solo_marcas_completo", r"""SELECT page_id, regexp_replace(regexp_replace(html || '<mark class="x">a</mark> <marker>b', '<mark\s[^>]*>', '<mark>', 'gi'), '(</?mark>)|<[^>]*>', '\1', 'gi') AS text FROM pages""")
+@query("solo_marcas", _MARKS)
+@query("solo_marcas_completo", _MARKS)
 def _marks_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F28, over the whole of each page."""
     return table(spark, sf_dir, "pages").select("page_id", p.only_marks(F.concat("html", F.lit('<mark class="x">a</mark> <marker>b'))).alias("text"))
@@ -334,6 +419,20 @@ def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), n.from_outline(outline).alias("outline"), n.canonical(raw).alias("canonical"), assembled.alias("assembled"))
 
 
+_FORMS = (" A", "a B", "o A Bis", "-BIS", "-H-Bis", " bis-1", "  ter ", " QUÁTER-2", "o", "bis", " A B", "-Quintus", " a  SEXIES", "-A")
+
+
+@query("numeros_canonicos", f"""WITH n AS (SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) || [{", ".join(f"'{x}'" for x in _FORMS)}][CAST(o_orderkey % {len(_FORMS)} AS INTEGER) + 1] AS number FROM orders),
+a AS (SELECT id, regexp_replace(trim(number), '\\s+', ' ', 'g') AS c FROM n),
+b AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '\\bbis\\b', 'Bis', 'gi'), '\\bter\\b', 'Ter', 'gi'), '\\bqu[áÁ]ter\\b', 'Quáter', 'gi'), '\\bquintus\\b', 'Quintus', 'gi'), '\\bquinquies\\b', 'Quinquies', 'gi'), '\\bsexies\\b', 'Sexies', 'gi') AS c FROM a),
+d AS (SELECT id, regexp_replace(c, '(\\d+[oa]?) ([A-Z])( (?:{n.JOINED_SUFFIXES})|$)', '\\1-\\2\\3', 'g') AS c FROM b)
+SELECT id, regexp_replace(regexp_replace(c, '-({n.JOINED_SUFFIXES})', ' \\1', 'g'), '({n.JOINED_SUFFIXES})-(\\d)', '\\1 \\2', 'g') AS canonical FROM d""")
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """numbers in every form that the validator knows."""
+    form = F.element_at(F.array(*map(F.lit, _FORMS)), (F.col("o_orderkey") % len(_FORMS) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), n.canonical(F.concat(F.col("o_orderkey").cast("string"), form)).alias("canonical"))
+
+
 @query("denormalizado", f"""{_WITH}, {_CLOSURE} SELECT a.id, l.name AS law_name, s.number AS section, c.number AS chapter, t.number AS title FROM articles a JOIN laws l ON l.code = a.law
 LEFT JOIN LATERAL (SELECT number FROM divisions d WHERE d.id = a.division_id AND kind = 'seccion') s ON true
 LEFT JOIN divisions own ON own.id = a.division_id LEFT JOIN divisions c ON c.id = CASE WHEN own.kind = 'capitulo' THEN own.id ELSE own.parent_id END LEFT JOIN divisions t ON t.id = c.parent_id""")
@@ -343,3 +442,17 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = hierarchy.ancestors(c.divisions).join(c.divisions.select(F.col("id").alias("ancestor"), "kind", "number"), "ancestor")
     wide = up.groupBy(F.col("id").alias("division_id")).agg(*[F.max(F.when(F.col("kind") == k, F.col("number"))).alias(name) for k, name in (("seccion", "section"), ("capitulo", "chapter"), ("titulo", "title"))])
     return c.articles.select("id", "law", "division_id").join(c.laws.select(F.col("code").alias("law"), F.col("name").alias("law_name")), "law").join(wide, "division_id", "left").select("id", "law_name", "section", "chapter", "title")
+
+
+@query("denormalizado_guardado", f"""{_WITH}, {_CLOSURE} SELECT a.id, l.name AS law_name, s.number AS section, c.number AS chapter, t.number AS title FROM articles a JOIN laws l ON l.code = a.law
+LEFT JOIN LATERAL (SELECT number FROM divisions d WHERE d.id = a.division_id AND kind = 'seccion') s ON true
+LEFT JOIN divisions own ON own.id = a.division_id LEFT JOIN divisions c ON c.id = CASE WHEN own.kind = 'capitulo' THEN own.id ELSE own.parent_id END LEFT JOIN divisions t ON t.id = c.parent_id""")
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: the same, materialised as a table by law, one law refreshed, and read back."""
+    from lexatlas.sources.workspace import fresh_path
+
+    path = fresh_path(spark, "denormalised")
+    wide = _wide(spark, sf_dir).join(load(spark, sf_dir).articles.select("id", "law"), "id")
+    loading.replace_law(wide, path)
+    loading.replace_law(wide.where("law = 'LC'"), path)
+    return spark.read.parquet(path).select("id", "law_name", "section", "chapter", "title")

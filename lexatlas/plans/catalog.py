@@ -266,3 +266,29 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = F.col("number")
     return load(spark, sf_dir).articles.select("id", n.article_key(c)["first"].alias("article_first"), F.array_join(n.dotted_key(c).cast("array<string>"), ".").alias("dotted"), n.last_number(c).alias("last_number"), n.load_key(c).alias("load_key"))
+
+
+@query("estructura_anterior", f"""{_WITH}, {_CLOSURE}, p AS (SELECT c.id, string_agg({_PATH_TEXT}, ' > ' ORDER BY c.distance DESC) AS path_text FROM closure c JOIN divisions d ON d.id = c.ancestor GROUP BY 1),
+n AS (SELECT c.ancestor AS id, count(*) AS total FROM closure c JOIN articles a ON a.division_id = c.id GROUP BY 1), m AS (SELECT division_id AS id, min(number) AS first FROM articles GROUP BY 1)
+SELECT d.id, d.kind, d.number, d.name, p.path_text, {_LEVEL} AS level, coalesce(n.total, 0) AS total, m.first FROM divisions d JOIN p ON p.id = d.id LEFT JOIN n ON n.id = d.id LEFT JOIN m ON m.id = d.id""".replace("string_agg(kind || ' ' || number || coalesce(' - ' || name, '')", "string_agg(d.kind || ' ' || d.number || coalesce(' - ' || d.name, '')").replace("CASE kind", "CASE d.kind"))
+def _older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """api.estructura of the older form."""
+    return hierarchy.older_structure(load(spark, sf_dir))
+
+
+@query("articulo_con_referencias", f"""{_FULL}, e AS (SELECT DISTINCT l_orderkey AS origin, l_partkey AS target, 'cita' AS tipo FROM lineitem),
+o AS (SELECT CAST(to_json(list({{'id': a.id, 'ley': a.law, 'numero_raw': a.number, 'tipo': e.tipo}} ORDER BY a.id)) AS VARCHAR) AS j FROM e JOIN articles a ON a.id = e.target WHERE e.origin = 3),
+i AS (SELECT CAST(to_json(list({{'id': a.id, 'ley': a.law, 'numero_raw': a.number, 'tipo': e.tipo}} ORDER BY a.id)) AS VARCHAR) AS j FROM e JOIN articles a ON a.id = e.origin WHERE e.target = 3)
+SELECT f.* EXCLUDE (incoming, outgoing), o.j AS outgoing, i.j AS incoming FROM full_articles f, o, i WHERE f.id = 3""")
+def _with_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """obtener_articulo: with its references both ways as JSON."""
+    from lexatlas.sources.workspace import table
+
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("origin"), F.col("l_partkey").alias("target"), F.lit("cita").alias("edge_kind")).distinct()
+    return views.article_with_references(load(spark, sf_dir), edges, 3)
+
+
+@query("articulos_por_ley", f"{_FULL} SELECT id, number, base, place, substring(content, 1, 300) AS preview, is_transitory, position FROM full_articles WHERE law = 'LB' ORDER BY position, id LIMIT 100 OFFSET 7")
+def _of_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """articulos_por_ley: previews of 300 characters."""
+    return views.law_articles(load(spark, sf_dir), "LB", offset=7)

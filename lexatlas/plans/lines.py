@@ -202,3 +202,31 @@ def _global(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F9, F11, F34."""
     x_text = F.when(numbering.paragraph_class(F.col("text"))["kind"] != "texto", F.col("x") + 22).otherwise(F.col("x"))
     return t.global_y(_lines(spark, sf_dir), F.lit(1)).select("doc", "pos", "y_global", numbering.indent_level(F.col("x")).alias("level"), x_text.alias("x_text"))
+
+
+@query("lineas_de_tramos", """WITH c AS (SELECT event_id // 8 AS doc, CAST(1 AS INTEGER) AS page, CAST(event_id // 4 % 2 AS INTEGER) AS y, CAST(event_id % 4 * 100 AS INTEGER) AS x, CAST(event_id % 4 * 100 + 90 AS INTEGER) AS x_end, event_type || ' ' AS text, event_id % 7 > 0 AS bold FROM events)
+SELECT doc, page, y, min(x) AS x, max(x_end) AS x_end, string_agg(text, '' ORDER BY x) AS text, coalesce(sum(length(trim(text))) FILTER (bold), 0) / sum(length(trim(text))) > 0.8 AS is_bold FROM c GROUP BY 1, 2, 3""")
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5, P15, in the way of rule documents: bold by more than 80 % of the characters; events as spans."""
+    e = F.col("event_id")
+    place = lambda c: F.floor(c).cast("int")
+    spans = table(spark, sf_dir, "events").select(F.floor(e / 8).alias("doc"), F.lit(1).alias("page"), place(e / 4 % 2).alias("y"), (e % 4 * 100).cast("int").alias("x"), (e % 4 * 100 + 90).cast("int").alias("x_end"), F.concat("event_type", F.lit(" ")).alias("text"), (e % 7 > 0).alias("bold"))
+    return t.lines_from_spans(spans)
+
+
+@query("fuentes_registradas", "SELECT doc_id AS doc, source, length(source) AS size FROM documents")
+def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source is looked up in a registry; tests hold the error for one that is missing."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source")
+    registry = docs.select(F.upper("source").alias("source")).distinct().withColumn("size", F.length("source").cast("long"))
+    return t.registered(docs, registry).select("doc", "source", "size")
+
+
+@query("nombres_de_division", f"""WITH {LINES}, s AS (SELECT *, NOT (length(text) <= 3 OR regexp_matches(text, '^(ley\\s|cámara|secretaría|últim|código|constitución|\\d+\\s+de\\s+\\d+|\\[)', 'i')) AS fine FROM (SELECT doc, pos, page, trim(CASE WHEN (doc + pos) % 8 = 1 THEN 'LEY ' ELSE '' END || text, ' ') AS text FROM lines)),
+f AS (SELECT *, first_value(CASE WHEN fine THEN {{'text': text, 'page': page}} END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM s)
+SELECT doc, pos, CASE WHEN n.page <= page + 1 AND NOT regexp_matches(n.text, '^(art|cap|titulo|título|secc|[ivx]+\\.\\s|[a-z]\\)\\s)', 'i') THEN n.text END AS name FROM f WHERE (doc + pos) % 4 = 0""")
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: the line that names a division, on its page or the next."""
+    k = F.col("doc") + F.col("pos")
+    lines = _lines(spark, sf_dir).withColumn("text", F.concat(F.when(k % 8 == 1, "LEY ").otherwise(""), "text"))
+    return t.division_names(lines, k % 4 == 0).select("doc", "pos", "name")

@@ -39,7 +39,15 @@ def duck(small):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def distinct() -> list[str]:
+    """Names of queries, one for each pair of function and SQL."""
+    found: dict = {}
+    for name in sorted(QUERIES):
+        found.setdefault((QUERIES[name], ORACLE.get(name)), name)
+    return sorted(found.values())
+
+
+@pytest.mark.parametrize("name", distinct())
 def test_query(spark, small, duck, name):
     df = QUERIES[name](spark, small)
     got = df.collect()
