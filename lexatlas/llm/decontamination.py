@@ -8,7 +8,9 @@ two neighbouring bands together are one of the overlapping bands of the filter.
 is verified by an alignment of the whole item within the band. Items too short for the lemma to ask for one q-gram are cut
 into k + 1 pieces, one of which such a stretch holds unchanged; the text around each is aligned likewise.
 
-The benchmark goes to every task in blocks of bounded size; each block is one map over the texts, without a shuffle.
+The benchmark goes to every task in blocks of bounded size, GROUP of them at a time; each group is one map over the texts,
+which are folded once for it, without a shuffle. Beyond one group, results are written group by group, so that never more
+than GROUP blocks are held by the driver or a task, however large the benchmark.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm.arrays import gather, mix, text_blocks
-from lexatlas.sources.workspace import map_arrow
+from lexatlas.sources.workspace import map_arrow, materialize
 
 Q = 8
 #: Edits allowed, in percent of an item's folded length.
 EDIT_PERCENT = 10
-#: Characters of the items that are sent to the tasks at once.
-BLOCK_CHARS = 16 << 20
+#: Characters of a block of items (its index takes about 30 bytes for each), and blocks that are sent to the tasks at once.
+BLOCK_CHARS, GROUP = 1 << 20, 4
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 22
 #: Bits of a band's number, and of an item's, in a packed key.
@@ -108,8 +110,8 @@ class Items:
         least = m + 1 - Q - edits * Q
         h = np.concatenate([np.zeros(0, np.uint64), *[grams(t) for t, bound in zip(texts, least) if bound > 0]])
         n = np.where(least > 0, m - Q + 1, 0)
-        item = np.repeat(np.arange(len(texts)), n)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        item = np.repeat(np.arange(len(texts), dtype=np.int32), n)
+        place = (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         by = np.argsort(h, kind="stable")
         hashes, begins = np.unique(h[by], return_index=True)
         return Items(tuple(k[0] for k in order), texts, edits, least, hashes, np.append(begins, len(h)), item[by], place[by], tuple(np.flatnonzero(least <= 0).tolist()))
@@ -194,17 +196,19 @@ def _pieces(codes: np.ndarray, cut: np.ndarray, items: Items, n: int) -> Iterato
                 yield (d, i), (item, own, diagonal - most, diagonal + most, most)
 
 
-def search(texts: list[str], items: Items, slots: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, edits, start, end) of each item in each text, with the fewest edits, then the earliest start;
-    places in code points of the text as it is."""
+def search(texts: list[str], blocks: list[tuple[Items, np.ndarray]]) -> list[tuple[int, int | None, int, int, int]]:
+    """(text, item_id, edits, start, end) of each item of the blocks (items and their filter) in each text, with the fewest
+    edits, then the earliest start; places in code points of the text as it is."""
     codes, cut, origin = fold(texts)
-    found: dict[tuple[int, int], tuple] = {}
-    _verify(_by_grams(codes, cut, items, slots), found)
-    _verify(_pieces(codes, cut, items, len(texts)), found)
     out = []
-    for (d, i), (edits, start, end) in sorted(found.items()):
-        places = origin[cut[d] : cut[d + 1]]
-        out.append((d, i, edits, int(places[start]) if start < len(places) else len(texts[d]), int(places[end - 1]) + 1 if end > start else int(places[min(start, len(places) - 1)])))
+    for items, slots in blocks:
+        found: dict[tuple[int, int], tuple] = {}
+        _verify(_by_grams(codes, cut, items, slots), found)
+        _verify(_pieces(codes, cut, items, len(texts)), found)
+        for (d, i), (edits, start, end) in sorted(found.items()):
+            places = origin[cut[d] : cut[d + 1]]
+            first = int(places[start]) if start < len(places) else len(texts[d])
+            out.append((d, items.ids[i], edits, first, int(places[end - 1]) + 1 if end > start else int(places[min(start, len(places) - 1)])))
     return out
 
 
@@ -231,6 +235,7 @@ def _by_grams(codes: np.ndarray, cut: np.ndarray, items: Items, slots: np.ndarra
     n = items.begins[at + 1] - items.begins[at]
     item, place = gather(items.item, items.begins[at], n), gather(items.place, items.begins[at], n)
     longest = max(len(t) for t in items.texts)
+    item, place = item.astype(np.int64), place.astype(np.int64)
     band = (np.repeat(near - cut[doc], n) - place + longest) // (items.edits[item] + 1)
     key = (np.repeat(doc, n) << (_BAND_BITS + _ITEM_BITS)) | (item << _BAND_BITS) | band
     key, count = np.unique(key, return_counts=True)
@@ -249,45 +254,64 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PE
     """doc_id, item_id, edits, start, end (code points of the text) of each benchmark item (item_id, text) in each
     document (doc_id, text), whole texts throughout.
 
-    One row per document row and item, with its best place. A null text holds nothing; a null item, or one without
+    One row per document row and item, with its best place: the fewest edits, then the earliest start and end. A null text holds nothing; a null item, or one without
     a letter or digit, is looked for in vain; equal items with one item_id are one. doc_id may be null or repeat: rows are searched one by
     one. Other columns are ignored; an empty table on either side gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return reduce(DataFrame.unionByName, [map_arrow(own, lambda it, b=b: _search(it, b), MATCHES) for b in _blocks(benchmark, percent)])
+    groups = _groups(benchmark, percent)
+    found = []
+    for number, shared in groups:
+        hits = map_arrow(own, lambda it, b=shared: _search(it, b), MATCHES)
+        if number == 1:
+            return hits
+        found.append(materialize(hits, "contaminations"))
+        _drop(shared)
+    return reduce(DataFrame.unionByName, found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark item occurs; cases as in contaminations."""
-    for block in _blocks(benchmark, percent):
-        docs = map_arrow(docs, lambda it, b=block: _clean(it, b), docs.schema)
+    for number, shared in _groups(benchmark, percent):
+        docs = map_arrow(docs, lambda it, b=shared: _clean(it, b), docs.schema)
+        if number > 1:
+            docs = materialize(docs, "clean")
+            _drop(shared)
     return docs
 
 
-def _blocks(benchmark: DataFrame, percent: int) -> list:
-    """The items, indexed and broadcast in blocks of about BLOCK_CHARS characters."""
+def _groups(benchmark: DataFrame, percent: int) -> Iterator[tuple[int, list]]:
+    """How many groups there are, and a group's blocks of items, indexed and broadcast when it is asked for."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     chars, rows = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     n = max(1, -(-chars // BLOCK_CHARS), -(-rows // (1 << (_ITEM_BITS - 1))))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [spark.sparkContext.broadcast(Items.of([tuple(r) for r in items.where(block == k).collect()], percent)) for k in range(n)]
+    for at in range(0, n, GROUP):
+        yield -(-n // GROUP), [spark.sparkContext.broadcast(Items.of([tuple(r) for r in items.where(block == k).collect()], percent)) for k in range(at, min(at + GROUP, n))]
 
 
-def _clean(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    items = shared.value
-    slots = items.filter()
+def _drop(shared: list) -> None:
+    for block in shared:
+        block.destroy()
+
+
+def _indexed(shared: list) -> list[tuple[Items, np.ndarray]]:
+    return [(b.value, b.value.filter()) for b in shared]
+
+
+def _clean(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[pa.RecordBatch]:
+    blocks = _indexed(shared)
     for batch, text in text_blocks(batches):
         keep = np.ones(len(text), bool)
-        keep[[row[0] for row in search(text.to_pylist(), items, slots)]] = False
+        keep[[row[0] for row in search(text.to_pylist(), blocks)]] = False
         yield batch.filter(pa.array(keep))
 
 
-def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    items = shared.value
-    slots = items.filter()
+def _search(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[pa.RecordBatch]:
+    blocks = _indexed(shared)
     for batch, text in text_blocks(batches):
-        rows = search(text.to_pylist(), items, slots)
+        rows = search(text.to_pylist(), blocks)
         if rows:
             doc, item, edits, start, end = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array([items.ids[i] for i in item], pa.int64()), *(pa.array(c, pa.int64()) for c in (edits, start, end))], names=[x.split()[0] for x in MATCHES.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (item, edits, start, end))], names=[x.split()[0] for x in MATCHES.split(", ")])
