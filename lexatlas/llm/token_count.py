@@ -9,8 +9,9 @@ Two deterministic transducers form a cascade.
   a vocabulary entry, with the last token and the count of each prefix there; a transition is annotated with the change
   of the token count. It rests on a property of BPE: a token sequence is the encoding of its text exactly if each pair
   of neighbours is the encoding of its own text, so a prefix's last token follows from those of shorter prefixes.
-  Many pre-tokens step together, each with the window of its last tokens and counts as its state; which strings are
-  tokens and which tokens may follow one another is compiled into tables, the latter when first needed.
+  Transitions are compiled when first needed; pre-tokens take them together, a byte at a time. A long pre-token is cut
+  into chunks that run together, each from the state that the bytes before it lead to; where a chunk's exit is the next
+  one's entry, their maps compose and their counts add up, and the others run again from the exit found.
 
 The splitter's classes come from the library itself: it is asked how it splits each code point.
 """
@@ -40,10 +41,11 @@ NONE, HERE, BEFORE, BOTH = range(4)
 _LAST = 0x34000
 #: Width of a chunk in code points; steps after which state maps are checked for having become constant.
 CHUNK, CHECK = 256, 16
-#: Pre-tokens, pairs of tokens, and transitions for long pre-tokens that a worker keeps; when full, it starts anew.
-MEMO, MEMO_PAIRS, MEMO_TRANSITIONS = 500_000, 1_000_000, 100_000
-#: Pre-tokens of up to so many bytes step together; longer ones go through compiled transitions one by one.
-TOGETHER = (12, 20, 40)
+#: Pre-tokens and transitions that a worker keeps; when full, it starts anew.
+MEMO, MEMO_TRANSITIONS = 500_000, 400_000
+#: Bytes of a pre-token that is not cut, of a chunk of a longer one, and of chunks that run together; rounds in which
+#: chunks with a wrong entry run again together, before they do one after the other.
+WHOLE, PIECE, SLAB, ROUNDS = 64, 256, 1 << 16, 4
 
 
 def _splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -130,82 +132,102 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-#: Of the polynomial hash of byte strings.
-FACTOR = 0x9E3779B97F4A7C15
-
-
 class Counter:
     """The transducer over the bytes of a pre-token."""
 
     def __init__(self, vocab: dict[str, int], merges: list):
         as_byte = _byte_chars()
         of = lambda token: bytes(as_byte[c] for c in token)
-        self.tokens = {of(t) for t in vocab if all(c in as_byte for c in t)}
+        self.tokens = {x: x for x in (of(t) for t in vocab if all(c in as_byte for c in t))}
         self.ranks = {tuple(map(of, m.split(" ") if isinstance(m, str) else m)): n for n, m in enumerate(merges)}
         self.stems = {t[:n] for t in self.tokens for n in range(len(t))}
         self.longest = max(map(len, self.tokens))
-        self.named = sorted(self.tokens)
-        self.table = HashTable()
-        own = np.array([self.hash(t) for t in self.named], np.uint64)
-        self.table.put(own, np.arange(len(own), dtype=np.int32))
-        self.pairs = HashTable()
         self.clear()
 
-    def hash(self, text: bytes) -> int:
-        """The polynomial that count_together keeps for each prefix."""
-        h = 0
-        for byte in text:
-            h = (h * FACTOR + byte + 1) % (1 << 64)
-        return h or 1
-
-    def may_follow(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """follows() of pairs given by number; last is -1 at the start of a pre-token."""
-        keys = mix((last + 1).astype(np.uint64) * np.uint64(1 << 32) + (token + 1).astype(np.uint64))
-        found = self.pairs.find(keys)
-        unknown = np.flatnonzero(found < 0)
-        if len(unknown):
-            if self.pairs.n > MEMO_PAIRS:
-                self.pairs.clear()
-                return self.may_follow(last, token)
-            new, first = np.unique(keys[unknown], return_index=True)
-            own = unknown[first]
-            said = [self.follows(None if a < 0 else self.named[a], self.named[b]) for a, b in zip(last[own].tolist(), token[own].tolist())]
-            self.pairs.put(new, np.array(said, np.int32))
-            found[unknown] = self.pairs.find(keys[unknown])
-        return found > 0
-
-    def count_together(self, texts: list[bytes]) -> np.ndarray:
-        """Tokens of each short pre-token: all take their transitions at the same time."""
-        lengths = np.array([len(t) for t in texts])
-        width = int(lengths.max())
-        read = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(-1, width)
-        prefix = np.zeros((width + 1, len(texts)), np.uint64)
-        last, count = np.full((width + 1, len(texts)), -1, np.int32), np.zeros((width + 1, len(texts)), np.int32)
-        powers = [np.uint64(pow(FACTOR, n, 1 << 64)) for n in range(width + 1)]
-        for end in range(1, width + 1):
-            prefix[end] = prefix[end - 1] * np.uint64(FACTOR) + read[:, end - 1] + np.uint64(1)
-            left = np.flatnonzero(lengths >= end)
-            for size in range(min(end, self.longest), 0, -1):
-                key = prefix[end][left] - prefix[end - size][left] * powers[size]
-                token = self.table.find(np.where(key == 0, np.uint64(1), key))
-                some = np.flatnonzero(token >= 0)
-                if len(some):
-                    own, token = left[some], token[some]
-                    ok = self.may_follow(last[end - size][own], token)
-                    last[end][own[ok]] = token[ok]
-                    count[end][own[ok]] = count[end - size][own[ok]] + 1
-                    left = np.delete(left, some[ok])
-                    if not len(left):
-                        break
-        return count[lengths, np.arange(len(texts))]
-
     def clear(self) -> None:
         #: A state: the stem, and for its beginning and the end of each of its bytes the last token (None at the start
         #: of a pre-token) and the count less the count at the end.
         self.state_of: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[tuple, tuple] = {}
         self.first = self.intern((b"", ((None, 0),)))
+        self.table, self.n = HashTable(), 0
+        self.next, self.change = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int16)
+
+    def moves(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and changes of the counts; transitions that are not there yet are compiled."""
+        keys = mix((state.astype(np.uint64) << np.uint64(8) | byte) + np.uint64(1))
+        found = self.table.find(keys)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new, at = np.unique(keys[missing], return_index=True)
+            own = missing[at]
+            made = np.array([self.compile(s, b) for s, b in zip(state[own].tolist(), byte[own].tolist())], np.int32)
+            while self.n + len(made) > len(self.next):
+                self.next, self.change = np.resize(self.next, 2 * len(self.next)), np.resize(self.change, 2 * len(self.change))
+            self.next[self.n : self.n + len(made)], self.change[self.n : self.n + len(made)] = made[:, 0], made[:, 1]
+            self.table.put(new, np.arange(self.n, self.n + len(made), dtype=np.int32))
+            self.n += len(made)
+            found[missing] = self.table.find(keys[missing])
+        return self.next[found], self.change[found]
+
+    def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and counts of spans of bytes, from given states; all spans step together."""
+        order = np.argsort(-lengths, kind="stable")
+        at, own, size = starts[order], state[order].astype(np.int32), -lengths[order]
+        count = np.zeros(len(order), np.int64)
+        for j in range(int(lengths.max()) if len(lengths) else 0):
+            n = int(np.searchsorted(size, -j, "left"))
+            own[:n], change = self.moves(own[:n], data[at[:n] + j])
+            count[:n] += change
+        exits, counts = np.empty_like(own), np.empty_like(count)
+        exits[order], counts[order] = own, count
+        return exits, counts
+
+    def count(self, texts: list[bytes]) -> np.ndarray:
+        """Tokens of each pre-token."""
+        if self.n > MEMO_TRANSITIONS:
+            self.clear()
+        data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        out = np.zeros(len(texts), np.int64)
+        short = np.flatnonzero(lengths <= WHOLE)
+        out[short] = self.run(data, starts[short], lengths[short], np.full(len(short), self.first))[1]
+        for n in np.flatnonzero(lengths > WHOLE).tolist():
+            state = self.states[self.first]
+            for at in range(0, len(texts[n]), SLAB):
+                if self.n > MEMO_TRANSITIONS:
+                    self.clear()
+                more, state = self.long(texts[n], at, state)
+                out[n] += more
+        return out
+
+    def long(self, text: bytes, at: int, state: tuple) -> tuple[int, tuple]:
+        """The count and the last state of up to SLAB bytes of a pre-token, from a state on."""
+        data = np.frombuffer(text, np.uint8)[max(0, at - PIECE) : at + SLAB]
+        here = min(at, PIECE)
+        starts = np.arange(here, len(data), PIECE)
+        lengths = np.minimum(PIECE, len(data) - starts)
+        ahead = np.minimum(starts, self.longest)
+        entry = self.run(data, starts - ahead, ahead, np.full(len(starts), self.first))[0]
+        entry[0] = self.intern(state)
+        exits, counts = self.run(data, starts, lengths, entry)
+        for _ in range(ROUNDS):
+            wrong = 1 + np.flatnonzero(entry[1:] != exits[:-1])
+            if not len(wrong):
+                break
+            entry[wrong] = exits[wrong - 1]
+            exits[wrong], counts[wrong] = self.run(data, starts[wrong], lengths[wrong], entry[wrong])
+        known: dict[tuple, tuple] = {}
+        for k in range(1, len(starts)):
+            if entry[k] != exits[k - 1]:
+                entry[k] = exits[k - 1]
+                piece = data[starts[k] : starts[k] + lengths[k]].tobytes()
+                if (int(entry[k]), piece) not in known:
+                    done, n = self.run(data, starts[k : k + 1], lengths[k : k + 1], entry[k : k + 1])
+                    known[int(entry[k]), piece] = int(done[0]), int(n[0])
+                exits[k], counts[k] = known[int(entry[k]), piece]
+        return int(counts.sum()), self.states[int(exits[-1])]
 
     def intern(self, state: tuple) -> int:
         found = self.state_of.setdefault(state, len(self.states))
@@ -234,7 +256,7 @@ class Counter:
         for at in range(len(read)):  # the longest token first
             token = read[at:]
             if token in self.tokens and self.follows(ends[at][0], token):
-                change = ends[at][1] + 1
+                token, change = self.tokens[token], ends[at][1] + 1
                 break
         else:
             raise ValueError("a byte is missing from the vocabulary")
@@ -242,21 +264,9 @@ class Counter:
         at = open_[0]  # where a token may have begun that goes on; nothing else of the past matters
         kept = [None] * (len(read) - at + 1)
         for n in open_:
-            kept[n - at] = (token, 0) if n == len(read) else (ends[n][0], ends[n][1] - change)
-        kept = tuple(kept)
-        move = self.intern((read[at:], kept)), change
-        self.moves[state << 8 | byte] = move
-        return move
-
-    def count(self, text: bytes) -> int:
-        if len(self.moves) >= MEMO_TRANSITIONS:
-            self.clear()
-        state, total, moves = self.first, 0, self.moves
-        for byte in text:
-            move = moves.get(state << 8 | byte) or self.compile(state, byte)
-            state = move[0]
-            total += move[1]
-        return total
+            pair = (token, 0) if n == len(read) else (ends[n][0], ends[n][1] - change)
+            kept[n - at] = self.pairs.setdefault(pair, pair)
+        return self.intern((read[at:], tuple(kept))), change
 
 
 class TokenCounter:
@@ -277,20 +287,6 @@ class TokenCounter:
         self.classes = classes(Tokenizer.from_file(path).pre_tokenizer)
         self.memo = HashTable()
 
-    def pretokens(self, texts: list[bytes]) -> np.ndarray:
-        """Tokens of each pre-token, those of similar length together."""
-        sizes = np.array([len(t) for t in texts])
-        out = np.zeros(len(texts), np.int32)
-        done = 0
-        for most in TOGETHER:
-            own = np.flatnonzero((sizes > done) & (sizes <= most))
-            if len(own):
-                out[own] = self.counter.count_together([texts[n] for n in own])
-            done = most
-        for n in np.flatnonzero(sizes > done):
-            out[n] = self.counter.count(texts[n])
-        return out
-
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each whole text."""
         parts, owner, extra = [], [], np.zeros(len(texts), np.int64)
@@ -327,7 +323,7 @@ class TokenCounter:
         if len(missing):
             new, at = np.unique(hashes[missing], return_index=True)
             own, text = missing[at], data.tobytes()
-            self.memo.put(new, self.pretokens([text[a:b] for a, b in zip(first[own].tolist(), after[own].tolist())]))
+            self.memo.put(new, self.counter.count([text[a:b] for a, b in zip(first[own].tolist(), after[own].tolist())]).astype(np.int32))
             counts[missing] = self.memo.find(hashes[missing])
         return extra + np.bincount(np.array(owner, np.int64)[part], counts.astype(np.float64), len(texts)).astype(np.int64)
 
