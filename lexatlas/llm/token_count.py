@@ -42,7 +42,7 @@ _LAST = 0x34000
 #: Width of a chunk in code points; steps after which state maps are checked for having become constant.
 CHUNK, CHECK = 256, 16
 #: Pre-tokens and transitions that a worker keeps; when full, it starts anew.
-MEMO, MEMO_TRANSITIONS = 500_000, 400_000
+MEMO, MEMO_TRANSITIONS = 1_000_000, 800_000
 #: Bytes of a pre-token that is not cut, of a chunk of a longer one, and of chunks that run together; rounds in which
 #: chunks with a wrong entry run again together, before they do one after the other.
 WHOLE, PIECE, SLAB, ROUNDS = 64, 256, 1 << 16, 4
