@@ -4,7 +4,7 @@ Each block of text passes points for its length and commas to its container and,
 ancestors. A container's score is discounted by its link density; the best one is kept, with those of its siblings that
 score alike and the headings and prose between them. Elements that are never article text (menus, footers, forms,
 scripts, ...) are left out before scoring; containers whose names speak of adverts, notices or comments are left out too,
-unless such a name stands on what holds most of the page's prose.
+unless such a name stands on what holds the title or is named as content, too, and most of the page's prose.
 """
 
 from __future__ import annotations
@@ -206,8 +206,8 @@ class Page:
         return named, good, hidden and tag != "article"
 
     def score(self) -> None:
-        """Points, characters and links of all containers, from the innermost out; what is named aside and holds less
-        than half of the page's points passes nothing on."""
+        """Points, characters and links of all containers, from the innermost out. What is named aside passes nothing on,
+        unless it is named as content, too, or holds the title, and has as many points as all that isn't named aside."""
         points: Counter = Counter()
         whole: Counter = Counter()
         for node, _, text, links in self.blocks:
@@ -220,7 +220,11 @@ class Page:
             whole[id(node)] += points[id(node)]
             if node.parent is not None:
                 whole[id(node.parent)] += whole[id(node)]
-        least = 0.5 * whole[id(self.root)]
+        aside: set[int] = set()
+        for node in self.nodes:
+            if node.named or (node.parent is not None and id(node.parent) in aside):
+                aside.add(id(node))
+        least = sum(p for n, p in points.items() if n not in aside)
         heads = {id(node) for node, heading, _, _ in self.blocks if heading == "h1"} | {id(n) for n in self.nodes if n.tag in ("article", "main")}
         for node in reversed(self.nodes):
             if node.parent is not None and id(node) in heads:
