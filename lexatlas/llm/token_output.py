@@ -48,7 +48,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fi
     """Encodes the documents (doc_id, text) and writes a token table at path, in ascending doc_id order.
 
     A null text is empty (end_id alone); a null doc_id comes first; rows with equal doc_id follow one another by
-    n_tokens. Other columns are ignored. Texts are encoded where they are scanned, so that ids are shuffled, not text;
+    n_tokens, then by a hash of their ids. Other columns are ignored. Texts are encoded where they are scanned, so that ids are shuffled, not text;
     each bucket is a range of doc_id of about equal size, cut at approximate quantiles of doc_id alone.
     """
     spark = docs.sparkSession
@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fi
     row = own.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)) if at else F.array(F.lit(0.5)), F.lit(20 * files))).first()
     bounds = np.array(sorted(set(row[0] or [])) if at else [], np.int64)
     ids = map_arrow(own, lambda it: _encode(it, tokenizer, end_id, bounds), SCHEMA)
-    ids.repartitionById(files, F.col("bucket")).sortWithinPartitions("doc_id", "n_tokens").write.options(**LAYOUT).parquet(path)
+    ids.repartitionById(files, F.col("bucket")).sortWithinPartitions("doc_id", "n_tokens", F.xxhash64("ids")).write.options(**LAYOUT).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -76,16 +76,17 @@ def with_starts(meta: DataFrame) -> DataFrame:
     """
     totals = meta.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
-    own = Window.partitionBy("bucket").orderBy("doc_id", "n_tokens", *[c for c in meta.columns if c == "ids_crc32"])
+    own = Window.partitionBy("bucket").orderBy("doc_id", "n_tokens", *[c for c in meta.columns if c == "tie"])
     running = F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
     return meta.join(F.broadcast(before), "bucket").withColumn("start", F.col("base") + running).drop("base")
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """bucket, doc_id, n_tokens, ids_crc32 of rows of a token table."""
+    """bucket, doc_id, n_tokens, ids_crc32 of rows of a token table, and tie, by which the file orders documents of equal
+    doc_id and n_tokens."""
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("doc_id"), b.column("n_tokens"), pa.array(list_crc32(b.column("ids")))], names=["bucket", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("doc_id"), b.column("n_tokens"), pa.array(list_crc32(b.column("ids"))), b.column("tie")], names=["bucket", "doc_id", "n_tokens", "ids_crc32", "tie"])
 
-    return map_arrow(rows, crc, "bucket int, doc_id long, n_tokens long, ids_crc32 long")
+    return map_arrow(rows.withColumn("tie", F.xxhash64("ids")), crc, "bucket int, doc_id long, n_tokens long, ids_crc32 long, tie long")
