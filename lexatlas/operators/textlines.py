@@ -237,6 +237,99 @@ def pending_titles(lines: DataFrame, number_pattern: str) -> DataFrame:
     return marked.withColumn("title", title).where("number is not null").select("doc", "pos", "number", "title")
 
 
+#: Left edge of rule numbers, headings, numbers, and lines that begin with the name of a law.
+RULE_EDGE = 99
+TITLE_LINE, CHAPTER_LINE, RULE_LINE = r"^Título\s+(\d+)\.\s+(.+)$", r"^Capítulo\s+(\d+\.\d+)\.\s+(.+)$", r"^(\d+\.\d+\.\d+(?:\.\d+)?)\.\s*"
+LAW_LINE = r"^(CFF|LISR|LIVA|LIEPS|LIF|RCFF|RMF|RISR|RLISR|Ley|CPEUM|LCF|LSS|Convención)\s"
+
+
+def _found(text: Column, pattern: str) -> Column:
+    """What the pattern's first group matches; null if nothing."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
+def rule_headings(lines: DataFrame) -> DataFrame:
+    """Titles and chapters of rule documents (doc, pos, page, kind, number, name, title): bold and centred lines. title is
+    the number of the title in force, 0 for chapters before the first."""
+    own = centred_headings(lines).withColumn("text", F.trim("text"))
+    title, chapter = _found(F.col("text"), TITLE_LINE), _found(F.col("text"), CHAPTER_LINE)
+    name = F.trim(F.coalesce(F.nullif(F.regexp_extract("text", TITLE_LINE, 2), F.lit("")), F.regexp_extract("text", CHAPTER_LINE, 2)))
+    own = own.withColumns({"number": F.coalesce(title, chapter), "kind": F.when(title.isNotNull(), "titulo").otherwise("capitulo"), "name": name}).where("number is not null")
+    in_force = F.last(F.when(F.col("kind") == "titulo", F.col("number")), ignorenulls=True).over(by_document())
+    return own.withColumn("title", F.coalesce(in_force, F.lit("0"))).select("doc", "pos", "page", "kind", "number", "name", "title")
+
+
+def rule_contents(lines: DataFrame, gap: float = 12.5) -> DataFrame:
+    """Rules with their paragraphs (doc, pos, rule, name, paragraph, kind, identifier, text), a row per paragraph, and one
+    with null paragraph for a rule that has none.
+
+    A rule begins at its number by the left margin, if a bold line there gives that number somewhere in the document; of
+    repeats the last counts. Its name is what bold lines at the text's edge say since the rule or heading before, or else
+    the rest of its line. Fractions, incisos and numerals begin a paragraph at their edges, the number itself left out, and
+    of fractions the rest of the line, too; so does a text line after a gap, if the paragraph has a text. Lines at the
+    text's edge that name a law or are italic are citations, paragraphs of their own (kind referencias). Lines off all
+    edges only go on with a text. Every step looks at one document's or rule's lines in order. Lines without text and lines
+    before the first rule belong to none; a null font flag counts as not set; an empty table gives no rows.
+    """
+    at = lambda edge: F.abs(F.col("x") - edge) < BAND
+    text, bold, italic = F.col("text"), F.coalesce("is_bold", F.lit(False)), F.coalesce("is_italic", F.lit(False))
+    own = lines.select("doc", "pos", "x", "y", F.trim("text").alias("text"), bold.alias("bold"), italic.alias("italic")).where("text <> ''")
+    number = F.when(at(RULE_EDGE), _found(text, RULE_LINE))
+    own = own.withColumn("rule", number)
+    own = own.withColumn("starts", F.col("rule").isNotNull() & F.max("bold").over(Window.partitionBy("doc", "rule")))
+    fraction, inciso, numeral = _found(text, r"^([IVX]+)\."), _found(text, r"^([a-z])\)"), _found(text, r"^(\d+)\.")
+    first, second, third, fourth = BANDS
+    role = (F.when(F.col("starts"), "rule").when(F.regexp_like(text, F.lit(f"{TITLE_LINE}|{CHAPTER_LINE}")), "heading")
+            .when(F.col("bold") & at(first) & fraction.isNull(), "name")
+            .when(~F.col("bold") & at(first) & (F.regexp_like(text, F.lit(LAW_LINE)) | F.col("italic")), "referencias")
+            .when(at(first) & fraction.isNotNull(), "fraccion").when(at(second) & inciso.isNotNull(), "inciso")
+            .when(at(third) & numeral.isNotNull(), "numeral").when(at(first), "texto").when(at(second) | at(third) | at(fourth), "more").otherwise("off"))
+    w = by_document()
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("role", role).withColumns({
+        "segment": F.sum(F.col("starts").cast("int")).over(w),
+        "since": F.coalesce(F.sum(F.col("role").isin("rule", "heading").cast("int")).over(before), F.lit(0))})
+
+    pending = own.where("role = 'name'").groupBy("doc", "since").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("p"))
+    pending = pending.select("doc", "since", F.array_join(F.col("p.text"), " ").alias("pending"))
+    rest = F.nullif(F.trim(F.regexp_replace("text", RULE_LINE, "")), F.lit(""))
+    rules = own.where("starts").select("doc", "pos", "rule", "segment", "since", rest.alias("rest")).join(pending, ["doc", "since"], "left")
+    rules = rules.withColumn("_n", F.row_number().over(Window.partitionBy("doc", "rule").orderBy(F.desc("pos")))).where("_n = 1")
+    rules = rules.select("doc", "pos", "rule", "segment", F.coalesce("pending", "rest").alias("name"))
+
+    inside = Window.partitionBy("doc", "segment").orderBy("pos")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = F.col("role").isin("fraccion", "inciso", "numeral")
+    said = F.when(F.col("role") == "fraccion", None).when(F.col("role") == "inciso", F.regexp_replace("text", r"^[a-z]\)\s*", "")).when(F.col("role") == "numeral", F.regexp_replace("text", r"^\d+\.\s*", "")).otherwise(text)
+    body = own.where("segment > 0 and role not in ('rule', 'heading', 'name')").withColumns({
+        "identifier": F.when(F.col("role") == "fraccion", fraction).when(F.col("role") == "inciso", inciso).when(F.col("role") == "numeral", numeral),
+        "said": F.nullif(said, F.lit("")),
+        "last_y": F.last(F.when(F.col("role") != "referencias", F.col("y")), ignorenulls=True).over(earlier),
+        "opens": numbered | (F.col("role") == "referencias") | F.coalesce(F.lag("role").over(inside) == "referencias", F.lit(False))})
+    body = body.withColumn("block", F.sum(F.col("opens").cast("int")).over(inside))
+    in_block = Window.partitionBy("doc", "segment", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    has_text = F.coalesce(F.max((F.col("said").isNotNull() & (F.col("role") != "off"))).over(in_block), F.lit(False))
+    body = body.withColumn("has", has_text).where("role <> 'off' or has or opens").withColumn("said", F.when((F.col("role") != "off") | F.col("has"), F.col("said")))
+    soft = (F.col("role") == "texto") & F.col("has") & F.coalesce(F.col("y") - F.col("last_y") > gap, F.lit(False))
+    body = body.withColumn("part", F.sum((F.col("opens") | soft).cast("int")).over(inside))
+    opener = F.min_by(F.struct("role", "identifier"), "pos")
+    parts = body.groupBy("doc", "segment", "part").agg(opener.alias("o"), F.sort_array(F.collect_list(F.struct("pos", "said"))).alias("p"))
+    kind = F.when(F.col("o.role").isin("fraccion", "inciso", "numeral", "referencias"), F.col("o.role")).otherwise("texto")
+    parts = parts.select("doc", "segment", "part", kind.alias("kind"), F.col("o.identifier").alias("identifier"), F.array_join(F.col("p.said"), " ").alias("text")).where("text <> ''")
+    parts = parts.withColumn("paragraph", F.row_number().over(Window.partitionBy("doc", "segment").orderBy("part")))
+    return rules.join(parts, ["doc", "segment"], "left").select("doc", "pos", "rule", "name", "paragraph", "kind", "identifier", "text")
+
+
+def until_end_page(rows: DataFrame, lines: DataFrame, marker: str, extra: str | None = None, least_x: int = 150) -> DataFrame:
+    """Rows (doc, page) up to the first page with an end marker, that page included, with end_page (null if there is no
+    marker): a bold line that matches `marker` right of least_x, or matches `extra` anywhere."""
+    ends = F.regexp_like("text", F.lit(marker)) & (F.col("x") > least_x)
+    if extra:
+        ends |= F.regexp_like("text", F.lit(extra))
+    last = lines.where(F.col("is_bold") & ends).groupBy("doc").agg(F.min("page").alias("end_page"))
+    return rows.join(last, "doc", "left").where("end_page is null or page <= end_page")
+
+
 #: How far a left edge may be off, and the gap above that begins a paragraph.
 START_TOLERANCE, START_GAP = 10, 12
 

@@ -182,6 +182,38 @@ def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.pending_titles(_lines(spark, sf_dir), r"^(\d+[.])")
 
 
+_HEADS = "CASE (doc + pos) % 12 WHEN 0 THEN 'Título ' || CAST(pos // 12 + 1 AS VARCHAR) || '. ' WHEN 6 THEN 'Capítulo ' || CAST(pos // 12 + 1 AS VARCHAR) || '.1. ' ELSE '' END"
+
+
+@query("encabezados_de_reglas", f"""WITH {LINES}, h AS (SELECT doc, pos, page, is_bold, x, x_end, {_HEADS} || text AS text FROM lines),
+f AS (SELECT *, regexp_extract(text, '^Título\\s+([0-9]+)\\.\\s+.+$', 1) AS t, regexp_extract(text, '^Capítulo\\s+([0-9]+\\.[0-9]+)\\.\\s+.+$', 1) AS c FROM h WHERE is_bold AND abs(x + x_end - 612) < 50)
+SELECT doc, pos, page, CASE WHEN t <> '' THEN 'titulo' ELSE 'capitulo' END AS kind, CASE WHEN t <> '' THEN t ELSE c END AS number, trim(regexp_extract(text, '^(Título|Capítulo)\\s+[0-9.]+\\.\\s+(.+)$', 2), ' ') AS name,
+       coalesce(last_value(CASE WHEN t <> '' THEN t END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos), '0') AS title FROM f WHERE t <> '' OR c <> ''""")
+def _rule_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and chapters, bold and centred."""
+    k, number = (F.col("doc") + F.col("pos")) % 12, (F.floor(F.col("pos") / 12) + 1).cast("string")
+    head = F.when(k == 0, F.concat(F.lit("Título "), number, F.lit(". "))).when(k == 6, F.concat(F.lit("Capítulo "), number, F.lit(".1. "))).otherwise("")
+    return t.rule_headings(_lines(spark, sf_dir).withColumn("text", F.concat(head, "text")))
+
+
+@query("contenido_de_reglas")
+def _rule_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8, whole: names, paragraphs and citations of rules; tests compare it with a loop."""
+    k = F.col("doc") + F.col("pos")
+    edge = F.element_at(F.array(*map(F.lit, (99, 156, 198, 241, 269))), (F.pmod(F.floor(k / 2), F.lit(5)) + 1).cast("int"))
+    number = F.concat(F.concat_ws(".", (F.col("doc") % 5 + 1).cast("string"), F.col("page").cast("string"), (F.col("pos") + 1).cast("string")), F.lit(". "))
+    lines = _lines(spark, sf_dir).withColumns({"x": F.when(k % 7 == 0, 99).otherwise(edge), "text": F.concat(F.when(k % 7 == 0, number).otherwise(""), "text"), "is_bold": F.col("is_bold") | (k % 14 == 0)})
+    return t.rule_contents(lines)
+
+
+@query("hasta_pagina_final", f"""WITH {LINES}, e AS (SELECT doc, min(page) AS end_page FROM lines WHERE is_bold AND (text LIKE '%e%' AND x > 150 OR text LIKE 'T%') GROUP BY doc)
+SELECT doc, pos, page, end_page FROM lines LEFT JOIN e USING (doc) WHERE is_italic AND (end_page IS NULL OR page <= end_page)""")
+def _end_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to the first page with an end marker."""
+    lines = _lines(spark, sf_dir)
+    return t.until_end_page(lines.where("is_italic").select("doc", "pos", "page"), lines, "e", "^T")
+
+
 @query("pliegue_por_inicio")
 def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold that SQL windows can't express; tests compare it with a loop."""
