@@ -12,8 +12,10 @@
    dropped. Group pairs pass a length filter, a positional filter, a count of the shingles shared and a bound by parity
    bitmaps of their whole sets (bitmaps differ in no more bits than the sets in shingles), and are expanded to members,
    which are verified on their whole sets. Since components are asked for, pairs come in two steps: first every group of
-   a shingle's list is compared with the list's smallest one, and within a group every member with its first; components
-   of the links found are formed; then all remaining pairs are compared, save those within one component. So a large
+   a shingle's list is compared with the list's lead, and within a group every member with its first; components of the
+   links found are formed; then all remaining pairs are compared, save those within one component. The lead is the group
+   with the fewest rare shingles, then the largest: an edit makes shingles that no other copy has, so that it is the
+   original of a group of near copies, or the least edited one, to which more of them link than to any other. So a large
    group of near copies costs about as many comparisons as it has members, yet no link between components is missed.
 
 Lists of shingles that very many documents hold are summed up map-side, and their pairs are made in parts of both sides.
@@ -142,7 +144,7 @@ def _index_size(n: Column, percent: int) -> Column:
 
 
 _BITS = [f"bits{w}" for w in range(BITMAP)]
-_DOCS = f"doc_id long, th long, n long, a long, b long, pa long, pb long, {', '.join(f'{c} long' for c in _BITS)}, hot_from int, prefix array<long>"
+_DOCS = f"doc_id long, th long, n long, a long, b long, pa long, pb long, {', '.join(f'{c} long' for c in _BITS)}, rare int, hot_from int, prefix array<long>"
 
 
 def bitmaps(found: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -169,6 +171,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, hot: i
             code = found >> np.uint64(32)
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             df = np.where(codes[at] == code, counts[at], 0)
+        rare = np.bincount(doc[df == 0], minlength=len(n)).astype(np.int32)
         order = np.lexsort((found, df, doc))
         rank = np.arange(len(found)) - np.repeat(offsets[:-1], n)
         own = rank < np.repeat(np.where(n > 0, prefix_size(n, percent), 0), n)
@@ -177,7 +180,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, hot: i
         keys = [add(mix(prefix ^ np.uint64(k)), ends).view(np.int64) for k in (3, 4)]
         cool = add((df[order][own] < hot).astype(np.uint64), ends).astype(np.int32)  # hot ones come last
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n), *map(pa.array, digests), *map(pa.array, keys), *map(pa.array, bitmaps(found, offsets)), pa.array(cool), lists], names=[x.split()[0] for x in _DOCS.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n), *map(pa.array, digests), *map(pa.array, keys), *map(pa.array, bitmaps(found, offsets)), pa.array(rare), pa.array(cool), lists], names=[x.split()[0] for x in _DOCS.split(", ")])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -261,11 +264,11 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = materialize(classes, "classes")
     bounds = [f(f"bits{w}").alias(f"{name}{w}") for w in range(BITMAP) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
     groups = materialize(classes.groupBy("n", "pa", "pb").agg(F.min("id").alias("gid"), F.count("*").alias("m"), *bounds), "groups")
-    # shingles that several groups share, with the list's smallest group
-    heads = rows.select(F.col("id").alias("gid"), "n", "prefix", "hot_from").join(groups.select("gid"), "gid", "left_semi")
-    listed = heads.select("gid", F.col("n").cast("int").alias("n"), "hot_from", F.posexplode("prefix").alias("i", "token")).withColumn("hot", F.col("i") >= F.col("hot_from")).drop("hot_from")
+    # shingles that several groups share, with the list's lead
+    heads = rows.select(F.col("id").alias("gid"), "n", "rare", "prefix", "hot_from").join(groups.select("gid"), "gid", "left_semi")
+    listed = heads.select("gid", F.col("n").cast("int").alias("n"), "rare", "hot_from", F.posexplode("prefix").alias("i", "token")).withColumn("hot", F.col("i") >= F.col("hot_from")).drop("hot_from")
     smaller = F.col("i") < _index_size(F.col("n"), percent)
-    listed = _of_lists(listed, lists=F.count("*"), some=F.max(smaller), lead=F.min(F.struct("gid", "n", "i"))).where("lists > 1 and some")
+    listed = _of_lists(listed, lists=F.count("*"), some=F.max(smaller), lead=F.min(F.struct("rare", (-F.col("n")).alias("small"), "gid", "n", "i"))).where("lists > 1 and some")
     listed = materialize(listed.select("token", "hot", "gid", "n", "i", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.i").alias("lead_i")), "shared-prefixes")
     several = groups.where("m > 1").select("n", "pa", "pb", "gid")
     members = materialize(classes.select("id", "n", "pa", "pb").join(several, ["n", "pa", "pb"]).select("gid", "id", "n"), "group-members")
