@@ -53,3 +53,21 @@ def test_a_very_long_text(spark):
     assert len(text) > 4_000_000
     got = ngram_join.similar_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), size=4, percent=85).collect()
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == components(docs, 4, 85)
+
+
+def test_edited_copies_of_one_text(spark):
+    """Copies edited in so many places that most link with the original alone, some with few others, some with none."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    docs = []
+    for d in range(240):
+        own = list(words)
+        for i in r.sample(range(150), r.randint(1, 9)):
+            own[i] = f"e{d}x{i}"
+        docs.append((d, " ".join(own)))
+    docs.append((500, " ".join(words)))
+    want = components(docs, 5, 80)
+    sizes = sorted(list(root for _, root in want.values()).count(k) for k in {root for _, root in want.values()})
+    assert sizes[0] == 1 and sizes[-1] > 50
+    got = ngram_join.similar_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), size=5, percent=80).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
