@@ -19,6 +19,11 @@ def tokenizer_path(name: str) -> str:
     return import_module(TOKENIZERS).path(name)
 
 
+def token_pattern() -> str:
+    """The pattern that splits a text before the merges of a file of ranks."""
+    return import_module(TOKENIZERS).PATTERN
+
+
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexatlas.llm.token_output import digest, read_tokens, with_starts, write_tokens
 
@@ -94,6 +99,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.byte_bpe import decode, digest, encode
+
+    ranks, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), token_pattern()
+    return digest(decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_chat_formatting": op2_chat_formatting,
@@ -105,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
