@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexatlas.llm.hard_negatives import SQL as HARD_NEGATIVES_SQL
 from lexatlas.llm.line_dedup import SQL as LINE_DEDUP_SQL
 from lexatlas.sources.workspace import fresh_path, materialize, table
 
@@ -106,6 +107,14 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", label.alias("label"))
+    return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_chat_formatting": op2_chat_formatting,
@@ -118,8 +127,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
     "op6_line_dedup": LINE_DEDUP_SQL,
+    "op13_hard_negatives": HARD_NEGATIVES_SQL,
 }
