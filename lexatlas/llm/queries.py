@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.llm.hard_negatives import SQL as HARD_NEGATIVES_SQL
 from lexatlas.llm.line_dedup import SQL as LINE_DEDUP_SQL
+from lexatlas.llm.structure_repair import SQL as STRUCTURE_REPAIR_SQL
 from lexatlas.sources.workspace import fresh_path, materialize, table
 
 #: The folder's name of the tokenizer files' package; path(name) gives a file's place on any machine.
@@ -100,6 +101,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.structure_repair import audit
+
+    return audit(table(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexatlas.llm.byte_bpe import decode, digest, encode
 
@@ -126,11 +133,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,
+    "op11_structure_repair": op11_structure_repair,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
     "op6_line_dedup": LINE_DEDUP_SQL,
+    "op11_structure_repair": STRUCTURE_REPAIR_SQL,
     "op13_hard_negatives": HARD_NEGATIVES_SQL,
 }
