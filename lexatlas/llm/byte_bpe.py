@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from lexatlas.llm.arrays import text_blocks
 from lexatlas.sources.workspace import map_arrow
 
-#: Matches of the pattern, and pairs of entries, that a worker remembers; when full, it starts anew.
-MEMO, MEMO_PAIRS = 300_000, 500_000
+#: Matches of the pattern that a worker remembers, twice over: those seen since the memo was last full, and those of the
+#: time before. Pairs of entries that it remembers; when full, it starts anew.
+MEMO, MEMO_PAIRS = 250_000, 500_000
 #: A longer match isn't remembered. A text of more characters is split into so many matches at a time.
 MEMO_CHARS, LONG_TEXT, MATCHES = 64, 1 << 18, 1 << 15
 #: Bytes of ids that one step of decoding holds; a longer row forms a step of its own.
@@ -45,10 +46,11 @@ class BytePairEncoder:
         if len({e for e in self.ids if len(e) == 1}) < 256:
             raise ValueError("each byte must be an entry of the vocabulary")
         self.entries = {i: e for e, i in self.ids.items()}
+        self.lengths = {i: len(e) for e, i in self.ids.items()}
         self.split = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
-        for entry in self.ids:
-            self.automaton.add_word(entry.decode("latin-1"), len(entry))
+        for entry, i in self.ids.items():
+            self.automaton.add_word(entry.decode("latin-1"), (i, len(entry)))
         self.automaton.make_automaton()
         self.begins_with: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -89,25 +91,28 @@ class BytePairEncoder:
         """Ids of one match of the pattern, of any length."""
         if data in self.ids:
             return array("I", [self.ids[data]])
-        n = len(data)
+        n, lengths, pairs = len(data), self.lengths, self.pairs
         longest = array("I", bytes(4 * n))
-        for last, length in self.automaton.iter(data.decode("latin-1")):
-            longest[last - length + 1] = length  # matches come by their last byte, so the longest of a start comes last
+        for last, (entry, length) in self.automaton.iter(data.decode("latin-1")):
+            longest[last - length + 1] = entry  # matches come by their last byte, so the longest of a start comes last
         path, at, dead = array("I"), 0, bytearray(n + 1)
-        entry = self.ids[data[: longest[0]]]
+        entry, before = longest[0], -1
         while at < n:
-            end = at + len(self.entries[entry])
-            if not dead[end] and self.fits(path[-1] if path else -1, entry):
-                path.append(entry)
-                at = end
-                if at < n:
-                    entry = self.ids[data[at : at + longest[at]]]
-                continue
+            end = at + lengths[entry]
+            if not dead[end]:
+                fits = pairs.get((before, entry))
+                if self.fits(before, entry) if fits is None else fits:
+                    path.append(entry)
+                    before, at = entry, end
+                    if at < n:
+                        entry = longest[at]
+                    continue
             entry = self.shorter(entry)
             if entry < 0:
                 dead[at] = 1
                 entry = path.pop()
-                at -= len(self.entries[entry])
+                at -= lengths[entry]
+                before = path[-1] if path else -1
         return path
 
     def encode(self, text: str) -> bytes:
@@ -126,16 +131,19 @@ class BytePairEncoder:
 
 
 class _Memo(dict):
-    """From matches of the pattern to their ids; short ones are kept."""
+    """From matches of the pattern to their ids; short ones are kept, and those in use outlast the others."""
 
     def __init__(self, encoder: BytePairEncoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, match: str) -> bytes:
-        ids = np.array(self.encoder.encode_match(match.encode()), "<u4").tobytes()
+        ids = self.older.get(match)
+        if ids is None:
+            ids = np.asarray(self.encoder.encode_match(match.encode()), "<u4").tobytes()
         if len(match) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[match] = ids
         return ids
