@@ -11,10 +11,13 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step holds; a longer document forms a block of its own.
 BLOCK_BYTES = 1 << 18
+#: Rows of one step at most, whatever their texts.
+BLOCK_ROWS = 1 << 14
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of the batches with about block_bytes of text each, with the text column as large_string, null as empty."""
+    """Slices of the batches with about block_bytes of text each, BLOCK_ROWS rows at most, with the text column as
+    large_string, null as empty."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -23,7 +26,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_b
         at = 0
         while at < len(text):
             to = int(np.searchsorted(offsets, offsets[at] + block_bytes, "right")) - 1
-            to = min(max(to, at + 1), len(text))
+            to = min(max(to, at + 1), at + BLOCK_ROWS, len(text))
             yield batch.slice(at, to - at), text.slice(at, to - at)
             at = to
 

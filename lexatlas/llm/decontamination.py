@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.llm.arrays import gather, mix, text_blocks
+from lexatlas.llm.arrays import BLOCK_ROWS, gather, mix, text_blocks
+from lexatlas.llm.columns import aside
 from lexatlas.sources.workspace import map_arrow, materialize
 
 Q = 8
@@ -199,6 +200,8 @@ def _pieces(codes: np.ndarray, cut: np.ndarray, items: Items, n: int) -> Iterato
 def search(texts: list[str], blocks: list[tuple[Items, np.ndarray]]) -> list[tuple[int, int | None, int, int, int]]:
     """(text, item_id, edits, start, end) of each item of the blocks (items and their filter) in each text, with the fewest
     edits, then the earliest start; places in code points of the text as it is."""
+    if len(texts) > BLOCK_ROWS:
+        raise ValueError(f"at most {BLOCK_ROWS} texts at a time")
     codes, cut, origin = fold(texts)
     out = []
     for items, slots in blocks:
@@ -272,12 +275,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PE
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark item occurs; cases as in contaminations."""
+    names, docs = docs.columns, aside(docs)
     for number, shared in _groups(benchmark, percent):
         docs = map_arrow(docs, lambda it, b=shared: _clean(it, b), docs.schema)
         if number > 1:
             docs = materialize(docs, "clean")
             _drop(shared)
-    return docs
+    return docs.toDF(*names)
 
 
 def _groups(benchmark: DataFrame, percent: int) -> Iterator[tuple[int, list]]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lexatlas.llm.arrays import text_blocks
+from lexatlas.llm.columns import aside
 from lexatlas.sources.workspace import map_arrow, materialize
 
 BUCKETS = 1 << 16
@@ -206,11 +207,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     the model knows no language, gets `und` and score 0. The text alone decides; doc_id may be null, rows may repeat; an
     empty table gives no rows. A long text is taken STEP characters at a time.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    names = [f.name for f in kept]
-    own = docs.select(*names)
+    docs = docs.drop("lang_pred", "score")
+    own, shown = aside(docs), [*docs.columns, "lang_pred", "score"]
+    kept, names = own.schema.fields, own.columns
     if not model.blocks:
-        return own.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return own.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)}).toDF(*shown)
 
     def run(batches: Iterator[pa.RecordBatch], block, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
         for batch, text in text_blocks(batches):
@@ -228,4 +229,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     count = len(model.blocks)
     for k, block in enumerate(model.blocks):
         own = map_arrow(own, lambda it, b=block, f=k == 0, z=k == count - 1: run(it, b, f, z), scored if k == count - 1 else passing)
-    return own
+    return own.toDF(*shown)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexatlas.llm.columns import aside
 from lexatlas.sources.workspace import materialize
 
 WINDOW = 3
@@ -49,7 +50,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     doc_id and text are one document: what is first in one is first in the other, and both come out alike. Documents
     that lose every line have an empty text. An empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs = docs.drop("n_lines", "n_removed")
+    names, docs = docs.columns, aside(docs)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _lines().alias("lines"))
     found, hashed = _windows(window)
     places = keyed.select("doc_id", "text_hash", "lines", hashed.alias("h")).select("doc_id", "text_hash", F.inline(found)).drop("w")
@@ -68,14 +70,15 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     two = rest.join(repeated.where(F.col("n") <= hot), ["a", "b"]).where(later)
     covered = one.unionByName(two).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
 
-    texts = docs.select(*kept, F.xxhash64("text").alias("_hash"))
+    texts = docs.withColumn("_hash", F.xxhash64("text"))
     joined = texts.join(covered.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_text"}), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
     gone = F.array_distinct(F.flatten(F.transform("at", lambda i: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: i + k))))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
     out = joined.withColumns({"_lines": _lines(), "_gone": gone})
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    shown = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*shown, n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed")).toDF(*names, "n_lines", "n_removed")
 
 
 #: The result of op6 in DuckDB SQL.

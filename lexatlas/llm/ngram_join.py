@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexatlas.llm.arrays import _PLACE, mix, text_blocks, windows, word_hashes
+from lexatlas.llm.columns import aside
 from lexatlas.llm.graphs import components, join_counted
 from lexatlas.sources.workspace import map_arrow, materialize
 
@@ -348,6 +349,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = _components(docs, size, percent)
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
     keep = first.select(*key, F.lit(True).alias("_one")).unionByName(found.where("root is null").select(*key, F.lit(False).alias("_one")).distinct())
+    names, docs = docs.columns, aside(docs)
     keyed = docs.withColumns({"_doc": key[0], "_th": F.xxhash64("text")}).join(keep, ["_doc", "_th"])
     again = F.row_number().over(Window.partitionBy("_doc", "_th").orderBy(F.lit(1)))  # rows that repeat are alike
-    return keyed.withColumn("_n", again).where("_n = 1 or not _one").select(*docs.columns)
+    return keyed.withColumn("_n", again).where("_n = 1 or not _one").select(*(F.col(f"`{c}`") for c in docs.columns)).toDF(*names)

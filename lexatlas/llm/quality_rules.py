@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[Rule]:
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null")
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     stats = statistics(docs.join(F.broadcast(own.select("doc_id").distinct()), "doc_id", "left_semi"))
-    table = stats.join(F.broadcast(own), "doc_id").select("doc_id", "quality", *[feature(n).alias(n) for n in FEATURES]).toPandas()
+    rows = stats.join(F.broadcast(own), "doc_id").select("doc_id", "quality", *[feature(n).alias(n) for n in FEATURES])
+    table = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *FEATURES).limit(sample).toPandas()
     table = table.sort_values(["doc_id", "quality", *FEATURES], kind="stable")
     order = np.random.default_rng(7).permutation(len(table))
     return learn({n: table[n].to_numpy()[order] for n in FEATURES}, (table["quality"] == 0).to_numpy()[order])

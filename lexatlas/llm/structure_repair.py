@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lexatlas.sources.workspace import map_arrow, materialize
 
-#: Rows of a fragment.
-FRAGMENT = 1 << 16
+#: Rows of a fragment, and of the fragments that a task walks.
+FRAGMENT, TASK_ROWS = 1 << 16, 1 << 15
 #: The white space of [^\\x20\\x09-\\x0D].
 WHITE = " \t\n\x0b\f\r"
 KEEP, REROLE, DELETE, INSERT = 0.0, 3.0, 4.0, 3.0
@@ -311,8 +311,9 @@ def edits(parts: DataFrame) -> DataFrame:
     exits = map_arrow(chosen.join(around, "at"), _exits, "conv_id long, at long, exits array<int>")
     entries = exits.groupBy("conv_id").applyInPandas(_entries, "at long, entry int")
     known = several.join(around, "at").join(entries, "at")
+    tasks = max(1, -(-(parts.agg(F.sum("rows")).first()[0] or 0) // TASK_ROWS))
     whole = parts.select("conv_id", "at", "codes").join(known, "at", "left").withColumn("final", F.coalesce("final", F.lit(True)))
-    return map_arrow(whole, _edits, _EDITS)
+    return map_arrow(whole.repartition(tasks, "at"), _edits, _EDITS)
 
 
 def report(parts: DataFrame, edited: DataFrame) -> DataFrame:

@@ -122,3 +122,22 @@ def test_language_of_odd_rows(spark):
     assert {(r["doc_id"], r["lang_pred"]) for r in got.collect()} == {(1, "en"), (2, "es"), (3, "und"), (4, "und"), (None, "en"), (5, "und")}
     assert {r["lang_pred"] for r in language_id.predict(df, language_id.fit(df.limit(0), df["doc_id"].isNotNull())).collect()} == {"und"}
     assert language_id.predict(df.limit(0), model).count() == 0
+
+
+def test_quality_rules_reject_what_they_learn_to(spark, small):
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    rules = quality_rules.fit(docs, labels)
+    assert rules
+    rows = quality_rules.statistics(docs).select("*", quality_rules.verdict(rules).alias("kept"), *[quality_rules.feature(n).alias(n) for n in quality_rules.FEATURES]).collect()
+    for r in rows:
+        held = any(all(r[c.feature] > c.threshold if c.above else r[c.feature] <= c.threshold for c in rule) for rule in rules)
+        assert r["kept"] == (not held)
+    bad = {r["doc_id"] for r in labels.where("quality = 0").collect()}
+    rejected = {r["doc_id"] for r in rows if not r["kept"]}
+    assert rejected and len(rejected & bad) >= 0.8 * len(rejected & {r["doc_id"] for r in labels.where("quality is not null").collect()})
+
+
+def test_quality_sample_bounds_rows_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(n % 3, f"w{n} " * 12) for n in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(3)], "doc_id long, quality int")
+    assert quality_rules.fit(docs, labels, sample=10) == []

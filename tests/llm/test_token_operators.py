@@ -121,3 +121,21 @@ def test_token_counts_of_odd_rows(spark, small):
     want = [(r["doc_id"], len((r["text"] or "").encode()), n := len(encode(r["text"])), n > 1024) for r in fixture(spark, small).collect()]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert token_count.count_tokens(fixture(spark, small).limit(0), BYTE).count() == 0
+
+
+def test_layout_of_token_files(spark, small):
+    import pyarrow.parquet as pq
+
+    path = fresh_path(spark, "test-layout")
+    token_output.write_tokens(table(spark, small, "documents"), path, WORD, end_id=2, files=2)
+    files = [f for f in __import__("pathlib").Path(path.removeprefix("file://")).rglob("*.parquet")]
+    assert len(files) == 2
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            for c in (meta.row_group(g).column(i) for i in range(meta.num_columns)):
+                assert c.has_offset_index and c.has_column_index
+                if c.path_in_schema in ("doc_id", "n_tokens"):
+                    assert "DELTA_BINARY_PACKED" in c.encodings and "RLE_DICTIONARY" not in c.encodings
+                if c.path_in_schema.startswith("ids"):
+                    assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(c.encodings)
