@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexatlas.llm import decontamination, language_id, line_dedup, ngram_join, packing
+from lexatlas.llm.columns import aside
 from lexatlas.llm.queries import held_out, tokenizer_path
 from lexatlas.sources.workspace import materialize, table
 
@@ -25,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = language_id.fit(docs, ~held_out())
     known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    return language_id.predict(docs, model).where(known).select(*docs.columns)
+    return language_id.predict(aside(docs), model).where(known).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +35,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents of which nothing is left, because all their lines occurred before, go. Others stay, with the cases as in
     dedup_lines.
     """
-    out = line_dedup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
-    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return out.select(*[chars if c == "n_chars" else F.col(c) for c in docs.columns])
+    own = aside(docs)
+    out = line_dedup.dedup_lines(own).where("n_removed = 0 or n_removed < n_lines")
+    chars = lambda c: F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c))
+    return out.select(*[(chars(f"`{c}`") if name == "n_chars" else F.col(f"`{c}`")).alias(name) for name, c in zip(docs.columns, own.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
