@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexatlas.functions.numbering import load_key
+from lexatlas.operators.laws import last_of_keys
+from lexatlas.sources.ranking import numbered
 
 _SECTION = "struct<nombre:string,pagina:int,articulos:array<string>>"
 _CHAPTER = f"struct<nombre:string,pagina:int,articulos:array<string>,secciones:map<string,{_SECTION}>>"
@@ -17,9 +19,8 @@ CONTENT_SCHEMA = f"ley string, tipo_contenido string, ultima_reforma_dof string,
 
 def read_maps(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Structure maps, one document a file, or one a line. Of repeated keys the last counts."""
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     docs = spark.read.text(path, wholetext=not lines).select(F.from_json("value", MAP_SCHEMA).alias("m")).select("m.*")
-    once = lambda m: F.map_from_entries(F.map_entries(m))  # noqa: E731  (from_json keeps all of repeated keys)
+    once = lambda m: F.when(F.col(m).isNotNull() if isinstance(m, str) else m.isNotNull(), last_of_keys(F.map_entries(m)))  # noqa: E731  (from_json keeps all of repeated keys)
     chapter = lambda c: c.withField("secciones", once(c["secciones"]))
     title = lambda t: t.withField("capitulos", F.transform_values(once(t["capitulos"]), lambda _, c: chapter(c)))
     return docs.withColumn("titulos", F.transform_values(once("titulos"), lambda _, t: title(t)))
@@ -51,12 +52,11 @@ def preorder(maps: DataFrame) -> DataFrame:
     rows = t.select("law", "tp", none.alias("cp"), none.alias("sp"), F.lit("titulo").alias("kind"), F.col("title").alias("number"), F.col("t.nombre").alias("name"))
     rows = rows.unionByName(c.select("law", "tp", "cp", none.alias("sp"), F.lit("capitulo").alias("kind"), F.col("chapter").alias("number"), F.col("c.nombre").alias("name")))
     rows = rows.unionByName(s.select("law", "tp", "cp", "sp", F.lit("seccion").alias("kind"), F.col("section").alias("number"), F.col("s.nombre").alias("name")))
-    w = Window.partitionBy("law").orderBy("tp", F.asc_nulls_first("cp"), F.asc_nulls_first("sp"))
-    title = Window.partitionBy("law", "tp").orderBy(F.asc_nulls_first("cp"), F.asc_nulls_first("sp"))
-    chapter = Window.partitionBy("law", "tp", "cp").orderBy(F.asc_nulls_first("sp"))
-    numbered = rows.withColumn("orden", F.row_number().over(w))
-    parent = F.when(F.col("sp").isNotNull(), F.first("orden").over(chapter)).when(F.col("cp").isNotNull(), F.first("orden").over(title))
-    return numbered.withColumn("parent_orden", parent).select("law", "orden", "kind", "number", "name", "parent_orden")
+    placed = numbered(rows, ["law"], ["tp", "cp", "sp"], "orden").withColumn("orden", F.col("orden").cast("int"))
+    parents = placed.where("kind <> 'seccion'").select(F.col("law").alias("_law"), F.col("tp").alias("_tp"), F.col("cp").alias("_cp"), F.col("orden").alias("parent_orden"))
+    above = F.when(F.col("sp").isNotNull(), F.col("cp"))
+    joined = placed.withColumn("_above", above).join(parents, F.col("law").eqNullSafe(F.col("_law")) & (F.col("tp") == F.col("_tp")) & F.col("_above").eqNullSafe(F.col("_cp")), "left")
+    return joined.select("law", "orden", "kind", "number", "name", F.when(F.col("kind") != "titulo", F.col("parent_orden")).alias("parent_orden"))
 
 
 def map_statistics(maps: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, updated: list[str]
 
 def tree_ids(divisions: DataFrame, start: int = 1) -> DataFrame:
     """Divisions (law, orden, parent_orden, ...) with ids in order and the ids of their parents."""
-    ids = divisions.withColumn("id", F.row_number().over(Window.partitionBy("law").orderBy("orden")) + start - 1)
+    ids = numbered(divisions, ["law"], ["orden"], "id").withColumn("id", (F.col("id") + start - 1).cast("int"))
     parents = ids.select("law", F.col("orden").alias("parent_orden"), F.col("id").alias("parent_id"))
     return ids.join(parents, ["law", "parent_orden"], "left")
 
@@ -124,12 +124,21 @@ def checksum_entries(sums: DataFrame, law: str) -> DataFrame:
     return own.select("article_id", F.to_json(F.create_map(F.col("article_id").cast("string"), F.col("checksum"))).alias("value"))
 
 
+#: An entry of a flat JSON object of strings.
+_ENTRY = r'"(?:[^"\\]|\\.)*"\s*:\s*"(?:[^"\\]|\\.)*"'
+
+
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(number, checksum) of baselines: JSON objects, whether one for a whole law or one a line."""
-    lines = spark.read.text(path, wholetext=False).where(F.trim("value").startswith("{") & F.trim("value").endswith("}"))
-    whole = spark.read.text(path, wholetext=True).where(~F.trim("value").contains("}\n{") & F.trim("value").contains("\n"))
-    objects = lines.unionByName(whole)
-    return objects.select(F.explode(F.from_json("value", "map<string,string>")).alias("number", "checksum"))
+    """(number, checksum) of baselines: flat JSON objects of strings, one for a whole law or one a line, printed in one
+    line or with an entry a line.
+
+    Files are read line by line, so that large ones are split among tasks; a line's entries are taken out of it. An entry
+    must not be divided between lines: a line that ends after a key and its colon raises.
+    """
+    lines = spark.read.text(path)
+    whole = F.when(F.regexp_like("value", F.lit(r'"\s*:\s*$')), F.raise_error(F.concat(F.lit("an entry over two lines: "), "value"))).otherwise(F.col("value"))
+    entries = lines.select(F.explode(F.regexp_extract_all(whole, F.lit(_ENTRY), 0)).alias("entry"))
+    return entries.select(F.explode(F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), "map<string,string>")).alias("number", "checksum"))
 
 
 def checksum_document(sums: DataFrame, law: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.operators.hierarchy import chains
+from lexatlas.sources.ranking import neighbours, numbered
 
 
 def group_hits(hits: DataFrame, page: int | None = None) -> DataFrame:
@@ -13,8 +14,7 @@ def group_hits(hits: DataFrame, page: int | None = None) -> DataFrame:
     all), place (from 1), id. `page`: only so many of each law; all by default, a row each, so that no law fills a row.
     """
     total = hits.groupBy("law").agg(F.count("*").cast("int").alias("hits"), F.max("rank").alias("_first"))
-    w = Window.partitionBy("law").orderBy(F.desc("rank"), "id")
-    placed = hits.withColumn("place", F.row_number().over(w))
+    placed = numbered(hits, ["law"], [F.desc("rank"), F.col("id")], "place").withColumn("place", F.col("place").cast("int"))
     shown = placed if page is None else placed.where(F.col("place") <= page)
     return shown.join(total, "law").orderBy(F.desc("hits"), F.desc("_first"), "law", "place").select("law", "hits", "place", "id")
 
@@ -38,8 +38,7 @@ def nest(structure: DataFrame) -> DataFrame:
 
 def forward_titles(divisions: DataFrame) -> DataFrame:
     """Flat divisions in order (law, place, kind, id), each with the title it stands under."""
-    w = Window.partitionBy("law").orderBy("place")
-    return divisions.withColumn("title_id", F.last(F.when(F.col("kind") == "titulo", F.col("id")), ignorenulls=True).over(w))
+    return neighbours(divisions, ["law"], ["place"], last={"title_id": F.when(F.col("kind") == "titulo", F.col("id"))})
 
 
 def quality_counts(rows: DataFrame, quality: str = "quality") -> DataFrame:

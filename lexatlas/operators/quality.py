@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexatlas.sources.corpus import Corpus
+from lexatlas.sources.ranking import neighbours
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -54,17 +55,34 @@ def index_summary(compared: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.when(F.col("official") == 0, 100.0).otherwise(F.round(F.col("matched") / F.col("official") * 100, 1)))
 
 
-def numbering_gaps(divisions: DataFrame, articles: DataFrame, number: Column, label: Column) -> DataFrame:
+#: Missing numbers of a division that are listed; of more, only the intervals and the count are given.
+LISTED = 1000
+
+
+def missing_intervals(articles: DataFrame, number: Column) -> DataFrame:
+    """Numbers missing between the first and the last of a division, as intervals: division_id, after, first_missing,
+    last_missing. A row for each gap between two neighbours, however wide it is."""
+    own = articles.select("division_id", number.cast("long").alias("n")).where("n is not null").distinct()
+    following = neighbours(own, ["division_id"], ["n"], after={"next": "n"})
+    return following.where("next > n + 1").select("division_id", F.col("n").alias("after"), (F.col("n") + 1).alias("first_missing"), (F.col("next") - 1).alias("last_missing"))
+
+
+def numbering_gaps(divisions: DataFrame, articles: DataFrame, number: Column, label: Column, listed: int = LISTED) -> DataFrame:
     """Per division (division_id): articles with a number, the first and last of them, how many the range would hold, how
-    many and which are missing, percentage complete, and status: empty, ok (100), warning (80 or more) or error."""
+    many are missing, percentage complete, and status: empty, ok (100), warning (80 or more) or error. missing_numbers
+    lists the missing ones if they are `listed` or fewer, and is null for none or more (missing_intervals has all)."""
     own = articles.select("division_id", number.alias("n"), label.alias("label")).where("n is not null")
-    agg = own.groupBy("division_id").agg(F.count("*").alias("total"), F.min(F.struct("n", "label")).alias("lo"), F.max_by("label", F.struct("n", "label")).alias("last_label"), F.max("n").alias("hi"), F.collect_set("n").alias("have"))
-    expected = F.col("hi") - F.col("lo.n") + 1
-    out = divisions.select("division_id").join(agg, "division_id", "left")
-    missing = F.array_except(F.sequence("lo.n", "hi"), "have")
+    agg = own.groupBy("division_id").agg(F.count("*").alias("total"), F.min(F.struct("n", "label")).alias("lo"), F.max_by("label", F.struct("n", "label")).alias("last_label"), F.max("n").cast("long").alias("hi"))
+    expected = F.col("hi") - F.col("lo.n").cast("long") + 1
+    width = F.col("last_missing") - F.col("first_missing") + 1
+    short = F.when(width <= listed, F.sequence("first_missing", "last_missing"))
+    gaps = missing_intervals(articles, number)
+    wide = gaps.groupBy("division_id").agg(F.sum(width).alias("gone")).where(F.col("gone") <= listed)
+    lists = gaps.join(wide.select("division_id"), "division_id").groupBy("division_id").agg(F.sort_array(F.flatten(F.collect_list(short))).alias("list"))
+    out = divisions.select("division_id").join(agg, "division_id", "left").join(lists, "division_id", "left")
     percent = F.when(F.col("total").isNull(), 100.0).otherwise(F.round(F.col("total") / expected * 100, 1))
     status = F.when(F.col("total").isNull(), "empty").when(percent >= 100, "ok").when(percent >= 80, "warning").otherwise("error")
-    return out.select("division_id", F.coalesce("total", F.lit(0)).alias("total"), F.col("lo.label").alias("first_label"), "last_label", F.coalesce(expected, F.lit(0)).cast("long").alias("expected"), F.coalesce(expected - F.col("total"), F.lit(0)).cast("long").alias("missing"), percent.alias("percent"), status.alias("status"), F.when(F.size(missing) > 0, F.array_join(F.sort_array(missing).cast("array<string>"), ",")).alias("missing_numbers"))
+    return out.select("division_id", F.coalesce("total", F.lit(0)).alias("total"), F.col("lo.label").alias("first_label"), "last_label", F.coalesce(expected, F.lit(0)).cast("long").alias("expected"), F.coalesce(expected - F.col("total"), F.lit(0)).cast("long").alias("missing"), percent.alias("percent"), status.alias("status"), F.array_join(F.col("list").cast("array<string>"), ",").alias("missing_numbers"))
 
 
 def article_checksums(paragraphs: DataFrame, chars: int = 16) -> DataFrame:

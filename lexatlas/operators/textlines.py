@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions.numbering import bucket, paragraph_class
 
-#: Geometry of a paragraph start: left edge, gap above, right edge of a short line; how many of five signs are needed.
+#: Geometry of a paragraph start: left edge, gap above, right edge of a short line; how many of five signs
+#: are needed. Width of a page, and how far the middle of a centred line may be off, twice.
 EDGE, GAP, SHORT, SIGNS = 80, 15, 530, 4
+PAGE_WIDTH, CENTRE_TOLERANCE = 612, 50
 
 
 def by_document(*partition: str) -> Window:
@@ -165,7 +167,7 @@ def without_noise(lines: DataFrame, noise: DataFrame) -> DataFrame:
     return own.where(~F.exists(F.coalesce("noise", F.array().cast("array<string>")), lambda n: F.contains("text", n))).drop("noise")
 
 
-def centred_headings(lines: DataFrame, page_width: int = 612, tolerance: int = 50) -> DataFrame:
+def centred_headings(lines: DataFrame, page_width: int = PAGE_WIDTH, tolerance: int = CENTRE_TOLERANCE) -> DataFrame:
     """Bold lines whose middle lies near the page's middle."""
     return lines.where(F.col("is_bold") & (F.abs(2 * F.col("x") + (F.col("x_end") - F.col("x")) - page_width) < tolerance))
 
@@ -199,10 +201,15 @@ def outline_or_content(outline: DataFrame, content: DataFrame) -> DataFrame:
     return outline.unionByName(content.join(outline.select("doc").distinct(), "doc", "left_anti"))
 
 
-def with_virtual_chapters(titles: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Chapters (doc, title, chapter), and UNICO for titles without any; PRELIMINAR / UNICO for documents not even in titles."""
+def with_virtual_chapters(titles: DataFrame, chapters: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Chapters (doc, title, chapter), and UNICO for titles without any; UNICO / UNICO for those of documents (doc), if
+    given, that have neither."""
     lone = titles.join(chapters.select("doc", "title").distinct(), ["doc", "title"], "left_anti").select("doc", "title", F.lit("UNICO").alias("chapter"))
-    return chapters.select("doc", "title", "chapter").unionByName(lone)
+    out = chapters.select("doc", "title", "chapter").unionByName(lone)
+    if documents is None:
+        return out
+    bare = documents.select("doc").distinct().join(out.select("doc").distinct(), "doc", "left_anti")
+    return out.unionByName(bare.select("doc", F.lit("UNICO").alias("title"), F.lit("UNICO").alias("chapter")))
 
 
 def rule_chapters(rules: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -210,7 +217,7 @@ def rule_chapters(rules: DataFrame, chapters: DataFrame) -> DataFrame:
     return rules.withColumn("chapter", F.substring_index("number", ".", 2)).join(chapters.select(F.col("number").alias("chapter"), "chapter_id"), "chapter", "left")
 
 
-#: Left edges of the levels of a rule document, and how far a line may be off.
+#: Left edges of the levels of a rule document, and how far a line may be off.
 BANDS, BAND = (156, 198, 241, 269), 10
 
 

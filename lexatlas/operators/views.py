@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.functions.numbering import base_number, place
+from lexatlas.sources import ranking as rank
 from lexatlas.sources.corpus import Corpus
 
 #: Rows of a response at most.
@@ -122,8 +123,8 @@ def neighbours(articles: DataFrame) -> DataFrame:
 
 def nearest(articles: DataFrame) -> DataFrame:
     """Per article, those at the nearest lower and higher position of its law, across gaps."""
-    w = Window.partitionBy("law").orderBy("position", "id")
-    return articles.select("id", F.lag("id").over(w).alias("previous_id"), F.lead("id").over(w).alias("next_id"))
+    rows = articles.select("law", "position", "id")
+    return rank.neighbours(rows, ["law"], ["position", "id"], before={"previous_id": "id"}, after={"next_id": "id"}).select("id", "previous_id", "next_id")
 
 
 def navigate(articles: DataFrame, article_id: int) -> DataFrame:

@@ -1,12 +1,6 @@
 """All registered queries of the corpus engine."""
 
-from lexatlas.plans import application, catalog, lines, quality  # noqa: F401
-from lexatlas.plans.registry import ORACLE, QUERIES, query
-from lexatlas.sources.corpus import MODEL
-
-# queries on the corpus cover all of it; each is known as name_completo, too
-for _name, _sql in list(ORACLE.items()):
-    if MODEL in _sql and f"{_name}_completo" not in QUERIES:
-        query(f"{_name}_completo", _sql)(QUERIES[_name])
+from lexatlas.plans import application, catalog, laws, lines, quality  # noqa: F401
+from lexatlas.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -104,7 +104,6 @@ w AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarit
 
 
 @query("vecinos_vectoriales", _NEAREST)
-@query("vecinos_vectoriales_completo", _NEAREST)
 def _vectors_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every row whose id is divisible by 20."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -284,7 +283,7 @@ def _grouped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.group_hits(own.select("law", "id", s.simple_rank(F.col("words"), asked).alias("rank")))
 
 
-@query("categorias_de_leyes", f"{_WITH} SELECT CASE code WHEN 'LB' THEN 'laboral' ELSE 'fiscal' END AS category, CAST(CASE code WHEN 'LB' THEN 2 ELSE 0 END AS INTEGER) AS place, code, (SELECT string_agg(r.code, ',' ORDER BY r.code) FROM laws r WHERE r.base_law = l.code) AS regulations FROM laws l WHERE base_law IS NULL")
+@query("categorias_catalogo", f"{_WITH} SELECT CASE code WHEN 'LB' THEN 'laboral' ELSE 'fiscal' END AS category, CAST(CASE code WHEN 'LB' THEN 2 ELSE 0 END AS INTEGER) AS place, code, (SELECT string_agg(r.code, ',' ORDER BY r.code) FROM laws r WHERE r.base_law = l.code) AS regulations FROM laws l WHERE base_law IS NULL")
 def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14."""
     return p.group_laws(load(spark, sf_dir).laws, spark.createDataFrame([("LB", "laboral", 2)], "code string, category string, place int"))
@@ -358,7 +357,6 @@ _MARKS = r"""SELECT page_id, regexp_replace(regexp_replace(html || '<mark class=
 
 
 @query("solo_marcas", _MARKS)
-@query("solo_marcas_completo", _MARKS)
 def _marks_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F28, over the whole of each page."""
     return table(spark, sf_dir, "pages").select("page_id", p.only_marks(F.concat("html", F.lit('<mark class="x">a</mark> <marker>b'))).alias("text"))

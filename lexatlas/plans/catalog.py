@@ -103,7 +103,7 @@ def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.shown_divisions(load(spark, sf_dir).divisions)
 
 
-@query("vista_leyes", f"{_WITH} SELECT l.code, l.name, l.short_name, l.kind, l.base_law, (SELECT count(*) FROM articles a WHERE a.law = l.code) AS total_articles FROM laws l")
+@query("v_catalogo", f"{_WITH} SELECT l.code, l.name, l.short_name, l.kind, l.base_law, (SELECT count(*) FROM articles a WHERE a.law = l.code) AS total_articles FROM laws l")
 def _laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1, A2, S1."""
     return views.laws_view(load(spark, sf_dir))
