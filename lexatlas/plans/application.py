@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexatlas.functions import numbering as n
-from lexatlas.operators import hierarchy, loading, presentation as p, references, search as s
+from lexatlas.operators import hierarchy, loading, presentation as p, references, search as s, search_index
 from lexatlas.plans.catalog import _CLOSURE, _STRUCTURE
 from lexatlas.plans.registry import query
 from lexatlas.sources.corpus import MODEL, load
-from lexatlas.sources.workspace import table
+from lexatlas.sources.workspace import fresh_path, table
 
 _WITH = f"WITH RECURSIVE {MODEL}"
 
@@ -57,18 +57,48 @@ def _cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.search(_docs(spark, sf_dir), "the anin", limit=50, rank="cover")
 
 
-@query("buscar_articulos", f"""{_WITH}, t AS (SELECT article_id AS id, string_agg(content, chr(10) || chr(10) ORDER BY number) AS content FROM paragraphs GROUP BY 1),
+_FOUND_ARTICLES = f"""{_WITH}, t AS (SELECT article_id AS id, string_agg(content, chr(10) || chr(10) ORDER BY number) AS content FROM paragraphs GROUP BY 1),
 w AS (SELECT id, content, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS words FROM t),
 n AS (SELECT id, content, len(list_filter(words, lambda x: x = 'part')) AS f, len(list_filter(words, lambda x: x = 'returned')) AS g FROM w WHERE list_contains(words, 'part') AND list_contains(words, 'returned') AND NOT list_contains(words, 'n')),
 r AS (SELECT a.id, a.law, l.name AS law_name, l.kind AS law_kind, a.number, CAST(coalesce(TRY_CAST(regexp_extract(a.number, '^([0-9]+)', 1) AS INTEGER), 0) AS INTEGER) AS base, a.kind, d.kind || ' ' || d.number AS place, n.content, a.kind = 'transitorio' AS is_transitory, a.reforms,
  round(0.4::DOUBLE * f / (f + 1.0::DOUBLE) + 0.4::DOUBLE * g / (g + 1.0::DOUBLE), 6) AS rank FROM articles a JOIN laws l ON l.code = a.law JOIN n ON n.id = a.id LEFT JOIN divisions d ON d.id = a.division_id WHERE a.law IN ('LB', 'LC', 'LD') AND l.kind IN ('ley', 'reglamento'))
-SELECT * FROM r ORDER BY rank DESC, id LIMIT 20 OFFSET 20""")
+SELECT * FROM r ORDER BY rank DESC, id LIMIT 20 OFFSET 20"""
+
+
+@query("buscar_articulos", _FOUND_ARTICLES)
 def _search_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems (`partes` finds `part`) over whole articles, exclusion, filters, a limit out of range, the
     second page. The SQL is given the stems; the tests hold the snippet."""
     return s.search_articles(load(spark, sf_dir), "partes returned -n", laws="LB,LC,LD", kinds="ley,reglamento", limit=500, page=2).drop("snippet")
 
 
+_INDEXED: dict[tuple[str, str], str] = {}
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """The corpus as a stored index, in two segments; written once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED:
+        path, articles = fresh_path(spark, "search-index"), search_index.corpus_articles(load(spark, sf_dir))
+        search_index.add_segment(path, articles.where("id % 5 > 0"), "first")
+        search_index.add_segment(path, articles.where("id % 5 = 0"), "second")
+        _INDEXED[key] = path
+    return _INDEXED[key]
+
+
+@query("buscar_en_indice", _FOUND_ARTICLES)
+def _search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page from a stored index, of which the query's stems are read."""
+    found = search_index.search_index(spark, _stored_index(spark, sf_dir), "partes returned -n", laws="LB,LC,LD", kinds="ley,reglamento", limit=500, page=2)
+    return found.withColumnRenamed("text", "content").withColumn("is_transitory", F.col("kind") == "transitorio").drop("snippet")
+
+
+@query("buscar_en_indice_por_cobertura")
+def _search_stored_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4, T5: cover density by weights on postings, two fragments; tests compare both with loops."""
+    return search_index.search_index(spark, _stored_index(spark, sf_dir), "part returned status", limit=50, rank="cover", fragments=2)
+
+
 @query("transitorios_encontrados", f"""{_WITH}, w AS (SELECT article_id AS id, regexp_extract_all(lower(string_agg(content, ' ' ORDER BY number)), '[\\p{{L}}\\p{{N}}]+') AS words FROM paragraphs GROUP BY 1)
 SELECT a.id FROM articles a JOIN w ON w.id = a.id WHERE a.kind = 'transitorio' AND contains(' ' || array_to_string(words, ' ') || ' ', ' status o ') ORDER BY len(list_filter(words, lambda x: x = 'status')) / (len(list_filter(words, lambda x: x = 'status')) + 1.0::DOUBLE) + len(list_filter(words, lambda x: x = 'o')) / (len(list_filter(words, lambda x: x = 'o')) + 1.0::DOUBLE) DESC, a.id LIMIT 7""")
 def _search_transitory(spark: SparkSession, sf_dir: str) -> DataFrame:
