@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexatlas.functions.numbering import canonical
 from lexatlas.sources.corpus import Corpus
 from lexatlas.sources.ranking import neighbours
 
@@ -151,6 +154,45 @@ def rule_integrity(rules: DataFrame, chapters: DataFrame) -> DataFrame:
     return assigned.agg(F.count("*").alias("rules"), F.count_if(F.col("chapter").isNull()).alias("orphans")).crossJoin(chapters.join(used, "number", "left_anti").agg(F.count("*").alias("empty_chapters")))
 
 
+def chapter_sets(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Per title and chapter, both sides' sets of articles (law, title, chapter, number): expected, actual, missing and
+    extra counts, and state: ok, different, or only_stored for a chapter that isn't expected. Articles in no section are
+    compared; a number that repeats in a chapter counts once."""
+    key = ["law", "title", "chapter"]
+    e, a = expected.select(*key, "number").distinct().withColumn("_e", F.lit(1)), actual.select(*key, "number").distinct().withColumn("_a", F.lit(1))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}")) for c in (*key, "number")]
+    both = e.alias("e").join(a.alias("a"), reduce(Column.__and__, same), "full_outer").select(*[F.coalesce(f"e.{c}", f"a.{c}").alias(c) for c in key], "_e", "_a")
+    n = lambda condition, name: F.count_if(condition).alias(name)
+    in_e, in_a = F.col("_e").isNotNull(), F.col("_a").isNotNull()
+    out = both.groupBy(*key).agg(n(in_e, "expected"), n(in_a, "actual"), n(in_e & ~in_a, "missing"), n(in_a & ~in_e, "extra"))
+    state = F.when(F.col("expected") == 0, "only_stored").when((F.col("missing") == 0) & (F.col("extra") == 0), "ok").otherwise("different")
+    return out.withColumn("state", state)
+
+
+def place_differences(expected: DataFrame, extracted: DataFrame) -> DataFrame:
+    """What an extraction lacks, by place, and what nothing expects: law, title, chapter, section, number, state.
+
+    expected: (law, title, chapter, section, number); extracted: (law, number). Numbers are compared in their canonical
+    form. missing: an expected number that wasn't extracted, at its place; extra: an extracted one that stands nowhere,
+    under title ?.
+    """
+    e = expected.select("law", "title", "chapter", "section", canonical(F.col("number")).alias("number")).distinct()
+    a = extracted.select("law", canonical(F.col("number")).alias("number")).distinct()
+    missing = e.join(a, ["law", "number"], "left_anti").withColumn("state", F.lit("missing"))
+    none = F.lit(None).cast("string")
+    extra = a.join(e.select("law", "number").distinct(), ["law", "number"], "left_anti")
+    extra = extra.select("law", F.lit("?").alias("title"), none.alias("chapter"), none.alias("section"), "number", F.lit("extra").alias("state"))
+    return missing.select(*extra.columns).unionByName(extra)
+
+
+def last_articles(articles: DataFrame, paragraphs: DataFrame, chars: int = 80) -> DataFrame:
+    """Each law's last article with its number of paragraphs and the first characters of the last one (N/A of none)."""
+    last = previous_and_last(articles)
+    own = paragraphs.join(last.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    n = own.groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias("paragraphs"), F.max_by("content", "number").alias("_c"))
+    return last.join(n, "id", "left").select("law", "id", "number", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), F.coalesce(F.substring("_c", 1, chars), F.lit("N/A")).alias("preview"))
+
+
 def previous_and_last(articles: DataFrame) -> DataFrame:
     """Last article of each law."""
     return articles.groupBy("law").agg(F.max_by(F.struct("id", "number"), F.struct("position", "id")).alias("a")).select("law", "a.id", "a.number")

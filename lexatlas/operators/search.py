@@ -260,11 +260,18 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
 
 
-def fuzzy(items: DataFrame, term: str, least: float = 0.3, limit: int = 10) -> DataFrame:
-    """Items (id, text) whose trigrams resemble a term's: the share of common ones, `least` or more; the best first."""
+#: Letters of a fuzzy term at least, its rows at most, and those if none or too many are asked for.
+FUZZY_LETTERS, MOST_FUZZY, FUZZY_ROWS = 3, 50, 10
+
+
+def fuzzy(items: DataFrame, term: str, least: float = 0.3, limit: int | None = FUZZY_ROWS) -> DataFrame:
+    """Items (id, text) whose trigrams resemble a term's: the share of common ones, `least` or more; the best first. limit
+    is FUZZY_ROWS unless 1 to MOST_FUZZY; a term of fewer than FUZZY_LETTERS characters raises ValueError."""
+    if len(term.strip()) < FUZZY_LETTERS:
+        raise ValueError(f"a fuzzy term has {FUZZY_LETTERS} letters or more")
     a, b = trigrams(F.col("text")), trigrams(F.lit(term))
     similarity = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    return items.select("id", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(limit)
+    return items.select("id", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(clamp(limit, MOST_FUZZY, FUZZY_ROWS))
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:

@@ -92,8 +92,8 @@ def merge_segments(spark: SparkSession, path: str, name: str) -> None:
     _publish(spark, path, [name])
 
 
-def _read(spark: SparkSession, path: str, what: str) -> DataFrame:
-    names = segments(spark, path)
+def _read(spark: SparkSession, path: str, what: str, names: list[str] | None = None) -> DataFrame:
+    names = segments(spark, path) if names is None else names
     if not names:
         raise ValueError(f"there is no index at {path}")
     return reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/{what}/{n}") for n in names])
@@ -103,9 +103,10 @@ def _in(name: str, listed: str | None) -> Column:
     return F.lit(True) if listed is None else F.col(name).isin([x for x in listed.split(",") if x])
 
 
-def postings_of(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    """The postings of stems: of all partitions those that may hold them, of these the rows that do."""
-    return _read(spark, path, "postings").where(F.col("bucket").isin(_buckets(wanted)) & F.col("stem").isin(wanted))
+def postings_of(spark: SparkSession, path: str, wanted: list[str], names: list[str] | None = None) -> DataFrame:
+    """The postings of stems: of all partitions those that may hold them, of these the rows that do. names: the segments to
+    read, those in force if not given."""
+    return _read(spark, path, "postings", names).where(F.col("bucket").isin(_buckets(wanted)) & F.col("stem").isin(wanted))
 
 
 def cover_density(hits: Column, search: Search) -> Column:
@@ -196,11 +197,12 @@ def search_index(spark: SparkSession, path: str, text: str, laws: str | None = N
         raise ValueError("the query is too short")
     wanted = sorted({w for phrases in (*asked.any_of, asked.excluded) for p in phrases for w in p})
     chosen = _in("law", laws) & _in("law_kind", kinds) & (F.col("kind") == "transitorio" if only_transitory else F.lit(True))
-    own = postings_of(spark, path, wanted).where(chosen).select("id", "words", F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), F.col("stem").alias("stem"), h["weight"].alias("weight"))).alias("hits"))
+    names = segments(spark, path)
+    own = postings_of(spark, path, wanted, names).where(chosen).select("id", "words", F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), F.col("stem").alias("stem"), h["weight"].alias("weight"))).alias("hits"))
     hits = own.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
     score = (cover_density if rank == "cover" else weighted_rank)(F.col("hits"), asked)
     found = hits.where(hits_match(F.col("hits"), asked)).select("id", score.alias("rank"), "words")
-    articles = _read(spark, path, "articles")
+    articles = _read(spark, path, "articles", names)
     numbered = articles.where(chosen & F.col("number").ilike(f"%{text}%")).select("id")
     named = numbered.join(found, "id", "left_anti").select("id", F.lit(0.0).alias("rank"), F.array().cast("array<string>").alias("words"))
     rows = clamp(limit, MOST_ROWS, PAGE_ROWS)

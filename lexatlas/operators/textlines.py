@@ -43,6 +43,11 @@ def lines_from_spans(spans: DataFrame, least: float = 0.8) -> DataFrame:
     return own.select("doc", "page", "y", "x", "x_end", line.alias("text"), ((F.col("n") > 0) & (F.col("b") / F.col("n") > least)).alias("is_bold")).where(F.trim("text") != "")
 
 
+def listing(registry: DataFrame, key: str = "source") -> DataFrame:
+    """The sources that a registry has, in order, in capitals."""
+    return registry.select(F.upper(key).alias(key)).distinct().orderBy(key)
+
+
 def registered(names: DataFrame, registry: DataFrame, key: str = "source") -> DataFrame:
     """Rows with what a registry (key, ...) says of their source; letters' case of the key is ignored. A source that the
     registry lacks raises when its row is read."""

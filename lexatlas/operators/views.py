@@ -133,9 +133,16 @@ def navigate(articles: DataFrame, article_id: int) -> DataFrame:
     return spark.createDataFrame([(article_id,)], "wanted long").join(neighbours(articles), F.col("wanted") == F.col("id"), "left").drop("wanted", "id")
 
 
-def suggestions(articles: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
-    """Distinct numbers that begin with a prefix (letters' case ignored), in order, each with frequency 1."""
-    return articles.where(F.col("number").ilike(prefix + "%")).select(F.col("number").alias("term")).distinct().orderBy("term").limit(limit).withColumn("frequency", F.lit(1))
+#: Letters of a prefix at least, suggestions at most, and those if more are asked for.
+PREFIX_LETTERS, MOST_SUGGESTIONS, SUGGESTIONS = 2, 20, 5
+
+
+def suggestions(articles: DataFrame, prefix: str, limit: int | None = 10) -> DataFrame:
+    """Distinct numbers that begin with a prefix (letters' case ignored), in order, each with frequency 1; none for a prefix
+    of fewer than PREFIX_LETTERS. limit is SUGGESTIONS unless 1 to MOST_SUGGESTIONS."""
+    asked = F.col("number").ilike(prefix + "%") & F.lit(len(prefix) >= PREFIX_LETTERS)
+    rows = clamp(limit, MOST_SUGGESTIONS, SUGGESTIONS)
+    return articles.where(asked).select(F.col("number").alias("term")).distinct().orderBy("term").limit(rows).withColumn("frequency", F.lit(1))
 
 
 def in_list(column: str, given: str | None) -> Column:

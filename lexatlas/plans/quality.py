@@ -190,3 +190,48 @@ def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = table(spark, sf_dir, "documents").select(F.concat_ws(".", (i % 7).cast("string"), (i % 3).cast("string"), i.cast("string")).alias("number"))
     chapters = table(spark, sf_dir, "region").select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"), "r_regionkey").select(F.concat_ws(".", F.col("r_regionkey").cast("string"), F.col("n").cast("string")).alias("number"))
     return q.rule_integrity(rules, chapters)
+
+
+_PLACES = """pl AS (SELECT a.id, a.law, t.number AS title, c.number AS chapter, CASE WHEN d.kind = 'seccion' THEN d.number END AS section, a.number
+  FROM articles a JOIN divisions d ON d.id = a.division_id JOIN divisions c ON c.id = CASE WHEN d.kind = 'seccion' THEN d.parent_id ELSE d.id END JOIN divisions t ON t.id = c.parent_id)"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with the numbers of their title, chapter and section."""
+    c = load(spark, sf_dir)
+    d = c.divisions.select("id", "parent_id", "kind", "number")
+    of = lambda name: d.select(F.col("id").alias(f"{name}_id"), F.col("parent_id").alias(f"{name}_up"), F.col("kind").alias(f"{name}_kind"), F.col("number").alias(name))
+    own = c.articles.select("id", "law", "number", F.col("division_id").alias("own_id")).join(of("own"), "own_id")
+    in_section = F.col("own_kind") == "seccion"
+    own = own.withColumn("chapter_id", F.when(in_section, F.col("own_up")).otherwise(F.col("own_id"))).join(of("chapter"), "chapter_id")
+    own = own.withColumn("title_id", F.col("chapter_up")).join(of("title"), "title_id")
+    return own.select("id", "law", "title", "chapter", F.when(in_section, F.col("own")).alias("section"), "number")
+
+
+@query("articulos_por_capitulo", f"""{_WITH}, {_PLACES}, own AS (SELECT * FROM pl WHERE section IS NULL), e AS (SELECT DISTINCT law, title, chapter, number FROM own WHERE id % 190 <> 0), a AS (SELECT DISTINCT law, title, CASE WHEN id % 70 = 0 THEN 'X' ELSE chapter END AS chapter, number FROM own WHERE id % 170 <> 0),
+b AS (SELECT coalesce(e.law, a.law) AS law, coalesce(e.title, a.title) AS title, coalesce(e.chapter, a.chapter) AS chapter, e.law IS NOT NULL AS in_e, a.law IS NOT NULL AS in_a FROM e FULL JOIN a ON e.law = a.law AND e.title = a.title AND e.chapter = a.chapter AND e.number = a.number),
+s AS (SELECT law, title, chapter, count(*) FILTER (in_e) AS expected, count(*) FILTER (in_a) AS actual, count(*) FILTER (in_e AND NOT in_a) AS missing, count(*) FILTER (in_a AND NOT in_e) AS extra FROM b GROUP BY 1, 2, 3)
+SELECT *, CASE WHEN expected = 0 THEN 'only_stored' WHEN missing = 0 AND extra = 0 THEN 'ok' ELSE 'different' END AS state FROM s""")
+def _chapter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: articles by title and chapter, some of them missing and some stored under another chapter."""
+    own = _places(spark, sf_dir).where("section is null")
+    moved = own.where("id % 170 <> 0").withColumn("chapter", F.when(F.col("id") % 70 == 0, "X").otherwise(F.col("chapter")))
+    return q.chapter_sets(own.where("id % 190 <> 0"), moved)
+
+
+@query("extraccion_por_lugar", f"""{_WITH}, {_PLACES}, e AS (SELECT DISTINCT law, title, chapter, section, number FROM pl WHERE id % 19 <> 0), x AS (SELECT DISTINCT law, CASE WHEN id % 13 = 0 THEN number || '-Z' ELSE number END AS number FROM pl WHERE id % 17 <> 0)
+SELECT law, title, chapter, section, number, 'missing' AS state FROM e WHERE (law, number) NOT IN (SELECT law, number FROM x)
+UNION ALL SELECT law, '?', NULL, NULL, number, 'extra' FROM x WHERE (law, number) NOT IN (SELECT law, number FROM e)""")
+def _place_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9: an extraction against the map, by title, chapter and section; numbers in another writing are the same."""
+    own = _places(spark, sf_dir)
+    written = F.when(F.col("id") % 13 == 0, F.concat("number", F.lit("-Z"))).when(F.col("id") % 4 == 2, F.replace("number", F.lit(" Bis"), F.lit("-BIS"))).otherwise(F.col("number"))
+    return q.place_differences(own.where("id % 19 <> 0"), own.where("id % 17 <> 0").select("law", written.alias("number")))
+
+
+@query("ultimo_articulo_con_vista", f"""{_WITH}, l AS (SELECT law, id, number FROM (SELECT *, row_number() OVER (PARTITION BY law ORDER BY position DESC, id DESC) AS r FROM articles) WHERE r = 1)
+SELECT l.law, l.id, l.number, count(p.article_id) AS paragraphs, coalesce(substring(arg_max(p.content, p.number), 1, 80), 'N/A') AS preview FROM l LEFT JOIN paragraphs p ON p.article_id = l.id GROUP BY 1, 2, 3""")
+def _last_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q14: each law's last article, how many paragraphs it has, and how the last one begins."""
+    c = load(spark, sf_dir)
+    return q.last_articles(c.articles, c.paragraphs)

@@ -126,3 +126,15 @@ def test_query_of_cover_density(spark, small):
     rows = QUERIES["buscar_en_indice_por_cobertura"](spark, small).collect()
     assert len(rows) == 50 and all("<mark>" in r["snippet"] for r in rows)
     assert [(-r["rank"], r["id"]) for r in rows] == sorted((-r["rank"], r["id"]) for r in rows)
+
+
+def test_limits_of_fuzzy_search_and_suggestions(spark, small):
+    from lexatlas.operators.views import suggestions
+
+    items = spark.createDataFrame([(n, f"word{n}") for n in range(80)], "id long, text string")
+    assert [search.fuzzy(items, "word", least=0.0, limit=n).count() for n in (None, 0, 51, 50)] == [10, 10, 10, 50]
+    with pytest.raises(ValueError):
+        search.fuzzy(items, " ab ")
+    articles = spark.createDataFrame([(f"1{n}",) for n in range(100, 200)], "number string")
+    assert [suggestions(articles, "11", n).count() for n in (None, 0, 21, 20, 10)] == [5, 5, 5, 20, 10]
+    assert suggestions(articles, "1").count() == 0
