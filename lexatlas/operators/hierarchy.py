@@ -126,9 +126,59 @@ def breadcrumb(corpus: Corpus, article: int) -> DataFrame:
 
 def paths(divisions: DataFrame, separator: str = " > ") -> DataFrame:
     """Materialised paths: id, path_ids (root first), path_text, depth."""
+    return shown_paths(stored_paths(divisions), separator)
+
+
+def shown_paths(stored: DataFrame, separator: str = " > ") -> DataFrame:
+    """id, path_ids, path_text and depth of stored paths."""
+    return stored.select("id", "path_ids", F.array_join("labels", separator).alias("path_text"), (F.size("path_ids") - 1).alias("depth"))
+
+
+def move_subtrees(stored: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored paths after some divisions got other parents: all of them, and those that are new.
+
+    stored: rows of stored_paths. moves: (id, parent_id), one row for each division that moves, a null parent for one that
+    becomes a root; unknown ids are left out. Only rows at or below a moved division are made anew: the path of each
+    moved division from that of its new parent, the paths below from its own. A parent that lies in another moved subtree
+    waits for that one, so that there are as many rounds as moves that rest on each other. An unknown parent, and a move
+    of a division below itself, raise ValueError.
+    """
+    asked = moves.select(F.col("id").alias("moved"), F.col("parent_id").alias("to"))
+    labels = stored.select(F.col("id").alias("moved"), F.element_at("labels", -1).alias("label"))
+    asked = materialize(asked.join(labels, "moved"), "moves")
+    nodes = stored.select("id", F.posexplode("path_ids").alias("pos", "moved"))
+    touched = materialize(nodes.join(asked.select("moved"), "moved").groupBy("id").agg(F.max("pos").alias("pos")), "touched")
+    up = stored.select(F.col("id").alias("to"), F.col("path_ids").alias("up_ids"), F.col("labels").alias("up_labels"))
+    left = asked.join(up, "to", "left").join(touched.withColumnsRenamed({"id": "to", "pos": "up_pos"}), "to", "left")
+    left = materialize(left, "moves")
+    if not left.where("to is not null and up_ids is null").isEmpty():
+        raise ValueError("a division moves to a parent that isn't there")
+    none = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    rest = lambda c: F.slice(c, F.col("up_pos") + 2, F.size(c))
+    shown = lambda ids, names: (F.concat(ids, F.array("moved")).alias("new_ids"), F.concat(names, F.array("label")).alias("new_labels"))
+    done = materialize(left.where("up_pos is null").select("moved", *shown(F.coalesce("up_ids", none[0]), F.coalesce("up_labels", none[1]))), "moved-paths")
+    left = left.where("up_pos is not null").withColumn("base", F.get("up_ids", F.col("up_pos")))
+    waiting, made = left.count(), done
+    while waiting:
+        base = done.select(F.col("moved").alias("base"), F.col("new_ids").alias("base_ids"), F.col("new_labels").alias("base_labels"))
+        ready = left.join(base, "base").select("moved", *shown(F.concat("base_ids", rest(F.col("up_ids"))), F.concat("base_labels", rest(F.col("up_labels")))))
+        done = materialize(ready, "moved-paths")
+        left = materialize(left.join(done.select("moved"), "moved", "left_anti"), "moves")
+        before, waiting = waiting, left.count()
+        if waiting == before:
+            raise ValueError("a division moves below itself")
+        made = made.unionByName(done)
+    own = stored.join(touched, "id").withColumn("moved", F.get("path_ids", F.col("pos"))).join(made, "moved")
+    below = lambda c: F.slice(c, F.col("pos") + 2, F.size(c))
+    new = materialize(own.select("id", F.concat("new_ids", below(F.col("path_ids"))).alias("path_ids"), F.concat("new_labels", below(F.col("labels"))).alias("labels")), "new-paths")
+    return stored.join(new.select("id"), "id", "left_anti").unionByName(new), new
+
+
+def stored_paths(divisions: DataFrame) -> DataFrame:
+    """Paths to store: id, path_ids and labels, the root first."""
     named = divisions.select(F.col("id").alias("ancestor"), path_text(F.col("kind"), F.col("number"), F.col("name")).alias("t"))
     up = ancestors(divisions).join(named, "ancestor").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("ancestor").alias("a"), "t"))).alias("p"))
-    return up.select("id", F.transform("p", lambda x: x["a"]).alias("path_ids"), F.array_join(F.transform("p", lambda x: x["t"]), separator).alias("path_text"), (F.size("p") - 1).alias("depth"))
+    return up.select("id", F.transform("p", lambda x: x["a"]).alias("path_ids"), F.transform("p", lambda x: x["t"]).alias("labels"))
 
 
 def resolve_path(corpus: Corpus, steps: list[str], separator: str = " > ") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lexatlas.functions.numbering import base_number, place
 from lexatlas.operators.views import clamp, in_list, joined_text
 from lexatlas.sources.corpus import Corpus
-from lexatlas.sources.workspace import map_arrow
+from lexatlas.sources.workspace import map_arrow, materialize
 
 WORD = r"[\p{L}\p{N}]+"
 NUMBER_WEIGHT, TEXT_WEIGHT = 1.0, 0.4
@@ -274,6 +274,30 @@ def fuzzy(items: DataFrame, term: str, least: float = 0.3, limit: int | None = F
     return items.select("id", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(clamp(limit, MOST_FUZZY, FUZZY_ROWS))
 
 
+def fuzzy_terms(items: DataFrame, terms: DataFrame, least: float = 0.3, limit: int | None = FUZZY_ROWS) -> DataFrame:
+    """fuzzy for a table of terms (term) at a time: term, id, similarity, place; `limit` rows of each term.
+
+    Postings of trigrams are joined with the rarest trigrams of each term: an item that resembles a term of n trigrams
+    shares `least` * n of them at least, so that it holds one of the n - least * n + 1 rarest; and its own number lies
+    between least * n and n / least. Only such candidates are compared. Terms of fewer than FUZZY_LETTERS characters and
+    null terms have no rows, a repeated term has them once; null texts resemble nothing.
+    """
+    own = materialize(items.select("id", trigrams(F.col("text")).alias("grams")).where("grams is not null"), "trigrams")
+    postings = own.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    asked = terms.select("term").where(F.length(F.trim("term")) >= FUZZY_LETTERS).distinct().select("term", trigrams(F.col("term")).alias("wanted"))
+    each = asked.select("term", F.size("wanted").alias("n"), F.explode("wanted").alias("gram"))
+    often = postings.groupBy("gram").agg(F.count("*").alias("often"))
+    rarest = F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("often", F.lit(0)), "gram"))
+    floor = least - 1e-6  # similarities are rounded
+    looked = each.join(often, "gram", "left").withColumn("r", rarest).where(F.col("r") <= F.col("n") - F.ceil(floor * F.col("n")) + 1)
+    near = (F.col("size") >= floor * F.col("n")) & (F.col("size") * floor <= F.col("n"))
+    candidates = looked.join(postings, "gram").where(near).select("term", "id").distinct()
+    similarity = F.round(F.size(F.array_intersect("grams", "wanted")) / F.size(F.array_union("grams", "wanted")), 6)
+    found = candidates.join(own, "id").join(asked, "term").select("term", "id", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("similarity"), "id")))
+    return placed.where(F.col("place") <= clamp(limit, MOST_FUZZY, FUZZY_ROWS))
+
+
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
     """The k most similar vectors (id, embedding) of each query (query_id, query) by cosine, to six places; ties by id.
 

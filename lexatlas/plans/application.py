@@ -129,6 +129,19 @@ def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.fuzzy(items, "Customer#000000012 BUILDING")
 
 
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substring('  ' || lower({0}) || ' ', i, 3)))"
+
+
+@query("busqueda_difusa_tabla", f"""WITH d AS (SELECT c_custkey AS id, {_GRAMS.format("(c_name || ' ' || c_mktsegment)")} AS a FROM customer), q AS (SELECT term, {_GRAMS.format('term')} AS b FROM (SELECT DISTINCT replace(s_name, 'Supplier', 'Customer') AS term FROM supplier)),
+r AS (SELECT term, id, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS similarity FROM d, q),
+w AS (SELECT *, CAST(row_number() OVER (PARTITION BY term ORDER BY similarity DESC, id) AS INTEGER) AS place FROM r WHERE similarity >= 0.3) SELECT * FROM w WHERE place <= 10""")
+def _fuzzy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7 for a table of terms, from postings of trigrams."""
+    items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
+    terms = table(spark, sf_dir, "supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("term"))
+    return s.fuzzy_terms(items, terms)
+
+
 _NEAREST = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(v.e, q.e), 6) AS similarity FROM v, v q WHERE q.id % 20 = 0 AND v.id <> q.id),
 w AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS place FROM r) SELECT * FROM w WHERE place <= 10"""
 
