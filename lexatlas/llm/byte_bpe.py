@@ -58,13 +58,17 @@ class BytePairEncoder:
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding of a few bytes by plain merges, the lowest rank first."""
+        rank, last = self.ids.get, 1 << 60
         parts = [data[n : n + 1] for n in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda n: self.ids.get(parts[n] + parts[n + 1], 1 << 60))
-            both = parts[best] + parts[best + 1]
-            if both not in self.ids:
-                break
-            parts[best : best + 2] = [both]
+        ranks = [rank(a + b, last) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < last:
+            at = ranks.index(least)
+            parts[at : at + 2] = [self.entries[least]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], last)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], last)
         return [self.ids[p] for p in parts]
 
     def shorter(self, entry: int) -> int:
