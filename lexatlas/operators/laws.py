@@ -15,7 +15,7 @@ from lexatlas.operators.textlines import CENTRE_TOLERANCE, PAGE_WIDTH, assign_to
 
 #: An article's heading with the parts of its number, any line that looks like one, end markers, where
 #: headings may stand, where end markers and other headings must, and the height of a page.
-ARTICLE = r"(?iu)^Art[íi]culo\s+(\d+)([oa])?\.?(?:[-–\s]*([A-Z]))?(?:[-–\s]+(Bis|Ter|Quáter|Quinquies|Sexies))?(?:[-–\s]+(\d+))?\."
+ARTICLE = r"(?iu)^Art[íi]culo\s+(\d+)([oa])?\.?(?:[-–\s]*([A-Z]))?(?:[-–\s]+(Bis|Ter|Quáter|Quinquies|Sexies)(?:[-–\s]+(\d+))?)?\."
 NEXT_ARTICLE = r"(?iu)^Art[íi]culo\s+\d+[oa]?(?:[-–_\s]*[A-Z])?(?:[-–_\s]+(?:bis|Ter|Quáter|Quinquies|Sexies)(?:[-–_\s]+\d+)?)?\.[- –\s]"
 END_MARKER = r"(?i)TRANSITORI[OA]S?"
 HEADING_LEFT, HEADING_RIGHT, END_LEFT, NEXT_LEFT, PAGE_HEIGHT, SPARE_PAGES = 80, 95, 150, 80, 800, 5

@@ -29,7 +29,39 @@ def law_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "source string, noise array<string>, largest double, ends string")
 
 
-@query("contenido_de_leyes")
+_ARTICLE = laws.ARTICLE.replace("(?iu)", "(?i)")
+_KIND = r"CASE WHEN regexp_matches({0}, '^[IVXLC]+\.') THEN 'fraccion' WHEN regexp_matches({0}, '^[a-z]\)') THEN 'inciso' WHEN regexp_matches({0}, '^[0-9]+\.') THEN 'numeral' ELSE 'texto' END"
+_PART = lambda k: f"regexp_extract(h, '{_ARTICLE}', {k})"
+_CONTENTS = f"""WITH {LINES}, rules AS (SELECT * FROM (VALUES ('src0', 'the ', 8.0, NULL), ('src1', NULL, 8.0, 'of in'), ('src2', 'que la', NULL, NULL), ('src3', NULL, 9.0, NULL)) AS t (source, noise, largest, ends)),
+al AS (SELECT doc, source, pos, page, y, CASE WHEN (doc + pos) % 7 = 3 THEN 85 WHEN (doc + pos) % 97 = 50 THEN 200 ELSE x END AS x, x_end, (doc + pos) % 7 = 3 OR (doc + pos) % 97 = 50 OR is_bold AS bold, is_italic AND is_non_black AS small, font_size,
+  CASE WHEN (doc + pos) % 7 = 3 THEN 'Artículo ' || CAST(pos AS VARCHAR) || CASE WHEN pos % 2 = 1 THEN 'o' ELSE '' END || CASE pos % 5 WHEN 4 THEN ' Bis' WHEN 3 THEN '-A' ELSE '' END || '.- '
+       WHEN (doc + pos) % 23 = 5 THEN 'Artículo 999. ' WHEN (doc + pos) % 97 = 50 THEN 'TRANSITORIOS ' ELSE '' END || text AS text FROM lines),
+f AS (SELECT al.*, substring(text, 1, 50) AS h, coalesce(small AND font_size <= largest, FALSE) AS note, coalesce(contains(text, noise), FALSE) AS noisy, bold AND (regexp_matches(text, '(?i)TRANSITORI[OA]S?') OR coalesce(contains(text, ends), FALSE)) AS is_end,
+  bold AND abs(x + x_end - 612) < 50 AS centred, starts_with(text, 'Artículo ') AS is_next,
+  min(CASE WHEN bold AND ((regexp_matches(text, '(?i)TRANSITORI[OA]S?') AND x > 150) OR coalesce(contains(text, ends), FALSE)) THEN page END) OVER (PARTITION BY doc) AS end_page
+  FROM al LEFT JOIN rules ON rules.source = al.source),
+n AS (SELECT *, CASE WHEN bold AND x BETWEEN 80 AND 95 AND (end_page IS NULL OR page <= end_page) AND {_PART(1)} <> '' THEN {_PART(1)} || lower({_PART(2)}) || CASE WHEN {_PART(3)} <> '' THEN '-' || upper({_PART(3)}) ELSE '' END
+  || CASE WHEN {_PART(4)} <> '' THEN ' ' || upper({_PART(4)}[1]) || lower({_PART(4)}[2:]) ELSE '' END || CASE WHEN {_PART(5)} <> '' THEN ' ' || {_PART(5)} ELSE '' END END AS article FROM f),
+g AS (SELECT *, article IS NOT NULL AND row_number() OVER (PARTITION BY doc, article ORDER BY pos) = 1 AS heading FROM n),
+o AS (SELECT *, count(*) FILTER (heading) OVER (PARTITION BY doc ORDER BY pos) AS orden, coalesce(first_value(CASE WHEN heading THEN page END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), end_page, page + 5) AS last_page,
+  CASE WHEN note THEN 'note' WHEN noisy THEN NULL WHEN heading AND NOT centred THEN 'start' WHEN is_end THEN 'stop' WHEN centred THEN NULL WHEN is_next THEN 'stop' ELSE 'line' END AS role FROM g),
+s AS (SELECT *, last_value(CASE WHEN role IN ('start', 'stop') THEN {{'role': role, 'orden': orden, 'page': page, 'last': last_page}} END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos) AS st FROM o),
+i AS (SELECT doc, st.orden AS orden, pos, y + 800 * (page - st.page) AS y, x, x_end, role, CASE WHEN role = 'start' THEN ltrim(regexp_replace(text, '{_ARTICLE}', ''), '- ') ELSE text END AS text FROM s WHERE st.role = 'start' AND page <= st.last AND role IN ('start', 'line', 'note')),
+l AS (SELECT * FROM i WHERE role <> 'note' AND text <> ''),
+nw AS (SELECT *, row_number() OVER w = 1 OR {_KIND.format("text")} <> 'texto' OR CAST(x >= 80 AS INT) + coalesce(CAST(y - lag(y) OVER w > 15 AS INT), 0) + coalesce(CAST(lag(x_end) OVER w < 530 AS INT), 0) + CAST(regexp_matches(text, '^\\p{{Lu}}') AS INT) + coalesce(CAST(rtrim(lag(text) OVER w, ' ') LIKE '%.' AS INT), 0) >= 4 AS is_new FROM l WINDOW w AS (PARTITION BY doc, orden ORDER BY pos)),
+nb AS (SELECT *, CAST(sum(CAST(is_new AS INT)) OVER (PARTITION BY doc, orden ORDER BY pos) AS BIGINT) AS number FROM nw),
+p AS (SELECT doc, orden, number, string_agg(trim(text, ' '), ' ' ORDER BY pos) AS text, arg_min(x, pos) AS x, arg_max(y, pos) AS y_end FROM nb GROUP BY ALL),
+k AS (SELECT *, {_KIND.format("text")} AS kind, CASE WHEN regexp_matches(text, '^[IVXLC]+\\.') THEN regexp_extract(text, '^([IVXLC]+)\\.', 1) ELSE nullif(regexp_extract(text, '^([a-z]\\)|[0-9]+\\.)', 1), '') END AS identifier FROM p),
+up AS (SELECT a.doc, a.orden, a.number, max(b.number) AS parent_number FROM k a JOIN k b ON b.doc = a.doc AND b.orden = a.orden AND b.number < a.number AND round_even(b.x / 10.0, 0) * 10 < a.x - 10 WHERE a.kind IN ('inciso', 'numeral') OR (a.kind = 'texto' AND a.x >= 95) GROUP BY ALL),
+nt AS (SELECT i.doc, i.orden, i.pos, i.text, k.number, row_number() OVER (PARTITION BY i.doc, i.orden, i.pos ORDER BY k.y_end DESC, k.number) AS r FROM i JOIN k ON k.doc = i.doc AND k.orden = i.orden AND k.y_end < i.y WHERE i.role = 'note'),
+rf AS (SELECT doc, orden, number, string_agg(text, chr(10) ORDER BY pos) AS refs FROM nt WHERE r = 1 GROUP BY ALL)
+SELECT a.doc, a.orden, a.article, a.page, CAST(a.last_page AS INTEGER) AS last_page, k.number, k.kind, k.identifier,
+  trim(regexp_replace(CASE WHEN k.identifier IS NULL THEN k.text ELSE regexp_replace(k.text, '^([IVXLC]+\\.|[a-z]\\)|[0-9]+\\.)\\s*', '') END, '\\s+', ' ', 'g'), ' ') AS content,
+  up.parent_number, CAST(k.x AS INTEGER) AS x_id, CAST(k.x + CASE WHEN k.identifier IS NULL THEN 0 ELSE 22 END AS INTEGER) AS x_text, rf.refs
+FROM s a LEFT JOIN k ON k.doc = a.doc AND k.orden = a.orden LEFT JOIN up ON up.doc = k.doc AND up.orden = k.orden AND up.number = k.number LEFT JOIN rf ON rf.doc = k.doc AND rf.orden = k.orden AND rf.number = k.number WHERE a.heading"""
+
+
+@query("contenido_de_leyes", _CONTENTS)
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E3, E4 with E1, E2, W12, P12-P14, J11, J12: articles with paragraphs, parents and citations; tests compare it with a
     loop in the order of the scan."""
