@@ -129,7 +129,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
 
     A document is its tokenizer ids without special tokens, then end_id; a null text counts as empty, so that it is
     end_id alone. Each id lies in exactly one piece. Rows that repeat, doc_ids that repeat and null doc_ids are
-    packed like any others. Returns a row per piece: doc_id, start (ids of its document before it), length,
+    packed like any others. Of open sequences with equally little room the one opened first takes a piece, and goes first
+    when all windows are taken. Returns a row per piece: doc_id, start (ids of its document before it), length,
     doc_tokens, sequence_id, offset (ids of its sequence before it), ids. An empty table gives no rows.
 
     The first pass is one map over the scan; its result is written once, since the second pass reads it again.

@@ -139,3 +139,14 @@ def test_layout_of_token_files(spark, small):
                     assert "DELTA_BINARY_PACKED" in c.encodings and "RLE_DICTIONARY" not in c.encodings
                 if c.path_in_schema.startswith("ids"):
                     assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(c.encodings)
+
+
+def test_ties_of_open_windows():
+    """Of windows with equal room the one opened first takes a piece, and is emitted first."""
+    own = packing.Windows(10, 2)
+    assert own.put((1, 0, 6, [0] * 6)) is None and own.put((2, 0, 6, [0] * 6)) is None
+    assert own.put((3, 0, 3, [0] * 3)) is None
+    assert [[p[0] for p in w] for w in own.open] == [[1, 3], [2]]
+    assert own.put((4, 0, 3, [0] * 3)) is None
+    assert [p[0] for p in own.put((5, 0, 9, [0] * 9))] == [1, 3]
+    assert [[p[0] for p in w] for w in own.open] == [[2, 4], [5]]
