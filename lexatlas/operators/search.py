@@ -233,8 +233,8 @@ def search_articles(corpus: Corpus, text: str, laws: str | None = None, kinds: s
 
     laws and kinds are optional comma-separated lists of law codes and kinds of law; limit is PAGE_ROWS unless 1 to
     MOST_ROWS. Columns: id, law, law_name, law_kind, number, base, kind, place, content, is_transitory, reforms, rank,
-    snippet. The index is read for matches and ranks; texts are joined and shown for one page alone. An empty query
-    raises ValueError.
+    snippet. The articles of the chosen laws are indexed anew for each query, their texts joined for it and for the page;
+    search_index reads a stored index instead. An empty query raises ValueError.
     """
     asked = stemmed(parse(text))
     wanted = corpus.laws.where(in_list("code", laws) & in_list("kind", kinds)).select(F.col("code").alias("law"), F.col("name").alias("law_name"), F.col("kind").alias("law_kind"))
