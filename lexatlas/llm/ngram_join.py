@@ -19,6 +19,7 @@
    group of near copies costs about as many comparisons as it has members, yet no link between components is missed.
 
 Lists of shingles that very many documents hold are summed up map-side, and their pairs are made in parts of both sides.
+So are the pairs within a group whose members are of several components; only those whose bitmaps are near are sent on.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ BITMAP = 8
 BROADCAST_IDS = 500_000
 #: A shingle is hot if more than 1 / HOT_PARTS of all rows hold it, and HOT_LEAST at least; hot lists are cut in HOT_CUTS.
 HOT_PARTS, HOT_LEAST, HOT_CUTS = 1000, 1000, 16
+#: Members of a group that a task compares with each other member, on average.
+PART = 2000
 
 
 def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,6 +253,22 @@ def _pairs_of_lists(lists: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_enough(F.col("shared"), F.col("n"), F.col("n2"), percent))
 
 
+def _pairs_of_members(members: DataFrame, mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of members (gid, id, n, label) of one group with different labels and near bitmaps, for the groups in mixed
+    (gid, and n, how many members). Each group is cut in parts of about PART members, and each part meets all."""
+    bits = [F.col(b).alias(f"{kind}{b[4:]}") for b in _BITS for kind in ("all", "any")]
+    cuts = F.ceil(F.col("members") / PART).cast("int")
+    counted = mixed.withColumn("members", F.col("n"))
+    own = join_counted(members.withColumnRenamed("n", "size"), counted, ["gid"], members.count())
+    own = own.join(classes.select("id", *bits), "id").withColumnsRenamed({"size": "n"})
+    own = materialize(own.select("gid", "id", "n", "label", cuts.alias("cuts"), *[f"{kind}{w}" for w in range(BITMAP) for kind in ("all", "any")]), "mixed-members")
+    part = own.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).drop("cuts")
+    every = own.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    other = every.select("gid", "cut", *[F.col(c).alias(f"{c}_2") for c in every.columns if c not in ("gid", "cut")])
+    apart = (F.col("id") < F.col("id_2")) & (F.col("label") != F.col("label_2")) & _near(F.col("n"), F.col("n_2"), percent)
+    return part.join(other, ["gid", "cut"]).where(apart).select(F.col("id").alias("x"), F.col("id_2").alias("y"))
+
+
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of each row: doc_id, th (hash of its text), n (set size), root (one for each component; null for empty sets) and
     component_id (the component's smallest doc_id)."""
@@ -271,8 +290,9 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     smaller = F.col("i") < _index_size(F.col("n"), percent)
     listed = _of_lists(listed, lists=F.count("*"), some=F.max(smaller), lead=F.min(F.struct("rare", (-F.col("n")).alias("small"), "gid", "n", "i"))).where("lists > 1 and some")
     listed = materialize(listed.select("token", "hot", "gid", "n", "i", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.i").alias("lead_i")), "shared-prefixes")
-    several = groups.where("m > 1").select("n", "pa", "pb", "gid")
-    members = materialize(classes.select("id", "n", "pa", "pb").join(several, ["n", "pa", "pb"]).select("gid", "id", "n"), "group-members")
+    several = groups.where("m > 1").select(F.col("n").alias("size"), "pa", "pb", "gid", F.col("m").alias("n"))
+    in_several = join_counted(classes.select("id", F.col("n").alias("size"), "pa", "pb"), several, ["size", "pa", "pb"], classes.count())
+    members = materialize(in_several.select("gid", "id", F.col("size").alias("n")), "group-members")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are similar enough; sets are made from the texts of what is in a pair."""
@@ -295,8 +315,8 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # what is left: pairs of different components, less those compared already
     label = lambda df, of, to: df.join(labels.select(F.col("node").alias(of), F.col("root").alias("_r")), of, "left").withColumn(to, F.coalesce("_r", of)).drop("_r")
     in_groups = materialize(label(members, "id", "label"), "labelled-members")
-    mixed = in_groups.groupBy("gid").agg((F.min("label") != F.max("label")).alias("mixed"))
-    lists = label(listed.select("token", "hot", "gid", "n", "i"), "gid", "label").join(mixed, "gid", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    mixed = in_groups.groupBy("gid").agg((F.min("label") != F.max("label")).alias("mixed"), F.count("*").alias("m"))
+    lists = label(listed.select("token", "hot", "gid", "n", "i"), "gid", "label").join(mixed.drop("m"), "gid", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
     lists = _of_lists(lists, first=F.min("label"), last=F.max("label"), any=F.max("mixed")).where("first != last or any")
     lists = materialize(lists.select("token", "hot", "gid", "n", "i", "label", "mixed"), "mixed-lists")
     pairs = materialize(_pairs_of_lists(lists, percent), "group-pairs")
@@ -306,8 +326,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     one = lambda g, to: F.coalesce(F.col(to), F.col(g))
     side = lambda g, to: in_groups.select(F.col("gid").alias(g), F.col("id").alias(to))
     expanded = pairs.join(side("gid", "x"), "gid", "left").join(side("gid2", "y"), "gid2", "left").select(one("gid", "x").alias("x"), one("gid2", "y").alias("y"))
-    inner = in_groups.join(mixed.where("mixed"), "gid").select("gid", F.col("id").alias("x"), F.col("label").alias("lx"))
-    inner = inner.join(inner.select("gid", F.col("x").alias("y"), F.col("lx").alias("ly")), "gid").where("x < y and lx != ly").select("x", "y")
+    inner = _pairs_of_members(in_groups, mixed.where("mixed").select("gid", F.col("m").alias("n")), classes, percent)
     rest = label(label(expanded.unionByName(inner), "x", "lx"), "y", "ly").where("lx != ly")
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

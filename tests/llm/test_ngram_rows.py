@@ -71,3 +71,35 @@ def test_edited_copies_of_one_text(spark):
     assert sizes[0] == 1 and sizes[-1] > 50
     got = ngram_join.similar_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), size=5, percent=80).collect()
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+
+
+def test_groups_of_one_prefix_and_several_components(spark, monkeypatch):
+    """Documents with the same prefix and size, in families that differ in what follows: the prefix is rare shingles that
+    all have, the rest frequent ones."""
+    monkeypatch.setattr(ngram_join, "PART", 4)
+    monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", 30)
+    r = random.Random(9)
+    head = [f"h{i}" for i in range(30)]
+    common = [[f"c{k}x{i}" for i in range(40)] for k in range(6)]
+    docs = [(1000 + k * 100 + j, " ".join(block)) for k, block in enumerate(common) for j in range(40)]
+    for d in range(28):
+        first, second = common[d % 4], common[4 + d % 2]
+        cut = r.randint(0, 30)
+        docs.append((d, " ".join(head + [";"] + first[: 30 - cut] + [";"] + second[:cut])))
+    got = ngram_join.similar_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), size=1, percent=85)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == components(docs, 1, 85)
+
+
+def test_pairs_of_members_are_those_of_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART", 4)
+    r = random.Random(10)
+    rows = []
+    for k in range(60):
+        words = [r.choice((0, 0, 1 << r.randrange(62))) for _ in range(ngram_join.BITMAP)]
+        rows.append((k % 3, k, 20 + 10 * (k % 3), r.randrange(4), *words))
+    df = spark.createDataFrame(rows, f"gid long, id long, n long, label long, {', '.join(f'{b} long' for b in ngram_join._BITS)}")
+    mixed = spark.createDataFrame([(0, 20), (2, 20)], "gid long, n long")
+    got = ngram_join._pairs_of_members(df.select("gid", "id", "n", "label"), mixed, df.drop("gid", "label", "n"), 85).collect()
+    apart = lambda x, y: sum(bin(a ^ b).count("1") for a, b in zip(x[4:], y[4:]))
+    want = [(x[1], y[1]) for x in rows for y in rows if x[1] < y[1] and x[0] == y[0] != 1 and x[3] != y[3] and 185 * apart(x, y) <= 15 * (x[2] + y[2])]
+    assert sorted(map(tuple, got)) == want and len(want) > 10
