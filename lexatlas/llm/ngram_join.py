@@ -363,12 +363,21 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component of similar documents, all columns: that of the smallest doc_id (null last), then of the
-    smallest hash of its text. Rows without words stay."""
+    smallest hash of its text; of rows alike in both, any one. Rows without words stay.
+
+    Rows that more than 1 / HOT_PARTS of the table repeats are found by a broadcast of their keys (fewer than HOT_PARTS)
+    and taken together map-side, so that no task gets all of them.
+    """
+    keys = ["_doc", "_th"]
     key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), F.col("th").alias("_th"))
-    found = _components(docs, size, percent)
-    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
-    keep = first.select(*key, F.lit(True).alias("_one")).unionByName(found.where("root is null").select(*key, F.lit(False).alias("_one")).distinct())
+    found = materialize(_components(docs, size, percent).where("root is not null").select("doc_id", "th", "root"), "rows-with-roots")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")).select("k.doc_id", "k.th").select(*key)
+    often = found.groupBy(*key).count().where(F.col("count") > max(1, found.count() // HOT_PARTS)).select(*keys)
+    often = materialize(first.join(often, keys, "left_semi"), "hot-rows")
     names, docs = docs.columns, aside(docs)
-    keyed = docs.withColumns({"_doc": key[0], "_th": F.xxhash64("text")}).join(keep, ["_doc", "_th"])
-    again = F.row_number().over(Window.partitionBy("_doc", "_th").orderBy(F.lit(1)))  # rows that repeat are alike
-    return keyed.withColumn("_n", again).where("_n = 1 or not _one").select(*(F.col(f"`{c}`") for c in docs.columns)).toDF(*names)
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(words).withColumns({"_doc": key[0], "_th": F.xxhash64("text")})
+    seldom = keyed.join(F.broadcast(often), keys, "left_anti").join(first, keys)
+    hot = keyed.join(F.broadcast(often), keys)
+    kept = seldom.dropDuplicates(keys).unionByName(hot.dropDuplicates(keys)).drop(*keys)
+    return kept.unionByName(docs.where(~words)).select(*(F.col(f"`{c}`") for c in docs.columns)).toDF(*names)

@@ -29,6 +29,16 @@ def test_one_of_each(spark):
     assert ngram_join.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_rows_that_fill_a_third(spark):
+    """Rows alike in doc_id and text, with and without words, beside others; all columns come back."""
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, words, {"k": 1})] * 700 + [(None, None, {"k": 2})] * 400 + [(7, " \t\n", None)] * 300 + [(d, f"text of number {d} {d + 1} {d + 2}", {"k": d}) for d in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>").repartition(6)
+    got = ngram_join.one_of_each(df, size=5, percent=80)
+    assert got.columns == df.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows[699:]))
+
+
 def test_shared_passages_and_hot_shingles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_LEAST", 20)
     r = random.Random(4)
