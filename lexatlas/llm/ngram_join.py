@@ -1,8 +1,8 @@
 """Exact set-similarity self-join of documents on word n-grams: grouped prefix filtering.
 
 1. A pass over the texts counts in how many documents each shingle occurs (packed 32-bit codes, counted by numpy in
-   buckets of codes); those above a threshold that bounds their number are broadcast. They order all shingles: rare
-   ones by hash, frequent ones last, by frequency. Any order that all documents share gives exact results.
+   buckets of codes); those of the highest counts, up to a bounded number of codes, are broadcast. They order all
+   shingles: rare ones by hash, frequent ones last, by frequency. Any order that all documents share gives exact results.
 2. A second pass yields each row's set size, a digest of its set and its prefix: the first shingles in that order, so
    many that documents similar enough must share one. Rows with equal sets become one class, and classes with identical
    prefix and size one group; only groups are indexed by their prefix shingles. Rows, classes and groups go by ids of
@@ -38,12 +38,14 @@ from lexatlas.llm.columns import aside
 from lexatlas.llm.graphs import components, join_counted
 from lexatlas.sources.workspace import map_arrow, materialize
 
-#: Frequent shingles that are broadcast, at most; codes held by a task before they are sent on.
-FREQUENT, HELD = 1_000_000, 4_000_000
+#: Frequent shingles that are broadcast, at most (8 bytes each); codes held by a task before they are sent on.
+FREQUENT, HELD = 2_000_000, 4_000_000
 #: Only shingles in so many documents or more count as frequent, also in a small corpus.
 LEAST_FREQUENT = 16
+#: Steps per doubling in which the threshold is sought.
+STEPS = 8
 #: Buckets of codes at least; a code is the upper 32 bits of a hash, and 24 of them tell codes of one bucket apart. Codes
-#: that shingles share make a count too large by (all shingles) / 2^32 on average, far below the threshold.
+#: that shingles share make a count too large by (all shingles) / 2^32 on average.
 BUCKETS = 256
 #: Shingles that the prefixes of similar documents must share (all, for smaller sets).
 COMMON = 3
@@ -107,7 +109,7 @@ def _codes(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterat
 
 
 def _counted(table: pa.Table, buckets: int) -> pa.Table:
-    """Codes of one bucket in LEAST_FREQUENT documents or more, and (code -1) the sum of all counts."""
+    """Codes of one bucket in LEAST_FREQUENT documents or more."""
     bucket = table.column("bucket")[0].as_py()
     unpacked = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(3, -1).astype(np.uint32) for x in table.column("once").to_pylist()]
     once = np.concatenate([np.cumsum(p[0] | p[1] << np.uint32(8) | p[2] << np.uint32(16), dtype=np.uint32) for p in unpacked])
@@ -117,22 +119,30 @@ def _counted(table: pa.Table, buckets: int) -> pa.Table:
     counts = np.bincount(which, np.concatenate([np.ones(len(once)), many[:, 1]]), len(low)).astype(np.int64)
     code = int(_starts(buckets)[bucket]) + low.astype(np.int64)
     often = counts >= LEAST_FREQUENT
-    return pa.table({"code": np.append(code[often], -1), "df": np.append(counts[often], counts.sum())})
+    return pa.table({"code": code[often], "df": counts[often]})
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the frequent shingles, ascending, and the number of documents that hold each.
 
-    The threshold is the larger of LEAST_FREQUENT and (all shingles of all documents) / FREQUENT: at most FREQUENT
-    codes can reach it. Two shingles with one code share its count, which only shapes the order.
+    The threshold is LEAST_FREQUENT, or the lowest step above it that FREQUENT codes at most reach: it follows from the
+    counts themselves, so that shingles of small groups stay frequent in a corpus of any size as long as there is room
+    for their codes. Two shingles with one code share its count, which only shapes the order.
     """
     buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = map_arrow(docs.select("text"), lambda it: _codes(it, size, buckets), "bucket int, once binary, many binary")
     counted = materialize(packed.groupBy("bucket").applyInArrow(lambda t: _counted(t, buckets), "code long, df long"), "shingle-counts")
-    total = counted.where("code = -1").agg(F.sum("df")).first()[0] or 0
-    least = max(LEAST_FREQUENT, -(-total // FREQUENT))
-    found = counted.where(f"code >= 0 and df >= {least}").toPandas().sort_values("code")
-    return found["code"].to_numpy(np.uint64), found["df"].to_numpy(np.int64)
+    steps = counted.groupBy(F.floor(F.log2("df") * STEPS).alias("step")).agg(F.count("*").alias("codes"), F.min("df").alias("df"))
+    least, room = None, FREQUENT
+    for step in steps.orderBy(F.desc("step")).collect():  # 64 * STEPS rows at most
+        room -= step["codes"]
+        if room < 0:
+            break
+        least = step["df"]
+    if least is None:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    found = counted.where(F.col("df") >= least).toPandas().sort_values("code")
+    return found["code"].to_numpy(np.uint32), found["df"].clip(upper=2**32 - 1).to_numpy(np.uint32)
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -170,11 +180,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, hot: i
         n = np.diff(offsets)
         doc = np.repeat(np.arange(len(n)), n)
         digests = [add(mix(found ^ np.uint64(k)), offsets).view(np.int64) for k in (1, 2)]
-        df = np.zeros(len(found), np.int64)
+        df = np.zeros(len(found), np.uint32)
         if len(codes):
-            code = found >> np.uint64(32)
+            code = (found >> np.uint64(32)).astype(np.uint32)
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            df = np.where(codes[at] == code, counts[at], 0)
+            df = np.where(codes[at] == code, counts[at], np.uint32(0))
         rare = np.bincount(doc[df == 0], minlength=len(n)).astype(np.int32)
         order = np.lexsort((found, df, doc))
         rank = np.arange(len(found)) - np.repeat(offsets[:-1], n)

@@ -39,6 +39,21 @@ def test_one_of_rows_that_fill_a_third(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows[699:]))
 
 
+def test_frequent_shingles_are_those_of_the_highest_counts(spark, monkeypatch):
+    """As many as there is room for, by whole steps, whatever the number of other shingles; none if there is no room."""
+    docs = spark.createDataFrame([(d, " ".join([f"r{d}x{k}" for k in range(50)] + [f"c{k}" for k in range(d % 200)])) for d in range(400)], "doc_id long, text string")
+    count = {k: sum(d % 200 > k for d in range(400)) for k in range(199)}
+    for room in (1000, 50, 20):
+        monkeypatch.setattr(ngram_join, "FREQUENT", room)
+        codes, found = ngram_join.frequent_shingles(docs, 1)
+        assert len(codes) <= room and (sorted(codes) == codes).all()
+        want = sorted((n for n in count.values() if n >= ngram_join.LEAST_FREQUENT), reverse=True)[: len(codes)]
+        assert sorted(found.tolist(), reverse=True) == want
+        assert len(codes) == sum(n >= ngram_join.LEAST_FREQUENT for n in count.values()) if room == 1000 else len(codes) > room // 2
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    assert len(ngram_join.frequent_shingles(docs, 1)[0]) == 0
+
+
 def test_shared_passages_and_hot_shingles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_LEAST", 20)
     r = random.Random(4)
