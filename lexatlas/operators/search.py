@@ -274,28 +274,56 @@ def fuzzy(items: DataFrame, term: str, least: float = 0.3, limit: int | None = F
     return items.select("id", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(clamp(limit, MOST_FUZZY, FUZZY_ROWS))
 
 
+#: The first look of fuzzy_terms: a term's rarest trigrams, and the texts of each that are compared.
+LOOKED_GRAMS, LOOKED_TEXTS = 3, 200
+
+
 def fuzzy_terms(items: DataFrame, terms: DataFrame, least: float = 0.3, limit: int | None = FUZZY_ROWS) -> DataFrame:
     """fuzzy for a table of terms (term) at a time: term, id, similarity, place; `limit` rows of each term.
 
-    Postings of trigrams are joined with the rarest trigrams of each term: an item that resembles a term of n trigrams
-    shares `least` * n of them at least, so that it holds one of the n - least * n + 1 rarest; and its own number lies
-    between least * n and n / least. Only such candidates are compared. Terms of fewer than FUZZY_LETTERS characters and
-    null terms have no rows, a repeated term has them once; null texts resemble nothing.
+    Items of one text resemble a term alike, so that texts are compared, each with its first `limit` ids. A first look at
+    some texts that hold a term's rarest trigrams tells how similar its last row is at least. A text of m trigrams that
+    is as similar to a term of n shares so many (`need`) that both hold one of the n - need + 1 and m - need + 1 rarest of
+    their own: only such pairs are compared, all of them. Terms of fewer than FUZZY_LETTERS characters and null terms have
+    no rows, a repeated term has them once; null texts resemble nothing.
     """
-    own = materialize(items.select("id", trigrams(F.col("text")).alias("grams")).where("grams is not null"), "trigrams")
-    postings = own.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    rows = clamp(limit, MOST_FUZZY, FUZZY_ROWS)
+    candidates, compared, ids = _fuzzy_pairs(items, terms, least, rows)
+    found = compared(candidates).where(F.col("similarity") >= least)
+    best = Window.partitionBy("term").orderBy(F.desc("similarity"), "first")
+    shown = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rows).drop("place").join(ids.select("item", "ids"), "item")
+    shown = shown.select("term", F.explode("ids").alias("id"), "similarity")
+    return shown.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("similarity"), "id"))).where(F.col("place") <= rows)
+
+
+def _fuzzy_pairs(items: DataFrame, terms: DataFrame, least: float, rows: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], DataFrame]:
+    """Pairs (term, item) to compare, what compares them, and the texts with their ids (item, ids, grams)."""
+    own = items.select("id", F.lower("text").alias("text")).where("text is not null").withColumn("r", F.row_number().over(Window.partitionBy("text").orderBy("id"))).where(F.col("r") <= rows)
+    ids = materialize(own.groupBy("text").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("item"), "ids", trigrams(F.col("text")).alias("grams")), "trigrams")
+    texts = ids.select("item", F.get("ids", F.lit(0)).alias("first"), F.size("ids").alias("copies"), "grams", F.size("grams").alias("m"))
+    postings = texts.select("item", "m", F.explode("grams").alias("gram"))
+    often = materialize(postings.groupBy("gram").agg(F.count("*").alias("often")), "often")
+    postings = materialize(postings.join(often, "gram").withColumn("at", F.row_number().over(Window.partitionBy("item").orderBy("often", "gram"))).drop("often"), "postings")
     asked = terms.select("term").where(F.length(F.trim("term")) >= FUZZY_LETTERS).distinct().select("term", trigrams(F.col("term")).alias("wanted"))
-    each = asked.select("term", F.size("wanted").alias("n"), F.explode("wanted").alias("gram"))
-    often = postings.groupBy("gram").agg(F.count("*").alias("often"))
-    rarest = F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("often", F.lit(0)), "gram"))
-    floor = least - 1e-6  # similarities are rounded
-    looked = each.join(often, "gram", "left").withColumn("r", rarest).where(F.col("r") <= F.col("n") - F.ceil(floor * F.col("n")) + 1)
-    near = (F.col("size") >= floor * F.col("n")) & (F.col("size") * floor <= F.col("n"))
-    candidates = looked.join(postings, "gram").where(near).select("term", "id").distinct()
+    each = asked.select("term", F.size("wanted").alias("n"), F.explode("wanted").alias("gram")).join(often, "gram", "left")
+    each = materialize(each.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("often", F.lit(0)), "gram"))), "asked")
     similarity = F.round(F.size(F.array_intersect("grams", "wanted")) / F.size(F.array_union("grams", "wanted")), 6)
-    found = candidates.join(own, "id").join(asked, "term").select("term", "id", similarity.alias("similarity")).where(F.col("similarity") >= least)
-    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("similarity"), "id")))
-    return placed.where(F.col("place") <= clamp(limit, MOST_FUZZY, FUZZY_ROWS))
+    compared = lambda pairs: pairs.join(texts, "item").join(asked, "term").select("term", "item", "first", "copies", similarity.alias("similarity"))
+
+    known = each.where("often is not null").withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy("r"))).where(F.col("k") <= LOOKED_GRAMS)
+    some = postings.withColumn("k", F.row_number().over(Window.partitionBy("gram").orderBy("item"))).where(F.col("k") <= LOOKED_TEXTS)
+    look = compared(known.select("term", "gram").join(some.select("gram", "item"), "gram").select("term", "item").distinct())
+    so_far = F.sum("copies").over(Window.partitionBy("term").orderBy(F.desc("similarity"), "item"))
+    enough = look.withColumn("so_far", so_far).where(F.col("so_far") >= rows).groupBy("term").agg(F.max("similarity").alias("known"))
+    floor = F.greatest(F.lit(least), F.coalesce("known", F.lit(least))) - 2e-6  # similarities are rounded
+    floors = each.select("term", "n").distinct().join(enough, "term", "left").select("term", "n", floor.alias("floor"))
+
+    need = F.greatest(F.ceil(F.col("floor") * (F.col("n") + F.col("m")) / (1 + F.col("floor")) - 1e-9), F.lit(1))
+    near = (F.col("m") >= F.col("floor") * F.col("n")) & (F.col("m") * F.col("floor") <= F.col("n"))
+    sizes = floors.join(F.broadcast(texts.select("m").distinct()), near).select("term", "n", "m", need.alias("need"))
+    looked = each.where("often is not null").select("term", "gram", "r").join(sizes, "term").where("r <= n - need + 1")
+    candidates = looked.join(postings, ["gram", "m"]).where("at <= m - need + 1").select("term", "item").distinct()
+    return candidates, compared, ids
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
