@@ -105,7 +105,7 @@ def children(corpus: Corpus, division: int) -> DataFrame:
     below = descendants(corpus.divisions, own).select("root", F.col("id").alias("division_id"))
     articles = corpus.articles.join(below, "division_id").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("total"))
     direct = corpus.articles.join(own.select(F.col("id").alias("division_id")), "division_id", "left_semi")
-    out = own.join(articles, "id", "left").join(first_last(Corpus(corpus.laws, own, direct, corpus.paragraphs)), "id", "left")
+    out = own.join(articles, "id", "left").join(first_last(Corpus(corpus.laws, own, direct, lambda: corpus.paragraphs)), "id", "left")
     return out.select("id", "kind", "number", "name", path_text(F.col("kind"), F.col("number"), F.col("name")).alias("path_text"), level(F.col("kind")).alias("level"), F.coalesce("total", F.lit(0)).alias("total"), "first", "last", "position")
 
 
