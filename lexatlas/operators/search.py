@@ -195,6 +195,27 @@ def stem_hits(terms: DataFrame, search: Search) -> DataFrame:
     return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("stem", "pos", "weight"))).alias("hits"), F.collect_set("term").alias("words"))
 
 
+def words_of_stems(texts: DataFrame, search: Search) -> DataFrame:
+    """(term, stem) of those words of texts (text) whose stem is one of the query's. The stemmer changes no word's first
+    two letters but for accents, and makes none longer: only words that agree in this are stemmed."""
+    wanted = sorted({w for phrases in (*search.any_of, search.excluded) for p in phrases for w in p})
+    plain = lambda t: F.substring(F.translate(t, "áéíóú", "aeiou"), 1, 2)
+    near = lambda t: reduce(Column.__or__, [(plain(t) == w[:2]) & (F.length(t) >= len(w)) for w in wanted])
+    terms = texts.select(F.explode(F.filter(tokens(F.col("text")), near)).alias("term"))
+    return stems(terms).where(F.col("stem").isin(wanted))
+
+
+def row_hits(text: Column, number: Column, known: Column) -> Column:
+    """The places of words in a text and a number, of those that a map of terms to stems holds: array of (stem, pos, weight,
+    term); pos and weight as in index."""
+
+    def of(value: Column, back: int, weight: float) -> Column:
+        every = F.transform(tokens(F.coalesce(value, F.lit(""))), lambda w, i: F.struct(known[w].alias("stem"), (i - back).alias("pos"), F.lit(weight).alias("weight"), w.alias("term")))
+        return F.filter(every, lambda h: h["stem"].isNotNull())
+
+    return F.concat(of(text, 0, TEXT_WEIGHT), of(number, 1000, NUMBER_WEIGHT))
+
+
 def hits_match(hits: Column, search: Search) -> Column:
     """Whether hits match a query of stems: phrases are stems at consecutive places."""
     places = lambda w, back: F.transform(F.filter(hits, lambda h: h["stem"] == w), lambda h: h["pos"] - back)
@@ -233,24 +254,26 @@ def search_articles(corpus: Corpus, text: str, laws: str | None = None, kinds: s
 
     laws and kinds are optional comma-separated lists of law codes and kinds of law; limit is PAGE_ROWS unless 1 to
     MOST_ROWS. Columns: id, law, law_name, law_kind, number, base, kind, place, content, is_transitory, reforms, rank,
-    snippet. The articles of the chosen laws are indexed anew for each query, their texts joined for it and for the page;
-    search_index reads a stored index instead. An empty query raises ValueError.
+    snippet. Paragraphs move once, to their articles, whose words are then looked through row by row; search_index reads
+    a stored index instead. An empty query raises ValueError.
     """
     asked = stemmed(parse(text))
     wanted = corpus.laws.where(in_list("code", laws) & in_list("kind", kinds)).select(F.col("code").alias("law"), F.col("name").alias("law_name"), F.col("kind").alias("law_kind"))
-    own = corpus.articles.join(wanted, "law")
+    own = corpus.articles.join(F.broadcast(wanted), "law")
     if only_transitory:
         own = own.where("kind = 'transitorio'")
-    content = joined_text(corpus.paragraphs.join(own.select(F.col("id").alias("article_id")), "article_id", "left_semi"), "\n\n").select(F.col("article_id").alias("id"), "text")
-    terms = index(own.select("id", "number").join(content, "id", "left"), number="number")
-    hits = stem_hits(terms, asked)
-    hits = hits.where(hits_match(F.col("hits"), asked)).select("id", weighted_rank(F.col("hits"), asked).alias("found"), "words")
-    ranked = own.join(hits, "id", "left").where(F.col("found").isNotNull() | F.col("number").ilike(f"%{text}%"))
+    content = joined_text(corpus.paragraphs.join(own.select(F.col("id").alias("article_id")), "article_id", "left_semi"), "\n\n").select(F.col("article_id").alias("id"), F.col("text").alias("content"))
+    terms = words_of_stems(corpus.paragraphs.select(F.col("content").alias("text")).unionByName(own.select(F.col("number").alias("text"))), asked)
+    known = terms.agg(F.map_from_entries(F.collect_list(F.struct("term", "stem"))).alias("known"))
+    by_number = F.coalesce(F.col("number").ilike(f"%{text}%"), F.lit(False))
+    score = lambda hits: F.when(hits_match(hits, asked), F.struct(weighted_rank(hits, asked).alias("rank"), F.transform(hits, lambda h: h["term"]).alias("words")))
+    found = F.filter(F.transform(F.array(row_hits(F.col("content"), F.col("number"), F.col("known"))), score), lambda x: x.isNotNull() | by_number)
+    ranked = own.join(content, "id", "left").crossJoin(F.broadcast(known)).select(*own.columns, "content", F.explode(found).alias("found"))  # a generator computes it once
     rows = clamp(limit, MOST_ROWS, PAGE_ROWS)
-    shown = ranked.withColumn("rank", F.coalesce("found", F.lit(0.0))).orderBy(F.desc("rank"), "id").offset((page - 1) * rows).limit(rows)
+    shown = ranked.select("*", F.coalesce("found.rank", F.lit(0.0)).alias("rank")).orderBy(F.desc("rank"), "id").offset((page - 1) * rows).limit(rows)
     d = corpus.divisions.select(F.col("id").alias("division_id"), place(F.col("kind"), F.col("number")).alias("place"))
-    out = shown.join(d, "division_id", "left").join(content.withColumnRenamed("text", "content"), "id", "left")
-    marked = marked_stretch(F.coalesce("content", F.lit("")), F.coalesce("words", F.array().cast("array<string>")))
+    out = shown.join(d, "division_id", "left")
+    marked = marked_stretch(F.coalesce("content", F.lit("")), F.array_distinct(F.coalesce("found.words", F.array().cast("array<string>"))))
     return out.select("id", "law", "law_name", "law_kind", "number", base_number(F.col("number")).alias("base"), "kind", "place", "content", (F.col("kind") == "transitorio").alias("is_transitory"), "reforms", "rank", marked.alias("snippet"))
 
 

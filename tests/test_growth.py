@@ -52,3 +52,25 @@ def test_fuzzy_terms_compare_few_pairs(spark):
     assert df.count() == 600
     got = [(r["id"], r["similarity"]) for r in df.where("term = 'Customer#000001025'").orderBy("place").collect()]
     assert got == [(r["id"], r["similarity"]) for r in s.fuzzy(items, "Customer#000001025").collect()]
+
+
+def test_only_near_words_are_stemmed(spark):
+    """What words_of_stems leaves out has none of the query's stems."""
+    ends = ["", *s._STANDARD, *s._PRONOUNS, *(g for g, _ in s._GERUNDS), *s._Y_VERBS, *s._VERBS, *s._RESIDUALS, "uyendo", "gue", "cion", "iéndose"]
+    words = [a + b + e for a in ("", "a", "á", "part", "é", "lleg", "índ") for b in ("", "u", "g", "ic") for e in ends if a + b + e]
+    for w in words:
+        stem = s.stem(w)
+        assert len(stem) <= len(w) and stem[:2] == w.translate(str.maketrans("áéíóú", "aeiou"))[: min(2, len(stem))], w
+    asked = s.Search([[(s.stem("partes"),)], [("indic",)]], [("n",)])
+    texts = spark.createDataFrame([(" ".join(words) + " n no N",)], "text string")
+    got = {r["term"] for r in s.words_of_stems(texts, asked).collect()}
+    assert got == {w for w in [*words, "n", "no"] if s.stem(w) in ("part", "indic", "n")} | {"n"}
+
+
+def test_article_search_moves_paragraphs_once(spark, small):
+    from lexatlas.sources.corpus import load
+
+    df = s.search_articles(load(spark, small), "partes returned -n", laws="LB,LC", limit=50)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+    assert df.count() == 50
