@@ -74,3 +74,61 @@ def test_article_search_moves_paragraphs_once(spark, small):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
     assert df.count() == 50
+
+
+def test_paragraphs_lie_with_their_article(spark, small):
+    """What is made of an article's paragraphs moves none of them again; a bucket is one file."""
+    from lexatlas.operators.views import joined_text
+    from lexatlas.sources.corpus import load
+
+    paragraphs = load(spark, small).paragraphs
+    for df in (joined_text(paragraphs, " "), paragraphs.groupBy("law", "article_id").count()):
+        df.collect()
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    files = [f.rpartition("_")[2] for f in paragraphs.inputFiles()]
+    assert len(files) == len(set(files)) and sum(r["count"] for r in df.collect()) == paragraphs.count()
+
+
+def test_segments_are_made_row_by_row(spark, monkeypatch):
+    """Postings of blocks against a loop over words: repeated forms, accents, nulls, a number of many words."""
+    from collections import defaultdict
+
+    from lexatlas.operators import search_index as si
+    from lexatlas.sources.workspace import fresh_path
+
+    monkeypatch.setattr(si, "BLOCK_WORDS", 7)
+    texts = ["parte partes parte, Partes", None, "", "año2 índice2 índices 12 12", "a b a b a", "x" * 40]
+    numbers = ["1 Bis", "2", None, "parte 4", " ".join(["n", "m"] * 700), ""]
+    rows = [(k, f"L{k % 2}", None if k == 3 else "ley", "articulo", numbers[k % 6], texts[k % 6]) for k in range(30)]
+    path = fresh_path(spark, "test-index")
+    si.add_segment(path, spark.createDataFrame(rows, "id long, law string, law_kind string, kind string, number string, text string"), "a")
+    want = defaultdict(lambda: ([], set()))
+    for k, law, law_kind, kind, number, text in rows:
+        for value, back, weight in ((number, 1000, s.NUMBER_WEIGHT), (text, 0, s.TEXT_WEIGHT)):
+            for i, w in enumerate((value or "").lower().replace(",", "").split()):
+                hits, words = want[(s.stem(w), k, law, law_kind, kind)]
+                hits.append((i - back, weight))
+                words.add(w)
+    got = spark.read.parquet(f"{path}/postings/a")
+    assert got.groupBy("stem", "id").count().where("count > 1").isEmpty()
+    assert {tuple(r[c] for c in ("stem", "id", "law", "law_kind", "kind")): ([tuple(h) for h in r["hits"]], sorted(r["words"])) for r in got.collect()} == {k: (sorted(h), sorted(w)) for k, (h, w) in want.items()}
+    assert got.where(F.col("bucket") != si._bucket(F.col("stem"))).isEmpty()
+
+
+def test_a_segment_shuffles_articles_alone(spark, small):
+    """Before, every word of every article was a row, joined with the stems and grouped again."""
+    from lexatlas.operators import search_index as si
+    from lexatlas.sources.corpus import load
+    from lexatlas.sources.workspace import fresh_path
+
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def moved() -> int:
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    articles = si.corpus_articles(load(spark, small))
+    n = articles.count()
+    before = moved()
+    si.add_segment(fresh_path(spark, "test-index"), articles, "a")
+    assert moved() - before < 6 * n
