@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from lexatlas.operators.hierarchy import chains
 from lexatlas.sources.ranking import neighbours, numbered
+from lexatlas.sources.workspace import materialize
 
 
 def group_hits(hits: DataFrame, page: int | None = None) -> DataFrame:
     """Hits (law, id, rank) grouped by law, larger groups first, of equals that with the better first hit: law, hits (in
     all), place (from 1), id. `page`: only so many of each law; all by default, a row each, so that no law fills a row.
+    Hits are computed once.
     """
+    hits = materialize(hits.select("law", "id", "rank"), "hits")
     total = hits.groupBy("law").agg(F.count("*").cast("int").alias("hits"), F.max("rank").alias("_first"))
     placed = numbered(hits, ["law"], [F.desc("rank"), F.col("id")], "place").withColumn("place", F.col("place").cast("int"))
     shown = placed if page is None else placed.where(F.col("place") <= page)

@@ -89,6 +89,24 @@ def test_paragraphs_lie_with_their_article(spark, small):
     assert len(files) == len(set(files)) and sum(r["count"] for r in df.collect()) == paragraphs.count()
 
 
+def test_hits_are_computed_once(spark):
+    """Before, hits were computed for the ranges' sample, for their rows and for the sums of each law."""
+    from lexatlas.operators.presentation import group_hits
+
+    read = spark.sparkContext.accumulator(0)
+
+    def rank(k):
+        read.add(1)
+        return float(k % 7)
+
+    hits = spark.range(0, 500, 1, 3).select("id", F.concat(F.lit("L"), (F.col("id") % 3).cast("string")).alias("law"), F.udf(rank, "double")("id").alias("rank"))
+    rows = group_hits(hits).collect()
+    assert read.value == 500
+    for law in ("L0", "L1", "L2"):
+        ids = [k for k in range(500) if f"L{k % 3}" == law]
+        assert [(r["hits"], r["place"], r["id"]) for r in rows if r["law"] == law] == [(len(ids), i + 1, k) for i, k in enumerate(sorted(ids, key=lambda k: (-(k % 7), k)))]
+
+
 def test_segments_are_made_row_by_row(spark, monkeypatch):
     """Postings of blocks against a loop over words: repeated forms, accents, nulls, a number of many words."""
     from collections import defaultdict
