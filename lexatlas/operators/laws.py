@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions.numbering import assemble
 from lexatlas.operators.textlines import CENTRE_TOLERANCE, PAGE_WIDTH, assign_to_cuts, attach_parents, attach_references, by_document, consolidate, division_names
+from lexatlas.sources.workspace import materialize
 
 #: An article's heading with the parts of its number, any line that looks like one, end markers, where
 #: headings may stand, where end markers and other headings must, and the height of a page.
@@ -93,13 +94,13 @@ def law_contents(lines: DataFrame, rules: DataFrame) -> DataFrame:
     on over its pages; content is without the identifier, with single spaces. Citations go to the paragraph that ends
     last above them, those above all paragraphs to none. Lines without text, and lines before the first article, are
     left out; flags that are null count as not set; pos orders a document's lines and doesn't repeat; an empty table
-    gives no rows.
+    gives no rows. Lines are scanned once, and those of articles written, as are the paragraphs.
     """
-    scanned = scan_articles(lines, rules)
+    scanned = materialize(scan_articles(lines, rules).where("role in ('line', 'start', 'note') or heading is not null"), "scanned")
     key = F.struct("doc", "orden").alias("doc")
     height = F.col("y") + PAGE_HEIGHT * (F.col("page") - F.col("first_page"))
     inside = scanned.where("role in ('line', 'start') and text <> ''").select(key, "pos", height.alias("y"), "x", "x_end", "text")
-    paragraphs = attach_parents(consolidate(inside))
+    paragraphs = attach_parents(materialize(consolidate(inside), "law-paragraphs"))
     notes = scanned.where("role = 'note'").select(key, F.col("pos").alias("note"), height.alias("y"), "text")
     placed = attach_references(paragraphs, notes.select("doc", "note", "y")).join(notes.select("doc", "note", "text"), ["doc", "note"])
     refs = placed.groupBy("doc", "number").agg(F.sort_array(F.collect_list(F.struct("note", "text")))["text"].alias("refs"))

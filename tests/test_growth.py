@@ -107,6 +107,17 @@ def test_hits_are_computed_once(spark):
         assert [(r["hits"], r["place"], r["id"]) for r in rows if r["law"] == law] == [(len(ids), i + 1, k) for i, k in enumerate(sorted(ids, key=lambda k: (-(k % 7), k)))]
 
 
+def test_laws_are_scanned_once(spark, small):
+    """Before, lines were scanned anew for headings, for paragraphs and for citations."""
+    from lexatlas.operators.laws import law_contents
+    from lexatlas.plans.laws import article_lines, law_rules
+
+    before = _written(spark, "scanned")
+    found = law_contents(article_lines(spark, small), law_rules(spark))
+    assert len(_written(spark, "scanned")) == len(before) + 1
+    assert all("/scanned-" in f or "/law-paragraphs-" in f for f in found.inputFiles()) and found.count() > 40
+
+
 def test_segments_are_made_row_by_row(spark, monkeypatch):
     """Postings of blocks against a loop over words: repeated forms, accents, nulls, a number of many words."""
     from collections import defaultdict
