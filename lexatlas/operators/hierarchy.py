@@ -7,8 +7,9 @@ chain alone goes by pointer doubling, in as many rounds as the depth has binary
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -16,6 +17,9 @@ from lexatlas.functions.numbering import level, path_text, shown_kind
 from lexatlas.sources.corpus import Corpus
 from lexatlas.sources.workspace import fresh_path, materialize
 
+#: Rounds of chains_within before rows are written: enough for trees with three levels below their roots.
+ROUNDS = 2
+
 
 def _by_levels(first: DataFrame, step: Callable[[DataFrame], DataFrame], again: Column) -> DataFrame:
     """first and what step makes of each level until it is empty, with the level as distance; each level is written once.
@@ -72,6 +76,50 @@ def chains(nodes: DataFrame) -> DataFrame:
     return state.select("id", "depth", "parts")
 
 
+def chains_within(nodes: DataFrame, group: list[str]) -> DataFrame:
+    """nodes with depth, and with parts for a column part, as in chains, where each tree lies within a group: group
+    columns, id (one row each in its group), parent_id, any others.
+
+    Pointer doubling, but a group's rows come together once, and not at all if they lie in buckets by group; there each
+    unfinished node is a second row under the one it points at, and a window hands it what that one knows. After ROUNDS
+    rounds rows are written, and only groups with unfinished nodes go on.
+    """
+    known = ["_up", "depth", *(["parts"] if "part" in nodes.columns else [])]
+    rest = [c for c in nodes.columns if c not in ("parent_id", "part")]
+    own = Window.partitionBy(*group)
+    parts = [F.array_compact(F.array("part")).alias("parts")] if "part" in nodes.columns else []
+    more = F.col("parent_id").isNotNull()
+    here = nodes.select(*rest, F.col("parent_id").alias("_up"), more.cast("int").alias("depth"), *parts, F.count("*").over(own).alias("_most"))
+    done, kept = [], [*rest, *known[1:]]
+    while True:
+        for _ in range(ROUNDS):
+            here = _doubled(here, group, known)
+        state = materialize(here.withColumn("_open", F.max(F.col("_up").isNotNull()).over(own)), "chains")
+        done.append(state.where("not _open").select(*kept))
+        open_ = state.where("_open").drop("_open")
+        unfinished, back = open_.where("_up is not null").agg(F.count("*"), F.bool_or(F.col("depth") >= F.col("_most"))).first()
+        if back:
+            raise ValueError("nodes are their own ancestors")
+        if not unfinished:
+            return reduce(DataFrame.unionByName, done)
+        here = open_.repartition(*group)
+
+
+def _doubled(state: DataFrame, group: list[str], known: list[str]) -> DataFrame:
+    """A round of chains_within: what the node at _up knows, put before what a row knows. Rows under a node are in order,
+    the node itself first."""
+    columns = state.columns
+    under = F.array_compact(F.array(F.struct(F.col("id").alias("_at"), F.lit(False).alias("_asks")), F.when(F.col("_up").isNotNull(), F.struct(F.col("_up").alias("_at"), F.lit(True).alias("_asks")))))
+    first = Window.partitionBy(*group, "_at").orderBy("_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    there = F.first(F.when(~F.col("_asks"), F.struct(*known))).over(first)
+    rows = state.select(*columns, F.inline(under)).withColumn("_there", there).where("_asks or _up is null")
+    found = F.when(F.col("_asks"), F.col("_there"))
+    moved = {"_up": found["_up"], "depth": F.col("depth") + F.when(F.col("_asks"), F.coalesce(found["depth"], F.lit(-1))).otherwise(0)}
+    if "parts" in known:
+        moved["parts"] = F.concat(F.coalesce(found["parts"], F.array().cast("array<string>")), "parts")
+    return rows.withColumns(moved).select(*columns)
+
+
 def subtree_counts(corpus: Corpus) -> DataFrame:
     """(id, total) of articles at or below each division: counted by division first, then summed along the ancestors."""
     own = corpus.articles.groupBy(F.col("division_id").alias("id")).agg(F.count("*").alias("own"))
@@ -218,8 +266,6 @@ def shown_divisions(divisions: DataFrame) -> DataFrame:
 
 def paragraph_tree(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs with their depth, and whether they continue another: text below the root."""
-    key = ["law", "article_id"]
-    node = F.struct(*key, "number")
-    up = F.when(F.col("parent_number").isNotNull(), F.struct(*key, F.col("parent_number").alias("number")))
-    depth = chains(paragraphs.select(node.alias("id"), up.alias("parent_id"), F.lit(None).cast("string").alias("part")))
-    return paragraphs.join(depth.select("id.*", "depth"), [*key, "number"]).withColumn("continues", (F.col("kind") == "texto") & (F.col("depth") > 0))
+    nodes = paragraphs.withColumns({"id": F.col("number"), "parent_id": F.col("parent_number")})
+    tree = chains_within(nodes, ["law", "article_id"])
+    return tree.select("law", "article_id", "number", *(c for c in paragraphs.columns if c not in ("law", "article_id", "number")), "depth", ((F.col("kind") == "texto") & (F.col("depth") > 0)).alias("continues"))
