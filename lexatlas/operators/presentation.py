@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.operators.hierarchy import chains
+from lexatlas.operators.hierarchy import chains, chains_within
 from lexatlas.sources.ranking import neighbours, numbered
 from lexatlas.sources.workspace import materialize
 
@@ -50,13 +50,15 @@ def quality_counts(rows: DataFrame, quality: str = "quality") -> DataFrame:
     return rows.agg(F.count_if(status == "con_error").alias("with_error"), F.count_if(status == "corregida").alias("corrected"), F.count_if(F.col(quality).isNull()).alias("in_order"))
 
 
-def anchors(paragraphs: DataFrame, shown: Column | None = None) -> DataFrame:
+def anchors(paragraphs: DataFrame, shown: Column | None = None, within: list[str] | None = None) -> DataFrame:
     """Anchor of each paragraph (id, parent_id, kind, number): `fraccion-I-inciso-a`; its chain of numbered parts from the
-    root, text left out; p-{id} if there is none. `shown` is the id to return, where id is a key of several columns."""
+    root, text left out; p-{id} if there is none. `shown` is the id to return, where id is a key of several columns, or
+    one in its group alone: `within` names the columns of groups that no tree leaves."""
     part = F.when(~F.col("kind").isin("texto", "parrafo") & F.col("number").isNotNull(), F.concat(F.col("kind"), F.lit("-"), F.regexp_replace("number", r"[).]", "")))
     own = F.col("id") if shown is None else shown
-    named = chains(paragraphs.select("id", "parent_id", part.alias("part"))).withColumn("a", F.array_join("parts", "-"))
-    return named.select(own.alias("id"), F.when(F.col("a") == "", F.concat(F.lit("p-"), own.cast("string"))).otherwise(F.col("a")).alias("anchor"))
+    nodes = paragraphs.select(*(within or []), "id", "parent_id", part.alias("part"))
+    named = (chains_within(nodes, within) if within else chains(nodes)).withColumn("_anchor", F.array_join("parts", "-"))
+    return named.select(own.alias("id"), F.when(F.col("_anchor") == "", F.concat(F.lit("p-"), own.cast("string"))).otherwise(F.col("_anchor")).alias("anchor"))
 
 
 def contents(paragraphs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexatlas.operators import hierarchy
+from lexatlas.operators.presentation import anchors
 from lexatlas.plans import QUERIES
 from lexatlas.sources.corpus import load
 
@@ -65,12 +66,31 @@ def test_rings_are_found(spark, ring):
         hierarchy.chains_within(spark.createDataFrame(rows, NODES), ["g", "h"])
 
 
+def test_anchors_by_group_and_by_key(spark):
+    """Equal to those of ids that hold their group."""
+    rows = [(1 + k % 3, k // 3, None if k < 3 else k // 6, "texto" if k % 4 == 0 else "inciso", None if k % 7 == 0 else f"{k})") for k in range(90)]
+    own = spark.createDataFrame(rows, "a long, id long, parent_id long, kind string, number string").withColumn("parent_id", F.expr("nullif(parent_id, id)"))
+    shown = F.col("a") * 100 + F.col("id")
+    keyed = own.select(shown.alias("id"), (F.col("a") * 100 + F.col("parent_id")).alias("parent_id"), "kind", "number")
+    got, want = anchors(own, shown, ["a"]).collect(), anchors(keyed).collect()
+    assert len(got) == 90 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_paragraph_trees_move_no_paragraphs(spark, small):
     """Before, each round and the last join shuffled all paragraphs."""
+    _moves_few(spark, small, "fracciones_articulo")
+
+
+def test_anchors_move_no_paragraphs(spark, small):
+    """Before, each round shuffled all paragraphs."""
+    _moves_few(spark, small, "anclas")
+
+
+def _moves_few(spark, small, name: str) -> None:
     paragraphs = load(spark, small).paragraphs
     n, before = paragraphs.count(), _moved(spark)
     with _set(spark):
-        assert QUERIES["fracciones_articulo"](spark, small).count() == n
+        assert QUERIES[name](spark, small).count() == n
     assert _moved(spark) - before < n / 10
 
 
