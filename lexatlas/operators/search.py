@@ -297,56 +297,168 @@ def fuzzy(items: DataFrame, term: str, least: float = 0.3, limit: int | None = F
     return items.select("id", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(clamp(limit, MOST_FUZZY, FUZZY_ROWS))
 
 
-#: The first look of fuzzy_terms: a term's rarest trigrams, and the texts of each that are compared.
-LOOKED_GRAMS, LOOKED_TEXTS = 3, 200
+#: A first look compares a term with texts that lack so many of its trigrams at most, unless more pairs than LOOKED_PAIRS
+#: are expected; where it finds too few, with about LOOKED_TEXTS texts of each of the term's LOOKED_GRAMS rarest trigrams.
+LOOKED_MISSES, LOOKED_PAIRS, LOOKED_GRAMS, LOOKED_TEXTS = (1, 3), 1000, 3, 200
+#: Texts of so many trigrams at most are found by two trigrams at a time, longer ones by one.
+PAIRED = 64
+#: Keys that are broadcast, at most.
+SHARED_KEYS = 2_000_000
+_MARKS = ["mark_0", "mark_1"]
 
 
 def fuzzy_terms(items: DataFrame, terms: DataFrame, least: float = 0.3, limit: int | None = FUZZY_ROWS) -> DataFrame:
     """fuzzy for a table of terms (term) at a time: term, id, similarity, place; `limit` rows of each term.
 
     Items of one text resemble a term alike, so that texts are compared, each with its first `limit` ids. A first look at
-    some texts that hold a term's rarest trigrams tells how similar its last row is at least. A text of m trigrams that
-    is as similar to a term of n shares so many (`need`) that both hold one of the n - need + 1 and m - need + 1 rarest of
-    their own: only such pairs are compared, all of them. Terms of fewer than FUZZY_LETTERS characters and null terms have
-    no rows, a repeated term has them once; null texts resemble nothing.
+    texts that hold nearly all of a term's trigrams tells how similar its last row is at least. From that follows, for
+    each size of a text, how many of the term's trigrams it may lack; texts that may lack more than the first look allowed
+    are looked for again, so that all pairs that can be among the best are compared. Terms of fewer than FUZZY_LETTERS
+    characters and null terms have no rows, a repeated term has them once; null texts resemble nothing.
     """
     rows = clamp(limit, MOST_FUZZY, FUZZY_ROWS)
-    candidates, compared, ids = _fuzzy_pairs(items, terms, least, rows)
-    found = compared(candidates).where(F.col("similarity") >= least)
-    best = Window.partitionBy("term").orderBy(F.desc("similarity"), "first")
-    shown = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rows).drop("place").join(ids.select("item", "ids"), "item")
-    shown = shown.select("term", F.explode("ids").alias("id"), "similarity")
-    return shown.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("similarity"), "id"))).where(F.col("place") <= rows)
+    found, asked, ids = _fuzzy_pairs(items, terms, least, rows)
+    best = Window.partitionBy("ask").orderBy(F.desc("similarity"), "first")
+    shown = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rows).drop("place")
+    shown = shown.join(ids.select("item", "ids"), "item").select("ask", F.explode("ids").alias("id"), "similarity")
+    shown = shown.withColumn("place", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("similarity"), "id"))).where(F.col("place") <= rows)
+    return shown.join(asked.select("ask", "term"), "ask").select("term", "id", "similarity", "place")
 
 
-def _fuzzy_pairs(items: DataFrame, terms: DataFrame, least: float, rows: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], DataFrame]:
-    """Pairs (term, item) to compare, what compares them, and the texts with their ids (item, ids, grams)."""
+def _fuzzy_pairs(items: DataFrame, terms: DataFrame, least: float, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (ask, item, first, copies, similarity) among which are each term's best `rows`, the terms (ask, term) and the
+    texts with their ids (item, ids)."""
     own = items.select("id", F.lower("text").alias("text")).where("text is not null").withColumn("r", F.row_number().over(Window.partitionBy("text").orderBy("id"))).where(F.col("r") <= rows)
-    ids = materialize(own.groupBy("text").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("item"), "ids", trigrams(F.col("text")).alias("grams")), "trigrams")
-    texts = ids.select("item", F.get("ids", F.lit(0)).alias("first"), F.size("ids").alias("copies"), "grams", F.size("grams").alias("m"))
-    postings = texts.select("item", "m", F.explode("grams").alias("gram"))
-    often = materialize(postings.groupBy("gram").agg(F.count("*").alias("often")), "often")
-    postings = materialize(postings.join(often, "gram").withColumn("at", F.row_number().over(Window.partitionBy("item").orderBy("often", "gram"))).drop("often"), "postings")
-    asked = terms.select("term").where(F.length(F.trim("term")) >= FUZZY_LETTERS).distinct().select("term", trigrams(F.col("term")).alias("wanted"))
-    each = asked.select("term", F.size("wanted").alias("n"), F.explode("wanted").alias("gram")).join(often, "gram", "left")
-    each = materialize(each.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("often", F.lit(0)), "gram"))), "asked")
-    similarity = F.round(F.size(F.array_intersect("grams", "wanted")) / F.size(F.array_union("grams", "wanted")), 6)
-    compared = lambda pairs: pairs.join(texts, "item").join(asked, "term").select("term", "item", "first", "copies", similarity.alias("similarity"))
-
-    known = each.where("often is not null").withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy("r"))).where(F.col("k") <= LOOKED_GRAMS)
-    some = postings.withColumn("k", F.row_number().over(Window.partitionBy("gram").orderBy("item"))).where(F.col("k") <= LOOKED_TEXTS)
-    look = compared(known.select("term", "gram").join(some.select("gram", "item"), "gram").select("term", "item").distinct())
-    so_far = F.sum("copies").over(Window.partitionBy("term").orderBy(F.desc("similarity"), "item"))
-    enough = look.withColumn("so_far", so_far).where(F.col("so_far") >= rows).groupBy("term").agg(F.max("similarity").alias("known"))
-    floor = F.greatest(F.lit(least), F.coalesce("known", F.lit(least))) - 2e-6  # similarities are rounded
-    floors = each.select("term", "n").distinct().join(enough, "term", "left").select("term", "n", floor.alias("floor"))
-
-    need = F.greatest(F.ceil(F.col("floor") * (F.col("n") + F.col("m")) / (1 + F.col("floor")) - 1e-9), F.lit(1))
+    ids = own.groupBy("text").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("item"), "ids", F.sort_array(_trigram_codes(F.col("text"))).alias("grams"))
+    ids = materialize(ids.withColumns(dict(zip(_MARKS, _marks(F.col("grams"))))), "trigrams")
+    texts = ids.select("item", F.get("ids", F.lit(0)).alias("first"), F.size("ids").alias("copies"), "grams", F.size("grams").alias("m"), *_MARKS)
+    often = materialize(texts.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often")), "often")
+    asked = terms.select("term").where(F.length(F.trim("term")) >= FUZZY_LETTERS).distinct().select("term", _trigram_codes(F.col("term")).alias("wanted"))
+    each = asked.select("term", "wanted", F.posexplode("wanted").alias("at", "gram")).join(often, "gram")
+    each = each.groupBy("term").agg(F.first("wanted").alias("wanted"), F.sort_array(F.collect_list(F.struct("often", "gram", "at"))).alias("known"))
+    each = each.withColumns(dict(zip(_MARKS, _marks(F.col("known.gram")))))
+    asked = materialize(each.select(F.monotonically_increasing_id().alias("ask"), "term", "wanted", F.size("wanted").alias("n"), "known", *_MARKS), "asked")
+    common = F.size(F.array_intersect("grams", "wanted"))
+    similarity = F.round(common / (F.col("m") + F.col("n") - common), 6)
+    best = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("similarity"), "first"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The first `rows` of each term's pairs."""
+        both = pairs.join(texts.drop(*_MARKS), "item").join(asked.select("ask", "wanted", "n"), "ask").select("ask", "item", "first", "copies", similarity.alias("similarity"))
+        return both.withColumn("place", best).where((F.col("place") <= rows) & (F.col("similarity") >= least)).drop("place")
+
+    n_texts, short = ids.count(), F.col("m") <= PAIRED
+    found, looked, few = None, None, asked
+    for misses in LOOKED_MISSES:
+        keys = _keys(few.select("ask", F.lit(1).alias("low"), F.lit(PAIRED).alias("high"), F.lit(1).alias("need"), *_MARKS, F.least(F.lit(misses), F.size("known") - 1).alias("misses"), "known"), n_texts, LOOKED_PAIRS)
+        pairs, tried = _holders(texts.where(short), None, keys), keys.select("ask", "misses").distinct()
+        new = materialize(compared(pairs.join(found, ["ask", "item"], "left_anti") if found is not None else pairs), "looked")
+        found, looked = (found.unionByName(new), looked.unionByName(tried)) if found is not None else (new, tried)
+        enough = found.groupBy("ask").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= rows)
+        few = materialize(asked.join(enough, "ask", "left_anti"), "few")
+    rare = materialize(few.select("ask", F.explode(F.slice("known", 1, LOOKED_GRAMS)).alias("gram")).select("ask", "gram.gram", "gram.often"), "rare")
+    some = texts.select("item", F.explode("grams").alias("gram")).join(rare.select("gram", "often").distinct(), "gram").where(F.pmod(F.xxhash64("item"), F.ceil(F.col("often") / LOOKED_TEXTS)) == 0)
+    more = some.select("item", "gram").join(rare.select("ask", "gram"), "gram").select("ask", "item").distinct()
+    found = found.unionByName(materialize(compared(more.join(found, ["ask", "item"], "left_anti")), "looked"))
+
+    so_far = F.sum("copies").over(Window.partitionBy("ask").orderBy(F.desc("similarity"), "item"))
+    enough = found.withColumn("so_far", so_far).where(F.col("so_far") >= rows).groupBy("ask").agg(F.max("similarity").alias("reached"))
+    floor = F.greatest(F.lit(least), F.coalesce("reached", F.lit(least))) - 2e-6  # similarities are rounded
+    looked = looked.groupBy("ask").agg(F.max("misses").alias("looked"))
+    floors = asked.select("ask", "n", F.size("known").alias("k")).join(enough, "ask", "left").join(looked, "ask", "left").select("ask", "n", "k", "looked", floor.alias("floor"))
+    need = F.greatest(F.ceil(F.col("floor") * (F.col("n") + F.col("m")) / (1 + F.col("floor")) - 1e-9), F.lit(1)).cast("int")
     near = (F.col("m") >= F.col("floor") * F.col("n")) & (F.col("m") * F.col("floor") <= F.col("n"))
-    sizes = floors.join(F.broadcast(texts.select("m").distinct()), near).select("term", "n", "m", need.alias("need"))
-    looked = each.where("often is not null").select("term", "gram", "r").join(sizes, "term").where("r <= n - need + 1")
-    candidates = looked.join(postings, ["gram", "m"]).where("at <= m - need + 1").select("term", "item").distinct()
-    return candidates, compared, ids
+    sizes = floors.join(F.broadcast(texts.select("m").distinct()), near).select("ask", "m", "looked", need.alias("need"), (F.col("k") - need).alias("misses"))
+    left = sizes.where((F.col("misses") >= 0) & (~short | (F.col("misses") > F.coalesce("looked", F.lit(-1)))))
+    ranges = left.groupBy("ask", "need", "misses", short.alias("short")).agg(F.min("m").alias("low"), F.max("m").alias("high"))
+    keys = _keys(ranges.join(asked.select("ask", "known", *_MARKS), "ask").select("ask", "low", "high", "need", *_MARKS, "misses", "known"), n_texts)
+    rarest = F.row_number().over(Window.partitionBy("item").orderBy("often", "gram"))
+    long = texts.where(~short).select("item", "m", *_MARKS, F.explode("grams").alias("gram")).join(often, "gram").withColumn("at", rarest)
+    rest = _holders(texts.where(short), long, keys).join(found, ["ask", "item"], "left_anti")
+    return found.unionByName(compared(rest)), asked, ids
+
+
+def _trigram_codes(text: Column) -> Column:
+    """trigrams, in order, each as one number."""
+    padded = F.split(F.concat(F.lit("  "), F.lower(text), F.lit(" ")), "")
+    code = lambda a, i: F.get(a, i).cast("long") * 2**42 + F.get(a, i + 1).cast("long") * 2**21 + F.get(a, i + 2)
+    return F.array_distinct(_once(F.transform(padded, F.ascii), lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 3), lambda i: code(a, i))))
+
+
+def _marks(grams: Column) -> tuple[Column, Column]:
+    """Two numbers with a bit for each trigram. For each bit that a term has and a text hasn't, the text lacks a trigram."""
+    place = lambda g: F.pmod(F.xxhash64(g), F.lit(128)).cast("int")
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(g), F.lit(64)))
+    marks = lambda own: F.aggregate(F.filter(grams, own), F.lit(0).cast("long"), lambda x, g: x.bitwiseOR(bit(g)))
+    return marks(lambda g: place(g) < 64), marks(lambda g: place(g) >= 64)
+
+
+def _keys(rows: DataFrame, texts: int, most: int | None = None) -> DataFrame:
+    """Adds keys (key, a) of which a text of low to high trigrams has one at least that lacks so many (misses) of a term's
+    known trigrams at most. With most, fewer misses where more texts would be expected, and no keys where even that
+    doesn't help."""
+    import pyarrow as pa
+
+    names = ["ask", "low", "high", "need", *_MARKS, "misses"]
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(9)]
+            for *place, misses, known in zip(*(batch.column(c).to_pylist() for c in (*names, "known"))):
+                known = [(x["often"], x["gram"], x["at"]) for x in known]
+                cost, pairs = _two_of_each(known, misses, texts, place[1] <= PAIRED)
+                while most is not None and cost > most and misses >= 0:
+                    misses -= 1
+                    cost, pairs = _two_of_each(known, misses, texts, True) if misses >= 0 else (0, [])
+                for a, b in pairs:
+                    for column, value in zip(out, (*place, misses, min(a, b), max(a, b))):
+                        column.append(value)
+            types = [pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 2, pa.int32(), *[pa.int64()] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[*names, "a", "b"])
+
+    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    keys = map_arrow(dealt, run, "ask long, low int, high int, need int, mark_0 long, mark_1 long, misses int, a long, b long")
+    return materialize(keys.select(*names, F.xxhash64("a", "b").alias("key"), "a"), "keys")
+
+
+def _two_of_each(known: list[tuple], misses: int, texts: int, paired: bool) -> tuple[float, list[tuple]]:
+    """Pairs of trigrams of which a text holds one at least, if it lacks so many of the known ones (often, gram, at; the
+    rarest first) at most, and how many texts are expected to; a pair may be one trigram twice.
+
+    Of the misses + 1 rarest it holds one. Of the c rarest, dealt into c - misses - 1 parts, it holds two of a part: they
+    are dealt in turn as they stand in the term, so that those of a part share few letters. Of these ways the one with
+    the fewest texts is taken.
+    """
+    ways = [(float(sum(x[0] for x in known[: misses + 1])), [(x[1], x[1]) for x in known[: misses + 1]])]
+    for c in range(misses + 2, min(len(known), misses + 7) + 1 if paired else 0):
+        parts, placed = c - misses - 1, sorted(known[:c], key=lambda x: x[2])
+        both = [(u, v) for i, u in enumerate(placed) for v in placed[i + parts :: parts]]
+        ways.append((sum(_expected(u, v, texts) for u, v in both), [(u[1], v[1]) for u, v in both]))
+    return min(ways)
+
+
+def _expected(u: tuple, v: tuple, texts: int) -> float:
+    """Texts that hold both trigrams, about: letters that they have in common are counted once."""
+    mean = (u[0] * v[0]) ** 0.5
+    return min(u[0], v[0], mean * (mean / texts) ** (min(abs(u[2] - v[2]), 3) / 3))
+
+
+def _holders(texts: DataFrame, long: DataFrame | None, asked: DataFrame) -> DataFrame:
+    """Pairs (ask, item) of terms and texts that have one of the term's keys and may lack no more of its trigrams than
+    allowed: texts (item, m, marks, grams) by all pairs of their trigrams, long ones (item, m, marks, gram, at) by those
+    trigrams that are among their m - need + 1 rarest."""
+    keys = materialize(asked.select("key", "a").distinct(), "shared-keys")
+    shared = F.broadcast if keys.count() <= SHARED_KEYS else lambda df: df
+    marks = [F.col(c).alias(f"of_{c}") for c in _MARKS]
+    lead = texts.select("item", "m", *_MARKS, "grams", F.posexplode("grams").alias("i", "a")).join(shared(keys.select("a").distinct()), "a")
+    both = lead.select("item", "m", *marks, F.lit(1).alias("at"), "a", F.explode(F.slice("grams", F.col("i") + 1, F.col("m") - F.col("i"))).alias("b"))
+    held = both.select("item", "m", "of_mark_0", "of_mark_1", "at", F.xxhash64("a", "b").alias("key"))
+    if long is not None:
+        held = held.unionByName(long.select("item", "m", *marks, "at", F.xxhash64("gram", "gram").alias("key")))
+    held = held.join(shared(keys.select("key").distinct()), "key", "left_semi")
+    lacks = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(F.col(f"of_{c}")))) for c in _MARKS])
+    fits = F.col("m").between(F.col("low"), F.col("high")) & (F.col("at") <= F.col("m") - F.col("need") + 1) & (lacks <= F.col("misses"))
+    return held.join(asked.drop("a"), "key").where(fits).select("ask", "item").distinct()
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:

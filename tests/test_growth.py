@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import glob
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexatlas.operators import search as s
@@ -54,6 +56,41 @@ def test_fuzzy_terms_compare_few_pairs(spark):
     assert got == [(r["id"], r["similarity"]) for r in s.fuzzy(items, "Customer#000001025").collect()]
 
 
+def _records(spark) -> int:
+    """Records shuffled so far."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_fuzzy_terms_move_few_pairs(spark):
+    """Before, a trigram that a term and a text share made a pair, and each text's trigrams were sorted by a shuffle."""
+    items = spark.range(8000).select("id", F.format_string("Customer#%09d %s", "id", F.element_at(F.array(*map(F.lit, ("BUILDING", "FURNITURE", "AUTOMOBILE"))), (F.col("id") % 3 + 1).cast("int"))).alias("text"))
+    terms = spark.range(500).select(F.format_string("Customer#%09d", "id").alias("term"))
+    before = _records(spark)
+    assert s.fuzzy_terms(items, terms).count() == 5000
+    assert _records(spark) - before < 12 * 8000 + 200 * 500
+
+
+@pytest.mark.parametrize("paired, misses, most, shared, least", [(64, (1, 3), 1000, 10**6, 0.3), (12, (0,), 5, 0, 0.05), (0, (2,), 1000, 10**6, 0.3), (17, (1, 2), 0, 10**6, 0.05)])
+def test_fuzzy_terms_by_each_way(spark, monkeypatch, paired, misses, most, shared, least):
+    """Short and long texts, looks that find much or nothing, keys that are broadcast or not, against every pair."""
+    for name, value in (("PAIRED", paired), ("LOOKED_MISSES", misses), ("LOOKED_PAIRS", most), ("SHARED_KEYS", shared)):
+        monkeypatch.setattr(s, name, value)
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("abcdeñß") for _ in range(rng.randrange(1, most)))
+    texts = [" ".join(word(9) for _ in range(rng.randrange(1, 5))) for _ in range(250)] + ["", "\U0001f600ab", "AÑB", "ab " * 40]
+    texts += [w[: len(w) // 2] + "x" + w[len(w) // 2 :] for w in texts[:60]] + texts[:40]
+    terms = {*texts[::9], *(t + "e" for t in texts[::13]), "qqqq", "aña", "\U0001f600abc", word(90)}
+    grams = lambda t: {f"  {t.lower()} "[i : i + 3] for i in range(len(t) + 1)}
+    want = set()
+    for term in (t for t in terms if len(t.strip()) >= 3):
+        near = [(-round(len(grams(term) & grams(x)) / len(grams(term) | grams(x)), 6), k) for k, x in enumerate(texts)]
+        want |= {(term, k, -x, i + 1) for i, (x, k) in enumerate(sorted(r for r in near if -r[0] >= least)[:10])}
+    got = s.fuzzy_terms(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), least)
+    assert {(r["term"], r["id"], r["similarity"], r["place"]) for r in got.collect()} == want
+
+
 def test_only_near_words_are_stemmed(spark):
     """What words_of_stems leaves out has none of the query's stems."""
     ends = ["", *s._STANDARD, *s._PRONOUNS, *(g for g, _ in s._GERUNDS), *s._Y_VERBS, *s._VERBS, *s._RESIDUALS, "uyendo", "gue", "cion", "iéndose"]
