@@ -297,8 +297,9 @@ def fuzzy(items: DataFrame, term: str, least: float = 0.3, limit: int | None = F
     return items.select("id", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(clamp(limit, MOST_FUZZY, FUZZY_ROWS))
 
 
-#: A first look compares a term with texts that lack so many of its trigrams at most, unless more pairs than LOOKED_PAIRS
-#: are expected; where it finds too few, with about LOOKED_TEXTS texts of each of the term's LOOKED_GRAMS rarest trigrams.
+#: Looks of fuzzy_terms, each for the terms that those before found too few rows for: trigrams of a term that a text may
+#: lack, fewer where more texts than LOOKED_PAIRS are expected. Where they find too few, a term is compared with about
+#: LOOKED_TEXTS texts of each of its LOOKED_GRAMS rarest trigrams.
 LOOKED_MISSES, LOOKED_PAIRS, LOOKED_GRAMS, LOOKED_TEXTS = (1, 3), 1000, 3, 200
 #: Texts of so many trigrams at most are found by two trigrams at a time, longer ones by one.
 PAIRED = 64
@@ -310,10 +311,10 @@ _MARKS = ["mark_0", "mark_1"]
 def fuzzy_terms(items: DataFrame, terms: DataFrame, least: float = 0.3, limit: int | None = FUZZY_ROWS) -> DataFrame:
     """fuzzy for a table of terms (term) at a time: term, id, similarity, place; `limit` rows of each term.
 
-    Items of one text resemble a term alike, so that texts are compared, each with its first `limit` ids. A first look at
-    texts that hold nearly all of a term's trigrams tells how similar its last row is at least. From that follows, for
-    each size of a text, how many of the term's trigrams it may lack; texts that may lack more than the first look allowed
-    are looked for again, so that all pairs that can be among the best are compared. Terms of fewer than FUZZY_LETTERS
+    Items of one text resemble a term alike, so that texts are compared, each with its first `limit` ids. First looks
+    at texts that hold nearly all of a term's trigrams tell how similar its last row is at least. From that follows, for
+    each size of a text, how many of the term's trigrams it may lack; texts that may lack more than was looked at are
+    looked for again, so that all pairs that can be among the best are compared. Terms of fewer than FUZZY_LETTERS
     characters and null terms have no rows, a repeated term has them once; null texts resemble nothing.
     """
     rows = clamp(limit, MOST_FUZZY, FUZZY_ROWS)
