extraccion_por_lugar: each side of the comparison is computed once, and plain numbers skip the suffix rules

Symptom: extraccion_por_lugar spent most of its CPU on the comparison of numbers, not on reading articles and divisions.
Evidence: the plan held the place joins and the eleven replacements of canonical() four times, and twice more inside null filters pushed below the joins; on 4 copies of sf0.1 (local[6], event log) those stages took about 120 of 150 CPU seconds.
Fix: place_differences writes each side's rows once and both answers read them; canonical() applies the suffix rules only to numbers that hold a space or a suffix, as no rule but the first changes any other.
Effect: at 1 GB of input CPU 1530 -> 799 s, shuffle 0.97 -> 0.97 GB, spill 0.00 -> 0.00 GB, read 0.92 -> 0.95 GB, longest task 37 -> 16 s, most memory of a task 738 -> 738 MB; at 6 GB of input CPU 7398 -> 3933 s, shuffle 17.63 -> 12.43 GB, spill 5.36 -> 2.37 GB, read 5.30 -> 5.44 GB, longest task 208 -> 72 s, most memory of a task 2055 -> 1679 MB; with hot keys, at 1 GB of input CPU 1441 -> 888 s, shuffle 0.89 -> 0.89 GB, spill 0.00 -> 0.00 GB, read 0.88 -> 0.90 GB, longest task 50 -> 17 s, most memory of a task 671 -> 671 MB.

@@ -39,13 +39,18 @@ JOINED_SUFFIXES = "Bis|Ter|Quáter|Quinquies|Sexies"
 
 
 def canonical(number: Column) -> Column:
-    """The validator's form: single spaces, capitalised suffixes, `14-A`, `4o-A Bis`, `29 Bis`, `137 Bis 1`."""
-    out = F.trim(F.regexp_replace(number, r"\s+", " "))
+    """The validator's form: single spaces, capitalised suffixes, `14-A`, `4o-A Bis`, `29 Bis`, `137 Bis 1`.
+
+    All rules but the first need a space or a suffix, so that most numbers (14, 14-A, 2.1.1) are done after one look.
+    """
+    spaced = F.trim(F.regexp_replace(number, r"\s+", " "))
+    out = spaced
     for s in SUFFIXES:
         out = F.regexp_replace(out, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){s}(?![\p{{L}}\p{{N}}_])", s)
     out = F.regexp_replace(out, rf"(\d+[oa]?) ([A-Z])( (?:{JOINED_SUFFIXES})|$)", "$1-$2$3")
     out = F.regexp_replace(out, rf"-(?={JOINED_SUFFIXES})", " ")
-    return F.regexp_replace(out, rf"({JOINED_SUFFIXES})-(\d)", "$1 $2")
+    out = F.regexp_replace(out, rf"({JOINED_SUFFIXES})-(\d)", "$1 $2")
+    return F.when(F.regexp_like(spaced, F.lit(rf"(?iu) |{'|'.join(SUFFIXES)}")), out).otherwise(spaced)
 
 
 def from_outline(name: Column) -> Column:

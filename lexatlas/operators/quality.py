@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexatlas.functions.numbering import canonical
 from lexatlas.sources.corpus import Corpus
 from lexatlas.sources.ranking import neighbours
+from lexatlas.sources.workspace import materialize
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -174,10 +175,11 @@ def place_differences(expected: DataFrame, extracted: DataFrame) -> DataFrame:
 
     expected: (law, title, chapter, section, number); extracted: (law, number). Numbers are compared in their canonical
     form. missing: an expected number that wasn't extracted, at its place; extra: an extracted one that stands nowhere,
-    under title ?.
+    under title ?. Each side's rows are computed once and written, as both answers read them.
     """
-    e = expected.select("law", "title", "chapter", "section", canonical(F.col("number")).alias("number")).distinct()
-    a = extracted.select("law", canonical(F.col("number")).alias("number")).distinct()
+    places = [F.col(c).cast("string").alias(c) for c in ("title", "chapter", "section")]  # a column of bare nulls can't be written
+    e = materialize(expected.select("law", *places, canonical(F.col("number")).alias("number")), "expected").distinct()
+    a = materialize(extracted.select("law", canonical(F.col("number")).alias("number")), "extracted").distinct()
     missing = e.join(a, ["law", "number"], "left_anti").withColumn("state", F.lit("missing"))
     none = F.lit(None).cast("string")
     extra = a.join(e.select("law", "number").distinct(), ["law", "number"], "left_anti")
